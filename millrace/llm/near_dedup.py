@@ -29,6 +29,8 @@ K, T = 64, 36
 THRESHOLD, SHINGLE = 85, 5
 #: Candidates are broadcast to the scan of the texts up to this many rows (24 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
+#: Longest difference from a list's most central member that is carried along.
+DIFFERENCE = 200
 #: Sizes within this factor share a band; a pair at the threshold spans few bands.
 BAND = 1.02
 
@@ -143,29 +145,46 @@ def links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataF
     alone = held.groupBy("s").agg(F.count("*").alias("c"), F.first("own").alias("own")).filter("c = 1").groupBy("own").agg(F.count("*").alias("alone"))
     bound = members.withColumn("own", F.xxhash64("cid")).join(alone, "own", "left").select("cid", F.coalesce("alone", F.lit(0)).alias("alone"))
     open_ = open_.join(bound, "cid").withColumn("can", F.col("n") - F.col("alone")).filter(100 * F.col("can") >= threshold * F.col("n")).drop("alone")
-    open_ = settle(open_, "open")
+    open_ = settle(open_.join(_differences(prefix, hub, members, profiles, total), "cid", "left"), "open")
     pairs = _open_pairs(open_, threshold)
     second = _confirmed(pairs, profiles, threshold)
     merged = first.unionByName(second)
     return features, components(merged)
 
 
+def _differences(prefix: DataFrame, hub: DataFrame, members: DataFrame, profiles: DataFrame, total: int) -> DataFrame:
+    """cid, ref and diff: the most central member of its lists, and the shingles that only one of the two holds.
+
+    Against one reference, two documents differ where their differences do, so short arrays give their exact
+    similarity. Differences of more than DIFFERENCE shingles are left out.
+    """
+    refs = lookup_join(prefix.select("cid", "token").join(members, "cid"), hub, "token", total).groupBy("cid").agg(F.max("hub").alias("hub")).select("cid", F.col("hub.cid").alias("ref"))
+    own = refs.join(profiles.select("cid", F.col("shingles").alias("own")), "cid")
+    both = own.join(profiles.select(F.col("cid").alias("ref"), F.col("shingles").alias("of")), "ref")
+    diff = F.concat(F.array_except("own", "of"), F.array_except("of", "own"))
+    return both.select("cid", "ref", diff.alias("diff")).filter(F.size("diff") <= DIFFERENCE)
+
+
 def _open_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     """Pairs in different components that share a prefix token and may still reach the threshold.
 
     With ``can`` shingles that others hold, a document's partner has at most can * (1 + 100 / threshold) - n
-    shingles. The larger side looks only at the size bands that this leaves open.
+    shingles. The larger side looks only at the size bands that this leaves open, and where both sides have the
+    same reference their differences from it settle the similarity within the join.
     """
     band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("int")
     most = F.least(F.col("n").cast("double"), F.floor(F.col("can") * (1 + 100 / threshold) - F.col("n") + 1e-6))
     least = F.ceil(F.col("n") * threshold / 100 - 1e-6)
     large = rows.withColumn("most", most).withColumn("least", least).filter("most >= least")
-    large = large.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("can").alias("ca"), F.col("label").alias("la"), "token", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"))
-    small = rows.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("can").alias("cb"), F.col("label").alias("lb"), "token", band(F.col("n")).alias("band"))
+    large = large.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("can").alias("ca"), F.col("label").alias("la"), F.col("ref").alias("ra"), F.col("diff").alias("da"), "token", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"))
+    small = rows.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("can").alias("cb"), F.col("label").alias("lb"), F.col("ref").alias("rb"), F.col("diff").alias("db"), "token", band(F.col("n")).alias("band"))
     both = large.join(small, ["token", "band"])
     ordered = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
     may = similar(F.least("ca", "cb", "nb"), F.col("na"), F.col("nb"), threshold)
-    return both.filter((F.col("la") != F.col("lb")) & ordered & may).select("a", "b").distinct()
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    exact = (100 - threshold) * (F.col("na") + F.col("nb")) >= (100 + threshold) * apart
+    does = F.when(F.col("ra") == F.col("rb"), exact).otherwise(F.lit(True))
+    return both.filter((F.col("la") != F.col("lb")) & ordered & may & does).select("a", "b").distinct()
 
 
 def cluster(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
