@@ -26,41 +26,58 @@ from pyspark.sql import functions as F
 from . import text_hash
 from .common import lookup_join, settle
 
-LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, 7, 48
+LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
 #: Ids of documents with a repeated core are broadcast to the scan up to this many; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def groups(sums: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low, high, core) of a text with these prefix sums: the first and last window start of each group, and the
-    hash of its core. Every window belongs to one group; a window without a phrase end is a group of its own."""
+    hash of its core. Every window belongs to one group.
+
+    Windows without a phrase end are numbered from the ends of a finer parse (fewer bits), which keeps all ends of
+    the coarse one; a window without any end, as in a run of one character, is a group of its own.
+    """
     n = len(sums) - 1
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    w = min(TRIGGER, length)
+    w, last = min(TRIGGER, length), n - length
     at = np.arange(w, n + 1)
     rolled = text_hash.mix((sums[at] - sums[at - w]) * text_hash.inverses(n + 1)[at - w])
-    ends = np.flatnonzero(rolled >> np.uint64(64 - TRIGGER_BITS) == 0) + w
-    last = n - length
-    # The windows whose first phrase end is ``end`` start after the one before allows, and hold the whole trigger.
-    low = np.concatenate([[0], ends[:-1] - w + 1]) if len(ends) else ends
-    low = np.maximum(np.maximum(low, 0), ends - length)
-    high = np.minimum(ends - w, last)
-    some = low <= high
-    ends, low, high = ends[some], low[some], high[some]
+    open_ = np.arange(last + 1)
+    found = []
+    for bits in TRIGGER_BITS:
+        ends = np.flatnonzero(rolled >> np.uint64(64 - bits) == 0) + w
+        if not len(ends):
+            continue
+        # The windows whose first end is ``end`` start after the one before allows, and hold the whole trigger.
+        low = np.maximum(np.concatenate([[0], ends[:-1] - w + 1]), np.maximum(ends - length, 0))
+        high = np.minimum(ends - w, last)
+        # Those of them that no coarser parse has numbered are neighbours.
+        first, final = np.searchsorted(open_, low), np.searchsorted(open_, high, "right") - 1
+        some = (low <= high) & (first <= final)
+        ends, first, final = ends[some], first[some], final[some]
+        found.append(_classes(sums, ends, open_[first], open_[final], length))
+        held = np.zeros(len(open_) + 1, np.int64)
+        np.add.at(held, first, 1)
+        np.add.at(held, final + 1, -1)
+        open_ = open_[np.cumsum(held[:-1]) == 0]
+        if not len(open_):
+            break
+    found.append((open_, open_, text_hash.ranges(sums, open_, open_ + length)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _classes(sums: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows low..high of each phrase end in groups of WIDTH, counted from the end: (low, high, core)."""
+    w = min(TRIGGER, length)
     first, final = (ends - w - high) // WIDTH, (ends - w - low) // WIDTH
     k = final - first + 1
     row = np.repeat(np.arange(len(ends)), k)
     step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + first[row]
     top = ends[row] - w - step * WIDTH
     bottom = np.maximum(top - WIDTH + 1, ends[row] - length)
-    core = text_hash.ranges(sums, top, bottom + length)
-    lo, hi = np.maximum(bottom, low[row]), np.minimum(top, high[row])
-    held = np.zeros(last + 2, np.int64)
-    np.add.at(held, lo, 1)
-    np.add.at(held, hi + 1, -1)
-    bare = np.flatnonzero(np.cumsum(held[:-1]) == 0)
-    return np.concatenate([lo, bare]), np.concatenate([hi, bare]), np.concatenate([core, text_hash.ranges(sums, bare, bare + length)])
+    return np.maximum(bottom, low[row]), np.minimum(top, high[row]), text_hash.ranges(sums, top, bottom + length)
 
 
 def _sums(text: bytes) -> np.ndarray:
