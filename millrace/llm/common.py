@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold ``rows`` rows at most: texts can be long, and a task holds a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
+
+
 def settle(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import settle
+from .common import settle, small_batches
 
 #: Template tokens in a window; the literal words it needs at least; tokens of an item that must match (or all).
 WINDOW, LITERALS, MATCHED = 8, 4, 13
@@ -169,6 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED) -> Da
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = settle(_keyed(benchmark, "item_id").mapInArrow(_item_rows, SCHEMA), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
     n = items.count()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import lookup_join, settle
+from .common import lookup_join, settle, small_batches
 
 K, T = 64, 36
 #: Percent: documents are linked where 100 * intersection >= THRESHOLD * union.
@@ -107,6 +107,7 @@ def _confirmed(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFra
 
 def links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(features, labels): a row per document with its class, and the component of each linked class."""
+    small_batches(docs.sparkSession)
     features = settle(docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, n_shingles long, cid binary, sig array<bigint>"), "features")
     classes = features.filter("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = settle(classes, "classes")

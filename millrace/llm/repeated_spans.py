@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import lookup_join, settle
+from .common import lookup_join, settle, small_batches
 
 LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
 #: Ids of documents with a repeated core are broadcast to the scan up to this many; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 
 
+_ROLL = np.uint64(0xD6E8FEB86659FD93)
+
+
 def groups(sums: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low, high, core) of a text with these prefix sums: the first and last window start of each group, and the
     hash of its core. Every window belongs to one group.
@@ -42,8 +45,8 @@ def groups(sums: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     w, last = min(TRIGGER, length), n - length
-    at = np.arange(w, n + 1)
-    rolled = text_hash.mix((sums[at] - sums[at - w]) * text_hash.inverses(n + 1)[at - w])
+    rolled = (sums[w:] - sums[: n + 1 - w]) * text_hash.inverses(n + 1)[: n + 1 - w]
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * _ROLL
     open_ = np.arange(last + 1)
     found = []
     for bits in TRIGGER_BITS:
@@ -93,18 +96,26 @@ def _rows(ids: list, lows: list, highs: list, keys: list, cores: list | None = N
     return pa.record_batch([pa.array(x) for x in (rid, whole(lows, np.int64), whole(highs, np.int64), cores, keys)], ["rid", "low", "high", "core", "key"])
 
 
+def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of a column of arrays of structs, each as one numpy array per field; null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    end = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    for a, b in zip(np.concatenate([[0], end[:-1]]), end, strict=True):
+        yield {k: v[a:b] for k, v in fields.items()}
+
+
 def _cores(length: int):
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                ids, lows, highs, keys = piece.column("rid").to_pylist(), [], [], []
-                for text in piece.column("text").cast(pa.binary()).to_pylist():
-                    low, high, key = groups(_sums(text), length) if len(text) >= length else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
-                    lows.append(low)
-                    highs.append(high)
-                    keys.append(key)
-                yield _rows(ids, lows, highs, keys)
+                found = [groups(_sums(t), length) if len(t) >= length else none for t in piece.column("text").cast(pa.binary()).to_pylist()]
+                yield _rows(piece.column("rid").to_pylist(), *map(list, zip(*found, strict=True)))
 
     return run
 
@@ -116,21 +127,18 @@ def _again(length: int, single: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                ids, lows, highs, keys, cores = piece.column("rid").to_pylist(), [], [], [], []
-                for text, units in zip(piece.column("text").cast(pa.binary()).to_pylist(), piece.column("units").to_pylist(), strict=True):
-                    sums = _sums(text)
-                    low = np.array([u["low"] for u in units], np.int64)
-                    high = np.array([u["high"] for u in units], np.int64)
-                    core = np.array([u["core"] for u in units], np.int64)
+                lows, highs, keys, cores = [], [], [], []
+                for text, units in zip(piece.column("text").cast(pa.binary()).to_pylist(), _lists(piece.column("units")), strict=True):
+                    low, high, core = units["low"], units["high"], units["core"]
                     if single:
                         n = high - low + 1
                         core = np.repeat(core, n)
                         low = high = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     lows.append(low)
                     highs.append(high)
-                    keys.append(text_hash.ranges(sums, low, high + length))
+                    keys.append(text_hash.ranges(_sums(text), low, high + length))
                     cores.append(core)
-                yield _rows(ids, lows, highs, keys, cores)
+                yield _rows(piece.column("rid").to_pylist(), lows, highs, keys, cores)
 
     return run
 
@@ -149,16 +157,13 @@ def _cut(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept, sizes = [], [], []
-            for text, units in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("units").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for u in sorted(units or [], key=lambda u: u["low"]):
-                    if merged and u["low"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], u["high"] + length)
-                    else:
-                        merged.append([u["low"], u["high"] + length])
-                edges = [0, *(x for span in merged for x in span), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                spans.append([{"start": a, "end": b} for a, b in merged])
+            for text, units in zip(batch.column("text").cast(pa.binary()).to_pylist(), _lists(batch.column("units")), strict=True):
+                order = np.argsort(units["low"], kind="stable")
+                low, end = units["low"][order], np.maximum.accumulate(units["high"][order] + length)
+                opens = np.flatnonzero(np.concatenate([[True], low[1:] > end[:-1]])) if len(low) else np.empty(0, np.int64)
+                starts, stops = low[opens].tolist(), end[np.append(opens[1:] - 1, -1)].tolist() if len(low) else []
+                kept.append(b"".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True)))
+                spans.append([{"start": a, "end": b} for a, b in zip(starts, stops, strict=True)])
                 sizes.append(len(text))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
@@ -173,7 +178,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     another; spans are judged on the input and overlap freely. Null text is empty. Repeated rows are documents of
     their own, so each repeats the other. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     odd = own.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 OR doc_id IS NULL").isEmpty()
     # doc_id names a row where it is unique; else doc_id and text do, and rows equal in both share their fate.

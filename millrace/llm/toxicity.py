@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
+from .common import small_batches
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
 #: Documents scored in one step.
@@ -268,6 +269,7 @@ def _batch_scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; null texts score as empty ones."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.window))  # BUCKETS numbers
     live: list[Model] = []
 
@@ -293,6 +295,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; nothing is shuffled."""
     model = train(*sample(docs, labels))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.window))
     live: list[Model] = []
 
