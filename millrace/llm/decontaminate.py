@@ -56,7 +56,7 @@ class Canonical:
         return low, flag
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
-        new = list(set(words) - self.memory.keys())
+        new = [w for w in set(words) if w not in self.memory]  # a set difference would walk all of the memory
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory, self.hashes, self.flags, new = {}, self.hashes[:0], self.flags[:0], list(set(words))
         if new:
