@@ -27,7 +27,7 @@ from .common import small_batches
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
 #: Documents scored in one step.
-GROUP = 256
+GROUP = 128
 #: At most so many labelled documents of each class are learnt from, each with its whole text.
 SAMPLE = 1500
 #: A bucket that fewer documents of the sample hold has no weight.
@@ -38,6 +38,8 @@ WINDOWS = 12_000
 #: How much more a clean document lost weighs than a toxic one missed: clean ones are the greater part.
 CLEAN_WEIGHT = 4.0
 REMEMBERED = 400_000
+#: Words of the sample whose n-grams are cut in one step.
+WORDS_AT_ONCE = 20_000
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,7 @@ class Model:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Rows of ``parts`` (summed weight, number of n-grams) that belong to the words."""
-        new = list(set(words) - self.memory.keys())
+        new = [w for w in set(words) if w not in self.memory]  # a set difference would walk all of the memory
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory, self.parts, new = {}, self.parts[:0], list(set(words))
         if new:
@@ -106,34 +108,39 @@ class Model:
         return self.parts[rows]
 
 
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions of the runs that begin at ``first`` and are ``count`` long, one after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class _Bags:
     """The windows of the sample as bags of n-gram buckets that enough documents hold, renumbered."""
 
     def __init__(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-        found, counts = grams(list(vocabulary) or [b""])
-        of = np.repeat(np.arange(len(counts)), counts)
-        documents = np.zeros(BUCKETS, np.int64)
-        self.ids, owner = [], []
-        for d, s in enumerate(split):
-            ids = np.fromiter((vocabulary[w] for w in s), np.int64, len(s))
-            seen = np.zeros(len(counts), bool)
-            seen[ids] = True
-            documents[np.unique(found[seen[of]])] += 1
-            for at in range(0, len(ids), WINDOW):
-                self.ids.append(ids[at : at + WINDOW])
-                owner.append(d)
-        self.owner = np.asarray(owner, np.int64)
+        vocabulary: dict[bytes, int] = {}
+        docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int32) for t in texts]
+        words = list(vocabulary) or [b""]
+        done = [grams(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        found, counts = np.concatenate([f.astype(np.int32) for f, _ in done]), np.concatenate([c for _, c in done])
+        begin, documents = np.cumsum(counts) - counts, np.zeros(BUCKETS, np.int64)
+        for ids in docs:
+            own = np.unique(ids)
+            documents[np.unique(found[_ragged(begin[own], counts[own])])] += 1
+        size = np.fromiter(map(len, docs), np.int64, len(docs))
+        windows = -(-size // WINDOW)
+        self.owner = np.repeat(np.arange(len(docs)), windows)
+        last = np.cumsum(windows)[windows > 0] - 1
+        self.n = np.full(windows.sum(), WINDOW)
+        self.n[last] = (size - (windows - 1) * WINDOW)[windows > 0]
+        self.begin = np.cumsum(self.n) - self.n
+        self.flat = np.concatenate(docs) if docs else np.empty(0, np.int32)
         self.buckets = np.flatnonzero(documents >= max(MIN_DOCUMENTS, MIN_SHARE * len(texts)))
-        number = np.full(BUCKETS, -1)
+        number = np.full(BUCKETS, -1, np.int32)
         number[self.buckets] = np.arange(len(self.buckets))
         known = number[found] >= 0
         self.grams, self.all_counts = number[found[known]], counts
-        self.counts = np.bincount(of[known], minlength=len(counts))
+        self.counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[known], minlength=len(counts))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        self.n = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        self.flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int64)
 
     def logits(self, state) -> np.ndarray:
         """Of all windows, through one number per word."""
@@ -145,11 +152,10 @@ class _Bags:
 
     def of(self, chosen: np.ndarray):
         """(bucket, window, scale): the buckets of these windows, the window of each, and 1 / n-grams per window."""
-        ids = np.concatenate([self.ids[c] for c in chosen])
-        n = np.fromiter((len(self.ids[c]) for c in chosen), np.int64, len(chosen))
-        row = np.repeat(np.arange(len(chosen)), n)
+        ids = self.flat[_ragged(self.begin[chosen], self.n[chosen])]
+        row = np.repeat(np.arange(len(chosen)), self.n[chosen])
         g = self.counts[ids]
-        flat = np.repeat(self.first[ids] - (np.cumsum(g) - g), g) + np.arange(g.sum())
+        flat = _ragged(self.first[ids], g)
         size = np.maximum(np.bincount(row, self.all_counts[ids], len(chosen)), WINDOW * 16)
         return self.grams[flat], np.repeat(row, g), np.float32(WINDOW) / size.astype(np.float32)
 
@@ -160,7 +166,7 @@ def _fit(bags: _Bags, positive: np.ndarray, negative: np.ndarray, epochs: int, r
     top = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     state = [vectors, top, np.zeros(2, np.float32)]
     first, second = [np.zeros_like(v) for v in state], [np.zeros_like(v) for v in state]
-    use, is_positive = np.concatenate([positive, negative]), np.zeros(len(bags.ids), bool)
+    use, is_positive = np.concatenate([positive, negative]), np.zeros(len(bags.n), bool)
     is_positive[positive] = True
     weigh = 0.5 * len(use) / np.array([max(1, len(negative)), max(1, len(positive))], np.float32)
     step = 0
@@ -203,7 +209,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
         last[rng.permutation(own)[: len(own) // 5]] = True
     fit = np.flatnonzero(~last)
     bags = _Bags([texts[i] for i in fit])
-    if not len(bags.ids) or not len(bags.buckets):
+    if not len(bags.n) or not len(bags.buckets):
         return Model(np.zeros(BUCKETS), -4.0)
     toxic = y[fit][bags.owner] == 1
     clean, candidates = np.flatnonzero(~toxic), np.flatnonzero(toxic)
@@ -231,7 +237,8 @@ def _set_cut(model: Model, texts: list[bytes], y: np.ndarray) -> None:
     """Move the bias so that 0.5 makes the fewest errors on documents the fit has not seen, clean ones weighing more."""
     if not len(y) or y.min() == y.max():
         return
-    p = np.clip(model.scores(texts), 1e-13, 1 - 1e-13)
+    p = np.concatenate([model.scores(texts[at : at + GROUP]) for at in range(0, len(texts), GROUP)])
+    p = np.clip(p, 1e-13, 1 - 1e-13)
     logit = np.log(p / (1 - p))
     order = np.sort(logit)
     cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2, [order[-1] + 1]])
