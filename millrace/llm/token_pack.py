@@ -13,19 +13,23 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import ragged, shared_dir, small_batches
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A block is closed once it holds this many tokens; one longer document is a block of its own.
 BLOCK_TOKENS = 65_536
 #: Words whose ids a task remembers; the memory is cleared when it is full.
 REMEMBERED = 400_000
+#: New words are encoded so many at once, with a control character between them.
+WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
 
 BLOCK_SCHEMA = "part int, block int, bits int, n_tokens long, doc_ids array<bigint>, offsets array<bigint>, payload binary"
 
@@ -64,23 +68,75 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        own = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = own[0] if len(own) == 1 else None
+        self.memory: dict[str, int] = {}
+        # By a word's number: its ids' place in ``flat``, how many there are, and in how many groups it was met.
+        self.begin, self.count, self.met = (np.empty(0, np.int64) for _ in range(3))
+        self.flat = np.empty(0, "<u4")
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has).
+
+        One call takes many words, with a separator between them that has an id of its own. Where the ids do not
+        hold it once between any two words (some word has that character), each word is encoded by itself.
+        """
+        flats, counts = [], []
+        chunks = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        between = f" {SEPARATOR} "
+        joined = self.tokenizer.encode_batch_fast([between.join(c) for c in chunks], add_special_tokens=False) if self.separator is not None else [None] * len(chunks)
+        for chunk, e in zip(chunks, joined, strict=True):
+            ids = np.asarray(e.ids if e else [], "<u4")
+            cuts = np.flatnonzero(ids == self.separator) if e else ids
+            if len(cuts) == len(chunk) - 1 and e:
+                counts.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                flats.append(np.delete(ids, cuts))
+            else:
+                own = [x.ids for x in self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False)]
+                counts.append(np.fromiter(map(len, own), np.int64, len(own)))
+                flats.append(np.fromiter(chain.from_iterable(own), "<u4", counts[-1].sum()))
+        return np.concatenate(flats), np.concatenate(counts)
+
+    def _make_room(self, coming: int) -> None:
+        """Forget the words met in one group only; all words, if that leaves the memory over half full."""
+        if len(self.memory) + coming <= REMEMBERED:
+            return
+        keep = self.met > 1
+        if keep.sum() + coming > REMEMBERED // 2:
+            keep[:] = False
+        self.memory = {w: k for k, w in enumerate([w for w, stays in zip(self.memory, keep.tolist(), strict=True) if stays])}
+        self.flat = self.flat[ragged(self.begin[keep], self.count[keep])]
+        self.count, self.met = self.count[keep], self.met[keep]
+        self.begin = np.cumsum(self.count) - self.count
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words; those that are new are encoded."""
+        new = [w for w in words if w not in self.memory]
+        if len(self.memory) + len(new) > REMEMBERED:
+            self._make_room(len(new))
+            new = [w for w in words if w not in self.memory]
+        if new:
+            flat, count = self._encode_words(new)
+            self.memory.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+            self.flat = np.concatenate([self.flat, flat])
+            self.count, self.met = np.concatenate([self.count, count]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        rows = np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
+        self.met[rows] += 1
+        return rows
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") if t.isascii() and "\n" not in t and "\t" not in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        memory = self.memory
-        out, at, step = [], 0, 256
-        while at < len(split):
-            group = split[at : at + step]
-            if len(memory) > REMEMBERED:
-                memory.clear()
-                memory[""] = b""
-            new = list(set().union(*map(set, group)) - memory.keys())
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memory[word] = np.asarray(e.ids, "<u4").tobytes()
-            out += [np.frombuffer(b"".join(map(memory.__getitem__, ws)), "<u4") for ws in group]
-            at += step
-        return out
+        if not texts:
+            return []
+        column = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), "\t", " ")
+        split = pc.split_pattern(column, " ")
+        words = split.flatten().dictionary_encode()
+        row = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        count = self.count[row]
+        ids = self.flat[ragged(self.begin[row], count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return np.split(ids, ends[:-1])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

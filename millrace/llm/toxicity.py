@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import small_batches
+from .common import ragged, small_batches
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
 #: Documents scored in one step.
@@ -108,11 +108,6 @@ class Model:
         return self.parts[rows]
 
 
-def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Positions of the runs that begin at ``first`` and are ``count`` long, one after the other."""
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-
-
 class _Bags:
     """The windows of the sample as bags of n-gram buckets that enough documents hold, renumbered."""
 
@@ -125,7 +120,7 @@ class _Bags:
         begin, documents = np.cumsum(counts) - counts, np.zeros(BUCKETS, np.int64)
         for ids in docs:
             own = np.unique(ids)
-            documents[np.unique(found[_ragged(begin[own], counts[own])])] += 1
+            documents[np.unique(found[ragged(begin[own], counts[own])])] += 1
         size = np.fromiter(map(len, docs), np.int64, len(docs))
         windows = -(-size // WINDOW)
         self.owner = np.repeat(np.arange(len(docs)), windows)
@@ -152,10 +147,10 @@ class _Bags:
 
     def of(self, chosen: np.ndarray):
         """(bucket, window, scale): the buckets of these windows, the window of each, and 1 / n-grams per window."""
-        ids = self.flat[_ragged(self.begin[chosen], self.n[chosen])]
+        ids = self.flat[ragged(self.begin[chosen], self.n[chosen])]
         row = np.repeat(np.arange(len(chosen)), self.n[chosen])
         g = self.counts[ids]
-        flat = _ragged(self.first[ids], g)
+        flat = ragged(self.first[ids], g)
         size = np.maximum(np.bincount(row, self.all_counts[ids], len(chosen)), WINDOW * 16)
         return self.grams[flat], np.repeat(row, g), np.float32(WINDOW) / size.astype(np.float32)
 
