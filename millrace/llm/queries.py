@@ -49,3 +49,18 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_line_quality, op5_decontaminate, op6_repeated_spans, op7_token_pack, op8_html_wrapper, op9_near_dedup, op10_budget_mix)}
+
+
+def _sharding_sql() -> str:
+    """The lookup table is a parameter, so it is a literal list here as it is in the operator."""
+    names = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
+    slots = sharding.next_prime(len(names) * sharding.SLOTS_PER_SHARD)
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, n_chars, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS BIGINT) AS slot
+  FROM documents
+), t AS (SELECT {sharding.fill(names, slots)} AS owners)
+SELECT doc_id, source, n_chars, slot, 'shard-' || lpad(CAST(owners[slot + 1] AS VARCHAR), 3, '0') AS shard FROM d, t"""
+
+
+SQL = {"op1_sharding": _sharding_sql()}
