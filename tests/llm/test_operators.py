@@ -338,6 +338,23 @@ def test_html_wrapper_query(spark):
     assert by[0][0] == rows[0][2].split("<p>")[1].split("</p>")[0]
 
 
+def test_html_wrapper_tells_slots_of_equal_paths_apart(spark):
+    """Two slots at one path, the first of the template: only a match against the wrapper tells them apart."""
+    rng = random.Random(12)
+    texts = [words_of(rng, 30) for _ in range(8)]
+    rows = [(i, f"http://h.com/{i}", f"<body><article><p>Read this first</p><hr><p>{t}</p></article></body>") for i, t in enumerate(texts)]
+    have = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got(have, "page_id", "text") == list(enumerate(texts))
+
+
+def test_html_wrapper_merges_in_a_tree(spark, monkeypatch):
+    """Many shapes of one host, aligned a few at a time, with the same texts."""
+    rows = [(i, "http://h.com/x", "<body><article>" + "".join(f"<{n}>{n} {i}</{n}>" for j, n in enumerate(("h2", "ul", "p", "dl", "pre")) if i >> j & 1) + "<b>Template</b></article></body>") for i in range(1, 32)]
+    monkeypatch.setattr(html_wrapper, "FAN_IN", 3)
+    have = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert have[31] == "h2 31\nul 31\np 31\ndl 31\npre 31" and have[4] == "p 4" and len(have) == 31
+
+
 def test_html_of_the_given_pages(spark):
     import html
     import re
