@@ -355,6 +355,25 @@ def test_html_wrapper_merges_in_a_tree(spark, monkeypatch):
     assert have[31] == "h2 31\nul 31\np 31\ndl 31\npre 31" and have[4] == "p 4" and len(have) == 31
 
 
+def test_html_wrapper_finds_a_region_on_every_page(spark):
+    """Hosts without article or main: classes of one page, two layouts, parts side by side, no url, marked bodies."""
+    rng = random.Random(13)
+    rows, want = [], []
+
+    def add(url, page, *texts):
+        rows.append((len(rows), url, page))
+        want.append((len(want), "\n".join(texts)))
+
+    for i in range(8):
+        a, b, c = words_of(rng, 30), words_of(rng, 9), words_of(rng, 12)
+        add(f"http://classes.com/{i}", f"<body class='has-sidebar comments-open'><div class=top><b>Site</b></div><div class='post post-{i} of-{'abcdefgh'[i]}'><p>{a}</p></div></body>", a)
+        add(f"http://layouts.com/{i}", f"<body><b>Site</b><div class=old><p>{a}</p></div></body>" if i % 4 else f"<body><b>Site</b><section class=new><div><span>{b}</span></div></section></body>", a if i % 4 else b)
+        add(f"http://parts.com/{i}", f"<body><b>Site</b><div class=body><div class=lead><p>{a}</p></div><div class=rest><p>{b}</p></div></div></body>", a, b)
+        add(None, f"<body><div class=k{'abcdefgh'[i]}><p>{c}</p></div></body>", c)
+    have = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got(have, "page_id", "text") == want
+
+
 def test_html_of_the_given_pages(spark):
     import html
     import re
