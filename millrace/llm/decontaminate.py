@@ -3,6 +3,9 @@
 Numbers, units and names become typed placeholders; the windows of the resulting templates are hash-joined between
 benchmark and corpus, and a match stands only if its slots are filled consistently: every value of the item is
 replaced by one value throughout. A question whose names and numbers were changed is caught as well as a copy.
+
+Each text is read twice: word by word, and with every run of like slots as one slot, so that "Anna" may become "Mary
+Ann". Items without a window of enough literal words are found as verbatim copies, by windows of their words.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash
@@ -45,7 +48,7 @@ class Canonical:
         bare = word.strip(_EDGE)
         low = bare.lower()
         flag = _EMPTY if not bare else 0
-        if _NUMBER.fullmatch(bare) or low in _NUMBERS:
+        if _NUMBER.fullmatch(bare) or low in _NUMBERS or b"-" in low and all(x in _NUMBERS for x in low.split(b"-")):
             flag |= _IS_NUMBER
         if low in _UNITS:
             flag |= _MAY_BE_UNIT
@@ -90,7 +93,19 @@ _NUMBERS = {w.encode() for w in NUMBER_WORDS}
 _UNITS = {w.encode() for w in UNITS}
 
 
-def windows(tokens: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def collapsed(tokens: np.ndarray, values: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with each run of like slots as one slot, whose value is that of all the run."""
+    again = slot[1:] & (tokens[1:] == tokens[:-1])
+    if not again.any():
+        return tokens, values, slot
+    start = np.flatnonzero(np.concatenate([[True], ~again]))
+    length = np.diff(np.append(start, len(tokens)))
+    place = np.arange(len(tokens)) - np.repeat(start, length)
+    joined = np.add.reduceat(text_hash.mix(values + place.astype(np.uint64)), start)
+    return tokens[start], np.where(length > 1, joined, values[start]), slot[start]
+
+
+def windows(tokens: np.ndarray, slot: np.ndarray, size: int, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the windows of ``size`` template tokens with enough literal words."""
     n = len(tokens) - size + 1
     if n <= 0:
@@ -99,7 +114,7 @@ def windows(tokens: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray
     for j in range(size):
         h += tokens[j : j + n] * _PLACES[j]
     literal = np.concatenate([[0], np.cumsum(~slot)])
-    ok = np.flatnonzero(literal[size:] - literal[:-size] >= LITERALS)
+    ok = np.flatnonzero(literal[size:] - literal[:-size] >= literals)
     return ok, text_hash.mix(h[ok] ^ np.uint64(size))
 
 
@@ -108,9 +123,18 @@ def sizes_of(n_tokens: int) -> int:
     return min(WINDOW, n_tokens)
 
 
-_OUT = ["id", "th", "pos", "size", "h", "n_windows", "slots"]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-SCHEMA = "id long, th long, pos int, size int, h long, n_windows int, slots array<bigint>"
+#: Readings of a text: word by word, runs of like slots as one, and its words as they are.
+PLAIN, RUNS, VERBATIM = 0, 1, 2
+#: Alignments of one document and item whose shifts follow each other within this many tokens count together.
+NEAR_SHIFTS = 3
+_OUT = ["id", "th", "kind", "pos", "size", "h", "n_windows", "slots"]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+SCHEMA = "id long, th long, kind int, pos int, size int, h long, n_windows int, slots array<bigint>"
+
+
+def _verbatim(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at, h = windows(values, np.zeros(len(values), bool), size, 0)
+    return at, text_hash.mix(h ^ np.uint64(VERBATIM << 32))
 
 
 def _item_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,16 +143,20 @@ def _item_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for item, th, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             tokens, values, slot = own.template(text or b"")
-            size = sizes_of(len(tokens))
-            if size < LITERALS:
+            if len(tokens) < LITERALS:
                 continue
-            at, h = windows(tokens, slot, size)
-            rows += [(item, th, p, size, x, len(at), np.where(slot[p : p + size], values[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
-        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, _KINDS, strict=True)], _OUT)
-
-
-def _doc_rows(sizes: list[int], known):
-    """The corpus windows of these sizes; with ``known``, only those whose hash the benchmark has."""
+            for kind, (t, v, s) in ((PLAIN, (tokens, values, slot)), (RUNS, collapsed(tokens, values, slot))):
+                size = sizes_of(len(t))
+                at, h = windows(t, s, size)
+                rows += [(item, th, kind, p, size, x, len(at), np.where(s[p : p + size], v[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
+                if kind == PLAIN and not len(at):
+                    at, h = _verbatim(values, size)
+                    rows += [(item, th, VERBATIM, p, size, x, len(at), []) for p, x in zip(at, h.view(np.int64), strict=True)]
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, _KINDS, strict=True)], _OUT)
+
+
+def _doc_rows(sizes: list[int], verbatim: list[int], known):
+    """The corpus windows of these sizes (``verbatim``: of its words); with ``known``, only those whose hash the benchmark has."""
     state: list = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,18 +168,28 @@ def _doc_rows(sizes: list[int], known):
                 bits[some >> np.uint64(42)] = True
             state.extend([Canonical(), some, bits])
         own, some, bits = state
+
+        def shared(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if some is None or not len(h):
+                return at, h
+            near = np.flatnonzero(bits[h >> np.uint64(42)])
+            near = near[some[np.minimum(np.searchsorted(some, h[near]), len(some) - 1)] == h[near]]
+            return at[near], h[near]
+
         for batch in batches:
             rows = []
             for doc, th, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                tokens, values, slot = own.template(text or b"")
+                plain = own.template(text or b"")
+                runs = collapsed(*plain)
                 for size in sizes:
-                    at, h = windows(tokens, slot, size)
-                    if some is not None and len(h):
-                        near = np.flatnonzero(bits[h >> np.uint64(42)])
-                        near = near[some[np.minimum(np.searchsorted(some, h[near]), len(some) - 1)] == h[near]]
-                        at, h = at[near], h[near]
-                    rows += [(doc, th, p, size, x, 0, np.where(slot[p : p + size], values[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, _KINDS, strict=True)], _OUT)
+                    found = shared(*windows(plain[0], plain[2], size))
+                    both = (PLAIN, plain, found), (RUNS, runs, found if runs[0] is plain[0] else shared(*windows(runs[0], runs[2], size)))
+                    for kind, (_, v, s), (at, h) in both:
+                        rows += [(doc, th, kind, p, size, x, 0, np.where(s[p : p + size], v[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
+                for size in verbatim:
+                    at, h = shared(*_verbatim(plain[1], size))
+                    rows += [(doc, th, VERBATIM, p, size, x, 0, []) for p, x in zip(at, h.view(np.int64), strict=True)]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, _KINDS, strict=True)], _OUT)
 
     return run
 
@@ -163,33 +201,40 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, exact: the pairs whose documents leak an item.
 
-    A pair leaks if one alignment matches windows over ``matched`` tokens of the item (over all of a shorter one)
-    and its slots are consistent; ``exact`` tells whether all slots keep the item's values. Null and empty texts
+    A pair leaks if one alignment, or several whose shifts are near, matches windows over ``matched`` tokens of the
+    item (over all of a shorter one, or of one without a window of enough literals) and its slots are consistent; ``exact`` tells whether all slots keep the item's values. Null and empty texts
     match nothing, items of fewer than LITERALS tokens neither. Repeated rows give a pair once; empty tables give
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = settle(_keyed(benchmark, "item_id").mapInArrow(_item_rows, SCHEMA), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
+    held = sorted(tuple(r) for r in items.select("size", F.col("kind") == VERBATIM).distinct().collect())  # at most WINDOW numbers, twice
+    sizes, verbatim = [x for x, as_is in held if not as_is], [x for x, as_is in held if as_is]
     n = items.count()
     sent = None
     if n <= BROADCAST_WINDOWS:
         hashes = np.array([r[0] for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)
         sent = spark.sparkContext.broadcast(np.sort(hashes)) if n else spark.sparkContext.broadcast(np.zeros(1, np.uint64))
-    found = _keyed(docs, "doc_id").mapInArrow(_doc_rows(sizes, sent), SCHEMA)
-    d = found.select(F.col("id").alias("doc_id"), "th", F.col("pos").alias("dp"), "size", "h", F.col("slots").alias("ds"))
-    i = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("pos").alias("ip"), "size", "h", F.col("n_windows").alias("n_item"), F.col("slots").alias("vs"))
+    found = _keyed(docs, "doc_id").mapInArrow(_doc_rows(sizes, verbatim, sent), SCHEMA)
+    d = found.select(F.col("id").alias("doc_id"), "th", "kind", F.col("pos").alias("dp"), "size", "h", F.col("slots").alias("ds"))
+    i = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), "kind", F.col("pos").alias("ip"), "size", "h", F.col("n_windows").alias("n_item"), F.col("slots").alias("vs"))
     i = F.broadcast(i) if n <= 50_000 else i
-    met = d.join(i, ["h", "size"])
-    keys = ["doc_id", "th", "item_id", "ith", "size", "n_item", (F.col("dp") - F.col("ip")).alias("shift")]
+    met = d.join(i, ["h", "size", "kind"])
+    pair = ["doc_id", "th", "item_id", "ith", "kind", "size", "n_item"]
     pairs = F.filter(F.arrays_zip(F.col("vs"), F.col("ds")), lambda x: x["vs"] != 0)
     # One alignment of one document and one item: at most the item's windows.
-    met = met.select(*keys, "ip", pairs.alias("pairs")).groupBy("doc_id", "th", "item_id", "ith", "size", "n_item", "shift").agg(F.countDistinct("ip").cast("int").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    met = met.select(*pair, (F.col("dp") - F.col("ip")).alias("shift"), "ip", pairs.alias("pairs")).groupBy(*pair, "shift").agg(F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    # A slot that changed its number of words moves what follows: near alignments of a pair are also judged together.
+    order = Window.partitionBy(*pair).orderBy("shift")
+    fresh = F.coalesce(F.col("shift") - F.lag("shift").over(order) > NEAR_SHIFTS, F.lit(True)).cast("int")
+    grouped = met.filter(F.col("kind") != VERBATIM).withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order)).groupBy(*pair, "group").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("ips"))).alias("ips"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    met = met.select(*pair, "ips", "pairs").unionByName(grouped.filter("n > 1").select(*pair, "ips", "pairs")).withColumn("n_windows", F.size("ips"))
     one_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["vs"])))
     exact = F.forall("pairs", lambda x: x["vs"] == x["ds"])
     # A passage that opens in mid-sentence may turn its first word into a name: one window less is enough.
     needed = F.greatest(F.lit(1), F.least(F.lit(matched + 1) - F.col("size"), F.col("n_item") - 1))
+    needed = F.when(F.col("kind") == VERBATIM, F.col("n_item")).otherwise(needed)
     leaks = met.filter(one_way & (F.col("n_windows") >= needed)).withColumn("exact", exact)
     best = F.max(F.struct("n_windows", F.col("n_item").alias("n_item_windows"), "exact"))
     return leaks.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")

@@ -296,6 +296,20 @@ def test_decontaminate_catches_copies_and_new_parameters(spark):
     assert got(kept, "doc_id") == [(3,), (4,), (5,), (7,), (8,)]
 
 
+def test_decontaminate_follows_slots_of_other_lengths(spark):
+    """Slots that change their number of words, with less than 13 words at each side, and items that are nearly all slots."""
+    item = "When the baker Anna sold a box of rolls to the shop in Paris for 25 euros, what did the shop pay her for one of them?"
+    changed = item.replace("Anna", "Mary Ann").replace("Paris", "New York").replace("25", "twenty five")
+    hyphen = item.replace("25", "twenty-five").replace("Paris", "New York")
+    cut = "the baker sold a large box to the shop for 25 very old silver coins of that town last week"
+    longer = cut.replace("25", "a heap and 25")
+    numbers = "12 7 99 1 4 55 6 81 23 17 3 9"
+    items = [(1, item), (2, numbers), (3, cut)]
+    docs = [(1, "So: " + changed + " The end."), (2, "So: " + hyphen), (3, "see " + numbers + " there"), (4, "see " + numbers.replace("55", "56") + " there"), (5, "So " + longer + " again"), (6, item.replace("Anna", "Mary Ann") + " x " + item)]
+    have = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got(have, "doc_id", "item_id") == [(1, 1), (2, 1), (3, 2), (5, 3), (6, 1)]
+
+
 def test_decontaminate_beyond_the_broadcast_bound(spark, monkeypatch):
     whole = got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows")
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
