@@ -226,6 +226,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED) -> Da
     # One alignment of one document and one item: at most the item's windows.
     met = met.select(*pair, (F.col("dp") - F.col("ip")).alias("shift"), "ip", pairs.alias("pairs")).groupBy(*pair, "shift").agg(F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     # A slot that changed its number of words moves what follows: near alignments of a pair are also judged together.
+    met = settle(met, "alignments")  # read twice below
     order = Window.partitionBy(*pair).orderBy("shift")
     fresh = F.coalesce(F.col("shift") - F.lag("shift").over(order) > NEAR_SHIFTS, F.lit(True)).cast("int")
     grouped = met.filter(F.col("kind") != VERBATIM).withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order)).groupBy(*pair, "group").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("ips"))).alias("ips"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
