@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, ascii_lower, settle, words
 
 SYMBOLS = "#*$%&|<>"
-#: A line is removed where this many documents of its host hold it, both as a count and as a share of them.
-MIN_DOCS, MIN_SHARE = 10, 0.002
+#: A line is removed where this many documents of its host hold it, however many the host has.
+MIN_DOCS = 10
 #: A document is rejected where fewer than this share of its words is left.
 MIN_LEFT = 0.5
 SALTS = 16
@@ -81,36 +81,34 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "th", "source", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("n"))
 
 
-def frequent_lines(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """source, h, n_docs of the lines that stand above the limits in their host; ``rows`` are those of line_rows.
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """source, h, n_docs of the lines that reach the limit in their host; ``rows`` are those of line_rows.
 
     A document is counted once per line, whatever the line's repeats and the document's. Counting is by partial
     aggregations, so a hot line or host never gathers in one task.
     """
     held = rows.select("source", "h", "doc_id", "th").distinct()
-    per_line = held.groupBy("source", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    hosts = docs.groupBy("source").agg(F.count("*").alias("host_docs"))
-    return per_line.alias("l").join(hosts.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source"))).filter(F.col("n_docs") >= min_share * F.col("host_docs")).select("l.source", "h", "n_docs")
+    return held.groupBy("source", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
-def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, th, pos, n of every line that is removed, once for repeated rows."""
     rows = settle(line_rows(docs), "lines")  # hashes and counts only; read twice below
-    frequent = frequent_lines(docs, rows, min_docs, min_share).select("source", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    frequent = frequent_lines(rows, min_docs).select("source", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # The salt splits a hot line over several tasks; only the few frequent lines are repeated for it.
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
     on = rows["source"].eqNullSafe(frequent["source"]) & (rows["h"] == frequent["h"]) & (rows["salt"] == frequent["salt"])
     return rows.join(frequent, on).select(rows["doc_id"], rows["th"], rows["pos"], rows["n"]).dropDuplicates(["doc_id", "th", "pos"])
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Base counts, n_removed_words (words in removed lines), base_failed and kept of every document.
 
     Null text counts as empty, a null source is a host of its own. Repeated rows are one document for the
     line counts and get the same answer. Empty texts fail the base rules (fewer than 50 words). Extra columns are
     ignored; an empty table gives an empty result.
     """
-    removed = removed_lines(docs, min_docs, min_share).groupBy("doc_id", "th").agg(F.sum("n").alias("removed"))
+    removed = removed_lines(docs, min_docs).groupBy("doc_id", "th").agg(F.sum("n").alias("removed"))
     removed = removed.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "removed")
     base = base_rules(docs)
     joined = base.join(removed, base["doc_id"].eqNullSafe(removed["d"]) & (base["th"] == removed["t"]), "left")

@@ -148,6 +148,15 @@ def test_line_quality_removes_frequent_lines_per_host(spark):
     assert "hared" not in cleaned[0] and cleaned[0] == rows[0][1].split("\n")[1] and len(cleaned) == 26
 
 
+def test_line_quality_judges_a_line_alike_in_any_host(spark):
+    """Ten documents with a line are enough in a host of 6,000 as in one of ten."""
+    own = lambda i: "own " + "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, f"the shared line\n{own(i)}" if i < 10 else own(i), "large") for i in range(6000)]
+    rows += [(i, f"the shared line\n{own(i)}", "small") for i in range(6000, 6010)]
+    have = line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got(have.filter("n_removed_words > 0"), "doc_id", "n_removed_words") == [(i, 3) for i in (*range(10), *range(6000, 6010))]
+
+
 def test_token_pack_round_trip(spark, docs, rows, tmp_path):
     path = token_pack.tokenizer_path()
     odd = docs.union(docs.filter("doc_id in (3, 5)")).unionByName(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
