@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import Scratch, own_names, words
 
 WEIGHTS = (1, 2, 3)
 #: No source's target, and no document's taken words, exceeds this many times its size.
@@ -126,7 +126,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     a seeded hash of doc_id, so reruns agree; repeated rows are documents of their own. A null text has size 0 and
     takes 0; null sources form one source, the last; an empty table gives an empty result. Extra columns are ignored.
     """
-    sizes = sized(docs)
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        sizes = scratch.settle(sized(docs), "sizes")  # the texts are read once; the rest is numbers
+        return scratch.settle(_mixed(sizes, weights, max_repeats, seed), "mix", keep=True)
+
+
+def _mixed(sizes: DataFrame, weights, max_repeats: int, seed: int) -> DataFrame:
     goal = targets(sizes, weights, max_repeats)
     fitted = plan(sizes, goal)
     draw = F.xxhash64(F.lit(seed), "doc_id")
@@ -148,13 +153,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document's row as often as the mix takes it (documents of size 0: never)."""
-    chosen = mix(docs, **how).filter("size > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    chosen = chosen.groupBy("_d", "_s", "_n").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).filter("_times > 0")
-    own = docs.withColumn("_size", F.size(words(F.col("text"))).cast("long"))
+    """The mixed corpus: each document's row as often as the mix takes it (documents of size 0: never).
+
+    Repeated rows share the copies of all of them; rows with a null doc_id or source are taken like any other; an empty
+    table stays empty; other columns pass through, whatever their names.
+    """
+    row, size, d, s, n, times, rows, k, i = own_names(9)
+    chosen = mix(docs, **how).filter("size > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    chosen = chosen.groupBy(d, s, n).agg(F.sum(times).alias(times), F.count("*").alias(rows)).filter(F.col(times) > 0)
+    # The row travels as one struct, so no name of its columns can meet one of ours.
+    own = docs.select(F.struct("*").alias(row), F.size(words(F.col("text"))).cast("long").alias(size))
+    near = own.join(chosen, F.col(row)["doc_id"].eqNullSafe(F.col(d)) & F.col(row)["source"].eqNullSafe(F.col(s)) & (F.col(size) == F.col(n)))
+    single = near.filter(F.col(rows) == 1).select(row, F.col(times).alias(k))
     # Rows that repeat a document share its copies: the first ones take what a whole share leaves over.
-    near = own.join(chosen, own["doc_id"].eqNullSafe(chosen["_d"]) & own["source"].eqNullSafe(chosen["_s"]) & (own["_size"] == chosen["_n"]))
-    single = near.filter("_rows = 1").withColumn("_k", F.col("_times"))
-    many = near.filter("_rows > 1").withColumn("_r", F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy("text")))
-    many = many.withColumn("_k", F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_r") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)).drop("_r")
-    return single.unionByName(many.select(*single.columns)).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(0), F.col("_k").cast("int"))))).filter("_k > 0").select(*[f"`{c}`" for c in docs.columns])
+    rank = F.row_number().over(Window.partitionBy(d, s, n).orderBy(F.col(row)["text"]))
+    many = near.filter(F.col(rows) > 1).select(row, (F.floor(F.col(times) / F.col(rows)) + F.when(rank <= F.col(times) % F.col(rows), 1).otherwise(0)).alias(k))
+    copies = single.unionByName(many).filter(F.col(k) > 0).select(row, F.explode(F.sequence(F.lit(1), F.col(k).cast("int"))).alias(i))
+    return copies.select(f"{row}.*")

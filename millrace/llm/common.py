@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,35 +31,91 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def quoted(name: str) -> str:
+    """A column's name so that Spark takes it whole, dots and backquotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_names(count: int) -> list[str]:
+    """Column names that no table of a user has."""
+    stem = uuid.uuid4().hex
+    return [f"_{stem}_{i}" for i in range(count)]
+
+
 def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Positions of the runs that begin at ``first`` and are ``count`` long, one after the other."""
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+#: Rows and bytes of text that a Python worker takes from an Arrow batch at a time.
+STEP_ROWS, STEP_BYTES = 256, 16 << 20
+
+
+def steps(batch: pa.RecordBatch, column: str, rows: int = STEP_ROWS, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with ``rows`` rows and about ``most`` bytes in ``column`` at most; a longer value comes alone."""
+    sizes = batch.column(column).cast(pa.large_binary())
+    ends = np.cumsum(np.fromiter((len(v.as_buffer()) if v.is_valid else 0 for v in sizes), np.int64, len(sizes)))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names it.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (as in tests) a folder below the warehouse is used.
+    Where it is unset, a session on one machine (as in tests) uses a folder below its warehouse; on a cluster nothing
+    tells which folder all executors see, so the cluster must name it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow batches hold ``rows`` rows at most: texts can be long, and a task holds a batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that it is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settle(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+class Scratch:
+    """Tables that an operator writes to the shared folder on its way.
 
-    A lost executor then costs a re-read, not a recomputation, and the files are whole or absent.
+    ``settle`` writes a table and reads it back, which cuts its lineage: a lost executor then costs a re-read, not a
+    recomputation, and the files are whole or absent. ``drop`` deletes tables that nothing reads any more; leaving the
+    ``with`` block deletes all but those settled with ``keep``, which the operator's result still reads.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.count = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.paths.values():
+            delete(self.spark, path)
+        self.paths.clear()
+
+    def settle(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self.paths[id(back)] = back, path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self.paths:
+                delete(self.spark, self.paths.pop(id(df))[1])
 
 
 def lookup_join(rows: DataFrame, counted: DataFrame, key: str, total: int, bound: int = 20_000) -> DataFrame:

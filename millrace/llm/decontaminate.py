@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,94 +20,130 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import settle, small_batches
+from .common import Scratch, own_names, quoted, steps
 
 #: Template tokens in a window; the literal words it needs at least; tokens of an item that must match (or all).
 WINDOW, LITERALS, MATCHED = 8, 4, 13
-#: Benchmark windows are sent to the tasks up to this many (8 bytes each); beyond it corpus windows are shuffled.
-BROADCAST_WINDOWS, BROADCAST_DOCS, REMEMBERED = 2_000_000, 200_000, 400_000
+#: Benchmark windows that one scan of the corpus looks for (8 bytes each in every worker); more take more scans.
+WINDOWS_AT_ONCE, BROADCAST_ROWS = 2_000_000, 200_000
+#: Bytes whose words are found in one step.
+PIECE = 1 << 20
 
 # Words that are numbers, and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros percent degrees celsius fahrenheit kmh mph meter meters metre metres".split()
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac\xc2\xa3]*\d[\d.,:/]*%?(?:st|nd|rd|th)?")
-_EDGE = b".,;:!?\"'()[]{}<>*_`~-"
-_IS_NUMBER, _MAY_BE_UNIT, _CAPITAL, _ENDS, _EMPTY = 1, 2, 4, 8, 16
+_IS_NUMBER, _IS_UNIT, _CAPITAL, _ENDS, _EMPTY = 1, 2, 4, 8, 16
 _SLOTS = text_hash.mix(np.arange(1, 4, dtype=np.uint64))
 _PLACES = np.random.default_rng(23).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
-class Canonical:
-    """Words to (hash of the bare lower-cased word, flags), remembered per task."""
-
-    def __init__(self):
-        self.memory: dict[bytes, int] = {}
-        self.hashes = np.empty(0, np.uint64)
-        self.flags = np.empty(0, np.int64)
-
-    def _flag(self, word: bytes) -> tuple[bytes, int]:
-        bare = word.strip(_EDGE)
-        low = bare.lower()
-        flag = _EMPTY if not bare else 0
-        if _NUMBER.fullmatch(bare) or low in _NUMBERS or b"-" in low and all(x in _NUMBERS for x in low.split(b"-")):
-            flag |= _IS_NUMBER
-        if low in _UNITS:
-            flag |= _MAY_BE_UNIT
-        if bare[:1].isupper() and bare[1:2].islower():
-            flag |= _CAPITAL
-        if word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":"):
-            flag |= _ENDS
-        return low, flag
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.memory]  # a set difference would walk all of the memory
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory, self.hashes, self.flags, new = {}, self.hashes[:0], self.flags[:0], list(set(words))
-        if new:
-            done = [self._flag(w) for w in new]
-            data = np.frombuffer(b"".join(low for low, _ in done), np.uint8)
-            end = np.cumsum([len(low) for low, _ in done])
-            start = np.concatenate([[0], end[:-1]])
-            self.memory.update(zip(new, range(len(self.hashes), len(self.hashes) + len(new)), strict=True))
-            self.hashes = np.concatenate([self.hashes, text_hash.ranges(text_hash.prefix(data), start, end)])
-            self.flags = np.concatenate([self.flags, [f for _, f in done]])
-        return np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
-
-    def template(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hash, value hash, is slot) of the tokens; words of punctuation only are dropped.
-
-        A name is a capitalised word that does not begin a sentence; a unit follows a number.
-        """
-        at = self.look_up(text.split())
-        h, f = self.hashes[at], self.flags[at]
-        begins = np.concatenate([[True], (f[:-1] & _ENDS) > 0]) if len(f) else np.empty(0, bool)
-        keep = (f & _EMPTY) == 0
-        h, f, begins = h[keep], f[keep], begins[keep]
-        number = (f & _IS_NUMBER) > 0
-        unit = ((f & _MAY_BE_UNIT) > 0) & np.concatenate([[False], number[:-1]])[: len(f)] & ~number
-        name = ((f & _CAPITAL) > 0) & ~begins & ~number & ~unit
-        out = np.where(number, _SLOTS[0], np.where(unit, _SLOTS[1], np.where(name, _SLOTS[2], h)))
-        return out, h, number | unit | name
+def _bytes(of: bytes) -> np.ndarray:
+    """True at the numbers of these bytes."""
+    held = np.zeros(256, bool)
+    held[list(of)] = True
+    return held
 
 
+_SPACE, _CLOSER, _END = _bytes(b" \t\n\x0b\x0c\r"), _bytes(b"\"')]}"), _bytes(b".!?:")
+_BARE = ~(_SPACE | _bytes(b".,;:!?\"'()[]{}<>*_`~-"))
+_UPPER, _LOWER = _bytes(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _bytes(b"abcdefghijklmnopqrstuvwxyz")
+_MAY_BE_NUMBER = _bytes(b"+$0123456789\xe2\xc2")
+_TO_LOWER = np.arange(256, dtype=np.uint8) + 32 * _UPPER.astype(np.uint8)
 _NUMBERS = {w.encode() for w in NUMBER_WORDS}
-_UNITS = {w.encode() for w in UNITS}
 
 
-def collapsed(tokens: np.ndarray, values: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(known: list[str]) -> np.ndarray:
+    data = [np.frombuffer(w.encode(), np.uint8) for w in known]
+    return np.sort(np.concatenate([text_hash.ranges(text_hash.prefix(d), np.array([0]), np.array([len(d)])) for d in data]))
+
+
+_NUMBER_HASHES, _UNIT_HASHES = _hashes(NUMBER_WORDS), _hashes(UNITS)
+
+
+def _words(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.frombuffer(piece, np.uint8)
+    space = _SPACE[a]
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    bare, open_ = np.flatnonzero(_BARE[a]), np.flatnonzero(~(space | _CLOSER[a]))
+    hashes, flags = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+    # The last byte before closing quotes and brackets.
+    last = np.searchsorted(open_, end) - 1
+    held = last >= 0
+    held[held] = open_[last[held]] >= start[held]
+    flags[held] |= np.where(_END[a[open_[last[held]]]], _ENDS, 0)
+    # A word without the punctuation at its edges.
+    first, final = np.searchsorted(bare, start), np.searchsorted(bare, end) - 1
+    some = first <= final
+    flags[~some] |= _EMPTY
+    first, final = bare[first[some]], bare[final[some]] + 1
+    h = text_hash.ranges(text_hash.prefix(_TO_LOWER[a]), first, final)
+    own = np.where(_UPPER[a[first]] & (final - first > 1) & _LOWER[a[np.minimum(first + 1, len(a) - 1)]], _CAPITAL, 0)
+    own |= np.where(np.isin(h, _NUMBER_HASHES), _IS_NUMBER, 0) | np.where(np.isin(h, _UNIT_HASHES), _IS_UNIT, 0)
+    for i in np.flatnonzero(_MAY_BE_NUMBER[a[first]]):
+        if _NUMBER.fullmatch(piece, first[i], final[i]):
+            own[i] |= _IS_NUMBER
+    hyphens = np.searchsorted(first, np.flatnonzero(a == 45), "right") - 1
+    for i in np.unique(hyphens[hyphens >= 0]):
+        if all(x in _NUMBERS for x in piece[first[i] : final[i]].lower().split(b"-")):
+            own[i] |= _IS_NUMBER
+    hashes[some], flags[some] = h, flags[some] | own
+    return start, hashes, flags
+
+
+@dataclass
+class Reading:
+    """Texts as tokens, one after the other: hash of the template token, of the value, whether it is a slot, and the
+    number of the text that holds it."""
+
+    tokens: np.ndarray
+    values: np.ndarray
+    slot: np.ndarray
+    owner: np.ndarray
+
+
+def template(texts: list[bytes]) -> Reading:
+    """Words of punctuation only are dropped; a name is a capitalised word that does not begin a sentence; a unit
+    follows a number."""
+    data = b"\n".join(texts)
+    parts, at = [], 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        start, h, f = _words(data[at:end])
+        parts.append((start + at, h, f))
+        at = end
+    start, h, f = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    owner = np.searchsorted(ends, start, "right")
+    opens = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]
+    begins = opens | np.concatenate([[True], (f[:-1] & _ENDS) > 0])[: len(f)]
+    keep = (f & _EMPTY) == 0
+    h, f, begins, owner = h[keep], f[keep], begins[keep], owner[keep]
+    number = (f & _IS_NUMBER) > 0
+    follows = np.concatenate([[False], number[:-1] & (owner[1:] == owner[:-1])])[: len(f)]
+    unit = ((f & _IS_UNIT) > 0) & follows & ~number
+    name = ((f & _CAPITAL) > 0) & ~begins & ~number & ~unit
+    out = np.where(number, _SLOTS[0], np.where(unit, _SLOTS[1], np.where(name, _SLOTS[2], h)))
+    return Reading(out, h, number | unit | name, owner)
+
+
+def collapsed(r: Reading) -> Reading:
     """The same with each run of like slots as one slot, whose value is that of all the run."""
-    again = slot[1:] & (tokens[1:] == tokens[:-1])
+    again = r.slot[1:] & (r.tokens[1:] == r.tokens[:-1]) & (r.owner[1:] == r.owner[:-1])
     if not again.any():
-        return tokens, values, slot
+        return r
     start = np.flatnonzero(np.concatenate([[True], ~again]))
-    length = np.diff(np.append(start, len(tokens)))
-    place = np.arange(len(tokens)) - np.repeat(start, length)
-    joined = np.add.reduceat(text_hash.mix(values + place.astype(np.uint64)), start)
-    return tokens[start], np.where(length > 1, joined, values[start]), slot[start]
+    length = np.diff(np.append(start, len(r.tokens)))
+    place = np.arange(len(r.tokens)) - np.repeat(start, length)
+    joined = np.add.reduceat(text_hash.mix(r.values + place.astype(np.uint64)), start)
+    return Reading(r.tokens[start], np.where(length > 1, joined, r.values[start]), r.slot[start], r.owner[start])
 
 
-def windows(tokens: np.ndarray, slot: np.ndarray, size: int, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows of ``size`` template tokens with enough literal words."""
+def windows(tokens: np.ndarray, slot: np.ndarray, owner: np.ndarray, size: int, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows of ``size`` template tokens of one text with enough literal words."""
     n = len(tokens) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -114,7 +151,7 @@ def windows(tokens: np.ndarray, slot: np.ndarray, size: int, literals: int = LIT
     for j in range(size):
         h += tokens[j : j + n] * _PLACES[j]
     literal = np.concatenate([[0], np.cumsum(~slot)])
-    ok = np.flatnonzero(literal[size:] - literal[:-size] >= literals)
+    ok = np.flatnonzero((literal[size:] - literal[:-size] >= literals) & (owner[:n] == owner[size - 1 :]))
     return ok, text_hash.mix(h[ok] ^ np.uint64(size))
 
 
@@ -127,106 +164,122 @@ def sizes_of(n_tokens: int) -> int:
 PLAIN, RUNS, VERBATIM = 0, 1, 2
 #: Alignments of one document and item whose shifts follow each other within this many tokens count together.
 NEAR_SHIFTS = 3
-_OUT = ["id", "th", "kind", "pos", "size", "h", "n_windows", "slots"]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-SCHEMA = "id long, th long, kind int, pos int, size int, h long, n_windows int, slots array<bigint>"
+_COLUMNS = "th long, kind int, pos int, size int, h long, n_windows int, slots array<bigint>"
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
 
-def _verbatim(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    at, h = windows(values, np.zeros(len(values), bool), size, 0)
+def _verbatim(r: Reading, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at, h = windows(r.values, np.zeros(len(r.values), bool), r.owner, size, 0)
     return at, text_hash.mix(h ^ np.uint64(VERBATIM << 32))
 
 
+def _batch(piece: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    """``rows``: number of the text in ``piece``, kind, position, size, hash, windows, slots."""
+    owner, *rest = zip(*rows, strict=True) if rows else [[]] * 7
+    texts = pa.array(owner, pa.int64())
+    own = [piece.column("id").take(texts), piece.column("th").take(texts)]
+    return pa.record_batch([*own, *(pa.array(list(c), k) for c, k in zip(rest, _KINDS, strict=True))], ["id", "th", "kind", "pos", "size", "h", "n_windows", "slots"])
+
+
+def _texts(piece: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in piece.column("text").cast(pa.large_binary()).to_pylist()]
+
+
 def _item_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = Canonical()
     for batch in batches:
-        rows = []
-        for item, th, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            tokens, values, slot = own.template(text or b"")
-            if len(tokens) < LITERALS:
-                continue
-            for kind, (t, v, s) in ((PLAIN, (tokens, values, slot)), (RUNS, collapsed(tokens, values, slot))):
-                size = sizes_of(len(t))
-                at, h = windows(t, s, size)
-                rows += [(item, th, kind, p, size, x, len(at), np.where(s[p : p + size], v[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
-                if kind == PLAIN and not len(at):
-                    at, h = _verbatim(values, size)
-                    rows += [(item, th, VERBATIM, p, size, x, len(at), []) for p, x in zip(at, h.view(np.int64), strict=True)]
-        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, _KINDS, strict=True)], _OUT)
+        for piece in steps(batch, "text"):
+            rows = []
+            for k, text in enumerate(_texts(piece)):
+                plain = template([text])
+                if len(plain.tokens) < LITERALS:
+                    continue
+                for kind, r in ((PLAIN, plain), (RUNS, collapsed(plain))):
+                    size = sizes_of(len(r.tokens))
+                    at, h = windows(r.tokens, r.slot, r.owner, size)
+                    rows += [(k, kind, p, size, x, len(at), np.where(r.slot[p : p + size], r.values[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
+                    if kind == PLAIN and not len(at):
+                        at, h = _verbatim(plain, size)
+                        rows += [(k, VERBATIM, p, size, x, len(at), []) for p, x in zip(at, h.view(np.int64), strict=True)]
+            yield _batch(piece, rows)
 
 
 def _doc_rows(sizes: list[int], verbatim: list[int], known):
-    """The corpus windows of these sizes (``verbatim``: of its words); with ``known``, only those whose hash the benchmark has."""
-    state: list = []
+    """The corpus windows of these sizes (``verbatim``: of its words) whose hash is among ``known``, sorted."""
+    bits: list[np.ndarray] = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not state:
-            some = known.value if known is not None else None
-            bits = None
-            if some is not None:
-                bits = np.zeros(1 << 22, bool)
-                bits[some >> np.uint64(42)] = True
-            state.extend([Canonical(), some, bits])
-        own, some, bits = state
+        some = known.value
+        if not bits:
+            bits.append(np.zeros(1 << 22, bool))
+            bits[0][some >> np.uint64(42)] = True
 
         def shared(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if some is None or not len(h):
-                return at, h
-            near = np.flatnonzero(bits[h >> np.uint64(42)])
-            near = near[some[np.minimum(np.searchsorted(some, h[near]), len(some) - 1)] == h[near]]
+            near = np.flatnonzero(bits[0][h >> np.uint64(42)])
+            if len(some):
+                near = near[some[np.minimum(np.searchsorted(some, h[near]), len(some) - 1)] == h[near]]
             return at[near], h[near]
 
         for batch in batches:
-            rows = []
-            for doc, th, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                plain = own.template(text or b"")
-                runs = collapsed(*plain)
-                for size in sizes:
-                    found = shared(*windows(plain[0], plain[2], size))
-                    both = (PLAIN, plain, found), (RUNS, runs, found if runs[0] is plain[0] else shared(*windows(runs[0], runs[2], size)))
-                    for kind, (_, v, s), (at, h) in both:
-                        rows += [(doc, th, kind, p, size, x, 0, np.where(s[p : p + size], v[p : p + size].view(np.int64), 0)) for p, x in zip(at, h.view(np.int64), strict=True)]
-                for size in verbatim:
-                    at, h = shared(*_verbatim(plain[1], size))
-                    rows += [(doc, th, VERBATIM, p, size, x, 0, []) for p, x in zip(at, h.view(np.int64), strict=True)]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, _KINDS, strict=True)], _OUT)
+            for piece in steps(batch, "text", most=PIECE):
+                plain, rows = template(_texts(piece)), []
+                runs = collapsed(plain)
+                for kind, r in ((PLAIN, plain), (RUNS, runs)):
+                    first = np.searchsorted(r.owner, np.arange(piece.num_rows))
+                    for size in sizes:
+                        at, h = shared(*windows(r.tokens, r.slot, r.owner, size))
+                        rows += [(o, kind, p - first[o], size, x, 0, np.where(r.slot[p : p + size], r.values[p : p + size].view(np.int64), 0)) for o, p, x in zip(r.owner[at], at, h.view(np.int64), strict=True)]
+                    for size in verbatim if kind == PLAIN else ():
+                        at, h = shared(*_verbatim(r, size))
+                        rows += [(o, VERBATIM, p - first[o], size, x, 0, []) for o, p, x in zip(r.owner[at], at, h.view(np.int64), strict=True)]
+                yield _batch(piece, rows)
 
     return run
 
 
-def _keyed(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+def _keyed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    own = df.select(F.col(quoted(key)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    return own, f"id {own.schema['id'].dataType.simpleString()}, {_COLUMNS}"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, exact: the pairs whose documents leak an item.
 
     A pair leaks if one alignment, or several whose shifts are near, matches windows over ``matched`` tokens of the
-    item (over all of a shorter one, or of one without a window of enough literals) and its slots are consistent; ``exact`` tells whether all slots keep the item's values. Null and empty texts
-    match nothing, items of fewer than LITERALS tokens neither. Repeated rows give a pair once; empty tables give
+    item (over all of a shorter one, or of one without a window of enough literals) and its slots are consistent;
+    ``exact`` tells whether all slots keep the item's values. Null and empty texts match nothing, items of fewer than
+    LITERALS tokens neither. Ids keep their type; null ids are ids. Repeated rows give a pair once; empty tables give
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    items = settle(_keyed(benchmark, "item_id").mapInArrow(_item_rows, SCHEMA), "items")
+    with Scratch(spark, "decontaminate") as scratch:
+        own, schema = _keyed(benchmark, "item_id")
+        items = scratch.settle(own.mapInArrow(_item_rows, schema), "items")
+        leaks = scratch.settle(_leaks(docs, items, matched, scratch), "leaks", keep=True)
+    return leaks
+
+
+def _leaks(docs: DataFrame, items: DataFrame, matched: int, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
     held = sorted(tuple(r) for r in items.select("size", F.col("kind") == VERBATIM).distinct().collect())  # at most WINDOW numbers, twice
     sizes, verbatim = [x for x, as_is in held if not as_is], [x for x, as_is in held if as_is]
-    n = items.count()
-    sent = None
-    if n <= BROADCAST_WINDOWS:
-        hashes = np.array([r[0] for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)
-        sent = spark.sparkContext.broadcast(np.sort(hashes)) if n else spark.sparkContext.broadcast(np.zeros(1, np.uint64))
-    found = _keyed(docs, "doc_id").mapInArrow(_doc_rows(sizes, verbatim, sent), SCHEMA)
+    hashes = scratch.settle(items.select("h").distinct(), "hashes")
+    scans = max(1, -(-hashes.count() // WINDOWS_AT_ONCE))
+    own, schema = _keyed(docs, "doc_id")
+    found = None
+    for k in range(scans):
+        some = hashes.filter(F.pmod(F.col("h"), F.lit(scans)) == k).toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)  # about WINDOWS_AT_ONCE
+        hits = own.mapInArrow(_doc_rows(sizes, verbatim, spark.sparkContext.broadcast(np.sort(some))), schema)
+        found = hits if found is None else found.unionByName(hits)
     d = found.select(F.col("id").alias("doc_id"), "th", "kind", F.col("pos").alias("dp"), "size", "h", F.col("slots").alias("ds"))
     i = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), "kind", F.col("pos").alias("ip"), "size", "h", F.col("n_windows").alias("n_item"), F.col("slots").alias("vs"))
-    i = F.broadcast(i) if n <= 50_000 else i
+    i = F.broadcast(i) if items.count() <= BROADCAST_ROWS else i  # a row is under 150 bytes
     met = d.join(i, ["h", "size", "kind"])
     pair = ["doc_id", "th", "item_id", "ith", "kind", "size", "n_item"]
     pairs = F.filter(F.arrays_zip(F.col("vs"), F.col("ds")), lambda x: x["vs"] != 0)
     # One alignment of one document and one item: at most the item's windows.
     met = met.select(*pair, (F.col("dp") - F.col("ip")).alias("shift"), "ip", pairs.alias("pairs")).groupBy(*pair, "shift").agg(F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     # A slot that changed its number of words moves what follows: near alignments of a pair are also judged together.
-    met = settle(met, "alignments")  # read twice below
+    met = scratch.settle(met, "alignments")  # read twice below
     order = Window.partitionBy(*pair).orderBy("shift")
     fresh = F.coalesce(F.col("shift") - F.lag("shift").over(order) > NEAR_SHIFTS, F.lit(True)).cast("int")
     grouped = met.filter(F.col("kind") != VERBATIM).withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order)).groupBy(*pair, "group").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("ips"))).alias("ips"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
@@ -242,7 +295,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED) -> Da
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
-    gone = settle(matches(docs, benchmark).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "_gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names.
+
+    Rows that share a doc_id share their fate; a null doc_id is an id. An empty benchmark keeps all rows.
+    """
+    (gone,) = own_names(1)
+    leaks = matches(docs, benchmark).select(F.col("doc_id").alias(gone)).distinct()
+    leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")

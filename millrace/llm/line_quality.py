@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, settle, words
+from .common import SPACES, Scratch, ascii_lower, words
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed where this many documents of its host hold it, however many the host has.
@@ -30,24 +30,30 @@ def _covered(at: Column) -> Column:
 def with_repeat_words(d: DataFrame) -> DataFrame:
     """Adds n_repeat_words, the words of the array ``w`` in 3-word windows that occur twice or more.
 
-    A window's hash and position share one 64-bit integer (48 and 16 bits), so sorting primitive integers brings
-    equal windows together. Texts beyond 65,535 words sort (hash, position) structs with the whole hash instead.
+    A window's hash and position share one 64-bit integer, so sorting primitive integers brings equal windows together:
+    the position takes as many low bits as the text's length needs, the hash what is left. Neighbours of one hash are
+    compared word by word; a text where two unlike windows share a hash is sorted by the words themselves.
     """
-    n, high = F.size("w"), lambda c: F.shiftrightunsigned(c, 16)
-    digest = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    n, digest = F.size("w"), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     span, none = F.sequence(F.lit(0), n - 3), F.array().cast("array<bigint>")
-    packed = F.transform(span, lambda i: F.shiftleft(digest(F.col("w"), i), 16).bitwiseOR(i.cast("long")))
-    d = d.withColumn("_p", F.sort_array(F.when((n >= 3) & (n <= 65535), packed).otherwise(none)))
-    twice = F.filter("_p", lambda c, k: (high(c) == high(F.get("_p", k - 1))) | (high(c) == high(F.get("_p", k + 1))))
-    d = d.withColumn("_at", F.sort_array(F.transform(twice, lambda c: c.bitwiseAND(F.lit(65535).cast("long")))))
-
-    def whole(w: Column) -> Column:
-        s = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(digest(w, i).alias("h"), i.cast("long").alias("i"))))
-        # Equal windows are neighbours; both ends of a run count.
-        return F.transform(F.array(s), lambda p: F.sort_array(F.transform(F.filter(p, lambda c, k: (c["h"] == F.get(p, k - 1)["h"]) | (c["h"] == F.get(p, k + 1)["h"])), lambda c: c["i"])))[0]
-
-    d = d.withColumn("_at", F.when(n > 65535, whole(F.col("w"))).otherwise(F.col("_at")))
-    return d.withColumn("n_repeat_words", _covered(F.col("_at"))).drop("_p", "_at")
+    d = d.withColumn("_b", F.length(F.bin(n)))
+    low = F.expr("shiftleft(1L, _b) - 1L")
+    packed = F.transform(span, lambda i: digest(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+    d = d.withColumn("_p", F.sort_array(F.when(n >= 3, packed).otherwise(none)))
+    high = lambda c: c.bitwiseAND(F.bitwise_not(low))
+    meets = lambda c, k: high(c) == high(F.get("_p", k))
+    d = d.withColumn("_t", F.filter("_p", lambda c, k: F.coalesce(meets(c, k - 1), F.lit(False)) | F.coalesce(meets(c, k + 1), F.lit(False))))
+    # ``_t`` holds whole runs of equal hashes, so unlike words in a run show between neighbours.
+    at = lambda c: c.bitwiseAND(low).cast("int")
+    word = lambda c, j: F.get("w", at(c) + j)
+    unlike = lambda c, e: (word(c, 0) != word(e, 0)) | (word(c, 1) != word(e, 1)) | (word(c, 2) != word(e, 2))
+    clash = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_t") - 1)), lambda k: (high(F.get("_t", k)) == high(F.get("_t", k - 1))) & unlike(F.get("_t", k), F.get("_t", k - 1)))
+    triple = lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.cast("long").alias("i"))
+    like = lambda c, e: (c["a"] == e["a"]) & (c["b"] == e["b"]) & (c["c"] == e["c"])
+    by_words = F.transform(F.array(F.array_sort(F.transform(span, triple))), lambda p: F.transform(F.filter(p, lambda c, k: F.coalesce(like(c, F.get(p, k - 1)), F.lit(False)) | F.coalesce(like(c, F.get(p, k + 1)), F.lit(False))), lambda c: c["i"]))[0]
+    by_hash = F.transform("_t", lambda c: c.bitwiseAND(low))
+    d = d.withColumn("_at", F.sort_array(F.when(F.coalesce(clash, F.lit(False)), by_words).otherwise(by_hash)))
+    return d.withColumn("n_repeat_words", _covered(F.col("_at"))).drop("_b", "_p", "_t", "_at")
 
 
 def normal_line(line: Column) -> Column:
@@ -91,9 +97,9 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return held.groupBy("source", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
-def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, th, pos, n of every line that is removed, once for repeated rows."""
-    rows = settle(line_rows(docs), "lines")  # hashes and counts only; read twice below
+    rows = scratch.settle(line_rows(docs), "lines")  # hashes and counts only; read twice below
     frequent = frequent_lines(rows, min_docs).select("source", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # The salt splits a hot line over several tasks; only the few frequent lines are repeated for it.
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
@@ -108,8 +114,9 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT)
     line counts and get the same answer. Empty texts fail the base rules (fewer than 50 words). Extra columns are
     ignored; an empty table gives an empty result.
     """
-    removed = removed_lines(docs, min_docs).groupBy("doc_id", "th").agg(F.sum("n").alias("removed"))
-    removed = removed.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "removed")
+    with Scratch(docs.sparkSession, "line_quality") as scratch:
+        removed = removed_lines(docs, scratch, min_docs).groupBy("doc_id", "th").agg(F.sum("n").alias("removed"))
+        removed = scratch.settle(removed.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "removed"), "removed", keep=True)
     base = base_rules(docs)
     joined = base.join(removed, base["doc_id"].eqNullSafe(removed["d"]) & (base["th"] == removed["t"]), "left")
     joined = joined.withColumn("n_removed_words", F.coalesce("removed", F.lit(0).cast("long")))
@@ -118,9 +125,14 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT)
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
-    """doc_id and the text without its frequent lines: the operator's cleaned output."""
-    gone = removed_lines(docs, **limits).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gone")  # the lines of one document
+    """doc_id and the text without its frequent lines: the operator's cleaned output.
+
+    Null text gives an empty one; repeated rows are cleaned alike and all returned; an empty table gives an empty result;
+    other columns are ignored.
+    """
+    with Scratch(docs.sparkSession, "line_quality") as scratch:
+        gone = removed_lines(docs, scratch, **limits).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+        gone = scratch.settle(gone.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gone"), "gone", keep=True)  # the lines of one document
     d = docs.select("doc_id", _text(docs).alias("text"))
     d = d.join(gone, d["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(d["text"]) == gone["t"]), "left")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import lookup_join, settle, small_batches
+from .common import Scratch, lookup_join
 
 LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
 #: Ids of documents with a repeated core are broadcast to the scan up to this many; beyond it they are shuffled.
@@ -147,9 +147,9 @@ SCHEMA = "rid long, low long, high long, core long, key long"
 UNIT = ("low", "high", "core")
 
 
-def _repeated(rows: DataFrame) -> tuple[DataFrame, int]:
+def _repeated(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """(key, freq) of the keys that occur twice or more, and the number of rows."""
-    counted = settle(rows.groupBy("key").agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
+    counted = scratch.settle(rows.groupBy("key").agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
     return counted, counted.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
 
 
@@ -178,27 +178,27 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     another; spans are judged on the input and overlap freely. Null text is empty. Repeated rows are documents of
     their own, so each repeats the other. An empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "repeats")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     odd = own.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 OR doc_id IS NULL").isEmpty()
     # doc_id names a row where it is unique; else doc_id and text do, and rows equal in both share their fate.
     own = own.withColumn("rid", F.col("doc_id") if odd else F.xxhash64("doc_id", "text"))
     texts = own.select("rid", "text")
     cores = texts.mapInArrow(_cores(length), SCHEMA)
-    found, total = _repeated(cores.select("key"))
+    found, total = _repeated(cores.select("key"), scratch)
     units = lookup_join(cores, found, "key", total).groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
-    units = settle(units, "units")
+    units = scratch.settle(units, "units")
     ids = units.select("rid")
     few = units.count() <= BROADCAST_ROWS
     near = own.join(F.broadcast(ids), "rid", "left_semi") if few else own
-    hot = settle(near.join(units, "rid"), "hot")
+    hot = scratch.settle(near.join(units, "rid"), "hot")
 
     covers = hot.select("rid", "text", "units").mapInArrow(_again(length, False), SCHEMA)
     per_cover = covers.groupBy("key").agg(F.count("*").alias("freq"), F.min(F.struct("rid", *UNIT)).alias("unit"))
-    per_cover = settle(per_cover, "covers")
+    per_cover = scratch.settle(per_cover, "covers")
     twice = per_cover.filter("freq >= 2")
     total = twice.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
-    whole = settle(lookup_join(covers, twice.select("key", "freq"), "key", total).select("rid", "low", "high").distinct(), "whole")
+    whole = scratch.settle(lookup_join(covers, twice.select("key", "freq"), "key", total).select("rid", "low", "high").distinct(), "whole")
     # Groups whose cover is unique go on window by window, and with them one of each repeated cover that has the
     # same core: its windows may be those that a unique group repeats.
     alone = per_cover.filter("freq = 1").select("unit.*")
@@ -207,7 +207,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = hot.select("rid", "text").join(rest, "rid")
 
     windows = rest.mapInArrow(_again(length, True), SCHEMA)
-    found, total = _repeated(windows.select("key"))
+    found, total = _repeated(windows.select("key"), scratch)
     ends = lookup_join(windows, found, "key", total).select("rid", "low", "high").distinct()
     gone = whole.unionByName(ends).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("units"))
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"

@@ -9,6 +9,7 @@ Spark's own committer writes the files, so a lost executor or a repeated task le
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, shared_dir, small_batches
+from .common import ragged, shared_dir, steps
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A block is closed once it holds this many tokens; one longer document is a block of its own.
@@ -31,7 +32,8 @@ REMEMBERED = 1_000_000
 #: New words are encoded so many at once, with a control character between them.
 WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
 
-BLOCK_SCHEMA = "part int, block int, bits int, n_tokens long, doc_ids array<bigint>, offsets array<bigint>, payload binary"
+#: Ids packed or unpacked in one step, a multiple of eight.
+AT_ONCE = 1 << 16
 
 
 def bits_for(vocabulary: int) -> int:
@@ -42,18 +44,44 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as consecutive ``bits``-bit numbers, the lowest bit first; the last byte is filled with zeros."""
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    spread = (ids.astype(np.uint64)[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(spread.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    places = np.arange(bits, dtype=np.uint32)
+    spread = lambda part: ((part.astype(np.uint32)[:, None] >> places) & np.uint32(1)).astype(np.uint8)
+    # A multiple of eight ids ends on a byte.
+    return b"".join(np.packbits(spread(ids[at : at + AT_ONCE]).ravel(), bitorder="little").tobytes() for at in range(0, len(ids), AT_ONCE))
 
 
 def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     """``count`` ids from number ``start`` on; reads only the bytes that hold them."""
     if bits in (8, 16, 32):
         return np.frombuffer(payload, f"<u{bits // 8}", count, start * bits // 8).astype(np.uint32)
-    first, last = start * bits // 8, -(-(start + count) * bits // 8)
-    flat = np.unpackbits(np.frombuffer(payload, np.uint8, last - first, first), bitorder="little")
-    flat = flat[start * bits - first * 8 :][: count * bits].reshape(count, bits)
-    return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    out = np.empty(count, np.uint32)
+    places = np.uint32(1) << np.arange(bits, dtype=np.uint32)
+    for at in range(0, count, AT_ONCE):
+        begin, n = start + at, min(AT_ONCE, count - at)
+        first, last = begin * bits // 8, -(-(begin + n) * bits // 8)
+        flat = np.unpackbits(np.frombuffer(payload, np.uint8, last - first, first), bitorder="little")
+        out[at : at + n] = flat[begin * bits - first * 8 :][: n * bits].reshape(n, bits).astype(np.uint32) @ places
+    return out
+
+
+def _drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer's own description says that it treats the words of a text one by one.
+
+    That holds where its first pre-tokenizer splits at white space, or keeps only matches of a pattern that white
+    space cannot be part of, and its normalizer works on characters.
+    """
+    flat = lambda x, many: x.get(many, [x]) if x else []
+    first = (flat(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    if removes:
+        import regex
+
+        probe = " \t\r\n".join(["a", "\u00e9", "1", ".", "'s", "_", "\u0301", "\u4e00"])
+        removes = not any(any(c.isspace() for c in m[0]) for m in regex.finditer(pattern, probe))
+    splits = first.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or bool(removes)
+    local = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "BertNormalizer", "StripAccents"}
+    return splits and all(n.get("type") in local for n in flat(spec.get("normalizer"), "normalizers"))
 
 
 class WordEncoder:
@@ -61,7 +89,7 @@ class WordEncoder:
 
     For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words
     in order. Control characters other than white space, and white space beyond ASCII, stay inside a word and are
-    left to the tokenizer.
+    left to the tokenizer. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -69,6 +97,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _drops_white_space(json.loads(self.tokenizer.to_str()))
         own = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = own[0] if len(own) == 1 else None
         self.memory: dict[str, int] = {}
@@ -129,6 +158,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
+        if not self.by_words:
+            return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         column = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), "\t", " ")
         split = pc.split_pattern(column, " ")
         words = split.flatten().dictionary_encode()
@@ -168,13 +199,15 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     """Write doc_id and text as packed blocks below ``path``: ``blocks`` and ``manifest``.
 
     Ascending doc_id; rows with equal doc_id follow one another in the order of their texts, null doc_ids come
-    first. A null text is an empty document: its end id only. An empty table gives
-    files without blocks. Other columns are ignored.
+    first. A null text is an empty document: its end id only. An empty table gives files without blocks. Other columns
+    are ignored; doc_id keeps its type. A block tells its least and greatest doc_id, so that a reader in search of one
+    document skips the others.
     """
     where = tokenizer_path(tokenizer)
     bits = bits_for(max(vocabulary_size(where), end_id + 1))
     spark = docs.sparkSession
-    small_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"part int, block int, bits int, n_tokens long, first_id {kind}, last_id {kind}, doc_ids array<{kind}>, offsets array<bigint>, payload binary"
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,30 +215,31 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
 
         part, number, ids, doc_ids, offsets, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
-        def block() -> pa.RecordBatch:
-            row = [[part], [number], [bits], [held], [doc_ids], [offsets], [pack(np.concatenate(ids), bits)]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "block", "bits", "n_tokens", "doc_ids", "offsets", "payload"])
+        def block(key: pa.DataType) -> pa.RecordBatch:
+            known = [d for d in doc_ids if d is not None]
+            row = [[part], [number], [bits], [held], known[:1] or [None], known[-1:] or [None], [doc_ids], [offsets], [pack(np.concatenate(ids), bits)]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), key, key, pa.list_(key), pa.list_(pa.int64()), pa.binary()]
+            return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "block", "bits", "n_tokens", "first_id", "last_id", "doc_ids", "offsets", "payload"])
 
-        own, end = encoder(where), np.asarray([end_id], "<u4")
+        own, end, key = encoder(where), np.asarray([end_id], "<u4"), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            key = batch.schema.field("doc_id").type
+            for piece in steps(batch, "text", 512):
                 texts = piece.column("text").to_pylist()
                 for doc_id, tokens in zip(piece.column("doc_id").to_pylist(), own.encode([t or "" for t in texts]), strict=True):
                     if held and held + len(tokens) + 1 > block_tokens:
-                        yield block()
+                        yield block(key)
                         number, ids, doc_ids, offsets, held = number + 1, [], [], [], 0
                     doc_ids.append(doc_id)
                     offsets.append(held)
                     ids += [tokens, end]
                     held += len(tokens) + 1
         if held:
-            yield block()
+            yield block(key)
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
     counts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file: ``partitions`` rows
     counts.select("part", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/manifest")
@@ -213,8 +247,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, unpacked from the files."""
-    small_batches(spark)
     blocks = spark.read.parquet(f"{path}/blocks")
+    kind = blocks.schema["first_id"].dataType.simpleString()
     manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     index = blocks.select("part", "block", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("in_part"))
@@ -222,22 +256,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for piece in steps(batch, "payload", 1):
+                (row,) = piece.to_pylist()
                 ids = unpack(row["payload"], row["bits"], 0, row["n_tokens"])
                 ends = [*row["offsets"][1:], row["n_tokens"]]
                 spans = list(zip(row["offsets"], ends, strict=True))
-                cols = [row["doc_ids"], [a for a, _ in spans], [b - a for a, b in spans], [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in spans]]
+                cols = [[a for a, _ in spans], [b - a for a, b in spans], [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in spans]]
                 n = len(spans)
-                yield pa.record_batch([pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), piece.column("doc_ids").flatten(), *(pa.array(c, pa.int64()) for c in cols)], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    docs = blocks.mapInArrow(documents, "part int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("part", "block", "bits", "n_tokens", "doc_ids", "offsets", "payload").mapInArrow(documents, f"part int, block int, doc_id {kind}, offset long, n_tokens long, ids_crc32 long")
     joined = docs.join(index, (docs["part"] == index["p"]) & (docs["block"] == index["b"]))
     return joined.select("doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_of(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """Random access: the ids of a document (of each row with this doc_id), from the one block that holds it."""
-    rows = spark.read.parquet(f"{path}/blocks").filter(F.array_contains("doc_ids", doc_id)).orderBy("part", "block").collect()
+def tokens_of(spark: SparkSession, path: str, doc_id) -> list[np.ndarray]:
+    """Random access: the ids of a document (of each row with this doc_id), from the blocks that hold it.
+
+    The range of ids per block is pushed down to the files, so other blocks' payloads are not read.
+    """
+    inside = (F.col("first_id") <= F.lit(doc_id)) & (F.col("last_id") >= F.lit(doc_id)) & F.array_contains("doc_ids", doc_id)
+    rows = spark.read.parquet(f"{path}/blocks").filter(inside).orderBy("part", "block").collect()  # one block, unless the id is repeated
     found = []
     for r in rows:
         ends = [*r["offsets"][1:], r["n_tokens"]]
@@ -246,7 +285,7 @@ def tokens_of(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
 
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:
-    """Write to a new folder that all executors share, then read the files back."""
+    """Write to a new folder that all executors share, then read the files back; the files stay, as the result is read from them."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/millrace/tokens-{uuid.uuid4().hex}"
     write(docs, path, **how)

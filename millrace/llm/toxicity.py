@@ -8,8 +8,9 @@ Labels are for whole documents while few of a toxic document's words are toxic,
 windows of a clean document are negative; of a toxic document only the windows that the current model ranks
 highest are positive. A document's score is that of its highest window.
 
-The model is fitted on a bounded sample (a documented parameter); every document is scored whole. As the layers
-are linear, a word's part of the logit is a single number, and a task remembers it per word.
+The model is fitted on a bounded sample (documented parameters), in a task of its own that hands back BUCKETS numbers;
+every document is scored whole. As the layers are linear, a word's part of the logit is a single number, and a task
+remembers it per word.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import ragged, small_batches
+from .common import ragged, steps
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
 #: Documents scored in one step.
 GROUP = 128
-#: At most so many labelled documents of each class are learnt from, each with its whole text.
-SAMPLE = 1500
+#: At most so many labelled documents of each class are learnt from, each with its whole text, and so many bytes of
+#: them; a document that would exceed the bytes is passed over.
+SAMPLE, SAMPLE_BYTES = 1500, 24 << 20
 #: A bucket that fewer documents of the sample hold has no weight.
 MIN_DOCUMENTS, MIN_SHARE = 3, 0.003
 ROUNDS, EPOCHS, RATE, DECAY, SEED = 4, 4, 0.03, 3e-5, 5
@@ -247,41 +249,67 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most ``limit`` labelled documents of either class that are not held out, in the order of a hash."""
+def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
+    """toxic and text of at most ``limit`` labelled documents of either class that are not held out, drawn by a hash.
+
+    Rows that share a doc_id count once; a null doc_id names no label.
+    """
     own = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    marks = labels.select("doc_id", "toxic").filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = (F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id"))
-    texts, ys = [], []
-    for label in (0, 1):
-        # The ids are drawn from the labels alone, then their texts are fetched by a broadcast of ``limit`` rows.
-        some = marks.filter(~held_out(F.col("doc_id")) & (F.col("toxic") == label)).join(own.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(limit)
-        got = own.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-        for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["text"])):
-            texts.append(r["text"].encode())
-            ys.append(int(r["toxic"]))
-    return texts, ys
+    marks = labels.select("doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = marks.filter(~held_out(F.col("doc_id"))).join(own.select("doc_id"), "doc_id", "left_semi").withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id"))
+    some = [drawn.filter(F.col("toxic") == label).orderBy("draw", "doc_id").limit(limit) for label in (0, 1)]
+    # The ids are drawn from the labels alone, then their texts are fetched by a broadcast of 2 * ``limit`` rows.
+    got = own.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    return got.groupBy("doc_id", "toxic", "draw").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "draw", "doc_id", "text")
 
 
-def _batch_scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
-    texts = batch.column("text").cast(pa.binary())
-    parts = [model.scores([t or b"" for t in texts.slice(at, GROUP).to_pylist()]) for at in range(0, len(texts), GROUP)]
-    return np.concatenate(parts) if parts else np.empty(0)
+def _train_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, ys, held = [], [], [0, 0]
+    for batch in batches:
+        for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            if held[label] + len(text) <= SAMPLE_BYTES:
+                held[label] += len(text)
+                texts.append(text)
+                ys.append(label)
+    model = train(texts, ys)
+    yield pa.record_batch([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weight", "bias"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; null texts score as empty ones."""
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.window))  # BUCKETS numbers
-    live: list[Model] = []
+def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
+    """The model of a bounded sample. One task trains on at most 2 * SAMPLE_BYTES of text; only the model is collected."""
+    rows = sample(docs, labels, limit).withColumn("toxic", F.col("toxic").cast("int")).repartition(1).sortWithinPartitions("toxic", "draw", "doc_id")
+    made = rows.select("toxic", "text").mapInArrow(_train_task, "weight binary, bias double").collect()
+    if not made:  # no sample, no task
+        return train([], [])
+    return Model(np.frombuffer(made[0]["weight"], "<f4").astype(np.float64), made[0]["bias"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _step_scores(model: Model, piece: pa.RecordBatch) -> np.ndarray:
+    return model.scores([t or b"" for t in piece.column("text").cast(pa.large_binary()).to_pylist()])
+
+
+def _sent(docs: DataFrame, model: Model):
+    """A function that gives the model in a worker; BUCKETS numbers are broadcast."""
+    sent, live = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.window)), []
+
+    def get() -> Model:
         if not live:
             live.append(Model(*sent.value))
+        return live[0]
+
+    return get
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; null texts score as empty ones. doc_id keeps its type."""
+    get = _sent(docs, model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(_batch_scores(live[0], batch), pa.float64())], ["doc_id", "held_out", "score"])
+            for piece in steps(batch, "text", GROUP):
+                yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(_step_scores(get(), piece), pa.float64())], ["doc_id", "held_out", "score"])
 
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -291,20 +319,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are scored alike and all returned, an empty table gives an empty result, extra columns are
     ignored. A document labelled more than once is toxic if any label says so.
     """
-    return score(docs, train(*sample(docs, labels)))
+    return score(docs, fit(docs, labels))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; nothing is shuffled."""
-    model = train(*sample(docs, labels))
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.window))
-    live: list[Model] = []
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names; nothing is shuffled.
+
+    Null and empty texts are scored as empty ones; repeated rows share their fate; an empty table stays empty.
+    """
+    get = _sent(docs, fit(docs, labels))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not live:
-            live.append(Model(*sent.value))
         for batch in batches:
-            yield batch.filter(pa.array(_batch_scores(live[0], batch) < 0.5, pa.bool_()))
+            for piece in steps(batch, "text", GROUP):
+                yield piece.filter(pa.array(_step_scores(get(), piece) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
