@@ -1,7 +1,8 @@
 """A corpus pipeline in five stages; each takes what the one before kept.
 
 toxicity -> near-duplicates -> benchmark decontamination -> mixing -> token output. A stage's result is written as
-Parquet and read again as the next one's documents, so a lost executor costs a re-read at most.
+Parquet and read again as the next one's documents, so a lost executor costs a re-read at most. Nulls, empty texts,
+repeated rows and other columns are treated as the operators' docstrings say; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import budget_mix, decontaminate, near_dedup, token_pack, toxicity
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import delete, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return near_dedup.keep_one(docs)
+    """One document of each group stays; documents are near from a similarity of 0.8 on."""
+    return near_dedup.keep_one(docs, threshold=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/millrace/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)  # what a stage took in is not needed once its result is written
+        before = path
     return docs
