@@ -81,6 +81,25 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows and bytes of an Arrow batch while texts go through Python: a task holds a batch or two at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """Lower the session's Arrow batches to BATCHES; returns what was set before.
+
+    For applications, as the registered queries and the pipeline: operators that run while they are called do so for
+    that time only, those that return a lazy plan leave the session as it is.
+    """
+    before = {}
+    for key, most in BATCHES.items():
+        before[key] = spark.conf.get(key)
+        now = int(before[key].removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+    return before
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder on its way.
 
@@ -96,9 +115,12 @@ class Scratch:
         self.count = 0
 
     def __enter__(self) -> Scratch:
+        self.before = small_batches(self.spark)
         return self
 
     def __exit__(self, *_) -> None:
+        for key, value in self.before.items():
+            self.spark.conf.set(key, value)
         for _, path in self.paths.values():
             delete(self.spark, path)
         self.paths.clear()
@@ -118,16 +140,24 @@ class Scratch:
                 delete(self.spark, self.paths.pop(id(df))[1])
 
 
-def lookup_join(rows: DataFrame, counted: DataFrame, key: str, total: int, bound: int = 20_000) -> DataFrame:
+def lookup_join(rows: DataFrame, counted: DataFrame, key: str | list[str], total: int, bound: int = 20_000) -> DataFrame:
     """Inner join of ``rows`` with per-key facts that hold each key's frequency in ``freq``.
 
     The frequencies sum to ``total`` at most, so at most ``bound`` keys can have ``total / bound`` rows or
-    more: that many are broadcast, which takes the hot keys out of the shuffle at any corpus size. All other
-    keys are too rare to fill a partition and meet in an ordinary shuffle join.
+    more: that many are broadcast, and their rows are spread by a hash in the shuffle join that all other rows need.
+    All other keys are too rare to fill a partition. ``rows`` is read once.
     """
+    keys = [key] if isinstance(key, str) else key
+    facts = [c for c in counted.columns if c not in keys]
+    at, hot_facts, cold_facts, *theirs = own_names(3 + len(keys))
     limit = max(2, -(-total // bound))
-    hot = F.broadcast(counted.filter(F.col("freq") >= limit))
-    cold = counted.filter(F.col("freq") < limit)
-    marked = rows.join(hot.select(key, F.lit(True).alias("_hot")), key, "left")
-    rest = marked.filter(F.col("_hot").isNull()).drop("_hot").join(cold, key)
-    return rows.join(hot, key).unionByName(rest)
+    hot = counted.filter(F.col("freq") >= limit).select(*keys, F.struct(*facts).alias(hot_facts))
+    cold = counted.filter(F.col("freq") < limit).select(*(F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)), F.struct(*facts).alias(cold_facts))
+    is_hot = F.col(hot_facts).isNotNull()
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn(at, F.when(is_hot, F.xxhash64(*rows.columns).cast(rows.schema[keys[0]].dataType)).otherwise(F.col(keys[0])))
+    on = (F.col(at) == F.col(theirs[0])) & ~is_hot
+    for k, t in zip(keys[1:], theirs[1:], strict=True):
+        on = on & (F.col(k) == F.col(t))
+    both = marked.join(cold, on, "left").withColumn(at, F.coalesce(hot_facts, cold_facts)).filter(F.col(at).isNotNull())
+    return both.select(*rows.columns, *(F.col(at)[c].alias(c) for c in facts))

@@ -27,6 +27,10 @@ def _covered(at: Column) -> Column:
     return F.when(F.size(at) > 0, F.aggregate(steps, F.lit(0).cast("long"), lambda a, i: a + gain(i))).otherwise(F.lit(0).cast("long"))
 
 
+def window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def with_repeat_words(d: DataFrame) -> DataFrame:
     """Adds n_repeat_words, the words of the array ``w`` in 3-word windows that occur twice or more.
 
@@ -34,7 +38,7 @@ def with_repeat_words(d: DataFrame) -> DataFrame:
     the position takes as many low bits as the text's length needs, the hash what is left. Neighbours of one hash are
     compared word by word; a text where two unlike windows share a hash is sorted by the words themselves.
     """
-    n, digest = F.size("w"), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    n, digest = F.size("w"), lambda i: window_hash(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     span, none = F.sequence(F.lit(0), n - 3), F.array().cast("array<bigint>")
     d = d.withColumn("_b", F.length(F.bin(n)))
     low = F.expr("shiftleft(1L, _b) - 1L")

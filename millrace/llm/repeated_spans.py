@@ -9,6 +9,9 @@ here only to bring equal strings together, equal strings meet by hash, so the wo
 2. the bytes that a group's windows cover together - where these repeat, all its windows do;
 3. the single windows of the few groups that are left, at the ends of repeated passages.
 
+The first step only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two
+independent 64-bit hashes, which 10**12 strings share by chance with less than 10**-14.
+
 Counts are pre-aggregated and hot keys are taken out of the shuffles, so neither a passage that a third of the
 corpus shares nor a group of copies lands in one task. The texts of documents without a repeated core are never
 shuffled.
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import Scratch, lookup_join
+from .common import Scratch, lookup_join, steps
 
 LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
 #: Ids of documents with a repeated core are broadcast to the scan up to this many; beyond it they are shuffled.
@@ -87,13 +90,11 @@ def _sums(text: bytes) -> np.ndarray:
     return text_hash.prefix(np.frombuffer(text, np.uint8))
 
 
-def _rows(ids: list, lows: list, highs: list, keys: list, cores: list | None = None) -> pa.RecordBatch:
-    n = [len(x) for x in lows]
+def _rows(piece: pa.RecordBatch, lows: list, highs: list, cores: list, keys: tuple[list, ...] = ()) -> pa.RecordBatch:
     whole = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    rid = np.repeat(np.asarray(ids, np.int64), n)
-    keys = whole(keys, np.uint64).view(np.int64)
-    cores = keys if cores is None else whole(cores, np.int64)
-    return pa.record_batch([pa.array(x) for x in (rid, whole(lows, np.int64), whole(highs, np.int64), cores, keys)], ["rid", "low", "high", "core", "key"])
+    rid = piece.column("rid").take(pa.array(np.repeat(np.arange(piece.num_rows), [len(x) for x in lows])))
+    numbers = [whole(lows, np.int64), whole(highs, np.int64), *(whole(x, np.uint64).view(np.int64) for x in (cores, *keys))]
+    return pa.record_batch([rid, *(pa.array(x) for x in numbers)], ["rid", "low", "high", "core", "key", "other"][: 4 + len(keys)])
 
 
 def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
@@ -107,15 +108,18 @@ def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         yield {k: v[a:b] for k, v in fields.items()}
 
 
+def _data(piece: pa.RecordBatch) -> list[bytes]:
+    return piece.column("text").cast(pa.large_binary()).to_pylist()
+
+
 def _cores(length: int):
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                found = [groups(_sums(t), length) if len(t) >= length else none for t in piece.column("text").cast(pa.binary()).to_pylist()]
-                yield _rows(piece.column("rid").to_pylist(), *map(list, zip(*found, strict=True)))
+            for piece in steps(batch, "text"):
+                found = [groups(_sums(t), length) if len(t) >= length else none for t in _data(piece)]
+                yield _rows(piece, *map(list, zip(*found, strict=True)))
 
     return run
 
@@ -125,10 +129,9 @@ def _again(length: int, single: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                lows, highs, keys, cores = [], [], [], []
-                for text, units in zip(piece.column("text").cast(pa.binary()).to_pylist(), _lists(piece.column("units")), strict=True):
+            for piece in steps(batch, "text"):
+                lows, highs, cores, keys = [], [], [], ([], [])
+                for text, units in zip(_data(piece), _lists(piece.column("units")), strict=True):
                     low, high, core = units["low"], units["high"], units["core"]
                     if single:
                         n = high - low + 1
@@ -136,85 +139,98 @@ def _again(length: int, single: bool):
                         low = high = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     lows.append(low)
                     highs.append(high)
-                    keys.append(text_hash.ranges(_sums(text), low, high + length))
-                    cores.append(core)
-                yield _rows(piece.column("rid").to_pylist(), lows, highs, keys, cores)
+                    cores.append(core.astype(np.int64).view(np.uint64))
+                    data = np.frombuffer(text, np.uint8)
+                    for which in (0, 1):
+                        keys[which].append(text_hash.ranges(text_hash.prefix(data, which), low, high + length, which))
+                yield _rows(piece, lows, highs, cores, keys)
 
     return run
 
 
-SCHEMA = "rid long, low long, high long, core long, key long"
 UNIT = ("low", "high", "core")
 
 
-def _repeated(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(key, freq) of the keys that occur twice or more, and the number of rows."""
-    counted = scratch.settle(rows.groupBy("key").agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
+def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+    """The keys that occur twice or more with their freq, and the number of rows that hold them."""
+    counted = scratch.settle(rows.groupBy(*keys).agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
     return counted, counted.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
 
 
 def _cut(length: int):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept, sizes = [], [], []
-            for text, units in zip(batch.column("text").cast(pa.binary()).to_pylist(), _lists(batch.column("units")), strict=True):
-                order = np.argsort(units["low"], kind="stable")
-                low, end = units["low"][order], np.maximum.accumulate(units["high"][order] + length)
-                opens = np.flatnonzero(np.concatenate([[True], low[1:] > end[:-1]])) if len(low) else np.empty(0, np.int64)
-                starts, stops = low[opens].tolist(), end[np.append(opens[1:] - 1, -1)].tolist() if len(low) else []
-                kept.append(b"".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True)))
-                spans.append([{"start": a, "end": b} for a, b in zip(starts, stops, strict=True)])
-                sizes.append(len(text))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            for piece in steps(batch, "text"):
+                spans, kept, sizes = [], [], []
+                for text, units in zip(_data(piece), _lists(piece.column("units")), strict=True):
+                    order = np.argsort(units["low"], kind="stable")
+                    low, end = units["low"][order], np.maximum.accumulate(units["high"][order] + length)
+                    opens = np.flatnonzero(np.concatenate([[True], low[1:] > end[:-1]])) if len(low) else np.empty(0, np.int64)
+                    starts, stops = low[opens].tolist(), end[np.append(opens[1:] - 1, -1)].tolist() if len(low) else []
+                    kept.append(b"".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True)))
+                    spans.append([{"start": a, "end": b} for a, b in zip(starts, stops, strict=True)])
+                    sizes.append(len(text))
+                yield pa.record_batch([piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
 
+SPANS = "array<struct<start: long, end: long>>"
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) of every document.
 
     A byte goes where a ``length``-byte string that covers it starts at another place too, in this document or
     another; spans are judged on the input and overlap freely. Null text is empty. Repeated rows are documents of
-    their own, so each repeats the other. An empty table gives an empty result; other columns are ignored.
+    their own, so each repeats the other. An empty table gives an empty result; other columns are ignored; doc_id keeps
+    its type.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
+    with Scratch(docs.sparkSession, "repeats") as scratch:
+        return _cut_repeats(docs, length, scratch)
+
+
+def _cut_repeats(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    odd = own.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 OR doc_id IS NULL").isEmpty()
+    unique = own.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 OR doc_id IS NULL").isEmpty()
     # doc_id names a row where it is unique; else doc_id and text do, and rows equal in both share their fate.
-    own = own.withColumn("rid", F.col("doc_id") if odd else F.xxhash64("doc_id", "text"))
-    texts = own.select("rid", "text")
-    cores = texts.mapInArrow(_cores(length), SCHEMA)
-    found, total = _repeated(cores.select("key"), scratch)
-    units = lookup_join(cores, found, "key", total).groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
+    own = own.withColumn("rid", F.col("doc_id") if unique else F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string")))
+    kind = own.schema["rid"].dataType.simpleString()
+    numbered, keyed = f"rid {kind}, low long, high long, core long", f"rid {kind}, low long, high long, core long, key long, other long"
+    cores = own.select("rid", "text").mapInArrow(_cores(length), numbered)
+    found, total = _repeated(cores.select("core"), ["core"], scratch)
+    units = lookup_join(cores, found, "core", total).groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
     units = scratch.settle(units, "units")
-    ids = units.select("rid")
-    few = units.count() <= BROADCAST_ROWS
+    ids = scratch.settle(units.select("rid"), "ids", keep=True)
+    few = ids.count() <= BROADCAST_ROWS
     near = own.join(F.broadcast(ids), "rid", "left_semi") if few else own
     hot = scratch.settle(near.join(units, "rid"), "hot")
+    scratch.drop(found, units)
 
-    covers = hot.select("rid", "text", "units").mapInArrow(_again(length, False), SCHEMA)
-    per_cover = covers.groupBy("key").agg(F.count("*").alias("freq"), F.min(F.struct("rid", *UNIT)).alias("unit"))
+    covers = hot.select("rid", "text", "units").mapInArrow(_again(length, False), keyed)
+    per_cover = covers.groupBy("key", "other").agg(F.count("*").alias("freq"), F.min(F.struct("rid", *UNIT)).alias("unit"))
     per_cover = scratch.settle(per_cover, "covers")
     twice = per_cover.filter("freq >= 2")
     total = twice.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
-    whole = scratch.settle(lookup_join(covers, twice.select("key", "freq"), "key", total).select("rid", "low", "high").distinct(), "whole")
+    whole = scratch.settle(lookup_join(covers, twice.select("key", "other", "freq"), ["key", "other"], total).select("rid", "low", "high").distinct(), "whole")
     # Groups whose cover is unique go on window by window, and with them one of each repeated cover that has the
     # same core: its windows may be those that a unique group repeats.
     alone = per_cover.filter("freq = 1").select("unit.*")
     beside = twice.select("unit.*").join(alone.select("core").distinct(), "core", "left_semi").select("rid", *UNIT)
     rest = alone.unionByName(beside).groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
-    rest = hot.select("rid", "text").join(rest, "rid")
-
-    windows = rest.mapInArrow(_again(length, True), SCHEMA)
-    found, total = _repeated(windows.select("key"), scratch)
-    ends = lookup_join(windows, found, "key", total).select("rid", "low", "high").distinct()
+    windows = scratch.settle(hot.select("rid", "text").join(rest, "rid").mapInArrow(_again(length, True), keyed).drop("core", "high"), "windows")
+    scratch.drop(per_cover)
+    found, total = _repeated(windows, ["key", "other"], scratch)
+    ends = lookup_join(windows, found, ["key", "other"], total).select("rid", "low", F.col("low").alias("high")).distinct()
     gone = whole.unionByName(ends).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("units"))
-    schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {SPANS}, kept binary"
     changed = hot.drop("units").join(gone, "rid", "left").select("doc_id", "text", "units").mapInArrow(_cut(length), schema)
-    same = own.join(F.broadcast(ids) if few else ids, "rid", "left_anti")
+    changed = scratch.settle(changed, "changed", keep=True)
     data = F.encode("text", "UTF-8")
-    same = same.select("doc_id", F.length(data).cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"), data.alias("kept"))
+    same = own.join(F.broadcast(ids) if few else ids, "rid", "left_anti")
+    same = same.select("doc_id", F.length(data).cast("long").alias("n_bytes"), F.array().cast(SPANS).alias("spans"), data.alias("kept"))
     return changed.unionByName(same)
 
 

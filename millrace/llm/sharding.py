@@ -13,6 +13,8 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import own_names, quoted
+
 #: Production parameters of the registered query.
 SHARDS = 64
 SLOTS_PER_SHARD = 64
@@ -63,23 +65,25 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int) -> DataFram
 
 
 def place(df: DataFrame, key: str, shards: list[str] | None = None, slots: int | None = None) -> DataFrame:
-    """``df`` with columns ``slot`` and ``shard`` (columns of these names are replaced).
+    """``df`` with columns ``slot`` and ``shard``; columns of these names, in any case, are replaced, after the key is read.
 
     Nulls: a null key is placed as the empty string. Repeated and tied keys go to the same shard. An empty table
     stays empty; other columns, whatever their names, pass through.
     """
     shards = shards or [f"shard-{i:03d}" for i in range(SHARDS)]
     slots = slots or next_prime(len(shards) * SLOTS_PER_SHARD)
-    if key in ("slot", "shard"):
-        df = df.withColumnRenamed(key, "_key")
-        placed = place(df, "_key", shards, slots)
-        return placed.drop("_key")
-    table = F.broadcast(lookup_table(df.sparkSession, shards, slots))  # slots rows: a parameter, MAX_SLOTS at most
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(table, "slot")
+    at, slot, shard = own_names(3)
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    marked = df.withColumn(at, slot_of(F.col(quoted(key)), slots))
+    placed = marked.join(F.broadcast(table), F.col(at) == F.col(slot))  # slots rows: a parameter, MAX_SLOTS at most
+    return placed.select(*(quoted(c) for c in df.columns if c.lower() not in ("slot", "shard")), F.col(at).alias("slot"), F.col(shard).alias("shard"))
 
 
 def write_sharded(df: DataFrame, key: str, path: str, parts_per_shard: int = 4, **table) -> None:
-    """One folder ``shard=...`` per shard. A salt spreads each shard over several tasks and files."""
+    """One folder ``shard=...`` per shard. A salt spreads each shard over several tasks and files.
+
+    Rows as in ``place``; an empty table writes no shard.
+    """
     placed = place(df, key, **table)
-    salt = F.pmod(F.xxhash64(*placed.columns), F.lit(parts_per_shard))
+    salt = F.pmod(F.xxhash64(*(quoted(c) for c in placed.columns)), F.lit(parts_per_shard))
     placed.repartition("shard", salt).write.partitionBy("shard").parquet(path)

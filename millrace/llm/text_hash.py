@@ -4,30 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: A random 64-bit value for each byte; a fixed seed, so all tasks agree.
-BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
+#: A random 64-bit value for each byte, for either of two independent hashes; fixed seeds, so all tasks agree.
+BYTES = tuple(np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64) for seed in (7, 19))
+_grown_powers: dict[int, np.ndarray] = {}
 
 
-def _grown(values: np.ndarray, step: int, n: int) -> np.ndarray:
+def _powers_of(step: int, n: int) -> np.ndarray:
+    values = _grown_powers.get(step, np.ones(1, np.uint64))
     while len(values) < n:
         values = np.concatenate([values, values * np.uint64(pow(step, len(values), 1 << 64))])
+    _grown_powers[step] = values
     return values
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    _powers = _grown(_powers, _BASE, n)
-    return _powers
+def powers(n: int, which: int = 0) -> np.ndarray:
+    return _powers_of(_BASES[which], n)
 
 
-def inverses(n: int) -> np.ndarray:
-    global _inverses
-    _inverses = _grown(_inverses, _INVERSE, n)
-    return _inverses
+def inverses(n: int, which: int = 0) -> np.ndarray:
+    return _powers_of(pow(_BASES[which], -1, 1 << 64), n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,16 +33,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums of the polynomial hash of a uint8 array, modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[data] * powers(len(data))[: len(data)], out=out[1:])
+    np.cumsum(BYTES[which][data] * powers(len(data), which)[: len(data)], out=out[1:])
     return out
 
 
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of each byte range [start, end): equal bytes give equal hashes, wherever they stand."""
-    h = (sums[end] - sums[start]) * inverses(len(sums))[start]
+    h = (sums[end] - sums[start]) * inverses(len(sums), which)[start]
     return mix(h ^ (end - start).astype(np.uint64))
 
 

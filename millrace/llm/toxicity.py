@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import ragged, steps
+from .common import own_names, ragged, steps
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
 #: Documents scored in one step.
@@ -284,8 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     return Model(np.frombuffer(made[0]["weight"], "<f4").astype(np.float64), made[0]["bias"])
 
 
-def _step_scores(model: Model, piece: pa.RecordBatch) -> np.ndarray:
-    return model.scores([t or b"" for t in piece.column("text").cast(pa.large_binary()).to_pylist()])
+def _step_scores(model: Model, piece: pa.RecordBatch, column: str = "text") -> np.ndarray:
+    return model.scores([t or b"" for t in piece.column(column).cast(pa.large_binary()).to_pylist()])
 
 
 def _sent(docs: DataFrame, model: Model):
@@ -327,11 +327,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts are scored as empty ones; repeated rows share their fate; an empty table stays empty.
     """
-    get = _sent(docs, fit(docs, labels))
+    get, columns = _sent(docs, fit(docs, labels)), own_names(len(docs.columns))
+    text = columns[[c.lower() for c in docs.columns].index("text")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in steps(batch, "text", GROUP):
-                yield piece.filter(pa.array(_step_scores(get(), piece) < 0.5, pa.bool_()))
+            for piece in steps(batch, text, GROUP):
+                yield piece.filter(pa.array(_step_scores(get(), piece, text) < 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    own = docs.toDF(*columns)  # some names, as those with a dot, cannot be passed to Python
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

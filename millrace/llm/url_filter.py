@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import Scratch, ascii_lower, lookup_join, table
 
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -70,40 +70,52 @@ def _shrunk(groups: DataFrame, of: str, parent_mean: str) -> DataFrame:
     return groups.crossJoin(F.broadcast(level)).withColumn(f"{of}_mean", (F.col("bad") + F.col(f"{of}_strength") * F.col(parent_mean)) / (n + F.col(f"{of}_strength")))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, posterior mean and bounds of every host of ``pages`` (page_id, url).
+def host_reputation(pages: DataFrame, outcomes: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, freq (pages), n, bad, posterior mean and bounds of every host of ``pages`` (page_id, url).
 
     ``outcomes`` has page_id and bad (0 or 1); pages without an outcome count for nothing, several outcomes of a
-    page all count, null outcomes do not. A corpus without outcomes has the mean 0 everywhere.
+    page all count, null outcomes do not. A corpus without outcomes has the mean 0 everywhere. A suffix or domain
+    that most hosts share is no hot key: its facts are broadcast.
     """
     labelled = pages.select("page_id", host_of(F.col("url")).alias("host")).join(outcomes.select("page_id", F.col("bad").cast("double").alias("bad")), "page_id", "left")
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    hosts = labelled.groupBy("host").agg(F.count("*").alias("freq"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+    hosts = scratch.settle(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "freq", "n", "bad"), "hosts")
     total = hosts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("corpus_mean"))
-    counts = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*counts).crossJoin(F.broadcast(total)), "suffix", "corpus_mean").select("suffix", "suffix_mean")
-    domains = _shrunk(hosts.groupBy("suffix", "domain").agg(*counts).join(suffixes, "suffix"), "domain", "suffix_mean").select("domain", "domain_mean")
-    hosts = _shrunk(hosts.join(domains, "domain"), "host", "domain_mean")
+    counts = (F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("freq"))
+    domains = scratch.settle(hosts.groupBy("suffix", "domain").agg(*counts), "domains")  # freq: its hosts
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("freq"))  # freq: its domains
+    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(total)), "suffix", "corpus_mean").select("suffix", "suffix_mean", "freq")
+    suffixes = scratch.settle(suffixes, "suffixes")
+    known = lookup_join(domains.withColumnRenamed("freq", "hosts"), suffixes, "suffix", domains.count()).drop("freq")
+    domains = scratch.settle(_shrunk(known, "domain", "suffix_mean").select("domain", "domain_mean", F.col("hosts").alias("freq")), "domain_means")
+    known = lookup_join(hosts.withColumnRenamed("freq", "pages"), domains, "domain", hosts.count()).drop("freq").withColumnRenamed("pages", "freq")
+    hosts = _shrunk(known, "host", "domain_mean")
     weight = F.col("n") + F.col("host_strength")
     sd = F.sqrt(F.col("host_mean") * (1 - F.col("host_mean")) / (weight + 1))
-    return hosts.select("host", "domain", "suffix", "n", "bad", "host_mean", (F.col("host_mean") - Z * sd).alias("lower"), (F.col("host_mean") + Z * sd).alias("upper"))
+    return hosts.select("host", "domain", "suffix", "freq", "n", "bad", "host_mean", (F.col("host_mean") - Z * sd).alias("lower"), (F.col("host_mean") + Z * sd).alias("upper"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, cutoff: float = CUTOFF) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row of ``pages``.
+    """page_id, host, path, rule, verdict, bad_rate of every row of ``pages``.
 
     A null url, or one without ``://``, has an empty host and path and is judged as the host ''. Repeated rows are
     judged alike and all returned; an empty table gives an empty result; extra columns are ignored.
     """
-    known = host_reputation(pages, outcomes).select("host", F.when(F.col("lower") > cutoff, "block").otherwise("allow").alias("reputation"), F.round("host_mean", 6).alias("bad_rate"))
+    with Scratch(pages.sparkSession, "url_filter") as scratch:
+        known = host_reputation(pages, outcomes, scratch)
+        known = known.select("host", "freq", F.when(F.col("lower") > cutoff, "block").otherwise("allow").alias("reputation"), F.round("host_mean", 6).alias("bad_rate"))
+        known = scratch.settle(known, "reputation", keep=True)
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(known, "host", "left")
+    judged = lookup_join(parsed, known, "host", known.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0])
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("reputation")).alias("verdict"), "bad_rate")
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels, read as outcomes of the pages of the same number: bad is low quality or toxic."""
+    """The labels, read as outcomes of the pages of the same number: bad is low quality or toxic.
+
+    A stand-in, as the given tables label documents and not pages; ``judge`` takes any outcomes.
+    """
     labels = table(spark, sf_dir, "labels")
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")
     return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))

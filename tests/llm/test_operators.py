@@ -127,7 +127,25 @@ def test_line_quality_base_counts(docs, rows):
     assert got(have, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
 
 
-def test_line_quality_beyond_packed_positions(spark):
+def test_line_quality_compares_the_words_of_equal_hashes(spark, docs, rows, monkeypatch):
+    some = [(d, t) for d, t, _ in rows if len(t or "") < 3000]
+    for clash in (lambda *w: F.length(w[0]).cast("long"), lambda *w: F.lit(1 << 40)):  # noqa: PLW0640
+        monkeypatch.setattr(line_quality, "window_hash", clash)
+        have = line_quality.judge(docs.filter("coalesce(length(text), 0) < 3000"))
+        assert got(have, "doc_id", "n_repeat_words") == sorted((d, brute.base_rules(t)[4]) for d, t in some)
+
+
+def test_line_quality_on_the_given_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    gone = brute.removed_words(docs, 2)
+    want = []
+    for d, t, _ in docs:
+        own = brute.base_rules(t)
+        want.append((d, *own[:5], gone[d], own[5], not own[5] and own[0] - gone[d] >= 0.5 * own[0]))
+    assert sum(gone.values()) and got(line_quality.judge(spark.read.parquet(f"{SF}/documents.parquet"), min_docs=2), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept") == sorted(want)
+
+
+def test_line_quality_of_long_texts(spark):
     rng = random.Random(3)
     text = words_of(rng, 70_000, 60)
     have = line_quality.judge(spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string"))
@@ -267,6 +285,23 @@ def test_url_parts_rules_and_reputation(spark):
     assert verdict["bad.site.info"] == "block" and verdict["good.page.info"] == "allow"
 
 
+def test_url_posteriors(spark):
+    rng = random.Random(15)
+    hosts = ["a.x.com", "b.x.com", "x.com", "c.y.co.uk", "y.co.uk", "d.z.org", "z.org", "e.w.com", "lone"]
+    rate = {h: rng.random() ** 2 for h in hosts}
+    pages = [(i, f"http://{h}/{i}") for i, h in enumerate(rng.choice(hosts) for _ in range(600))] + [(600, None), (601, "http://new.x.com/")]
+    outcomes = [(i, int(rng.random() < rate[u.split("/")[2]])) for i, u in pages[:500] if u] + [(3, 1), (4, None), (9999, 1)]
+    two = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: two(h) if two(h) in url_filter.TWO_LABEL_SUFFIXES else h.split(".")[-1]
+    domain = lambda h: ".".join(h.split(".")[-3:]) if two(h) in url_filter.TWO_LABEL_SUFFIXES else two(h)
+    want = brute.reputation(pages, outcomes, suffix, domain, lambda u: u.split("/")[2] if u else "")
+    have = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), rules=())
+    for r in have.collect():
+        mean, lower = want[r["host"]]
+        assert r["bad_rate"] == pytest.approx(mean, abs=1e-6) and r["verdict"] == ("block" if lower > url_filter.CUTOFF else "allow")
+    assert {r["verdict"] for r in have.collect()} == {"allow", "block"}
+
+
 def test_toxicity_catches_unseen_misspellings(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -319,9 +354,9 @@ def test_decontaminate_follows_slots_of_other_lengths(spark):
     assert got(have, "doc_id", "item_id") == [(1, 1), (2, 1), (3, 2), (5, 3), (6, 1)]
 
 
-def test_decontaminate_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_decontaminate_in_several_scans(spark, monkeypatch):
     whole = got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows")
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 1000)
     assert whole and got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows") == whole
 
 
@@ -345,6 +380,19 @@ def test_html_main_text():
     assert html_wrapper.extract(PAGE % "<div id=content><p>Body</p></div>", set(), None) == "Body"
 
 
+@pytest.mark.parametrize("around", ["<body class='no-sidebar single-post'>%s", "<body class='has-sidebar'>%s", "<div class='page-with-comments'>%s</div>", "<div id=comments>%s</div>", "<main class=widget>%s</main>", "<div class=related><article>Teaser</article></div>%s"])
+def test_html_class_words_spare_what_holds_the_article(around):
+    page = "<article class='post-comments'><div class='post-header'><h1>Title</h1></div><p class=warning>Careful</p><div class='article-comments'>Nice!</div></article>"
+    assert html_wrapper.extract(around % page, set(), None) == "Title\nCareful"
+
+
+@pytest.mark.parametrize("page", ["<article>" + "<span>" * 5000 + "deep" + "<div>" * 5000 + "text", "<article>" + "".join(f"<h2>a</h2><p>b{i}</p>" for i in range(4000))])
+def test_html_of_deep_and_long_markup(spark, page):
+    rows = [(1, "http://h.com/1", page), (2, "http://h.com/2", page.replace("deep", "other").replace("<p>b7</p>", "<ul><li>x</ul>")), (3, "http://h.com/3", "<article><p>short")]
+    have = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert have[3] == "short" and have[1].split() == [w for w in html_wrapper.re.sub("<[^>]*>", " ", page).split()]
+
+
 def test_wrapper_alignment():
     a, b = html_wrapper.shape("<div><p>x</p><p>y</p></div>"), html_wrapper.shape("<div><h2>t</h2><p>x</p></div>")
     assert html_wrapper.expression(html_wrapper.align(a, b)) == "<div>(<h2>#)? (<p>#)+"
@@ -408,6 +456,99 @@ def test_html_of_the_given_pages(spark):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+#: Names that operators use on the way, or have used.
+CLASHES = ("rows", "_times", "_d", "_s", "_n", "_k", "_i", "_size", "_r", "size", "Slot", "SHARD", "cid", "label", "rid", "key", "freq", "kept", "th", "id", "h", "units", "w", "pos", "host", "page", "part", "block", "start", "score", "draw", "a.b", "_hot", "_gone", "_kept", "toxic_")
+
+
+def clashing(df):
+    return df.withColumns({n: F.lit(f"own {n}") for n in CLASHES})
+
+
+@pytest.mark.parametrize("name", [n for n, f in Q.QUERIES.items() if n not in ("op1_sharding", "op8_html_wrapper", "op2_url_filter")])
+def test_extra_columns_change_nothing(spark, name, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        (clashing(df) if t == "documents" else df).write.parquet(str(tmp_path / f"{t}.parquet"))
+    have, want = Q.QUERIES[name](spark, str(tmp_path)), Q.QUERIES[name](spark, SF)
+    assert have.columns == want.columns and got(have, *want.columns) == got(want, *want.columns)
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_near_duplicates", "drop_leaks", "mix_sources"])
+def test_stages_pass_extra_columns_through(spark, docs, stage):
+    import corpus_pipeline
+
+    f = getattr(corpus_pipeline, stage)
+    odd = clashing(docs.unionByName(docs.filter("doc_id in (5, 40)")).unionByName(docs.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))))
+    plain, have = f(spark, odd.select(*docs.columns), SF), f(spark, odd, SF)
+    assert have.columns == odd.columns
+    assert all(r[n] == f"own {n}" for r in have.collect() for n in CLASHES)
+    key = lambda rows: sorted((str(r["doc_id"]), r["text"] or "") for r in rows)
+    assert key(have.collect()) == key(plain.collect())
+    assert f(spark, odd.limit(0), SF).count() == 0
+
+
+def test_placing_passes_extra_columns_through(spark, docs, tmp_path):
+    odd = clashing(docs)
+    have = sharding.place(odd, "doc_id")
+    assert [c for c in have.columns if c not in ("slot", "shard")] == [c for c in odd.columns if c not in ("Slot", "SHARD")]
+    assert got(have, "doc_id", "slot", "shard") == got(sharding.place(docs, "doc_id"), "doc_id", "slot", "shard")
+    assert sharding.place(odd, "Slot").select("shard").distinct().count() == 1
+    sharding.write_sharded(docs, "doc_id", str(tmp_path / "s"), parts_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert got(back, "doc_id", "shard") == got(sharding.place(docs, "doc_id"), "doc_id", "shard")
+
+
+def test_ids_may_be_text(spark, docs):
+    named = docs.filter("doc_id < 60").withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    back = lambda df: df.withColumn("doc_id", F.substring("doc_id", 2, 9).cast("long"))
+    own = docs.filter("doc_id < 60")
+    for f, cols in ((repeated_spans.digest, ("doc_id", "n_removed", "kept_sha256")), (line_quality.judge, ("doc_id", "n_words", "kept")), (token_pack.round_trip, ("doc_id", "start", "ids_crc32")), (near_dedup.cluster, ("doc_id", "n_shingles", "kept"))):
+        assert got(back(f(named)), *cols) == got(f(own), *cols)
+    items = spark.createDataFrame([("q1", own.first()["text"] or own.filter("doc_id = 5").first()["text"])], "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(named, items).collect()} >= {("d005", "q1"), ("d006", "q1")}
+
+
+def test_operators_leave_the_session_and_the_shared_folder_as_they_were(spark, docs):
+    import os
+
+    from millrace.llm.common import BATCHES, shared_dir
+
+    key = next(iter(BATCHES))
+    spark.conf.set(key, "777")
+    try:
+        near_dedup.cluster(docs).count(), repeated_spans.digest(docs).count(), decontaminate.matches(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(3)).count()
+        assert spark.conf.get(key) == "777"
+    finally:
+        spark.conf.unset(key)
+    left = {}
+    for top, _, files in os.walk(f"{shared_dir(spark)}/millrace"):
+        if files and "-" in os.path.basename(top):
+            left.setdefault(os.path.basename(os.path.dirname(top)).split("-")[0], set()).add(os.path.basename(top).split("-")[1])
+    assert left.get("near_dedup") == {"clusters"} and left.get("repeats", set()) <= {"ids", "changed"} and left.get("decontaminate") == {"leaks"}
+
+
+def test_packing_through_files_at_17_bits(spark, docs, rows):
+    have = token_pack.round_trip(docs, end_id=70_000, block_tokens=300)
+    want = brute.tokens([(d, t) for d, t, _ in rows], token_pack.tokenizer_path(), 70_000)
+    assert got(have, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want)
+
+
+def test_tokenizers_that_keep_white_space_get_whole_texts(rows):
+    from tokenizers import Tokenizer
+
+    path = token_pack.tokenizer_path("byte_bpe_50k.json")
+    own = token_pack.WordEncoder(path)
+    texts = [t for _, t, _ in rows if t][:20]
+    assert not own.by_words and token_pack.WordEncoder(token_pack.tokenizer_path()).by_words
+    assert [x.tolist() for x in own.encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_agreements_follow_from_the_threshold():
+    assert near_dedup.agreements(85) == 36 and near_dedup.agreements(80) == 31 and near_dedup.agreements(100) == 64
+    with pytest.raises(ValueError):
+        near_dedup.agreements(5)
+
+
 @pytest.mark.parametrize("name", Q.QUERIES)
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "labels", "benchmark"):
@@ -423,7 +564,7 @@ def test_pipeline(spark):
     first = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert first.columns == docs.columns and {r["doc_id"] for r in first.collect()} == {r["doc_id"] for r in docs.collect()} - toxic
     second = corpus_pipeline.drop_near_duplicates(spark, first, SF)
-    groups = brute.near([(r["doc_id"], r["text"]) for r in first.collect()])
+    groups = brute.near([(r["doc_id"], r["text"]) for r in first.collect()], 80)
     assert {r["doc_id"] for r in second.collect()} == {d for d, (_, c) in groups.items() if c == d}
     third = corpus_pipeline.drop_leaks(spark, second, SF)
     leaks = {r["doc_id"] for r in decontaminate.matches(second, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
