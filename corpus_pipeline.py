@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import budget_mix, decontaminate, near_dedup, token_pack, toxicity
-from millrace.llm.common import delete, shared_dir, table
+from millrace.llm.common import delete, shared_dir, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -37,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed token files' index: doc_id, start, n_tokens, ids_crc32."""
+    small_batches(spark)
     return token_pack.round_trip(docs)
 
 
