@@ -48,7 +48,7 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 #: Rows and bytes of text that a Python worker takes from an Arrow batch at a time.
-STEP_ROWS, STEP_BYTES = 256, 16 << 20
+STEP_ROWS, STEP_BYTES = 256, 4 << 20
 
 
 def steps(batch: pa.RecordBatch, column: str, rows: int = STEP_ROWS, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

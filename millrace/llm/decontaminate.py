@@ -27,7 +27,7 @@ WINDOW, LITERALS, MATCHED = 8, 4, 13
 #: Benchmark windows that one scan of the corpus looks for (8 bytes each in every worker); more take more scans.
 WINDOWS_AT_ONCE, BROADCAST_ROWS = 2_000_000, 200_000
 #: Bytes whose words are found in one step.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 # Words that are numbers, and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
@@ -38,18 +38,10 @@ _SLOTS = text_hash.mix(np.arange(1, 4, dtype=np.uint64))
 _PLACES = np.random.default_rng(23).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
-def _bytes(of: bytes) -> np.ndarray:
-    """True at the numbers of these bytes."""
-    held = np.zeros(256, bool)
-    held[list(of)] = True
-    return held
-
-
-_SPACE, _CLOSER, _END = _bytes(b" \t\n\x0b\x0c\r"), _bytes(b"\"')]}"), _bytes(b".!?:")
-_BARE = ~(_SPACE | _bytes(b".,;:!?\"'()[]{}<>*_`~-"))
-_UPPER, _LOWER = _bytes(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _bytes(b"abcdefghijklmnopqrstuvwxyz")
-_MAY_BE_NUMBER = _bytes(b"+$0123456789\xe2\xc2")
-_TO_LOWER = np.arange(256, dtype=np.uint8) + 32 * _UPPER.astype(np.uint8)
+_SPACE, _CLOSER, _END = text_hash.SPACE, text_hash.byte_set(b"\"')]}"), text_hash.byte_set(b".!?:")
+_BARE = ~(_SPACE | text_hash.byte_set(b".,;:!?\"'()[]{}<>*_`~-"))
+_LOWER_CASE = text_hash.byte_set(b"abcdefghijklmnopqrstuvwxyz")
+_MAY_BE_NUMBER = text_hash.byte_set(b"+$0123456789\xe2\xc2")
 _NUMBERS = {w.encode() for w in NUMBER_WORDS}
 
 
@@ -63,10 +55,8 @@ _NUMBER_HASHES, _UNIT_HASHES = _hashes(NUMBER_WORDS), _hashes(UNITS)
 
 def _words(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = np.frombuffer(piece, np.uint8)
-    space = _SPACE[a]
-    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    bare, open_ = np.flatnonzero(_BARE[a]), np.flatnonzero(~(space | _CLOSER[a]))
+    start, end = text_hash.word_bounds(a)
+    bare, open_ = np.flatnonzero(_BARE[a]), np.flatnonzero(~(_SPACE | _CLOSER)[a])
     hashes, flags = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
     # The last byte before closing quotes and brackets.
     last = np.searchsorted(open_, end) - 1
@@ -78,8 +68,8 @@ def _words(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = first <= final
     flags[~some] |= _EMPTY
     first, final = bare[first[some]], bare[final[some]] + 1
-    h = text_hash.ranges(text_hash.prefix(_TO_LOWER[a]), first, final)
-    own = np.where(_UPPER[a[first]] & (final - first > 1) & _LOWER[a[np.minimum(first + 1, len(a) - 1)]], _CAPITAL, 0)
+    h = text_hash.ranges(text_hash.prefix(text_hash.LOWER[a]), first, final)
+    own = np.where(text_hash.UPPER[a[first]] & (final - first > 1) & _LOWER_CASE[a[np.minimum(first + 1, len(a) - 1)]], _CAPITAL, 0)
     own |= np.where(np.isin(h, _NUMBER_HASHES), _IS_NUMBER, 0) | np.where(np.isin(h, _UNIT_HASHES), _IS_UNIT, 0)
     for i in np.flatnonzero(_MAY_BE_NUMBER[a[first]]):
         if _NUMBER.fullmatch(piece, first[i], final[i]):
@@ -116,8 +106,7 @@ def template(texts: list[bytes]) -> Reading:
         parts.append((start + at, h, f))
         at = end
     start, h, f = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    owner = np.searchsorted(ends, start, "right")
+    owner = text_hash.owners(texts, start)
     opens = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]
     begins = opens | np.concatenate([[True], (f[:-1] & _ENDS) > 0])[: len(f)]
     keep = (f & _EMPTY) == 0

@@ -46,6 +46,28 @@ def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0)
     return mix(h ^ (end - start).astype(np.uint64))
 
 
+def byte_set(of: bytes) -> np.ndarray:
+    """True at the numbers of these bytes."""
+    held = np.zeros(256, bool)
+    held[list(of)] = True
+    return held
+
+
+SPACE, UPPER = byte_set(b" \t\n\x0b\x0c\r"), byte_set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+LOWER = np.arange(256, dtype=np.uint8) + 32 * UPPER.astype(np.uint8)
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of a uint8 array."""
+    edge = np.flatnonzero(np.diff(SPACE[data], prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
+def owners(texts: list[bytes], start: np.ndarray) -> np.ndarray:
+    """Which of ``texts``, joined by a line feed, each of these places is in."""
+    return np.searchsorted(np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), start, "right")
+
+
 def shingles(text: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word windows of a text, A-Z lower-cased.
 

@@ -64,14 +64,19 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return out
 
 
-def _drops_white_space(spec: dict) -> bool:
+def _spec(part) -> dict:
+    """A tokenizer's description of one of its parts; of the part only, as the whole holds the vocabulary."""
+    return json.loads(part.__getstate__()) if part is not None else {}
+
+
+def _drops_white_space(pre_tokenizer: dict, normalizer: dict) -> bool:
     """Whether a tokenizer's own description says that it treats the words of a text one by one.
 
     That holds where its first pre-tokenizer splits at white space, or keeps only matches of a pattern that white
     space cannot be part of, and its normalizer works on characters.
     """
     flat = lambda x, many: x.get(many, [x]) if x else []
-    first = (flat(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+    first = (flat(pre_tokenizer, "pretokenizers") or [{}])[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
     removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
     if removes:
@@ -81,7 +86,7 @@ def _drops_white_space(spec: dict) -> bool:
         removes = not any(any(c.isspace() for c in m[0]) for m in regex.finditer(pattern, probe))
     splits = first.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or bool(removes)
     local = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "BertNormalizer", "StripAccents"}
-    return splits and all(n.get("type") in local for n in flat(spec.get("normalizer"), "normalizers"))
+    return splits and all(n.get("type") in local for n in flat(normalizer, "normalizers"))
 
 
 class WordEncoder:
@@ -97,7 +102,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_words = _drops_white_space(json.loads(self.tokenizer.to_str()))
+        self.by_words = _drops_white_space(_spec(self.tokenizer.pre_tokenizer), _spec(self.tokenizer.normalizer))
         own = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = own[0] if len(own) == 1 else None
         self.memory: dict[str, int] = {}

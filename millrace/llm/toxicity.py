@@ -9,8 +9,8 @@ windows of a clean document are negative; of a toxic document only the windows t
 highest are positive. A document's score is that of its highest window.
 
 The model is fitted on a bounded sample (documented parameters), in a task of its own that hands back BUCKETS numbers;
-every document is scored whole. As the layers are linear, a word's part of the logit is a single number, and a task
-remembers it per word.
+every document is scored whole. As the layers are linear, a word's part of the logit is a single number, which is worked
+out once per distinct word of a group of documents.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from . import text_hash
 from .common import own_names, ragged, steps
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
-#: Documents scored in one step.
-GROUP = 128
+#: Documents, and about the bytes of them, scored in one step.
+GROUP, GROUP_BYTES = 256, 1 << 18
 #: At most so many labelled documents of each class are learnt from, each with its whole text, and so many bytes of
 #: them; a document that would exceed the bytes is passed over.
 SAMPLE, SAMPLE_BYTES = 1500, 24 << 20
@@ -39,27 +39,33 @@ ROUNDS, EPOCHS, RATE, DECAY, SEED = 4, 4, 0.03, 3e-5, 5
 WINDOWS = 12_000
 #: How much more a clean document lost weighs than a toxic one missed: clean ones are the greater part.
 CLEAN_WEIGHT = 4.0
-REMEMBERED = 400_000
 #: Words of the sample whose n-grams are cut in one step.
 WORDS_AT_ONCE = 20_000
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts): the n-gram buckets of the words in order, and how many each word has."""
-    marked = [b"<" + w.lower() + b">" for w in words]
-    data = np.frombuffer(b"".join(marked), np.uint8)
-    length = np.fromiter(map(len, marked), np.int64, len(marked))
-    end = np.repeat(np.cumsum(length), length)
-    sums, at = text_hash.prefix(data), np.arange(len(data))
-    found, owner = [], []
-    of = np.repeat(np.arange(len(marked)), length)
-    for n in GRAMS:
-        ok = at + n <= end
-        found.append(text_hash.ranges(sums, at[ok], at[ok] + n) >> np.uint64(64 - BUCKETS.bit_length() + 1))
-        owner.append(of[ok])
-    found, owner = np.concatenate(found).astype(np.int64), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return found[order], np.bincount(owner, minlength=len(marked))
+def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts): the n-gram buckets of the words at these places in order, and how many each has.
+
+    Each word is lower-cased and put between < and >.
+    """
+    size = end - start
+    last = np.cumsum(size + 2)
+    first = last - size - 2
+    marked = np.empty(last[-1] if len(last) else 0, np.uint8)
+    marked[first], marked[last - 1] = ord("<"), ord(">")
+    inside = np.ones(len(marked), bool)
+    inside[first] = inside[last - 1] = False
+    marked[inside] = text_hash.LOWER[data[ragged(start, size)]]
+    of = np.repeat(np.arange(len(size)), size + 2)
+    left = last[of] - np.arange(len(marked))  # bytes from here to the word's end
+    sums, per = text_hash.prefix(marked), np.array(GRAMS)
+    # The n-grams that begin at one byte follow one another, so that a word's are together.
+    counts = np.minimum(left, per[-1]) - per[0] + 1
+    counts = np.maximum(counts, 0)
+    at = np.repeat(np.arange(len(marked)), counts)
+    n = ragged(np.full(len(marked), per[0]), counts)
+    found = text_hash.ranges(sums, at, at + n) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+    return found.astype(np.int64), np.bincount(of, counts, len(size)).astype(np.int64)
 
 
 @dataclass
@@ -73,41 +79,35 @@ class Model:
     bias: float
     window: int = WINDOW
 
-    def __post_init__(self):
-        self.memory: dict[bytes, int] = {}
-        self.parts = np.zeros((0, 2))
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Rows of ``parts`` (summed weight, number of n-grams) that belong to the words."""
-        new = [w for w in set(words) if w not in self.memory]  # a set difference would walk all of the memory
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory, self.parts, new = {}, self.parts[:0], list(set(words))
-        if new:
-            found, counts = grams(new)
-            sums = np.add.reduceat(np.append(self.weight[found], 0.0), np.concatenate([[0], np.cumsum(counts)[:-1]]))
-            self.memory.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
-            self.parts = np.concatenate([self.parts, np.stack([np.where(counts > 0, sums, 0.0), counts], 1)])
-        return np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
-
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """0 to 1 per text: its highest window's probability. A text without words scores as an empty window."""
-        split = [t.split() for t in texts]
-        flat = [w for s in split for w in s]
-        n = np.fromiter(map(len, split), np.int64, len(split))
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        start, end = text_hash.word_bounds(data)
         logit = np.full(len(texts), min(self.bias, -1.0))
-        if flat:
-            parts, full = self.parts_of(flat), np.flatnonzero(n)
+        if len(start):
+            owner = text_hash.owners(texts, start)
+            n = np.bincount(owner, minlength=len(texts))
+            parts, full = self._parts(data, start, end), np.flatnonzero(n)
             begin = np.cumsum(n) - n
             k = -(-n // self.window)
-            start = np.repeat(begin - (np.cumsum(k) - k) * self.window, k) + np.arange(k.sum()) * self.window
-            sums = np.add.reduceat(parts, start, axis=0)
+            at = np.repeat(begin - (np.cumsum(k) - k) * self.window, k) + np.arange(k.sum()) * self.window
+            sums = np.add.reduceat(parts, at, axis=0)
             window = sums[:, 0] / np.maximum(sums[:, 1], self.window * 16) + self.bias
             logit[full] = np.maximum.reduceat(window, (np.cumsum(k) - k)[full])
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    def parts_of(self, words: list[bytes]) -> np.ndarray:
-        rows = self.numbers(words)
-        return self.parts[rows]
+    def _parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(summed weight, number of n-grams) of each word."""
+        key = text_hash.ranges(text_hash.prefix(data), start, end)
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        found, counts = grams(data, start[first], end[first])
+        sums = np.bincount(np.repeat(np.arange(len(first)), counts), self.weight[found], len(first))
+        return np.stack([sums, counts], 1)[same]
+
+
+def _grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    end = np.cumsum([len(w) for w in words])
+    return grams(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], end[:-1]]), end)
 
 
 class _Bags:
@@ -117,7 +117,7 @@ class _Bags:
         vocabulary: dict[bytes, int] = {}
         docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int32) for t in texts]
         words = list(vocabulary) or [b""]
-        done = [grams(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        done = [_grams_of(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
         found, counts = np.concatenate([f.astype(np.int32) for f, _ in done]), np.concatenate([c for _, c in done])
         begin, documents = np.cumsum(counts) - counts, np.zeros(BUCKETS, np.int64)
         for ids in docs:
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in steps(batch, "text", GROUP):
+            for piece in steps(batch, "text", GROUP, GROUP_BYTES):
                 yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(_step_scores(get(), piece), pa.float64())], ["doc_id", "held_out", "score"])
 
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
@@ -332,7 +332,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in steps(batch, text, GROUP):
+            for piece in steps(batch, text, GROUP, GROUP_BYTES):
                 yield piece.filter(pa.array(_step_scores(get(), piece, text) < 0.5, pa.bool_()))
 
     own = docs.toDF(*columns)  # some names, as those with a dot, cannot be passed to Python
