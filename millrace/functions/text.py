@@ -206,3 +206,25 @@ def count_of(n: Column, one: str, many: str) -> Column:
 def split_tags(c: Column) -> Column:
     """Comma-separated tags: trimmed, blanks dropped, first of each kept."""
     return F.array_distinct(F.filter(F.transform(F.split(c, ","), trim), lambda t: t != ""))
+
+
+#: A Markdown table: a row, a divider of cells like --- or :--:, and further rows.
+TABLE = r"(?m)^[ \t]*\|[^\n]*\n[ \t]*\|[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$(?:\n[ \t]*\|[^\n]*)*"
+
+
+def tables(markdown: Column) -> Column:
+    """The tables of a text as arrays of rows of cells, without their dividers."""
+
+    def cells(line: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(trim(line), r"\A\|", ""), r"\|\z", "")
+        return F.transform(F.split(bare, r"\|", -1), trim)
+
+    found = F.regexp_extract_all(markdown, F.lit(TABLE), F.lit(0))
+    return F.transform(found, lambda block: F.transform(F.filter(F.split(block, "\n", -1), lambda x, i: i != 1), cells))
+
+
+def paragraphs(markdown: Column) -> Column:
+    """Paragraphs of a text without fenced code and tables, inline marks removed."""
+    bare = F.regexp_replace(line_feeds(markdown), r"(?m)^```[^\n]*(?:\n(?!```)[^\n]*)*(?:\n```[^\n]*)?", "\n\n")
+    bare = F.regexp_replace(bare, TABLE, "\n\n")
+    return F.filter(F.transform(F.split(strip_inline_markdown(bare), r"\n[ \t]*\n\s*", -1), trim), lambda p: p != "")

@@ -29,17 +29,21 @@ def root_directory(exported_at: Column, prefix: str = "millrace") -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(exported_at, 1, 10))
 
 
-def entry_names(found: DataFrame) -> DataFrame:
-    """``found`` with ``entry``: platform, slug and number in the batch (one ordered pass over the tabs of a batch)."""
-    number = F.row_number().over(Window.orderBy("tab_id"))
+def entry_names(found: DataFrame, batch: str, order: str = "tab_id") -> DataFrame:
+    """``found`` with ``entry``: platform, slug and number in its batch (the column ``batch``), by ``order``."""
+    number = F.row_number().over(Window.partitionBy(batch).orderBy(order))
     return found.withColumn("entry", F.concat_ws("-", "platform", slugify(F.col("title")), number.cast("string")))
 
 
 def display_names(found: DataFrame) -> DataFrame:
-    """``found`` with ``title_count`` and ``display``: the host, with the path where a title occurs twice."""
-    same = Window.partitionBy(F.lower(F.trim("title")))
+    """``found`` with ``title_count`` and ``display``: the host, with the path where a title occurs twice.
+
+    Titles are counted by a partial aggregation and joined on, so that a title of very many tabs is no single task.
+    """
+    key = F.lower(F.trim("title"))
+    counts = found.groupBy(key.alias("_title")).agg(F.count("*").alias("title_count"))
     path = F.regexp_replace(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), "/$", "")
-    counted = found.withColumn("title_count", F.count("*").over(same))
+    counted = found.join(counts, key == F.col("_title")).drop("_title")
     return counted.withColumn("display", F.concat(F.coalesce(host(F.col("url")), F.lit("")), F.when(F.col("title_count") > 1, path).otherwise("")))
 
 
@@ -53,7 +57,7 @@ def manifest(results: DataFrame) -> DataFrame:
     )
     return results.groupBy("batch_id").agg(
         F.count("*").alias("result_count"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("failed_count"),
-        F.coalesce(F.bool_or(ok & (F.size(F.coalesce("files", F.expr("cast(array() as array<string>)"))) > 0)), F.lit(False)).alias("has_files"),
+        F.bool_or(ok & F.coalesce(F.size("files") > 0, F.lit(False))).alias("has_files"),
         F.array_sort(F.collect_list(row)).alias("results"),
     )
 

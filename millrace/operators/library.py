@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, stable_hash, trim
+from .schema import MESSAGE, complete
 
 
 def normal_tags(tags: Column) -> Column:
@@ -16,27 +17,37 @@ def normal_tags(tags: Column) -> Column:
 
 
 def records(conversations: DataFrame, messages: DataFrame, reports: DataFrame, saved_at: Column, tags: Column | None = None, label: Column | None = None) -> DataFrame:
-    """One record per conversation.
+    """One record per conversation, with its messages, so that it can be rendered again (``stored``).
 
-    The content hash is taken over a canonical form of ours: source, export time and the message hashes in order.
+    The content hash is taken over a canonical form of ours: source, export time and the message hashes in order. It is
+    for display; a record's id is 128 bits of a cryptographic hash, as a library can hold very many.
     """
     mark = stable_hash(F.concat_ws("\n", "role", "author_label", "text"))
-    hashes = messages.select("conv_id", F.struct("idx", mark.alias("hash")).alias("row")).groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list("row")), lambda r: r["hash"]).alias("message_hashes")
-    )
-    df = conversations.join(reports.select("conv_id", "status", "message_count"), "conv_id").join(hashes, "conv_id", "left")
+    held = complete(messages).select("conv_id", "idx", mark.alias("hash"), F.struct("idx", *MESSAGE).alias("message"))
+    by_position = lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0)
+    rows = held.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "hash", "message")), by_position).alias("rows"))
+    rows = rows.select("conv_id", F.transform("rows", lambda r: r["hash"]).alias("message_hashes"), F.transform("rows", lambda r: r["message"]).alias("messages"))
+    df = conversations.join(reports.select("conv_id", "status", "message_count", F.struct(*[c for c in reports.columns if c != "conv_id"]).alias("report")), "conv_id").join(rows, "conv_id", "left")
     df = df.withColumns({"message_hashes": F.coalesce("message_hashes", F.expr("cast(array() as array<string>)")), "saved_at": saved_at})
     df = df.withColumn("content_hash", stable_hash(F.concat_ws("\n", F.coalesce("source_url", F.lit("")), F.coalesce("exported_at", F.lit("")), F.array_join("message_hashes", ","))))
-    ident = F.concat(F.lit("library-"), stable_hash(F.concat_ws("\n", F.coalesce("source_url", F.lit("")), F.coalesce("exported_at", F.lit("")), "saved_at", "content_hash")))
+    ident = F.concat(F.lit("library-"), F.substring(F.sha2(F.concat_ws("\n", F.coalesce("source_url", F.lit("")), F.coalesce("exported_at", F.lit("")), "saved_at", F.array_join("message_hashes", ",")), 256), 1, 32))
     return df.select(
         ident.alias("id"), "conv_id", "saved_at", F.coalesce(blank_to_null(F.col("title")), F.lit("Untitled conversation")).alias("title"),
         normal_tags(tags if tags is not None else F.expr("cast(array() as array<string>)")).alias("tags"),
         (blank_to_null(label) if label is not None else F.lit(None).cast("string")).alias("project_label"),
         F.col("platform_label").alias("source_platform"), F.col("platform").alias("source_platform_id"), "source_url", F.col("exported_at").alias("export_date"),
-        "message_count", F.col("status").alias("completeness_status"), "content_hash", "message_hashes",
+        "message_count", F.col("status").alias("completeness_status"), "content_hash", "message_hashes", "conversation_id", "report", "messages",
     )
 
 
+def stored(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(conversations, messages, reports) of ``records``, keyed by the record's id: what ``sinks.files.render_files`` takes."""
+    key = F.col("id").alias("conv_id")
+    heads = records.select(key, F.col("source_platform_id").alias("platform"), F.col("source_platform").alias("platform_label"), "source_url", "title", "conversation_id", F.col("export_date").alias("exported_at"))
+    messages = records.select(key, F.explode("messages").alias("m")).select("conv_id", "m.*")
+    return heads, messages, records.select(key, "report.*")
+
+
 def search(df: DataFrame, query: str | None = None, label: str | None = None, platform: str | None = None, tags: Iterable[str] = ()) -> DataFrame:
     """Records that fit all that is asked for, without regard to case; texts of messages are not searched."""
 
@@ -82,8 +93,12 @@ class Library:
         return None if df is None else df.orderBy(F.desc("saved_at"))
 
     def put(self, new: DataFrame) -> None:
-        """Records replace those of the same id."""
-        old = self.read()
+        """Records replace those of the same id; of several new ones with one id the last saved stays.
+
+        Writers take turns: of two at once, the version that is written last holds only its own records.
+        """
+        best = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), F.struct("saved_at", "content_hash")).alias("r"))
+        new, old = best.select("r.*"), self.read()
         self._write(new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new))
 
     def delete(self, ids: DataFrame) -> None:

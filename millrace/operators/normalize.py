@@ -7,6 +7,9 @@ on each other's fate and are folded in order. Rows equal in both keys collapse b
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +59,28 @@ def clean_messages(raw: DataFrame) -> DataFrame:
     )
 
 
-def _fold(rows: Column) -> Column:
-    """Positions kept of an ordered array of (idx, id, fp): none shares a key with a row kept before it."""
-    start = F.expr("cast(named_struct('ids', array(), 'fps', array(), 'kept', array()) as struct<ids:array<string>,fps:array<string>,kept:array<bigint>>)")
+def _kept(rows: list[dict]) -> list[int]:
+    """Positions kept of ordered rows of (idx, id, fp): none shares a key with a row kept before it."""
+    ids, marks, kept = set(), set(), []
+    for row in rows:
+        if row["id"] not in ids and row["fp"] not in marks:
+            if row["id"] is not None:
+                ids.add(row["id"])
+            marks.add(row["fp"])
+            kept.append(row["idx"])
+    return kept
+
+
+def _folded(tangled: DataFrame) -> DataFrame:
+    """conv_id, idx kept of ``tangled`` (conv_id, rows): one pass with two sets over each conversation's rows."""
 
-    def step(acc: Column, row: Column) -> Column:
-        again = F.coalesce(F.array_contains(acc["ids"], row["id"]), F.lit(False)) | F.array_contains(acc["fps"], row["fp"])
-        ids = F.when(row["id"].isNull(), acc["ids"]).otherwise(F.concat(acc["ids"], F.array(row["id"])))
-        taken = F.struct(ids.alias("ids"), F.concat(acc["fps"], F.array(row["fp"])).alias("fps"), F.concat(acc["kept"], F.array(row["idx"])).alias("kept"))
-        return F.when(again, acc).otherwise(taken)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_kept(rows) for rows in batch.column("rows").to_pylist()]
+            owner = pa.array([k for k, found in enumerate(kept) for _ in found], pa.int64())
+            yield pa.record_batch([batch.column("conv_id").take(owner), pa.array([i for found in kept for i in found], pa.int64())], ["conv_id", "idx"])
 
-    return F.aggregate(rows, start, step, lambda acc: acc["kept"])
+    return tangled.mapInArrow(run, f"conv_id {tangled.schema['conv_id'].dataType.simpleString()}, idx long")
 
 
 def first_rows(keyed: DataFrame) -> DataFrame:
@@ -81,7 +95,7 @@ def first_rows(keyed: DataFrame) -> DataFrame:
     # Rows whose keys nobody else has are kept; the others are folded, conversation by conversation.
     lone = (F.col("of_id") == 1) & (F.col("of_fp") == 1)
     tangled = marked.filter(~lone).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "fp"))).alias("rows"))
-    return marked.filter(lone).select("conv_id", "idx").unionByName(tangled.select("conv_id", F.explode(_fold(F.col("rows"))).alias("idx")))
+    return marked.filter(lone).select("conv_id", "idx").unionByName(_folded(tangled))
 
 
 def dedupe(messages: DataFrame, order: str = "idx") -> DataFrame:

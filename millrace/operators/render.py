@@ -247,7 +247,7 @@ def json_documents(conversations: DataFrame, messages: DataFrame, reports: DataF
 
 
 def html_body(markdown_text: Column) -> Column:
-    """A small Markdown to HTML: fenced code, http links and paragraphs; everything else is escaped text."""
+    """A small Markdown to HTML: fenced code, tables, http links and paragraphs; everything else is escaped text."""
 
     def paragraph(block: Column) -> Column:
         linked = F.regexp_replace(T.html_escape(block), r"\[([^\]\n]+)\]\((https?://[^)\s]+)\)", '<a href="$2" rel="noreferrer">$1</a>')
@@ -257,9 +257,18 @@ def html_body(markdown_text: Column) -> Column:
     outside = F.split(markdown_text, fenced, -1)
     blocks = F.regexp_extract_all(markdown_text, F.lit(fenced), F.lit(0))
 
-    def prose(text: Column) -> Column:
+    def paragraphs(text: Column) -> Column:
         return F.array_join(F.filter(F.transform(F.split(T.trim(text), r"\n{2,}"), paragraph), lambda p: p != ""), NL)
 
+    def table(rows: Column) -> Column:
+        line = lambda row, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(row, lambda c: F.concat(F.lit(f"<{tag}>"), T.html_escape(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+        rest = F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), lambda row: line(row, "td")), NL)
+        return F.concat(F.lit("<table>\n<thead>"), line(F.get(rows, F.lit(0)), "th"), F.lit("</thead>\n<tbody>"), rest, F.lit("</tbody>\n</table>"))
+
+    def prose(text: Column) -> Column:
+        mixed = F.zip_with(F.split(text, T.TABLE, -1), T.tables(text), lambda p, t: F.concat_ws(NL, _some(paragraphs(p)), F.when(t.isNotNull(), table(t))))
+        return F.when(F.instr(text, "|") > 0, F.array_join(F.filter(mixed, lambda p: p != ""), NL)).otherwise(paragraphs(text))
+
     def code(block: Column) -> Column:
         language = F.regexp_replace(F.regexp_extract(block, r"\A`{3,}([^\n`]*)", 1), "[^A-Za-z0-9_-]", "")
         inner = F.regexp_replace(F.regexp_replace(block, r"\A[^\n]*\n", ""), r"\n?[^\n]*\z", "")
@@ -285,3 +294,62 @@ def html(conversations: DataFrame, messages: DataFrame, reports: DataFrame) -> D
         F.when(F.size("all_warnings") > 0, F.concat(F.lit("<ul>\n"), warned, F.lit("\n</ul>"))), F.array_join("pieces", NL), "</body>", "</html>", "",
     )
     return with_facts(conversations, reports).join(pieces, "conv_id").select("conv_id", whole.alias("text"))
+
+
+def _paragraph(c: Column, style: str | None = None) -> Column:
+    """A paragraph of a word-processor document; line feeds are breaks, control characters go."""
+    kept = T.xml_escape(F.regexp_replace(T.line_feeds(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", ""))
+    line = lambda x: F.concat(F.lit('<w:t xml:space="preserve">'), x, F.lit("</w:t>"))
+    runs = F.array_join(F.transform(F.split(kept, NL, -1), line), "<w:br/>")
+    head = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
+    return F.concat(F.lit(f"<w:p>{head}<w:r>"), runs, F.lit("</w:r></w:p>"))
+
+
+_BORDERS = "".join(f'<w:{x} w:val="single" w:sz="4"/>' for x in ("top", "left", "bottom", "right", "insideH", "insideV"))
+
+
+def _word_table(rows: Column) -> Column:
+    cell = lambda c: F.concat(F.lit('<w:tc><w:tcPr><w:tcW w:w="2400" w:type="dxa"/></w:tcPr>'), _paragraph(c), F.lit("</w:tc>"))
+    row = lambda r: F.concat(F.lit("<w:tr>"), F.array_join(F.transform(r, cell), ""), F.lit("</w:tr>"))
+    return F.concat(F.lit(f"<w:tbl><w:tblPr><w:tblBorders>{_BORDERS}</w:tblBorders></w:tblPr>"), F.array_join(F.transform(rows, row), ""), F.lit("</w:tbl>"))
+
+
+def _joined(items: Column, how) -> Column:
+    return F.coalesce(F.array_join(F.transform(items, how), ""), F.lit(""))
+
+
+def word_body(conversations: DataFrame, messages: DataFrame, reports: DataFrame) -> DataFrame:
+    """conv_id, title, exported_at, xml: the body of a word-processor document per conversation.
+
+    Each message has a heading, its role and model, its tables, its paragraphs, its code blocks, its images and its extra
+    sections, in this order.
+    """
+    role = F.concat(F.lit("Role: "), F.col("role"), F.coalesce(F.concat(F.lit(" | Model: "), _some(F.col("model"))), F.lit("")))
+    label = lambda x: F.coalesce(F.concat(F.lit("Code ("), _some(x["language"]), F.lit(")")), F.lit("Code"))
+    source = lambda x: F.coalesce(x["src"], x["localFilename"])
+    named = lambda x: F.coalesce(T.blank_to_null(x["alt"]), F.lit("Image"))
+    image = lambda x: F.coalesce(F.concat(F.lit("Image: "), named(x), F.lit(" - "), source(x), dimensions(x["width"], x["height"])), image_text(x))
+    extra = F.filter(F.split(F.concat_ws(NL, *advanced_text()), NL, -1), lambda x: x != "")
+    piece = F.concat(
+        _paragraph(F.concat((F.col("idx") + 1).cast("string"), F.lit(". "), F.col("author_label")), "Heading1"), _paragraph(role),
+        _joined(T.tables(T.line_feeds(F.col("markdown"))), _word_table),
+        _joined(F.when(F.col("markdown").isNotNull(), T.paragraphs(F.col("markdown"))).otherwise(F.filter(F.transform(F.split(T.line_feeds(F.col("text")), r"\n{2,}", -1), T.trim), lambda p: p != "")), lambda x: _paragraph(x)),
+        _joined(F.col("code_blocks"), lambda x: F.concat(_paragraph(label(x), "Heading2"), _paragraph(code_text(x), "CodeBlock"))),
+        F.when(F.size("images") > 0, F.concat(_paragraph(F.lit("Images"), "Heading2"), _joined(F.col("images"), lambda x: _paragraph(image(x))))).otherwise(""),
+        _joined(extra, lambda x: _paragraph(x)),
+    )
+    pieces = _gather(complete(messages), piece)
+    title = F.coalesce("title", F.lit("Untitled conversation"))
+    facts = (("Platform", "platform_label"), ("Source", "source_url"), ("Exported", "exported_at"), ("Messages", "message_count"), ("Completeness", "status"))
+    warned = F.concat(_paragraph(F.lit("Warnings"), "Heading2"), _joined(F.col("all_warnings"), lambda x: _paragraph(x)))
+    xml = F.concat(
+        _paragraph(title, "Title"), *[_paragraph(F.concat(F.lit(f"{n}: "), F.coalesce(F.col(c).cast("string"), F.lit("")))) for n, c in facts],
+        F.when(F.size("all_warnings") > 0, warned).otherwise(""), F.array_join("pieces", ""),
+    )
+    return with_facts(conversations, reports).join(pieces, "conv_id").select("conv_id", title.alias("title"), "exported_at", xml.alias("xml"))
+
+
+def contents(messages: DataFrame) -> DataFrame:
+    """conv_id, toc: a table of contents, one line per message."""
+    line = F.concat(F.lit("  "), (F.col("idx") + 1).cast("string"), F.lit(". "), T.single_line(F.col("author_label")))
+    return _gather(complete(messages), line).select("conv_id", F.concat(F.lit("Table of contents\n"), F.array_join("pieces", NL), F.lit("\n\n")).alias("toc"))

@@ -42,3 +42,14 @@ def merge_snapshots(windows: DataFrame) -> DataFrame:
     order = F.struct("step", "idx")
     at = windows.withColumn("_at", F.row_number().over(Window.partitionBy("conv_id").orderBy(order)).cast("long"))
     return dedupe(at, "_at").drop("_at")
+
+
+def cache_state(snapshots: DataFrame, now: DataFrame) -> DataFrame:
+    """page_id, scan_id, state of every page of ``now`` (page_id, url): whether its last snapshot may be used again.
+
+    ``snapshots`` has page_id, source_url, scan_id and saved_at. A page without a snapshot is missing, one that has moved
+    to another address since is stale.
+    """
+    last = snapshots.groupBy("page_id").agg(F.max_by(F.struct("source_url", "scan_id"), "saved_at").alias("last"))
+    state = F.when(F.col("last").isNull() | F.col("last.scan_id").isNull(), "missing").when(F.col("last.source_url") != F.col("url"), "stale").otherwise("ready")
+    return now.join(last, "page_id", "left").select("page_id", F.when(state == "ready", F.col("last.scan_id")).alias("scan_id"), state.alias("state"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import io
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filenames, images, text, urls
@@ -202,7 +206,17 @@ def normalize_dedupe(spark, sf_dir):
     return normalize.normalize(turns.unionByName(again)).select("conv_id", "idx", "role", "author_label", "text", "id", "duplicate_count")
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn AS k, CASE WHEN turn % 3 > 0 THEN 'm' || (turn % 4) END AS id, role, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, 'm' || (turn % 5), role, text FROM conversations),
+c AS (SELECT conv_id, k, id, {_ROLE} AS role, {_clean("coalesce(text, '')")} AS text FROM t),
+r AS (SELECT *, role || ':' || {_hash('text')} AS fp, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS n, count(*) OVER (PARTITION BY conv_id) AS of_conv FROM c WHERE text <> ''),
+w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, []::VARCHAR[] AS ids, []::VARCHAR[] AS fps, false AS kept FROM r
+  UNION ALL
+  SELECT conv_id, n, CASE WHEN again OR id IS NULL THEN ids ELSE list_append(ids, id) END, CASE WHEN again THEN fps ELSE list_append(fps, fp) END, NOT again
+  FROM (SELECT r.conv_id, r.n, r.id, r.fp, ids, fps, coalesce(list_contains(ids, r.id), false) OR list_contains(fps, r.fp) AS again FROM w JOIN r ON r.conv_id = w.conv_id AND r.n = w.n + 1)
+),
+k AS (SELECT r.*, (row_number() OVER (PARTITION BY r.conv_id ORDER BY r.n) - 1)::INT AS idx, of_conv - count(*) OVER (PARTITION BY r.conv_id) AS duplicate_count FROM r JOIN w ON r.conv_id = w.conv_id AND r.n = w.n AND w.kept)
+SELECT conv_id, idx, role, text, coalesce(id, 'msg-' || {_hash("(fp || ':' || idx)")}) AS id, duplicate_count FROM k""")
 def dedupe_two_keys(spark, sf_dir):
     """Ids that clash and texts that clash: whether a row stays depends on the rows before it."""
     turns = from_turns(spark, sf_dir).withColumn("id", F.when(F.col("idx") % 3 > 0, F.concat(F.lit("m"), (F.col("idx") % 4).cast("string"))))
@@ -383,20 +397,115 @@ for _p in PROFILES:
     SQL[f"render_md_{_p.replace('-', '_')}"] = _md_sql(_p)
 
 
+def _files(spark, sf_dir, fmt: str, **options):
+    h, m, r = _parts(spark, sf_dir)
+    return files.render_files(h, m, ExportOptions(formats=(fmt,), **options), r)
+
+
 def _sizes(fmt: str):
     def run(spark, sf_dir):
-        h, m, r = _parts(spark, sf_dir)
-        made = files.render_files(h, m, ExportOptions(formats=(fmt,), redaction=Redaction.of("strict")), r)
+        made = _files(spark, sf_dir, fmt, redaction=Redaction.of("strict"))
         data = F.coalesce("bytes", F.encode("text", "utf-8"))
         return made.select("conv_id", "format", "filename", "mime_type", F.octet_length(data).alias("size"), F.crc32(data).alias("crc"))
 
     return run
 
 
-for _f in ("json", "html", "docx", "pdf", "zip", "png"):
+for _f in ("pdf", "zip", "png"):
     QUERIES[f"render_{_f}"] = _sizes(_f)
 
 
+_FACTS = (("Platform", "platform_label"), ("Source", "source_url"), ("Exported", "exported_at"), ("Messages", "message_count::VARCHAR"), ("Completeness", "status"))
+
+
+def _html(x: str) -> str:
+    return f"""replace(replace({_esc(x)}, '"', '&quot;'), chr(39), '&#39;')"""
+
+
+_PARAGRAPHS = f"array_to_string(list_transform(list_filter(string_split_regex({_trim('text')}, '\\n{{2,}}'), lambda p: {_trim('p')} <> ''), lambda p: '<p>' || replace({_html('p')}, chr(10), '<br>' || chr(10)) || '</p>'), chr(10))"
+_HTML_HEAD = "'<!doctype html>', '<html lang=\"en\">', '<head><meta charset=\"utf-8\">', '<title>' || " + _html(_single("title")) + " || '</title>', '</head>', '<body>', '<h1>' || " + _html(_single("title")) + " || '</h1>', '<dl>', " + ", ".join(f"'<dt>{n}</dt><dd>' || {_html(c)} || '</dd>'" for n, c in _FACTS) + ", '</dl>'"
+
+
+@query(f"""{_M}, {_HEAD}, {_REPORT}, p AS (SELECT conv_id, string_agg('<article class="message ' || role || '">' || chr(10) || '<h2>' || (idx + 1) || '. ' || {_html('author_label')} || '</h2>' || chr(10) || {_PARAGRAPHS} || chr(10) || '</article>', chr(10) ORDER BY idx) AS pieces FROM m GROUP BY conv_id)
+SELECT conv_id, concat_ws(chr(10), {_HTML_HEAD}, pieces, '</body>', '</html>', '') AS text FROM h JOIN r USING (conv_id) JOIN p USING (conv_id)""")
+def render_html(spark, sf_dir):
+    return _files(spark, sf_dir, "html").select("conv_id", "text")
+
+
+@query(f"""{_M}, {_HEAD}, {_REPORT}, p AS (SELECT conv_id, list({{'id': id, 'index': idx, 'role': role, 'authorLabel': author_label, 'text': text}} ORDER BY idx) AS messages, substr({_single('arg_min(text, idx)')}, 1, 160) AS first, substr({_single('arg_max(text, idx)')}, 1, 160) AS last FROM m GROUP BY conv_id)
+SELECT conv_id, '1.0' AS schema_version, platform, source_url, title, message_count, status, first, last,
+ array_to_string(list_transform(messages, lambda x: concat_ws(chr(31), x.id, x.index, x.role, x.authorLabel, x.text)), chr(30)) AS messages FROM h JOIN r USING (conv_id) JOIN p USING (conv_id)""")
+def render_json(spark, sf_dir):
+    """The documents read back: every field of the head, the report and the messages."""
+    made = _files(spark, sf_dir, "json").select("conv_id", F.from_json("text", "schemaVersion string, platform string, sourceUrl string, title string, messageCount bigint, completeness struct<status:string,firstMessagePreview:string,lastMessagePreview:string>, messages array<struct<id:string,index:int,role:string,authorLabel:string,text:string>>").alias("d"))
+    lines = F.transform("d.messages", lambda x: F.concat_ws("\x1f", x["id"], x["index"].cast("string"), x["role"], x["authorLabel"], x["text"]))
+    return made.select(
+        "conv_id", F.col("d.schemaVersion").alias("schema_version"), "d.platform", F.col("d.sourceUrl").alias("source_url"), "d.title", F.col("d.messageCount").alias("message_count"), "d.completeness.status",
+        F.col("d.completeness.firstMessagePreview").alias("first"), F.col("d.completeness.lastMessagePreview").alias("last"), F.array_join(lines, "\x1e").alias("messages"),
+    )
+
+
+_TABLED = "'Before **this**' || chr(10) || '| a | b |' || chr(10) || '| :--- | ---: |' || chr(10) || '| ' || conv_id || ' | x<y |' || chr(10) || '| only |' || chr(10) || chr(10) || 'After `it`' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```'"
+
+
+def _tabled(spark, sf_dir):
+    """One message per conversation, with a table, code and inline marks."""
+    c = F.col("conv_id").cast("string")
+    body = F.concat(F.lit("Before **this**\n| a | b |\n| :--- | ---: |\n| "), c, F.lit(" | x<y |\n| only |\n\nAfter `it`\n```\ncode\n```"))
+    h = heads(spark, sf_dir)
+    m = complete(h.select("conv_id", F.lit(0).alias("idx"), F.lit("m").alias("id"), F.lit("user").alias("role"), F.lit("User").alias("author_label"), body.alias("text"), body.alias("markdown"), F.array(F.struct(F.lit("py").alias("language"), F.lit("code\n").alias("code"))).alias("code_blocks")))
+    return h, m, completeness.report(m)
+
+
+@query("""SELECT DISTINCT conv_id, '<p>Before **this**</p>' || chr(10) || '<table>' || chr(10) || '<thead><tr><th>a</th><th>b</th></tr></thead>' || chr(10) || '<tbody><tr><td>' || conv_id || '</td><td>x&lt;y</td></tr>' || chr(10) || '<tr><td>only</td></tr></tbody>' || chr(10) || '</table>' || chr(10)
+ || '<p>After `it`</p>' || chr(10) || '<pre><code>code</code></pre>' AS body FROM conversations""")
+def render_html_tables(spark, sf_dir):
+    made = files.render_files(*_tabled(spark, sf_dir)[:2], ExportOptions(formats=("html",)), _tabled(spark, sf_dir)[2])
+    return made.select("conv_id", F.regexp_extract("text", r"(?s)</h2>\n(.*)\n</article>", 1).alias("body"))
+
+
+def _word_text(packed: DataFrame) -> DataFrame:
+    """conv_id, lines: style and text of each paragraph and table cell of a word-processor document, in order."""
+    xml = unzipped(packed, "conv_id").filter("name = 'word/document.xml'")
+    found = F.regexp_extract_all("text", F.lit(r'<w:p>(?:<w:pPr><w:pStyle w:val="\w+"/></w:pPr>)?<w:r>.*?</w:r></w:p>|<w:tr>'), F.lit(0))
+    plain = lambda p: F.regexp_replace(F.replace(p, F.lit("<w:br/>"), F.lit("/")), "<[^>]*>", "")
+    style = lambda p: F.regexp_extract(p, 'w:pStyle w:val="([A-Za-z0-9]+)"', 1)
+    return xml.select("conv_id", F.array_join(F.transform(found, lambda p: F.when(p == "<w:tr>", "row").otherwise(F.concat(style(p), F.lit(":"), plain(p)))), "\n").alias("lines"))
+
+
+def _xml(x: str) -> str:
+    return f"""replace(replace({_esc(x)}, '"', '&quot;'), chr(39), '&apos;')"""
+
+
+_WORD_HEAD = f"'Title:' || {_xml('title')}, " + ", ".join(f"':{n}: ' || {_xml(c)}" for n, c in _FACTS)
+
+
+@query(f"""WITH {_HEAD} SELECT conv_id, concat_ws(chr(10), {_WORD_HEAD.replace('message_count::VARCHAR', "'1'").replace('status', "'complete'")}, 'Heading1:1. User', ':Role: user', 'row', ':a', ':b', 'row', ':' || conv_id, ':x&lt;y', 'row', ':only', ':Before this', ':After it', 'Heading2:Code (py)', 'CodeBlock:code') AS lines FROM h""")
+def render_docx_tables(spark, sf_dir):
+    h, m, r = _tabled(spark, sf_dir)
+    return _word_text(files.render_files(h, m, ExportOptions(formats=("docx",)), r))
+
+
+@query(f"""{_M}, {_HEAD}, {_REPORT}, b AS (SELECT conv_id, idx, role, author_label, unnest(list_filter(list_transform(string_split_regex(text, '\n{{2,}}'), lambda p: {_trim('p')}), lambda p: p <> '')) AS p FROM m),
+g AS (SELECT conv_id, idx, 'Heading1:' || (idx + 1) || '. ' || {_xml('author_label')} || chr(10) || ':Role: ' || role || chr(10) || string_agg(':' || replace({_xml('p')}, chr(10), '/'), chr(10)) AS piece FROM b GROUP BY conv_id, idx, role, author_label),
+p AS (SELECT conv_id, string_agg(piece, chr(10) ORDER BY idx) AS pieces FROM g GROUP BY conv_id) SELECT conv_id, concat_ws(chr(10), {_WORD_HEAD}, pieces) AS lines FROM h JOIN r USING (conv_id) JOIN p USING (conv_id)""")
+def render_docx(spark, sf_dir):
+    """Styles and texts of the paragraphs, read back from the packed documents."""
+    return _word_text(_files(spark, sf_dir, "docx"))
+
+
+@query(f"SELECT conv_id, string_agg('Größe — 中文 Привет 😀 ' || turn, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def pdf_text(spark, sf_dir):
+    """Texts of many scripts, read back from the pages by what each shown run stands for."""
+    turns = from_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx"))), lambda r: F.concat(F.lit("Größe — 中文 Привет 😀 "), r["idx"].cast("string"))), "\n").alias("text"))
+    made = files.pdf(turns)
+    shown = F.regexp_extract_all(F.decode("bytes", "ISO-8859-1"), F.lit(r"(?:/Span <</ActualText <FEFF[0-9A-F]+>>> BDC )?\([^()]*\) Tj|T\*"), F.lit(0))
+    other = lambda x: F.decode(F.unhex(F.regexp_extract(x, "<FEFF([0-9A-F]+)>", 1)), "UTF-16BE")
+    latin = lambda x: F.replace(F.regexp_extract(x, r"\(([^()]*)\)", 1), F.lit("\x97"), F.lit("—"))
+    run = lambda x: F.when(x == "T*", "\n").when(x.startswith("/Span"), other(x)).otherwise(latin(x))
+    return made.select("conv_id", F.rtrim(F.regexp_replace(F.array_join(F.transform(shown, run), ""), r"\n\z", "")).alias("text"))
+
+
 @query(rf"""WITH {_HEAD} SELECT conv_id, '2026-05-31T10-20-30Z_chatgpt_' || coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[\x00-\x1f<>:"/\\|?*]', '-', 'g'), '{_WS}+', '-', 'g'), '-+', '-', 'g'), '\A[.-]+|[.-]+\z', '', 'g'), ''), 'untitled-conversation') || '.md' AS filename FROM h""")
 def filename_template(spark, sf_dir):
     name = filenames.filename(None, F.col("exported_at"), F.col("platform"), F.col("title"), F.col("conversation_id"), F.lit("md"))
@@ -413,7 +522,7 @@ def hygiene_scan(spark, sf_dir):
 _HASHES = f"list({_hash("(role || chr(10) || author_label || chr(10) || text)")} ORDER BY idx)"
 _RECORDS = f"""{_M}, {_HEAD}, g AS (SELECT conv_id, count(*) AS message_count, {_HASHES} AS hs FROM m GROUP BY conv_id),
 x AS (SELECT *, {_hash("(source_url || chr(10) || exported_at || chr(10) || array_to_string(hs, ','))")} AS content_hash, '2026-06-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS saved_at FROM h JOIN g USING (conv_id)),
-l AS (SELECT 'library-' || {_hash("(source_url || chr(10) || exported_at || chr(10) || saved_at || chr(10) || content_hash)")} AS id, conv_id, saved_at, coalesce(nullif({_trim('title')}, ''), 'Untitled conversation') AS title,
+l AS (SELECT 'library-' || substr(sha256(source_url || chr(10) || exported_at || chr(10) || saved_at || chr(10) || array_to_string(hs, ',')), 1, 32) AS id, conv_id, saved_at, coalesce(nullif({_trim('title')}, ''), 'Untitled conversation') AS title,
  CASE WHEN conv_id % 2 = 0 THEN 'Even,All' ELSE 'All' END AS tags, CASE WHEN conv_id % 3 = 0 THEN 'Third' END AS project_label, message_count, content_hash FROM x)"""
 
 
@@ -438,6 +547,14 @@ def library_search(spark, sf_dir):
     return _shown(library.search(_records(spark, sf_dir), query=" TH ", label="third", platform="CHATGPT", tags=["even", "ALL"]))
 
 
+@query(f"{_RECORDS} SELECT l.conv_id AS conv_id, idx, role, author_label, text, title FROM l JOIN m USING (conv_id)")
+def library_stored(spark, sf_dir):
+    """The conversations as the library's records hold them."""
+    records = _records(spark, sf_dir)
+    head, held, _ = library.stored(records)
+    return held.join(head.select("conv_id", "title"), "conv_id").join(records.select(F.col("id").alias("conv_id"), F.col("conv_id").alias("of")), "conv_id").select(F.col("of").alias("conv_id"), "idx", "role", "author_label", "text", "title")
+
+
 # --- pages and batches ------------------------------------------------------------------------------------------
 
 
@@ -470,15 +587,18 @@ def duplicate_titles(spark, sf_dir):
     return batch.display_names(batch.candidates(_tabs(spark, sf_dir))).select("tab_id", "title", "title_count", "display")
 
 
-@query(_TABS + " SELECT tab_id FROM b WHERE tab_id % 5 = 0")
+@query(_TABS + " SELECT tab_id FROM b")
 def batch_requested(spark, sf_dir):
-    asked = from_turns(spark, sf_dir).select(F.col("conv_id").alias("tab_id")).filter("tab_id % 5 = 0")
+    """Every conversation is asked for, and as many tabs that nobody has."""
+    c = F.col("conv_id")
+    asked = from_turns(spark, sf_dir).select(F.explode(F.array(c, -c - 1)).alias("tab_id"))
     return batch.requested(batch.candidates(_tabs(spark, sf_dir)), asked).select("tab_id")
 
 
-@query(_TABS + ", n AS (SELECT DISTINCT conv_id AS tab_id FROM conversations WHERE conv_id % 5 = 0) SELECT tab_id FROM n WHERE tab_id NOT IN (SELECT tab_id FROM b)")
+@query(_TABS + ", n AS (SELECT DISTINCT unnest([conv_id, -conv_id - 1]) AS tab_id FROM conversations) SELECT tab_id FROM n WHERE tab_id NOT IN (SELECT tab_id FROM b)")
 def batch_stale(spark, sf_dir):
-    asked = from_turns(spark, sf_dir).select(F.col("conv_id").alias("tab_id")).filter("tab_id % 5 = 0")
+    c = F.col("conv_id")
+    asked = from_turns(spark, sf_dir).select(F.explode(F.array(c, -c - 1)).alias("tab_id"))
     return batch.stale(batch.candidates(_tabs(spark, sf_dir)), asked)
 
 
@@ -493,16 +613,63 @@ def batch_manifest(spark, sf_dir):
     return batch.manifest(results).select("batch_id", "result_count", "success_count", "failed_count", "has_files", rows.alias("rows"))
 
 
-@query()
+_SLUG = r"coalesce(nullif(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '\A-+|-+\z', '', 'g'), 1, 72), ''), 'untitled-chat')"
+
+
+@query(_TABS + f" SELECT tab_id, tab_id // 10 AS batch_id, platform || '-' || {_SLUG} || '-' || row_number() OVER (PARTITION BY tab_id // 10 ORDER BY tab_id) AS entry FROM b")
 def batch_entries(spark, sf_dir):
-    t = batch.candidates(_tabs(spark, sf_dir))
-    number = F.row_number().over(Window.partitionBy("platform").orderBy("tab_id"))
-    return t.select("tab_id", F.concat_ws("-", "platform", text.slugify(F.col("title")), number.cast("string")).alias("entry"))
+    t = batch.candidates(_tabs(spark, sf_dir)).withColumn("batch_id", F.floor(F.col("tab_id") / 10).cast("long"))
+    return batch.entry_names(t, "batch_id").select("tab_id", "batch_id", "entry")
+
+
+def unzipped(packed: DataFrame, key: str) -> DataFrame:
+    """key, name, text of every entry of the zips in ``packed`` (key, bytes)."""
+    kind = packed.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = [(at, n, z.read(n).decode("utf-8", "replace")) for at, data in enumerate(b.column("bytes").to_pylist()) for z in [zipfile.ZipFile(io.BytesIO(data))] for n in z.namelist()]
+            owner, names, texts = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.record_batch([b.column(key).take(pa.array(owner, pa.int64())), pa.array(names, pa.string()), pa.array(texts, pa.string())], [key, "name", "text"])
+
+    return packed.select(key, "bytes").mapInArrow(run, f"{key} {kind}, name string, text string")
 
 
-@query()
+def _batch_results(spark, sf_dir):
+    t = F.col("tab_id")
+    found = batch.candidates(_tabs(spark, sf_dir))
+    none = F.expr("cast(array() as array<string>)")
+    return found.select(F.floor(t / 10).cast("long").alias("batch_id"), t.alias("entry_no"), "tab_id", "platform", "title", "url", F.when(t % 3 == 0, "no_messages_found").alias("error"), F.lit(2).alias("message_count"), none.alias("files"), none.alias("warnings"))
+
+
+@query(_TABS.replace("WITH ", "WITH ", 1) + f""", e AS (SELECT tab_id, tab_id // 10 AS batch_id, platform || '-' || {_SLUG} || '-' || row_number() OVER (PARTITION BY tab_id // 10 ORDER BY tab_id) AS entry FROM b)
+SELECT batch_id, 'millrace-2026-05-31/' || entry || '.txt' AS name, tab_id || ' of é' AS text FROM e WHERE tab_id % 3 <> 0
+UNION ALL SELECT batch_id, 'millrace-2026-05-31/manifest.json', count(*) || ' ' || count(*) FILTER (tab_id % 3 <> 0) FROM e GROUP BY batch_id HAVING count(*) FILTER (tab_id % 3 <> 0) > 0""")
+def batch_archive(spark, sf_dir):
+    """Names and texts of the files inside each batch's archive; of the manifest, its counts."""
+    results = _batch_results(spark, sf_dir)
+    rendered = results.select("tab_id", F.lit("txt").alias("format"), F.lit("text/plain").alias("mime_type"), F.concat(F.col("tab_id").cast("string"), F.lit(" of é")).alias("text"), F.lit(None).cast("binary").alias("bytes"))
+    inside = unzipped(files.batch_archive(results, rendered, EXPORTED_AT), "batch_id")
+    counts = F.concat_ws(" ", F.get_json_object("text", "$.resultCount"), F.size(F.filter(F.from_json(F.get_json_object("text", "$.results"), "array<struct<status:string>>"), lambda r: r["status"] == "success")).cast("string"))
+    return inside.select("batch_id", "name", F.when(F.col("name").endswith("manifest.json"), counts).otherwise(F.col("text")).alias("text"))
+
+
+_BLOCK_TAGS = "|".join(sorted(chat_pages.BLOCKS | {"html", "body"}))
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<button.*?</button>|<form.*?</form>', '', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?i)<br */?>', chr(1), 'g'), '(?i)</?(?:" + _BLOCK_TAGS + r")(?:\s[^>]*)?>', chr(2), 'g'), '<[^>]*>', '', 'g')"
+
+
+def _decoded(x: str) -> str:
+    for name, sign in (("copy", 169), ("middot", 183), ("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("amp", 38)):
+        x = f"replace({x}, '&{name};', chr({sign}))"
+    return x
+
+
+@query(rf"""SELECT page_id, {_single(_decoded("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))} AS title, len(regexp_extract_all(html, '(?i)<a [^>]*href="(?:https?://|mailto:)'))::BIGINT AS n_links,
+ len(regexp_extract_all(html, '(?i)<table'))::BIGINT AS n_tables, len(regexp_extract_all(html, '(?i)<pre'))::BIGINT AS n_code, '' AS links,
+ array_to_string(list_filter(list_transform(string_split({_decoded(_PLAIN)}, chr(2)), lambda b: regexp_replace(array_to_string(list_transform(string_split(b, chr(1)), lambda l: {_single('l')}), chr(10)), '\A\n+|\n+\z', '', 'g')), lambda b: b <> ''), chr(10) || chr(10)) AS text FROM pages""")
 def page_content(spark, sf_dir):
-    return chat_pages.page_content(read(spark, sf_dir, "pages")).drop("links")
+    found = chat_pages.page_content(read(spark, sf_dir, "pages"))
+    return found.withColumn("links", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["text"], x["href"])), "\n"))
 
 
 def chat_page_table(spark, sf_dir):
@@ -513,6 +680,89 @@ def chat_page_table(spark, sf_dir):
     return body.select(F.col("conv_id").alias("page_id"), url.alias("url"), F.concat(F.lit("<html><head><title>Chat</title></head><body><main>"), "body", F.lit("</main></body></html>")).alias("html"))
 
 
+def _other_pages(spark, sf_dir, names=("claude", "gemini", "perplexity", "notebooklm")):
+    """Each conversation as a page of each of these platforms, with its own marks, hosts and wording."""
+    marks = {
+        "claude": ("https://claude.ai/chat/", "<div data-testid='user-message'>", "<div data-testid='assistant-message'><div class='prose'>", "</div></div>"),
+        "gemini": ("https://gemini.google.com/app/", "<user-query>", "<model-response><message-content>", "</message-content></model-response>"),
+        "perplexity": ("https://www.perplexity.ai/search/", "<div data-testid='query-text'>", "<div data-testid='answer'><div class='prose'>", "</div></div>"),
+        "notebooklm": ("https://notebooklm.google.com/notebook/", "<div data-test-id='user-query'>", "<div data-testid='chat-message-answer'><div class='markdown'>", "</div></div>"),
+    }
+    out = None
+    turns = from_turns(spark, sf_dir)
+    shown = F.concat(F.lit("<p>"), F.replace(text.html_escape(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    for k, (url, asks, answers, end) in enumerate(marks[n] for n in names):
+        close = "</user-query>" if asks == "<user-query>" else "</div>"
+        one = F.when(F.col("role") == "user", F.concat(F.lit(asks), shown, F.lit(close))).otherwise(F.concat(F.lit(answers), shown, F.lit(end)))
+        body = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("html")))), lambda r: r["html"]), "\n").alias("body"))
+        pages = body.select((F.col("conv_id") * 4 + k).alias("page_id"), F.concat(F.lit(url), F.col("conv_id").cast("string")).alias("url"), F.concat(F.lit("<html><body><main><nav><button>New</button></nav>"), "body", F.lit("</main></body></html>")).alias("html"))
+        out = pages if out is None else out.unionByName(pages)
+    return out
+
+
+_SEEN = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_single('l')}), lambda l: l <> ''), chr(10) || chr(10))"
+
+
+@query(f"""SELECT conv_id * 4 + k AS conv_id, (row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) - 1)::INT AS idx, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role,
+ CASE WHEN role = 'user' THEN 'User' ELSE ['Claude', 'Gemini', 'Perplexity', 'NotebookLM'][k + 1] END AS author_label, ['claude', 'gemini', 'perplexity', 'notebooklm'][k + 1] AS platform, {_SEEN} AS text
+FROM conversations, range(4) r(k) WHERE {_SEEN} <> ''""")
+def scan_platforms(spark, sf_dir):
+    """Pages of the four other platforms, found by their hosts."""
+    return chat_pages.scan(_other_pages(spark, sf_dir)).select("conv_id", "idx", "role", "author_label", "platform", "text")
+
+
+@query(f"""SELECT conv_id * 4 + k AS conv_id, (row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) - 1)::INT AS idx, ['claude', 'gemini', 'perplexity'][k + 1] AS platform, {_SEEN} AS text
+FROM conversations, range(3) r(k) WHERE {_SEEN} <> ''""")
+def scan_by_markup(spark, sf_dir):
+    """From an unknown host the markup tells the platform; the fourth one's marks are also the second's, which is tried first."""
+    pages = _other_pages(spark, sf_dir, ("claude", "gemini", "perplexity")).withColumn("url", F.lit("https://archive.example/page"))
+    return chat_pages.scan(pages).select("conv_id", "idx", "platform", "text")
+
+
+def _rich_pages(spark, sf_dir):
+    """Answers with their time, model, participant, kind, sources, reasoning and canvas, in a scrolling element."""
+    c, n = F.col("conv_id").cast("string"), F.col("idx").cast("string")
+    extra = F.concat(
+        F.lit("<details data-testid='thinking'><summary>Why "), n, F.lit("</summary><p>Because of <b>"), c, F.lit("</b></p></details><section data-testid='sources'><ol><li><a data-source-kind='web_search' data-source-id='s"),
+        n, F.lit("' href='https://e.org/"), n, F.lit("'>Site "), n, F.lit("</a><p>says so</p></li></ol></section><div data-testid='canvas-card' data-title='Draft "), n, F.lit("'><a href='https://e.org/canvas/"), c, F.lit("'>Open</a></div>"),
+    )
+    one = F.concat(
+        F.lit("<article data-testid='conversation-turn-"), n, F.lit("' data-model='m-"), n, F.lit("' data-content-type='Deep Research'><div data-message-author-role='"), "role", F.lit("' data-created-at='2026-06-01T10:00:"), F.lpad(n, 2, "0"),
+        F.lit("Z' data-participant-name='P "), c, F.lit("'><div class='markdown'><p>Turn "), n, F.lit("</p></div>"), extra, F.lit("</div></article>"),
+    )
+    body = from_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("html")))), lambda r: r["html"]), "").alias("body"))
+    html = F.concat(F.lit("<html><body><main style='overflow: hidden'><section style='height: 9px; overflow-y: auto'>"), "body", F.lit("</section><div style='overflow:scroll'></div></main></body></html>"))
+    return body.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("https://chatgpt.com/c/"), c).alias("url"), html.alias("html"))
+
+
+@query("""SELECT conv_id, turn::BIGINT AS turn, 'Turn ' || turn || chr(10) || chr(10) || 'Site ' || turn || chr(10) || chr(10) || 'says so' AS text, '2026-06-01T10:00:' || lpad(turn::VARCHAR, 2, '0') || 'Z' AS created_at, 'm-' || turn AS model, 'P ' || conv_id AS participant, 'deep_research' AS kind,
+ 'web_search s' || turn || ' Site ' || turn || ' https://e.org/' || turn || ' Site ' || turn || 'says so' AS sources, 'Why ' || turn || ': Because of ' || conv_id AS thinking, 'Draft ' || turn || ' https://e.org/canvas/' || conv_id AS canvas FROM conversations""")
+def scan_rich_content(spark, sf_dir):
+    s, t, v = (F.col(c)[0] for c in ("sources", "thinking_blocks", "canvas"))
+    return chat_pages.scan(_rich_pages(spark, sf_dir)).select(
+        "conv_id", F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("turn"), "text", "created_at", "model", "participant", F.col("metadata")["contentKind"].alias("kind"),
+        F.concat_ws(" ", s["kind"], s["id"], s["title"], s["url"], s["snippet"]).alias("sources"), F.concat_ws(": ", t["title"], t["text"]).alias("thinking"), F.concat_ws(" ", v["title"], v["url"], v["text"]).alias("canvas"),
+    )
+
+
+@query("SELECT conv_id AS page_id, 'section' AS tag, count(*)::INT AS n_messages FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - conv_id, 'html', 0 FROM (SELECT DISTINCT conv_id FROM conversations)")
+def scroll_containers(spark, sf_dir):
+    rich = _rich_pages(spark, sf_dir).select("page_id", "html")
+    bare = rich.select((-1 - F.col("page_id")).alias("page_id"), F.lit("<body><p>none</p></body>").alias("html"))
+    return chat_pages.containers(rich.unionByName(bare))
+
+
+@query("""SELECT conv_id AS page_id, CASE WHEN conv_id % 3 = 2 THEN 'scan-' || n || '-new' END AS scan_id, CASE conv_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'stale' ELSE 'ready' END AS state
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""")
+def snapshot_cache(spark, sf_dir):
+    c = F.col("conv_id")
+    of = from_turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n"))
+    url = F.concat(F.lit("https://chatgpt.com/c/"), c.cast("string"))
+    old = of.filter(c % 3 != 0).select(c.alias("page_id"), url.alias("source_url"), F.concat(F.lit("scan-"), F.col("n").cast("string"), F.lit("-old")).alias("scan_id"), F.lit(1).alias("saved_at"))
+    new = old.select("page_id", F.when(F.col("page_id") % 3 == 1, "https://chatgpt.com/").otherwise(F.col("source_url")).alias("source_url"), F.replace("scan_id", F.lit("-old"), F.lit("-new")).alias("scan_id"), F.lit(2).alias("saved_at"))
+    return scan.cache_state(old.unionByName(new), of.select(c.alias("page_id"), url.alias("url")))
+
+
 @query(f"SELECT conv_id, (turn - min(turn) OVER (PARTITION BY conv_id))::INT AS idx, role, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_single('l')}), lambda l: l <> ''), chr(10) || chr(10)) AS text, conv_id::VARCHAR AS conversation_id FROM conversations")
 def scan_pages(spark, sf_dir):
     return chat_pages.scan(chat_page_table(spark, sf_dir)).select("conv_id", "idx", "role", "text", "conversation_id")

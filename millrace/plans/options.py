@@ -12,13 +12,20 @@ PROFILES = ("default", "obsidian", "github", "gitbook", "research-log")
 PAGE_SIZES = {"a4": (595, 842), "letter": (612, 792)}
 
 
+#: Colours of a page and of its text, as red, green and blue from 0 to 1.
+THEMES = {"light": ((1, 1, 1), (0.075, 0.122, 0.196)), "dark": ((0.067, 0.094, 0.153), (0.933, 0.949, 0.949)), "simple": ((1, 1, 1), (0, 0, 0))}
+
+
 @dataclass(frozen=True)
 class PdfSettings:
-    """Font size 8 to 18 and margins 24 to 96 points; what lies outside becomes the default."""
+    """Font size 8 to 18 and margins 24 to 96 points; what lies outside, or has an unknown name, becomes the default."""
 
     font_size: float = 11
     margin: float = 54
     page: str = "a4"
+    landscape: bool = False
+    contents: bool = False
+    theme: str = "light"
 
     def __post_init__(self):
         if not 8 <= self.font_size <= 18:
@@ -27,6 +34,14 @@ class PdfSettings:
             object.__setattr__(self, "margin", 54)
         if self.page not in PAGE_SIZES:
             object.__setattr__(self, "page", "a4")
+        if self.theme not in THEMES:
+            object.__setattr__(self, "theme", "light")
+
+    @property
+    def size(self) -> tuple[int, int]:
+        """Width and height of a page."""
+        w, h = PAGE_SIZES[self.page]
+        return (h, w) if self.landscape else (w, h)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.filenames import filename
 from ..functions.text import stable_hash, strip_inline_markdown, xml_escape
-from ..operators import render
+from ..operators import batch, render
 from ..operators.completeness import report
 from ..operators.export import prepare_conversations, prepare_messages, prepare_reports
-from ..plans.options import PAGE_SIZES, ExportOptions, PdfSettings
+from ..plans.options import THEMES, ExportOptions, PdfSettings
 
 MIME = {
     "md": "text/markdown;charset=utf-8", "txt": "text/plain;charset=utf-8", "json": "application/json;charset=utf-8", "csv": "text/csv;charset=utf-8", "html": "text/html;charset=utf-8",
@@ -28,9 +29,28 @@ MIME = {
 PNG_WIDTH, PNG_MAX_HEIGHT, PNG_LINE, PNG_COLUMNS = 1200, 16000, 24, 96
 _STAMP = (1980, 1, 1, 0, 0, 0)
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+# Parts, types and namespaces of the word-processor format.
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006"
+_PARTS = (
+    ("word/document.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml", f"{_OFFICE}/relationships/officeDocument"),
+    ("docProps/core.xml", "application/vnd.openxmlformats-package.core-properties+xml", f"{_PACKAGE}/relationships/metadata/core-properties"),
+    ("docProps/app.xml", "application/vnd.openxmlformats-officedocument.extended-properties+xml", f"{_OFFICE}/relationships/extended-properties"),
+    ("word/styles.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml", f"{_OFFICE}/relationships/styles"),
+)
+_STYLES = (("Title", "Title", "<w:b/>", 36), ("Heading1", "Heading 1", "<w:b/>", 28), ("Heading2", "Heading 2", "<w:b/>", 22), ("CodeBlock", "Code Block", '<w:rFonts w:ascii="Consolas" w:hAnsi="Consolas"/>', 20))
+
+
+def _related(parts) -> str:
+    return f'<Relationships xmlns="{_PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{kind}" Target="{name}"/>' for i, (name, kind) in enumerate(parts, 1)) + "</Relationships>"
+
+
 _DOCX = {
-    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + "".join(f'<Override PartName="/{n}" ContentType="{t}"/>' for n, t, _ in _PARTS) + "</Types>",
+    "_rels/.rels": _related([(n, k) for n, _, k in _PARTS[:3]]),
+    "word/_rels/document.xml.rels": _related([("styles.xml", _PARTS[3][2])]),
+    "docProps/app.xml": f'<Properties xmlns="{_OFFICE}/extended-properties"><Application>millrace</Application></Properties>',
+    "word/styles.xml": f'<w:styles xmlns:w="{_W}">' + "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{n}"/><w:rPr>{how}<w:sz w:val="{size}"/></w:rPr></w:style>' for i, n, how, size in _STYLES) + "</w:styles>",
 }
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 
@@ -46,22 +66,44 @@ def pack(files: Iterable[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def _pdf_text(line: str) -> bytes:
+    """Operators that show a line. The font has the Windows Latin characters; a run of others is shown as question marks
+    that carry the true text, so that searching and copying find it."""
+
+    def shown(data: bytes) -> bytes:
+        return b"(" + data.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj "
+
+    out = b""
+    for known, run in groupby(line, lambda c: c in _LATIN):
+        text = "".join(run)
+        if known:
+            out += shown(text.encode("cp1252"))
+        else:
+            out += b"/Span <</ActualText <FEFF" + text.encode("utf-16-be").hex().upper().encode() + b">>> BDC " + shown(b"?" * len(text)) + b"EMC "
+    return out + b"T*\n"
+
+
+_LATIN = frozenset(c for c in map(chr, range(32, 0x2200)) if c.encode("cp1252", "ignore"))
+
+
 def write_pdf(pages: list[list[str]], settings: PdfSettings) -> bytes:
-    """Pages of lines in a standard font. Characters outside ASCII become ``?``."""
-    w, h = PAGE_SIZES[settings.page]
-    objects = ["<</Type/Catalog/Pages 2 0 R>>", "", "<</Type/Font/Subtype/Type1/BaseFont/Courier>>"]
+    """Pages of lines in a standard font."""
+    w, h = settings.size
+    colour = lambda c, op: " ".join(f"{x:g}" for x in c) + f" {op}"
+    back, fore = THEMES[settings.theme]
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"", b"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding>>"]
     for page in pages:
-        shown = "".join(f"({x.encode('ascii', 'replace').decode().translate({40: '\\(', 41: '\\)', 92: '\\\\'})}) Tj T*\n" for x in page)
-        stream = f"BT /F1 {settings.font_size} Tf {settings.font_size * 1.4:.2f} TL {settings.margin} {h - settings.margin} Td\n{shown}ET"
-        objects += [f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 {w} {h}]/Resources<</Font<</F1 3 0 R>>>>/Contents {len(objects) + 2} 0 R>>", f"<</Length {len(stream)}>>\nstream\n{stream}\nendstream"]
+        head = f"{colour(back, 'rg')} 0 0 {w} {h} re f\n{colour(fore, 'rg')}\nBT /F1 {settings.font_size} Tf {settings.font_size * 1.4:.2f} TL {settings.margin} {h - settings.margin} Td\n"
+        stream = head.encode() + b"".join(map(_pdf_text, page)) + b"ET"
+        objects += [f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 {w} {h}]/Resources<</Font<</F1 3 0 R>>>>/Contents {len(objects) + 2} 0 R>>".encode(), b"<</Length %d>>\nstream\n%b\nendstream" % (len(stream), stream)]
     kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
-    objects[1] = f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}>>"
-    out, at = "%PDF-1.4\n", []
+    objects[1] = f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}>>".encode()
+    out, at = b"%PDF-1.4\n", []
     for i, body in enumerate(objects, 1):
         at.append(len(out))
-        out += f"{i} 0 obj\n{body}\nendobj\n"
+        out += b"%d 0 obj\n%b\nendobj\n" % (i, body)
     table = "".join(f"{a:010d} 00000 n \n" for a in at)
-    return f"{out}xref\n0 {len(at) + 1}\n0000000000 65535 f \n{table}trailer\n<</Size {len(at) + 1}/Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF\n".encode("ascii")
+    return out + f"xref\n0 {len(at) + 1}\n0000000000 65535 f \n{table}trailer\n<</Size {len(at) + 1}/Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF\n".encode("ascii")
 
 
 def wrap(c: Column, width: int) -> Column:
@@ -72,7 +114,7 @@ def wrap(c: Column, width: int) -> Column:
 
 def pdf_pages(text: Column, settings: PdfSettings) -> Column:
     """Pages of wrapped lines; a line ``---`` or ``\\pagebreak`` starts a page."""
-    w, h = PAGE_SIZES[settings.page]
+    w, h = settings.size
     columns = int((w - 2 * settings.margin) / (settings.font_size * 0.6))
     per_page = int((h - 2 * settings.margin) / (settings.font_size * 1.4))
     parts = F.split(text, r"(?m)^(?:---|\\pagebreak)[ \t]*\n", -1)
@@ -102,11 +144,19 @@ def _packed(df: DataFrame, column: str, how) -> DataFrame:
     return df.select("conv_id", column).mapInArrow(run, f"conv_id {kind}, bytes binary")
 
 
-def docx(documents: DataFrame) -> DataFrame:
-    """conv_id, bytes of ``documents`` (conv_id, text): one paragraph per line."""
-    runs = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), xml_escape(F.regexp_replace(strip_inline_markdown(x), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")), F.lit("</w:t></w:r></w:p>")))
-    body = documents.select("conv_id", F.concat(F.lit(f'<w:document xmlns:w="{_W}"><w:body>'), F.array_join(runs, ""), F.lit("</w:body></w:document>")).alias("xml"))
-    return _packed(body, "xml", lambda xml: pack([(n, (_XML + t).encode()) for n, t in _DOCX.items()] + [("word/document.xml", (_XML + xml).encode())]))
+def docx(bodies: DataFrame) -> DataFrame:
+    """conv_id, bytes of ``bodies`` (conv_id, title, exported_at, xml; see ``render.word_body``)."""
+    stamp = xml_escape(F.coalesce("exported_at", F.lit("")))
+    dated = F.concat(*[x for n in ("created", "modified") for x in (F.lit(f'<dcterms:{n} xsi:type="dcterms:W3CDTF">'), stamp, F.lit(f"</dcterms:{n}>"))])
+    core = F.concat(
+        F.lit(f'<cp:coreProperties xmlns:cp="{_PACKAGE}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><dc:title>'),
+        xml_escape(F.regexp_replace("title", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")), F.lit("</dc:title><dc:creator>millrace</dc:creator>"), dated, F.lit("</cp:coreProperties>"),
+    )
+    page = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr>'
+    document = F.concat(F.lit(f'<w:document xmlns:w="{_W}"><w:body>'), F.col("xml"), F.lit(page + "</w:body></w:document>"))
+    ready = bodies.select("conv_id", F.struct(core.alias("core"), document.alias("document")).alias("parts"))
+    fixed = [(n, (_XML + t).encode()) for n, t in _DOCX.items()]
+    return _packed(ready, "parts", lambda x: pack([*fixed, ("docProps/core.xml", (_XML + x["core"]).encode()), ("word/document.xml", (_XML + x["document"]).encode())]))
 
 
 def pdf(documents: DataFrame, settings: PdfSettings | None = None) -> DataFrame:
@@ -115,6 +165,36 @@ def pdf(documents: DataFrame, settings: PdfSettings | None = None) -> DataFrame:
     return _packed(documents.select("conv_id", pdf_pages(F.col("text"), settings).alias("pages")), "pages", lambda pages: write_pdf(pages or [[]], settings))
 
 
+def _pdf_documents(heads: DataFrame, messages: DataFrame, facts: DataFrame, settings: PdfSettings) -> DataFrame:
+    text = render.plain_text(heads, messages, facts)
+    if not settings.contents:
+        return text
+    return text.join(render.contents(messages), "conv_id").select("conv_id", F.concat("toc", "text").alias("text"))
+
+
+def batch_archive(results: DataFrame, rendered: DataFrame, exported_at: str) -> DataFrame:
+    """batch_id, filename, bytes: one zip per batch with the files of its entries and a manifest.
+
+    ``results`` as for ``batch.manifest``, with a row per tab; ``rendered`` has tab_id, format, mime_type, text and
+    bytes. Entries are named in the order of entry_no. Batches without a file have no row. A batch must fit a row.
+    """
+    content = F.coalesce("bytes", F.encode("text", "utf-8"))
+    named = batch.entry_names(results.withColumn("title", F.coalesce("title", F.lit(""))), "batch_id", "entry_no").filter("error is null")
+    file = F.struct(
+        F.concat("entry", F.lit("."), "format").alias("filename"), "format", stable_hash(F.coalesce("text", F.hex("bytes"))).alias("hash"), F.col("mime_type").alias("mimeType"), F.octet_length(content).alias("size"), content.alias("data")
+    )
+    files = named.select("batch_id", "tab_id", "entry").join(rendered, "tab_id").groupBy("batch_id", "tab_id").agg(F.array_sort(F.collect_list(file)).alias("own"))
+    with_files = results.drop("files").join(files, ["batch_id", "tab_id"], "left").withColumn("files", F.transform("own", lambda f: f.dropFields("data"))).drop("own")
+    listed = batch.manifest_json(with_files, exported_at).withColumnRenamed("text", "manifest")
+    gathered = files.groupBy("batch_id").agg(F.array_sort(F.flatten(F.collect_list(F.transform("own", lambda f: F.struct(f["filename"].alias("name"), f["data"].alias("data")))))).alias("files"))
+    root = batch.root_directory(F.lit(exported_at))
+    entry = lambda f: F.struct(F.concat(root, F.lit("/"), f["name"]).alias("name"), f["data"].alias("data"))
+    manifest = F.array(F.struct(F.concat(root, F.lit("/manifest.json")).alias("name"), F.encode(F.concat("manifest", F.lit("\n")), "utf-8").alias("data")))
+    ready = gathered.join(listed, "batch_id").select(F.col("batch_id").alias("conv_id"), F.concat(F.transform("files", entry), manifest).alias("files"))
+    packed = _packed(ready, "files", lambda fs: pack((f["name"], f["data"]) for f in fs))
+    return packed.select(F.col("conv_id").alias("batch_id"), F.concat(root, F.lit(".zip")).alias("filename"), "bytes")
+
+
 def bundle(rendered: DataFrame) -> DataFrame:
     """conv_id, bytes: one zip per conversation of ``rendered`` (conv_id, format, text, bytes), manifest first.
 
@@ -143,7 +223,7 @@ def render_files(conversations: DataFrame, messages: DataFrame, options: ExportO
     plain = lambda: render.markdown(heads, ready, facts, options.profile, options.include_metadata)
     makers = {
         "md": plain, "txt": lambda: render.plain_text(heads, ready, facts), "csv": lambda: render.csv(ready), "json": lambda: render.json_documents(heads, ready, facts),
-        "html": lambda: render.html(heads, ready, facts), "png": lambda: render.plain_text(heads, ready, facts), "docx": lambda: docx(render.plain_text(heads, ready, facts)), "pdf": lambda: pdf(render.plain_text(heads, ready, facts), options.pdf),
+        "html": lambda: render.html(heads, ready, facts), "png": lambda: render.plain_text(heads, ready, facts), "docx": lambda: docx(render.word_body(heads, ready, facts)), "pdf": lambda: pdf(_pdf_documents(heads, ready, facts, options.pdf), options.pdf),
     }
     out = None
     for fmt in wanted:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, stable_hash
 from ..functions.urls import PLATFORMS, conversation_id, host
-from ..operators.schema import CODE, IMAGE, SOURCE
+from ..operators.schema import CANVAS, CODE, IMAGE, SOURCE, THINKING
 from .dom import Node, matches, parse, visible
 
 #: Elements of a message that are interface, not content.
@@ -89,7 +89,44 @@ def table_markdown(table: Node) -> str:
     return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])])
 
 
-def render(node: Node, markdown: bool, skip: set[int]) -> str:
+def inline_markup(x: Node, markdown: bool) -> str | None:
+    """What an inline element shows by itself; None where its children are shown."""
+    if x.tag == "br":
+        return "\0"
+    if x.tag == "img":
+        label = one_line(x.attrs.get("alt", "")) or "Image"
+        src = x.attrs.get("src", "")
+        return f"![{label}]({src})" if markdown and re.match("https?://", src) else f"Image: {label}"
+    if x.tag == "code" and markdown:
+        t = one_line(x.text())
+        return f"`` {t} ``" if "`" in t else f"`{t}`"
+    if x.tag == "a" and markdown and _LINK.match(x.attrs.get("href", "").strip()):
+        label = one_line(x.text()).replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
+        return f"[{label or x.attrs['href'].strip()}]({x.attrs['href'].strip()})"
+    return None
+
+
+def block_markup(x: Node, markdown: bool, skip: set[int], depth: int) -> str | None:
+    """The text of a block that is laid out as a whole; None where its children are."""
+    if x.tag == "pre":
+        code = (x.select("code") or [x])[0].text().replace("\r\n", "\n").strip("\n")
+        longest = max(map(len, re.findall("`+", code)), default=0)
+        mark = "`" * max(3, longest + 1)
+        language = re.sub(r"[^\w-]", "", language_of(x) or "", flags=re.A)
+        return f"{mark}{language}\n{code}\n{mark}" if markdown else code
+    if x.tag == "table":
+        return table_markdown(x) if markdown else "\n".join("\t".join(r) for r in table_rows(x))
+    if x.tag in ("ul", "ol") and markdown and depth < MAX_LISTS:
+        items = [render(c, True, skip, depth + 1) for c in x.children if isinstance(c, Node) and c.tag == "li" and id(c) not in skip]
+        return "\n".join(f"{'-' if x.tag == 'ul' else f'{i}.'} " + t.replace("\n", "\n  ") for i, t in enumerate(items, 1))
+    return None
+
+
+#: Lists nested deeper than this are laid out as plain blocks.
+MAX_LISTS = 50
+
+
+def render(node: Node, markdown: bool, skip: set[int], depth: int = 0) -> str:
     """Blocks of a message joined by blank lines, as text or as Markdown; ``skip`` holds interface elements."""
     blocks: list[str] = []
     run: list[str] = []
@@ -100,73 +137,117 @@ def render(node: Node, markdown: bool, skip: set[int]) -> str:
         if text.strip():
             blocks.append(text)
 
-    def inline(x) -> None:
-        if isinstance(x, str):
+    # What is still to come, last first; None ends a block. Markup can be nested deeper than Python's stack.
+    open_: list = [*reversed(node.children)]
+    while open_:
+        x = open_.pop()
+        if x is None:
+            flush()
+        elif isinstance(x, str):
             run.append(x)
         elif id(x) in skip:
-            return
-        elif x.tag == "br":
-            run.append("\0")
-        elif x.tag == "img":
-            label = one_line(x.attrs.get("alt", "")) or "Image"
-            src = x.attrs.get("src", "")
-            run.append(f"![{label}]({src})" if markdown and re.match("https?://", src) else f"Image: {label}")
-        elif x.tag == "code" and markdown:
-            t = one_line(x.text())
-            run.append(f"`` {t} ``" if "`" in t else f"`{t}`")
-        elif x.tag == "a" and markdown and _LINK.match(x.attrs.get("href", "").strip()):
-            label = one_line(x.text()).replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
-            run.append(f"[{label or x.attrs['href'].strip()}]({x.attrs['href'].strip()})")
-        else:
-            for c in x.children:
-                step(c)
-
-    def step(x) -> None:
-        if isinstance(x, str) or (x.tag not in BLOCKS and x.tag not in ("pre", "table")):
-            inline(x)
-            return
-        if id(x) in skip:
-            return
-        flush()
-        if x.tag == "pre":
-            code = (x.select("code") or [x])[0].text().replace("\r\n", "\n").strip("\n")
-            longest = max(map(len, re.findall("`+", code)), default=0)
-            mark = "`" * max(3, longest + 1)
-            language = re.sub(r"[^\w-]", "", language_of(x) or "", flags=re.A)
-            blocks.append(f"{mark}{language}\n{code}\n{mark}" if markdown else code)
-        elif x.tag == "table":
-            text = table_markdown(x) if markdown else "\n".join("\t".join(r) for r in table_rows(x))
-            if text:
-                blocks.append(text)
-        elif x.tag in ("ul", "ol") and markdown:
-            items = [render(c, True, skip) for c in x.children if isinstance(c, Node) and c.tag == "li" and id(c) not in skip]
-            blocks.append("\n".join(f"{'-' if x.tag == 'ul' else f'{i}.'} " + t.replace("\n", "\n  ") for i, t in enumerate(items, 1)))
+            continue
+        elif x.tag not in BLOCKS and x.tag not in ("pre", "table"):
+            shown = inline_markup(x, markdown)
+            if shown is None:
+                open_.extend(reversed(x.children))
+            else:
+                run.append(shown)
         else:
-            for c in x.children:
-                step(c)
             flush()
-
-    for c in node.children:
-        step(c)
+            shown = block_markup(x, markdown, skip, depth)
+            if shown is None:
+                open_.append(None)
+                open_.extend(reversed(x.children))
+            elif shown or x.tag != "table":
+                blocks.append(shown)
     flush()
     return "\n\n".join(blocks)
 
 
-def sources_of(node: Node) -> list[dict]:
-    """Safe links of citations and source lists, the first of each."""
+# Where a message shows its reasoning, canvases and sources.
+THINKING_AT = ", ".join(f"[{attr}*='{x}' i]" for attr in ("data-testid", "aria-label") for x in ("thinking", "reasoning", "thought"))
+CANVAS_AT = "[data-testid*='canvas' i], [aria-label*='canvas' i]"
+SOURCES_AT = "sup a, a[data-source-kind], a[data-source-id], a[data-citation-id], [data-testid*='citation' i] a, [data-testid*='source' i] a, a[aria-label*='source' i], a[aria-label*='citation' i]"
+CANVAS_WARNING = "Canvas content was detected but could not be extracted from the current DOM. Open the canvas link or capture it manually."
+SOURCE_KINDS = ("citation", "deep_research", "web_search")
+
+
+def first_attribute(nodes: Iterable[Node | None], names: tuple[str, ...]) -> str | None:
+    """The first of these attributes that is there and not blank, element by element."""
+    return next((v for n in nodes if n is not None for name in names if (v := n.attrs.get(name, "").strip())), None)
+
+
+def first_text(node: Node, selector: str) -> str | None:
+    return next((t for n in node.select(selector) if (t := one_line(n.text()))), None)
+
+
+def content_kind(node: Node, turn: Node | None) -> str | None:
+    named = first_attribute((node, turn), ("data-content-type",))
+    if named and re.sub(r"[\s-]+", "_", named.lower()) == "deep_research" or node.select("[data-testid*='deep-research' i], [aria-label*='Deep Research' i]"):
+        return "deep_research"
+    return None
+
+
+def sources_of(node: Node, kind: str | None = None) -> list[dict]:
+    """Safe links of citations and source lists with the text around them, the first of each."""
     out: dict = {}
-    for a in node.select("sup a, [data-source-id], [data-citation-id], [data-testid*='citation' i] a, [data-testid*='source' i] a"):
+    for a in node.select(SOURCES_AT):
         url = a.attrs.get("href", "").strip()
-        if not re.match("https?://", url, re.I):
+        if not _LINK.match(url):
             continue
-        around = " ".join(f"{n.tag} {n.attrs.get('data-testid', '')}" for n in a.up()).lower()
-        kind = "web_search" if "search" in around and "sup" not in around.split() else "citation"
-        ident = a.attrs.get("data-source-id") or a.attrs.get("data-citation-id")
-        title = one_line(a.text()) or url
-        out.setdefault((kind, ident, url, title), {"id": ident, "kind": kind, "title": title, "url": url, "snippet": None})
+        above = list(a.up())
+        named = first_attribute([a], ("data-source-kind",))
+        if named and named.lower() in SOURCE_KINDS:
+            own = named.lower()
+        elif any(matches(n, "sup, [data-testid*='citation' i]") for n in above):
+            own = "citation"
+        elif any(matches(n, "[data-testid*='search' i], [aria-label*='search' i]") for n in above):
+            own = "web_search"
+        else:
+            own = kind or "citation"
+        ident = first_attribute([a], ("data-source-id", "data-citation-id"))
+        title = one_line(a.text()) or one_line(a.attrs.get("aria-label", "")) or url
+        around = next((n for n in above if n.tag in ("li", "p", "section", "div")), None)
+        snippet = one_line(around.text()) if around else None
+        out.setdefault((own, ident, url, title), {"id": ident, "kind": own, "title": title, "url": url, "snippet": snippet or None})
     return list(out.values())
 
 
+def thinking_of(node: Node) -> list[dict]:
+    """Visible reasoning: a title where there is one, and the text without it."""
+    out = []
+    for n in node.select(THINKING_AT):
+        if visible(n):
+            title = first_text(n, "summary") or one_line(n.attrs.get("aria-label", ""))
+            out.append({"title": title or None, "text": render(n, False, {id(x) for x in n.select("summary")})})
+    return [x for x in out if x["text"].strip()]
+
+
+def canvases_of(node: Node) -> list[dict]:
+    """Documents beside the conversation: their title and link; their text is not in the page."""
+    out = []
+    for n in node.select(CANVAS_AT):
+        if visible(n):
+            href = next((a.attrs["href"].strip() for a in n.select("a[href]")), "")
+            title = first_attribute([n], ("data-title", "aria-label")) or first_text(n, "h1, h2, h3") or "Canvas"
+            out.append({"title": title, "text": None, "url": href if _LINK.match(href) else None, "warning": CANVAS_WARNING})
+    return out
+
+
+def vendor_parts(node: Node) -> dict:
+    """Time, model, participant, kind, sources, reasoning and canvases of a message, from it and then from its turn."""
+    turn = next((n for n in node.up() if n is not node and n.attrs.get("data-testid", "").startswith("conversation-turn-")), None)
+    both, kind = (node, turn), content_kind(node, turn)
+    times = [t.attrs["datetime"] for n in both if n is not None for t in n.select("time[datetime]")]
+    return {
+        "created_at": first_attribute(both, ("data-created-at", "data-timestamp")) or next(iter(times), None),
+        "model": first_attribute(both, ("data-model", "data-message-model", "data-message-model-slug")) or first_text(node, "[data-testid*='model' i], [aria-label*='model' i]"),
+        "participant": first_attribute(both, ("data-participant-name", "data-author-name")) or first_text(node, "[data-testid*='participant' i], [data-testid*='author' i]"),
+        "content_kind": kind, "sources": sources_of(node, kind) or None, "thinking_blocks": thinking_of(node) or None, "canvas": canvases_of(node) or None,
+    }
+
+
 def message_id(node: Node) -> str | None:
     """The first id attribute that is there; an empty one still hides the others, but not the turn's."""
     for name in ("data-message-id", "data-message-id-testid", "id"):
@@ -190,14 +271,17 @@ def messages_of(root: Node, platform) -> Iterator[dict]:
         skip = {id(n) for n in body.walk() if n is not body and matches(n, INTERFACE)}
         row = {
             "id": message_id(node), "role": role or node.attrs["data-message-author-role"], "author_label": author or None, "text": render(body, False, skip),
-            "markdown": render(body, True, skip), "code_blocks": code_blocks(body), "images": content_images(body), "sources": sources_of(node) or None,
-            "created_at": next((n.attrs["datetime"] for n in node.select("time[datetime]")), None), "model": node.attrs.get("data-message-model-slug") or None,
+            "markdown": render(body, True, skip), "code_blocks": code_blocks(body), "images": content_images(body),
         }
+        if platform.name == "chatgpt":
+            row |= vendor_parts(node)
+        else:
+            row |= {"sources": sources_of(node) or None, "created_at": next((n.attrs["datetime"] for n in node.select("time[datetime]")), None)}
         if row["text"] or row["code_blocks"]:
             yield row
 
 
-_ROW = f"page_id long, url string, platform string, page_title string, idx int, id string, role string, author_label string, text string, markdown string, code_blocks array<{CODE}>, images array<{IMAGE}>, sources array<{SOURCE}>, created_at string, model string"
+_ROW = f"page_id long, url string, platform string, page_title string, idx int, id string, role string, author_label string, text string, markdown string, code_blocks array<{CODE}>, images array<{IMAGE}>, sources array<{SOURCE}>, created_at string, model string, participant string, content_kind string, thinking_blocks array<{THINKING}>, canvas array<{CANVAS}>"
 
 
 def extract_messages(pages: DataFrame) -> DataFrame:
@@ -232,7 +316,37 @@ def scan(pages: DataFrame) -> DataFrame:
     """Raw messages keyed by page, with the ids that need the text filled in: ready for ``normalize``."""
     rows = extract_messages(pages)
     derived = F.concat(F.col("role"), F.lit("-"), stable_hash(clean_text(F.col("text"))))
-    return rows.withColumns({"conv_id": F.col("page_id"), "id": F.coalesce("id", derived), "conversation_id": conversation_id(F.col("url")), "metadata": F.create_map(F.lit("adapter"), F.col("platform"))})
+    facts = F.map_filter(F.create_map(F.lit("adapter"), F.col("platform"), F.lit("contentKind"), F.col("content_kind")), lambda k, v: v.isNotNull())
+    return rows.withColumns({"conv_id": F.col("page_id"), "id": F.coalesce("id", derived), "conversation_id": conversation_id(F.col("url")), "metadata": facts}).drop("content_kind")
+
+
+def containers(pages: DataFrame) -> DataFrame:
+    """page_id, tag, n_messages: the scrolling element that holds most messages of each page, or the root element.
+
+    An element scrolls if its own style says so; of equals the first stands.
+    """
+    every = ", ".join(s for p in PLATFORMS for _, _, s in p.messages)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch.to_pylist():
+                root = parse(page["html"])
+                held: dict[int, int] = {}
+                for m in (n for n in root.walk() if matches(n, every)):
+                    for above in m.up():
+                        if above is not m:
+                            held[id(above)] = held.get(id(above), 0) + 1
+                rows += [(page["page_id"], at, n.tag, held[id(n)]) for at, n in enumerate(root.walk()) if id(n) in held and _SCROLLS.search(n.attrs.get("style", ""))]
+                rows.append((page["page_id"], -1, "html", 0))
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["page_id", "at", "tag", "n_messages"])
+
+    found = pages.select("page_id", "html").mapInArrow(run, "page_id long, at int, tag string, n_messages int")
+    best = F.max_by(F.struct("tag", "n_messages"), F.struct("n_messages", (-F.col("at")).alias("first")))
+    return found.groupBy("page_id").agg(best.alias("b")).select("page_id", "b.*")
+
+
+_SCROLLS = re.compile(r"overflow(?:-y)?\s*:\s*(?:auto|scroll|overlay)", re.I)
 
 
 _CONTENT = "page_id long, title string, n_links long, n_tables long, n_code long, text string, links array<struct<text:string,href:string>>"

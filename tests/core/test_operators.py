@@ -175,6 +175,42 @@ def test_stateful_capture(spark, tmp_path):
     assert got == [(1, 0, 0, False), (1, 1, 0, True), (1, 1, 1, True), (1, 1, 2, False), (2, 0, 0, False)]
 
 
+def test_library_keeps_the_last_of_equal_ids_and_renders_again(spark, tmp_path):
+    head, m = _conversation(spark)
+    r = library.records(head, m, completeness.report(m), F.lit("2026-06-01"))
+    store = library.Library(spark, str(tmp_path / "lib"))
+    store.put(r.withColumn("title", F.lit("early")).unionByName(r.withColumns({"title": F.lit("late"), "saved_at": F.lit("2026-06-02")})))
+    kept = store.read()
+    assert [x["title"] for x in kept.collect()] == ["late"] and len(kept.first()["id"]) == len("library-") + 32
+    heads, messages, reports = library.stored(kept)
+    made = {x["format"]: x for x in files.render_files(heads, messages, ExportOptions(formats=("md", "zip"), template="{title}.{format}"), reports).collect()}
+    assert made["zip"]["filename"] == "late.zip" and zipfile.ZipFile(io.BytesIO(made["zip"]["bytes"])).namelist() == ["manifest.json", "conversation.md"]
+
+
+def test_deep_markup(spark):
+    deep = "<div data-message-author-role='user'>" + "<span>" * 3000 + "inner" + "<ul><li>" * 300 + "item"
+    rows = chat_pages.scan(spark.createDataFrame([(1, "https://chatgpt.com/c/1", deep)], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"].split() == ["inner", "item"] and "item" in rows[0]["markdown"]
+
+
+def test_reasoning_canvas_and_kind(spark):
+    page = """<article data-testid="conversation-turn-2" data-model="M 2"><div data-content-type="deep-research" data-message-author-role="assistant" data-message-id="a"><time datetime="2026-06-01T10:05:00.000Z">June</time>
+    <div class="markdown"><p>Found <sup data-testid="citation"><a data-source-id="c1" href="https://e.org/p">1</a></sup> it.</p></div><details data-testid="thinking"><summary>Thinking</summary><p>Compare first.</p></details>
+    <div hidden data-testid="reasoning">no</div><section data-testid="sources"><ol><li><a data-source-kind="deep_research" href="https://e.org/q">Paper</a><p>Reviewed.</p></li><li><a href="javascript:x">bad</a></li></ol></section>
+    <div aria-label="Canvas: plan"><h2>Plan</h2><a href="https://chatgpt.com/canvas/1">Open</a></div></div></article>"""
+    (row,) = chat_pages.scan(spark.createDataFrame([(1, "https://chatgpt.com/c/1", page)], "page_id long, url string, html string")).collect()
+    assert row["metadata"] == {"adapter": "chatgpt", "contentKind": "deep_research"} and row["model"] == "M 2" and row["created_at"] == "2026-06-01T10:05:00.000Z"
+    assert [tuple(x) for x in row["thinking_blocks"]] == [("Thinking", "Compare first.")]
+    assert [tuple(x) for x in row["canvas"]] == [("Canvas: plan", None, "https://chatgpt.com/canvas/1", chat_pages.CANVAS_WARNING)]
+    assert [(x["id"], x["kind"], x["title"], x["snippet"]) for x in row["sources"]] == [("c1", "citation", "1", "Found 1 it."), (None, "deep_research", "Paper", "PaperReviewed.")]
+
+
+def test_pdf_settings_and_other_scripts():
+    data = files.write_pdf([["Größe (a\\b) — Привет"]], PdfSettings(page="letter", landscape=True, theme="dark"))
+    assert b"/MediaBox[0 0 792 612]" in data and b"0.067 0.094 0.153 rg" in data and "(Größe \\(a\\\\b\\) — ) Tj".encode("cp1252") in data
+    assert b"<FEFF" + "Привет".encode("utf-16-be").hex().upper().encode() + b">" in data and data.endswith(b"%%EOF\n")
+
+
 def test_validation_and_hygiene(spark):
     head, m = _conversation(spark)
     good = head.withColumns({"schema_version": F.lit("1.0"), "message_count": F.lit(2), "status": F.lit("complete")})
@@ -188,7 +224,7 @@ def test_validation_and_hygiene(spark):
 def test_batches(spark):
     tabs = spark.createDataFrame([(1, " ", "https://claude.ai/x"), (2, "A", "https://nowhere.example"), (None, "B", "https://claude.ai"), (3, "A!", None)], "tab_id long, title string, url string")
     found = batch.candidates(tabs)
-    assert [tuple(r) for r in batch.entry_names(found).select("tab_id", "title", "entry").collect()] == [(1, "Untitled chat", "claude-untitled-chat-1")]
+    assert [tuple(r) for r in batch.entry_names(found.withColumn("batch_id", F.lit(1)), "batch_id").select("tab_id", "title", "entry").collect()] == [(1, "Untitled chat", "claude-untitled-chat-1")]
 
 
 CATALOG = [n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"]
