@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, ascii_lower, words
+from .common import WORD, Scratch, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 #: A line is removed where this many documents of its host hold it, however many the host has.
 MIN_DOCS = 10
 #: A document is rejected where fewer than this share of its words is left.
@@ -60,11 +60,6 @@ def with_repeat_words(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", _covered(F.col("_at"))).drop("_b", "_p", "_t", "_at")
 
 
-def normal_line(line: Column) -> Column:
-    """Lower-cased, digits as 0, white space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.translate(ascii_lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
-
-
 def _text(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
@@ -73,22 +68,28 @@ def base_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, th (hash of the text), source and the base counts."""
     d = docs.select("doc_id", "source", _text(docs).alias("text"))
     d = d.select("doc_id", "source", "text", words(F.col("text")).alias("w"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     d = with_repeat_words(d.withColumn("lines", lines))
     counted = d.select(
         "doc_id", F.xxhash64("text").alias("th"), "source", F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
     )
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: doc_id, th, source, pos, h (hash of the normalised line), n (its words)."""
-    d = docs.select("doc_id", F.xxhash64(_text(docs)).alias("th"), "source", F.posexplode(F.split(_text(docs), "\n", -1)).alias("pos", "line"))
-    d = d.select("doc_id", "th", "source", "pos", normal_line(F.col("line")).alias("line")).filter("line != ''")
-    return d.select("doc_id", "th", "source", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("n"))
+    """One row per line with a word: doc_id, th, source, pos, h (hash of the normalised line), n (its words).
+
+    A line counts lower-cased, with any digit as 0, white space runs as one space, and trimmed.
+    """
+    d = docs.select("doc_id", "source", _text(docs).alias("text"))
+    # The text is normalised before it is cut, step by step, and a step is taken only where it has something to do.
+    d = d.select("doc_id", F.xxhash64("text").alias("th"), "source", F.lower("text").alias("t"))
+    d = d.withColumn("t", F.when(F.col("t").rlike("[1-9]"), F.regexp_replace("t", "[1-9]", "0")).otherwise(F.col("t")))
+    d = d.withColumn("t", F.when(F.col("t").rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace("t", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("t")))
+    d = d.select("doc_id", "th", "source", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line != ''")
+    return d.select("doc_id", "th", "source", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"))
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -128,7 +128,6 @@ FROM p JOIN known USING (host)"""
 
 def _line_quality_sql() -> str:
     word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-    symbols = line_quality.SYMBOLS
     return rf"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 d AS (
@@ -139,7 +138,7 @@ tri AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT d
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY doc_id),
 l AS (
-  SELECT doc_id, source, trim(regexp_replace(translate(line, '{_UP}123456789', '{_DOWN}000000000'), '{blank}', ' ', 'g'), ' ') AS line
+  SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '{blank}', ' ', 'g'), ' ') AS line
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM t)
 ),
 frequent AS (SELECT source, line FROM l WHERE line != '' GROUP BY source, line HAVING count(DISTINCT doc_id) >= {line_quality.MIN_DOCS}),
@@ -149,7 +148,7 @@ gone AS (
 ),
 base AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-    CAST(length(text) - length(translate(text, '{symbols}', '')) AS BIGINT) AS n_symbols,
+    CAST(length(text) - length(regexp_replace(text, '{line_quality.SYMBOL}', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id)
