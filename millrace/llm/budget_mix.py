@@ -4,16 +4,17 @@ Documents are counted by exact length; per source the target is met by whole pas
 remaining budget, which is spread over the lengths in proportion, then closed exactly by bounded-knapsack dynamic
 programming over the lengths that are left. Which documents of a length are taken is settled by a seeded hash.
 Only histograms (source, length, count) reach the knapsack; a source's histogram has at most about
-sqrt(2 x its words) rows, however many documents it has.
+sqrt(2 x its words) rows, however many documents it has. The choice comes down to a cutoff of the hash per source and
+length, so documents are taken where they lie: their texts are not shuffled while the cutoffs fit a broadcast.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_names, words
+from .common import Scratch, own_names, word_count
 
 WEIGHTS = (1, 2, 3)
 #: No source's target, and no document's taken words, exceeds this many times its size.
@@ -23,11 +24,13 @@ SEED = 20240
 KNAPSACK_WORDS = 32_768
 #: Hash buckets that split a group of equal lengths, so that no group is ranked in one task.
 BUCKETS = 256
+#: Cutoffs (source, length and six numbers) are broadcast up to this many; beyond it rows are shuffled to meet them.
+BROADCAST_ROWS = 200_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: words in the text, 0 for null."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -119,6 +122,56 @@ def plan(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return both.groupBy("source").applyInPandas(_fit_source, "source string, size long, copies long, passes long, extra long")
 
 
+def _draw(seed: int, doc_id) -> tuple[Column, Column]:
+    """The seeded hash of a document, and its bucket; documents of a length are taken by bucket, then by hash."""
+    draw = F.xxhash64(F.lit(seed), doc_id)
+    return draw, F.pmod(draw, F.lit(BUCKETS)).cast("int")
+
+
+def cutoffs(sizes: DataFrame, goal: DataFrame, seed: int = SEED) -> DataFrame:
+    """source, size, passes, full, open, cutoff, take, tied: which documents of a length are taken once more.
+
+    Those of the buckets up to ``full``, and those of the bucket ``open`` whose hash is below the cutoff, and ``take``
+    of the ``tied`` rows that have the cutoff itself (rows of one doc_id). Ranking is left to the one open bucket.
+    """
+    draw, bucket = _draw(seed, F.col("doc_id"))
+    drawn = sizes.filter("size > 0").select("doc_id", "source", "size", draw.alias("draw"), bucket.alias("bucket"))
+    per = drawn.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    fitted = plan(sizes, goal)
+    quota = per.alias("b").join(fitted.alias("f"), F.col("b.source").eqNullSafe(F.col("f.source")) & (F.col("b.size") == F.col("f.size")))
+    quota = quota.select("b.source", "b.size", "bucket", "passes", "n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("extra") - F.col("below"))).alias("quota"))
+    part = F.when((F.col("quota") > 0) & (F.col("quota") < F.col("n")), F.struct("bucket", "quota"))
+    lengths = quota.groupBy("source", "size").agg(F.first("passes").alias("passes"), F.coalesce(F.max(F.when(F.col("quota") == F.col("n"), F.col("bucket"))), F.lit(-1)).alias("full"), F.max(part).alias("part"))
+    lengths = lengths.select("source", "size", "passes", "full", F.col("part.bucket").alias("open"), F.col("part.quota").alias("quota"))
+    some = lengths.filter("open IS NOT NULL")
+    inside = drawn.alias("d").join(some.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.size") == F.col("s.size")) & (F.col("d.bucket") == F.col("s.open")))
+    group = Window.partitionBy("source", "size")
+    ranked = inside.select("d.source", "d.size", "draw", "quota", F.row_number().over(Window.partitionBy("d.source", "d.size").orderBy("draw", "doc_id")).alias("rank"))
+    ranked = ranked.withColumn("cutoff", F.max(F.when(F.col("rank") <= F.col("quota"), F.col("draw"))).over(group)).filter("draw = cutoff")
+    cut = ranked.groupBy("source", "size").agg(F.first("cutoff").alias("cutoff"), F.count_if(F.col("rank") <= F.col("quota")).alias("take"), F.count("*").alias("tied"))
+    return lengths.alias("l").join(cut.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")) & (F.col("l.size") == F.col("c.size")), "left").select("l.source", "l.size", "passes", "full", "open", "cutoff", "take", "tied")
+
+
+def _copies(rows: DataFrame, cut: DataFrame, source: Column, size: Column, doc_id: Column, seed: int, order: Column) -> tuple[DataFrame, Column]:
+    """``rows`` of documents with words, and how often each is taken; ``order`` settles tied rows."""
+    draw, bucket = _draw(seed, doc_id)
+    names = own_names(len(cut.columns))
+    theirs = dict(zip(cut.columns, map(F.col, names), strict=True))
+    cut = cut.toDF(*names)
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
+    met = rows.join(cut, source.eqNullSafe(theirs["source"]) & (size == theirs["size"]))
+    at = (bucket == theirs["open"]) & (draw == theirs["cutoff"])
+    torn = F.coalesce(at & (theirs["take"] < theirs["tied"]), F.lit(False))
+    (rank,) = own_names(1)
+    # Rows of one doc_id of which only some are taken: very few, and ranked by themselves.
+    ranked = met.filter(torn).withColumn(rank, F.row_number().over(Window.partitionBy(theirs["source"], theirs["size"]).orderBy(order)))
+    met = met.filter(~torn).withColumn(rank, F.lit(0)).unionByName(ranked)
+    more = (bucket <= theirs["full"]) | F.coalesce((bucket == theirs["open"]) & (draw <= theirs["cutoff"]) & (F.col(rank) <= F.when(at, theirs["take"]).otherwise(F.lit(0))), F.lit(False))
+    return met, theirs["passes"] + more.cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document.
 
@@ -128,45 +181,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     """
     with Scratch(docs.sparkSession, "mix") as scratch:
         sizes = scratch.settle(sized(docs), "sizes")  # the texts are read once; the rest is numbers
-        return scratch.settle(_mixed(sizes, weights, max_repeats, seed), "mix", keep=True)
+        goal = scratch.settle(targets(sizes, weights, max_repeats), "targets")
+        cut = scratch.settle(cutoffs(sizes, goal, seed), "cutoffs")
+        met, copies = _copies(sizes.filter("size > 0"), cut, F.col("source"), F.col("size"), F.col("doc_id"), seed, F.col("doc_id"))
+        taken = met.select("doc_id", "source", "size", (F.col("size") * copies).alias("taken"))
+        taken = taken.unionByName(sizes.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+        goal = F.broadcast(goal) if goal.count() <= 10_000 else goal  # a row per source; beyond that, a shuffle join
+        full = taken.alias("t").join(goal.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source")), "left")
+        return scratch.settle(full.select("t.doc_id", "t.source", "size", "source_size", "target", "taken"), "mix", keep=True)
 
 
-def _mixed(sizes: DataFrame, weights, max_repeats: int, seed: int) -> DataFrame:
-    goal = targets(sizes, weights, max_repeats)
-    fitted = plan(sizes, goal)
-    draw = F.xxhash64(F.lit(seed), "doc_id")
-    drawn = sizes.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
-    # Equal lengths are ranked by hash bucket, then inside one bucket only.
-    per = drawn.filter("size > 0").groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    quota = per.alias("b").join(fitted.alias("f"), F.col("b.source").eqNullSafe(F.col("f.source")) & (F.col("b.size") == F.col("f.size")))
-    quota = quota.select("b.source", "b.size", "bucket", "passes", F.least(F.col("n"), F.greatest(F.lit(0), F.col("extra") - F.col("below"))).alias("open"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", "doc_id"))
-    ranked = drawn.withColumn("rank", rank)
-    both = ranked.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.size") == F.col("q.size")) & (F.col("d.bucket") == F.col("q.bucket")), "left")
-    copies = F.coalesce(F.col("passes"), F.lit(0)) + F.when(F.col("rank") <= F.col("open"), 1).otherwise(0)
-    taken = both.select("d.doc_id", "d.source", "d.size", (F.col("d.size") * copies).alias("taken"))
-    goal = F.broadcast(goal) if goal.count() <= 10_000 else goal  # a row per source; beyond that, a shuffle join
-    full = taken.alias("t").join(goal.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source")), "left")
-    return full.select("t.doc_id", "t.source", "size", "source_size", "target", "taken")
-
-
-def apply(docs: DataFrame, **how) -> DataFrame:
+def apply(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each document's row as often as the mix takes it (documents of size 0: never).
 
-    Repeated rows share the copies of all of them; rows with a null doc_id or source are taken like any other; an empty
-    table stays empty; other columns pass through, whatever their names.
+    Rows with a null doc_id or source are taken like any other; an empty table stays empty; other columns pass through,
+    whatever their names.
     """
-    row, size, d, s, n, times, rows, k, i = own_names(9)
-    chosen = mix(docs, **how).filter("size > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    chosen = chosen.groupBy(d, s, n).agg(F.sum(times).alias(times), F.count("*").alias(rows)).filter(F.col(times) > 0)
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        sizes = scratch.settle(sized(docs), "sizes")
+        goal = scratch.settle(targets(sizes, weights, max_repeats), "targets")
+        cut = scratch.settle(cutoffs(sizes, goal, seed), "cutoffs", keep=True)
+    row, size, k, i = own_names(4)
     # The row travels as one struct, so no name of its columns can meet one of ours.
-    own = docs.select(F.struct("*").alias(row), F.size(words(F.col("text"))).cast("long").alias(size))
-    near = own.join(chosen, F.col(row)["doc_id"].eqNullSafe(F.col(d)) & F.col(row)["source"].eqNullSafe(F.col(s)) & (F.col(size) == F.col(n)))
-    single = near.filter(F.col(rows) == 1).select(row, F.col(times).alias(k))
-    # Rows that repeat a document share its copies: the first ones take what a whole share leaves over.
-    rank = F.row_number().over(Window.partitionBy(d, s, n).orderBy(F.col(row)["text"]))
-    many = near.filter(F.col(rows) > 1).select(row, (F.floor(F.col(times) / F.col(rows)) + F.when(rank <= F.col(times) % F.col(rows), 1).otherwise(0)).alias(k))
-    copies = single.unionByName(many).filter(F.col(k) > 0).select(row, F.explode(F.sequence(F.lit(1), F.col(k).cast("int"))).alias(i))
-    return copies.select(f"{row}.*")
+    own = docs.select(F.struct("*").alias(row), word_count(F.col("text")).alias(size)).filter(F.col(size) > 0)
+    at = F.col(row)
+    met, copies = _copies(own, cut, at["source"], F.col(size), at["doc_id"], seed, at["text"])
+    taken = met.select(row, copies.cast("int").alias(k)).filter(F.col(k) > 0)
+    return taken.select(row, F.explode(F.sequence(F.lit(1), F.col(k))).alias(i)).select(f"{row}.*")

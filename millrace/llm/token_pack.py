@@ -27,8 +27,8 @@ from .common import ragged, shared_dir, steps
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A block is closed once it holds this many tokens; one longer document is a block of its own.
 BLOCK_TOKENS = 65_536
-#: Words whose ids a Python worker remembers (about 150 MB); once it is full, words met in one group only are forgotten.
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers (about 90 MB); once it is full, words met in one group only are forgotten.
+REMEMBERED = 400_000
 #: New words are encoded so many at once, with a control character between them.
 WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
 
