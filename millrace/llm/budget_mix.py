@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_names, word_count
+from .common import Scratch, lookup_join, own_names, running, word_count
 
 WEIGHTS = (1, 2, 3)
 #: No source's target, and no document's taken words, exceeds this many times its size.
@@ -33,35 +33,28 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size, weight, target.
+def targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """source, freq (documents), source_size, weight, target.
 
     Sources in code-point order, null last, get the weights in turn. The words of all sources are shared by
     weight; a source whose share exceeds ``max_repeats`` times its size stops there and the excess is shared among
-    the others, until none is above. Sources are far fewer than documents, so they are ranked in one window.
+    the others, until none is above. Sources may be hosts, so they are ranked over many partitions.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    table = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = per.withColumn("weight", F.get(table, (F.row_number().over(order) - 1) % len(weights)))
-    ratio = (F.col("source_size") * max_repeats) / F.col("weight")
-    # By falling cap per weight, the first k sources uncapped and the rest capped: one level fits.
-    ranked = ranked.withColumn("ratio", ratio)
-    up = Window.orderBy(F.col("ratio").asc(), F.col("source").asc_nulls_last())
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    filled = ranked.select(
-        "source", "source_size", "weight", "ratio",
-        F.sum("source_size").over(whole).alias("all_words"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("w_left"),
-        F.coalesce(F.sum(F.col("source_size") * max_repeats).over(before), F.lit(0)).alias("capped"),
-    )
-    level = (F.col("all_words") - F.col("capped")) / F.col("w_left")
+    per = sizes.groupBy("source").agg(F.count("*").alias("freq"), F.sum("size").alias("source_size"))
+    by_name = F.col("source").asc_nulls_last()
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
+    named = running(per, [by_name], scratch).select("source", "freq", "source_size", weight.alias("weight"))
+    # By falling cap per weight, the first k sources capped and the rest uncapped: one level fits.
+    named = named.withColumn("ratio", (F.col("source_size") * max_repeats) / F.col("weight"))
+    filled = running(named, [F.col("ratio").asc(), by_name], scratch, ("source_size", "weight"))
+    whole = F.broadcast(named.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight")))  # one row
+    level = (F.col("all_words") - F.col("source_size_before") * max_repeats) / (F.col("all_weight") - F.col("weight_before"))
+    filled = scratch.settle(filled.crossJoin(whole).withColumn("level", level), "levels")
     # The first source, by rising ratio, that stays below its cap sets the level of all after it.
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"]
-    filled = filled.withColumn("level", level).withColumn("final", first)
+    final = F.broadcast(filled.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).alias("first")).select(F.col("first.level").alias("final")))  # one row
     cap = (F.col("source_size") * max_repeats).cast("double")
-    return filled.select("source", "source_size", "weight", F.when(F.col("final").isNull(), cap).otherwise(F.least(cap, F.col("final") * F.col("weight"))).alias("target"))
+    target = F.when(F.col("final").isNull(), cap).otherwise(F.least(cap, F.col("final") * F.col("weight")))
+    return filled.crossJoin(final).select("source", "freq", "source_size", "weight", target.alias("target"))
 
 
 def fit_counts(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAPSACK_WORDS) -> list[int]:
@@ -181,14 +174,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     """
     with Scratch(docs.sparkSession, "mix") as scratch:
         sizes = scratch.settle(sized(docs), "sizes")  # the texts are read once; the rest is numbers
-        goal = scratch.settle(targets(sizes, weights, max_repeats), "targets")
+        goal = scratch.settle(targets(sizes, scratch, weights, max_repeats), "targets")
         cut = scratch.settle(cutoffs(sizes, goal, seed), "cutoffs")
         met, copies = _copies(sizes.filter("size > 0"), cut, F.col("source"), F.col("size"), F.col("doc_id"), seed, F.col("doc_id"))
         taken = met.select("doc_id", "source", "size", (F.col("size") * copies).alias("taken"))
         taken = taken.unionByName(sizes.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-        goal = F.broadcast(goal) if goal.count() <= 10_000 else goal  # a row per source; beyond that, a shuffle join
-        full = taken.alias("t").join(goal.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source")), "left")
-        return scratch.settle(full.select("t.doc_id", "t.source", "size", "source_size", "target", "taken"), "mix", keep=True)
+        # A source may hold a third of all documents: its row is broadcast.
+        (key,) = own_names(1)
+        named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+        facts = goal.select(named.alias(key), "freq", "source_size", "target")
+        full = lookup_join(taken.withColumn(key, named), facts, key, sizes.count())
+        return scratch.settle(full.select("doc_id", "source", "size", "source_size", "target", "taken"), "mix", keep=True)
 
 
 def apply(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -199,7 +195,7 @@ def apply(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed
     """
     with Scratch(docs.sparkSession, "mix") as scratch:
         sizes = scratch.settle(sized(docs), "sizes")
-        goal = scratch.settle(targets(sizes, weights, max_repeats), "targets")
+        goal = scratch.settle(targets(sizes, scratch, weights, max_repeats), "targets")
         cut = scratch.settle(cutoffs(sizes, goal, seed), "cutoffs", keep=True)
     row, size, k, i = own_names(4)
     # The row travels as one struct, so no name of its columns can meet one of ours.

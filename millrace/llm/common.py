@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words everywhere in this package: space and the ASCII controls 0x09-0x0D.
@@ -166,3 +166,22 @@ def lookup_join(rows: DataFrame, counted: DataFrame, key: str | list[str], total
         on = on & (F.col(k) == F.col(t))
     both = marked.join(cold, on, "left").withColumn(at, F.coalesce(hot_facts, cold_facts)).filter(F.col(at).isNotNull())
     return both.select(*rows.columns, *(F.col(at)[c].alias(c) for c in facts))
+
+
+def running(df: DataFrame, order: list[Column], scratch: Scratch, sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``rank`` (from 0, by ``order``) and ``<name>_before``, the sum of each of ``sums`` over the rows before.
+
+    Rows are sorted by range over many partitions and written, so that their places are fixed; only the partitions' own
+    counts and sums meet in one window, a row per partition.
+    """
+    at, part, first = own_names(3)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = scratch.settle(placed, "placed").withColumn(part, F.shiftrightunsigned(at, 33))  # the partition's number; the rest counts its rows
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    per = placed.groupBy(part).agg(F.count("*").alias(first), *(F.sum(c).alias(c) for c in sums))
+    per = per.select(part, before(first, upto).alias(first), *(before(c, upto).alias(f"{first}{c}") for c in sums))
+    inside = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.select("*", *(before(c, inside).alias(f"{at}{c}") for c in sums)).join(F.broadcast(per), part)
+    rank = F.col(first) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return inner.select(*df.columns, rank.alias("rank"), *((F.col(f"{first}{c}") + F.col(f"{at}{c}")).alias(f"{c}_before") for c in sums))

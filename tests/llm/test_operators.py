@@ -224,6 +224,23 @@ def test_budget_mix(docs, rows):
     assert all(abs(taken[s] - want[s]) <= max(1, longest[s] / 2) for s in sizes)
 
 
+def test_targets_of_many_sources(spark):
+    """Sources ranked over many partitions, with ties, capped ones and a null one."""
+    from millrace.llm.common import Scratch
+
+    rng = random.Random(21)
+    sizes = {f"s{i:03d}": rng.choice([3, 7, 50, 900, 100_000]) for i in range(400)} | {None: 12, "": 5, "é": 8}
+    table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        with Scratch(spark, "test") as scratch:
+            have = {r["source"]: r["target"] for r in budget_mix.targets(table, scratch).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert have == pytest.approx(brute.fill_level(sizes))
+
+
 def test_fit_counts_is_a_best_subset_sum():
     rng = random.Random(9)
     for _ in range(60):
