@@ -161,12 +161,19 @@ def redact_basic(spark, sf_dir):
     return _redacted(spark, sf_dir, Redaction.of("basic"))
 
 
-# The tables hold no bearer tokens, whose rule needs look-ahead; tests cover it.
+# The tables hold no bearer tokens; ``redact_bearer`` puts one into every document.
 @query(f"SELECT doc_id, {_secret('text')} AS text FROM ({_BASIC})")
 def redact_strict(spark, sf_dir):
     return _redacted(spark, sf_dir, Redaction.of("strict"))
 
 
+@query("SELECT doc_id, 'Authorization: Bearer [REDACTED_SECRET]. Next: ' || CASE WHEN length(doc_id::VARCHAR) > 0 THEN 'Bearer short ' || coalesce(lang, '') END AS text FROM documents")
+def redact_bearer(spark, sf_dir):
+    """A token after the word is hidden, the sentence's full stop is not part of it, and a short word is no token."""
+    shown = F.concat(F.lit("Authorization: Bearer t.0k_"), F.lpad(F.col("doc_id").cast("string"), 24, "x"), F.lit("=. Next: Bearer short "), F.coalesce("lang", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", redact(shown, Redaction.of("strict")).alias("text"))
+
+
 @query(f"SELECT doc_id, regexp_replace(text, 'lic[a-z]+', '[REDACTED_SECRET]', 'g') AS text FROM ({_BASIC})")
 def redact_custom(spark, sf_dir):
     return _redacted(spark, sf_dir, Redaction.of("custom", [" lic[a-z]+ ", "(unclosed", ""]))
