@@ -40,6 +40,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(from_turns(spark, sf_dir))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder in spark.checkpoint.dir, for plans that read it several times; itself where that is unset."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One header per conversation; its title is the start of the first turn."""
     turns = from_turns(spark, sf_dir).groupBy("conv_id").agg(F.min_by("text", "idx").alias("first"))
@@ -274,7 +279,7 @@ def scope_range(spark, sf_dir):
 @query(_scoped(f"id IN (SELECT id FROM m WHERE idx = 1) OR (role = 'user' AND text IN (SELECT text FROM m WHERE idx = 2 AND role = 'user'))"))
 def scope_selected(spark, sf_dir):
     """Marked by ids, by fingerprints and by readable fingerprints; the marks come from a table."""
-    m = messages(spark, sf_dir)
+    m = settled(messages(spark, sf_dir))
     second, third = m.filter("idx = 1").select(F.col("id").alias("key")), m.filter("idx = 2 and role = 'user'")
     keys = second.unionByName(third.select(text.fingerprint(F.col("role"), F.col("text")).alias("key"))).unionByName(third.select(F.concat_ws(":", "role", "text").alias("key")))
     return _scope(selection.select_by_keys(complete(m), keys), "selected")
