@@ -9,7 +9,11 @@ here only to bring equal strings together, equal strings meet by hash, so the wo
 2. the bytes that a group's windows cover together - where these repeat, all its windows do;
 3. the single windows of the few groups that are left, at the ends of repeated passages.
 
-The first step only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two
+A first pass of step 1 alone, over strings of PASSAGE bytes, finds the few documents that go through the steps at all; it
+also leads to passages of over PASSAGE_WORDS words that other documents hold too, which may be shorter than LENGTH bytes
+and are told, not removed.
+
+Step 1 only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two
 independent 64-bit hashes, which 10**12 strings share by chance with less than 10**-14.
 
 Counts are pre-aggregated and hot keys are taken out of the shuffles, so neither a passage that a third of the
@@ -30,6 +34,8 @@ from . import text_hash
 from .common import Scratch, lookup_join, steps
 
 LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
+#: Bytes, and words, from which a string that other documents hold too is told as a passage.
+PASSAGE, PASSAGE_WORDS = 300, 50
 #: Ids of documents with a repeated core are broadcast to the scan up to this many; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -151,6 +157,28 @@ def _again(length: int, single: bool):
 UNIT = ("low", "high", "core")
 
 
+def _passages(length: int, words: int):
+    """Keys of the strings of ``words`` + 1 words around the middle of each group in the column ``units``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in steps(batch, "text"):
+                lows, cores, keys = [], [], ([], [])
+                for text, units in zip(_data(piece), _lists(piece.column("units")), strict=True):
+                    data = np.frombuffer(text, np.uint8)
+                    start, end = text_hash.word_bounds(data)
+                    middle = np.searchsorted(start, (units["low"] + units["high"] + length) // 2, "right") - 1
+                    at = np.unique(middle[:, None] - np.arange(words + 1))
+                    at = at[(at >= 0) & (at + words < len(start))]
+                    lows.append(start[at])
+                    cores.append(np.zeros(len(at), np.uint64))
+                    for which in (0, 1):
+                        keys[which].append(text_hash.ranges(text_hash.prefix(data, which), start[at], end[at + words], which))
+                yield _rows(piece, lows, lows, cores, keys)
+
+    return run
+
+
 def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
     """The keys that occur twice or more with their freq, and the number of rows that hold them."""
     counted = scratch.settle(rows.groupBy(*keys).agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
@@ -172,7 +200,7 @@ def _cut(length: int):
                     kept.append(b"".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True)))
                     spans.append([{"start": a, "end": b} for a, b in zip(starts, stops, strict=True)])
                     sizes.append(len(text))
-                yield pa.record_batch([piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.record_batch([piece.column("rid"), piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["rid", "doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
@@ -180,61 +208,84 @@ def _cut(length: int):
 SPANS = "array<struct<start: long, end: long>>"
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) of every document.
+def cut_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte ranges), kept (the remaining bytes) and has_passage of every document.
 
     A byte goes where a ``length``-byte string that covers it starts at another place too, in this document or
-    another; spans are judged on the input and overlap freely. Null text is empty. Repeated rows are documents of
-    their own, so each repeats the other. An empty table gives an empty result; other columns are ignored; doc_id keeps
-    its type.
+    another; spans are judged on the input and overlap freely. ``has_passage`` tells that something was removed, or that
+    another document holds a string of more than ``words`` words too (all of ``passage`` bytes or more are found). Null
+    text is empty. Repeated rows are documents of their own, so each repeats the other. An empty table gives an empty
+    result; other columns are ignored; doc_id keeps its type.
     """
     with Scratch(docs.sparkSession, "repeats") as scratch:
-        return _cut_repeats(docs, length, scratch)
+        return _cut_repeats(docs, length, min(passage, length), words, scratch)
+
+
+def _units(texts: DataFrame, length: int, kind: str, scratch: Scratch) -> DataFrame:
+    """rid, low, high, core of the groups whose core occurs twice or more."""
+    cores = scratch.settle(texts.select("rid", "text").mapInArrow(_cores(length), f"rid {kind}, low long, high long, core long"), "cores")
+    found, total = _repeated(cores, ["core"], scratch)
+    units = scratch.settle(lookup_join(cores, found, "core", total).drop("freq"), "units")
+    scratch.drop(cores, found)
+    return units
+
+
+def _gathered(units: DataFrame) -> DataFrame:
+    """rid, units: the groups of a document in one row."""
+    return units.groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
 
 
-def _cut_repeats(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def _cut_repeats(docs: DataFrame, length: int, passage: int, words: int, scratch: Scratch) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     unique = own.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 OR doc_id IS NULL").isEmpty()
     # doc_id names a row where it is unique; else doc_id and text do, and rows equal in both share their fate.
     own = own.withColumn("rid", F.col("doc_id") if unique else F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string")))
     kind = own.schema["rid"].dataType.simpleString()
-    numbered, keyed = f"rid {kind}, low long, high long, core long", f"rid {kind}, low long, high long, core long, key long, other long"
-    cores = own.select("rid", "text").mapInArrow(_cores(length), numbered)
-    found, total = _repeated(cores.select("core"), ["core"], scratch)
-    units = lookup_join(cores, found, "core", total).groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
-    units = scratch.settle(units, "units")
-    ids = scratch.settle(units.select("rid"), "ids", keep=True)
+    keyed = f"rid {kind}, low long, high long, core long, key long, other long"
+    wide = _units(own, passage, kind, scratch)
+    ids = scratch.settle(wide.select("rid").distinct(), "ids", keep=True)
     few = ids.count() <= BROADCAST_ROWS
-    near = own.join(F.broadcast(ids), "rid", "left_semi") if few else own
-    hot = scratch.settle(near.join(units, "rid"), "hot")
-    scratch.drop(found, units)
+    hot = scratch.settle(own.join(F.broadcast(ids) if few else ids, "rid", "left_semi"), "hot")
 
-    covers = hot.select("rid", "text", "units").mapInArrow(_again(length, False), keyed)
+    units = _units(hot, length, kind, scratch)
+    covers = hot.join(_gathered(units), "rid").select("rid", "text", "units").mapInArrow(_again(length, False), keyed)
+    covers = scratch.settle(covers, "covers")
     per_cover = covers.groupBy("key", "other").agg(F.count("*").alias("freq"), F.min(F.struct("rid", *UNIT)).alias("unit"))
-    per_cover = scratch.settle(per_cover, "covers")
+    per_cover = scratch.settle(per_cover, "per_cover")
     twice = per_cover.filter("freq >= 2")
     total = twice.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
-    whole = scratch.settle(lookup_join(covers, twice.select("key", "other", "freq"), ["key", "other"], total).select("rid", "low", "high").distinct(), "whole")
+    whole = scratch.settle(lookup_join(covers.drop("core"), twice.select("key", "other", "freq"), ["key", "other"], total).select("rid", "low", "high").distinct(), "whole")
     # Groups whose cover is unique go on window by window, and with them one of each repeated cover that has the
     # same core: its windows may be those that a unique group repeats.
     alone = per_cover.filter("freq = 1").select("unit.*")
     beside = twice.select("unit.*").join(alone.select("core").distinct(), "core", "left_semi").select("rid", *UNIT)
-    rest = alone.unionByName(beside).groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
+    rest = _gathered(alone.unionByName(beside))
     windows = scratch.settle(hot.select("rid", "text").join(rest, "rid").mapInArrow(_again(length, True), keyed).drop("core", "high"), "windows")
-    scratch.drop(per_cover)
+    scratch.drop(units, covers, per_cover)
     found, total = _repeated(windows, ["key", "other"], scratch)
     ends = lookup_join(windows, found, ["key", "other"], total).select("rid", "low", F.col("low").alias("high")).distinct()
-    gone = whole.unionByName(ends).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("units"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {SPANS}, kept binary"
-    changed = hot.drop("units").join(gone, "rid", "left").select("doc_id", "text", "units").mapInArrow(_cut(length), schema)
-    changed = scratch.settle(changed, "changed", keep=True)
+    gone = scratch.settle(whole.unionByName(ends).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("units")), "gone")
+    scratch.drop(whole, windows)
+
+    # Shorter passages: documents with nothing to remove, and all that share a core with them.
+    left = wide.join(gone.select("rid"), "rid", "left_anti")
+    shared = wide.join(left.select("core").distinct(), "core", "left_semi").select("rid", *UNIT)
+    strings = hot.select("rid", "text").join(_gathered(shared), "rid").mapInArrow(_passages(passage, words), keyed).select("rid", "key", "other")
+    strings = scratch.settle(strings.distinct(), "strings")
+    found, total = _repeated(strings, ["key", "other"], scratch)
+    told = lookup_join(strings, found, ["key", "other"], total).select("rid").distinct().withColumn("told", F.lit(True))
+
+    schema = f"rid {kind}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {SPANS}, kept binary"
+    changed = hot.join(gone, "rid", "left").select("rid", "doc_id", "text", "units").mapInArrow(_cut(length), schema).join(told, "rid", "left")
+    has = (F.size("spans") > 0) | F.coalesce("told", F.lit(False))
+    changed = scratch.settle(changed.select("doc_id", "n_bytes", "spans", "kept", has.alias("has_passage")), "changed", keep=True)
     data = F.encode("text", "UTF-8")
     same = own.join(F.broadcast(ids) if few else ids, "rid", "left_anti")
-    same = same.select("doc_id", F.length(data).cast("long").alias("n_bytes"), F.array().cast(SPANS).alias("spans"), data.alias("kept"))
+    same = same.select("doc_id", F.length(data).cast("long").alias("n_bytes"), F.array().cast(SPANS).alias("spans"), data.alias("kept"), F.lit(False).alias("has_passage"))
     return changed.unionByName(same)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_passage of every document."""
     cut = cut_repeats(docs, length)
-    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "has_passage")
