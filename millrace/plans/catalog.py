@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from ..operators import batch, completeness, library, normalize, quality, render
 from ..operators.schema import complete, from_turns
 from ..sinks import files
 from ..sources import chat_pages
+from ..streaming import capture
 from .options import PROFILES, ExportOptions
 
 EXPORTED_AT = "2026-05-31T10:20:30.000Z"
@@ -567,6 +569,39 @@ def library_stored(spark, sf_dir):
     return held.join(head.select("conv_id", "title"), "conv_id").join(records.select(F.col("id").alias("conv_id"), F.col("conv_id").alias("of")), "conv_id").select(F.col("of").alias("conv_id"), "idx", "role", "author_label", "text", "title")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""{_RECORDS} SELECT id, conv_id, CASE WHEN project_label = 'Third' THEN title ELSE 'Again: ' || title END AS title, saved_at FROM l WHERE NOT contains(tags, 'Even') OR project_label = 'Third'""")
+def library_store(spark, sf_dir):
+    """Records put, put again with new titles, and deleted; listed newest first."""
+    records = settled(_records(spark, sf_dir))
+    store = library.Library(spark, _folder(spark, "library"))
+    third = F.coalesce(F.col("project_label") == "Third", F.lit(False))
+    store.put(records)
+    store.put(records.filter(~third).withColumn("title", F.concat(F.lit("Again: "), "title")))
+    store.delete(records.filter(~third & F.array_contains("tags", "Even")).select("id"))
+    return store.list().select("id", "conv_id", "title", "saved_at")
+
+
+@query("""SELECT conv_id, turn + k AS step, turn::BIGINT AS idx, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn + k, turn) > 1 AS duplicate
+FROM (SELECT conv_id, turn, """ + _ROLE + """ AS role, """ + _clean("coalesce(text, '')") + """ AS text FROM conversations), range(3) r(k) WHERE text <> ''""")
+def capture_stream(spark, sf_dir):
+    """Every turn is seen in three windows of a growing page; the stream lets each message through once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = _folder(spark, "capture")
+    turns = from_turns(spark, sf_dir).withColumn("id", F.lit(None).cast("string"))
+    windows = turns.withColumn("step", F.explode(F.array(F.col("idx"), F.col("idx") + 1, F.col("idx") + 2))).select("conv_id", "step", "idx", "id", "role", "text")
+    windows.write.parquet(f"{folder}/windows")
+    stream = spark.readStream.schema(windows.schema).parquet(f"{folder}/windows")
+    sink = capture.first_sight(stream).writeStream.format("parquet").option("path", f"{folder}/seen").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/seen").select("conv_id", "step", "idx", "duplicate")
+
+
 # --- pages and batches ------------------------------------------------------------------------------------------
 
 
