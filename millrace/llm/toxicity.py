@@ -110,6 +110,14 @@ def _grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], end[:-1]]), end)
 
 
+def _summed(values: np.ndarray, first: np.ndarray, count: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of the runs of ``values`` that begin at ``first``, one after the other; an empty run sums to 0."""
+    out, some = np.zeros(len(count), kind), count > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, first[some], dtype=kind)
+    return out
+
+
 class _Bags:
     """The windows of the sample as bags of n-gram buckets that enough documents hold, renumbered."""
 
@@ -136,13 +144,13 @@ class _Bags:
         number[self.buckets] = np.arange(len(self.buckets))
         known = number[found] >= 0
         self.grams, self.all_counts = number[found[known]], counts
-        self.counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[known], minlength=len(counts))
+        self.counts = _summed(known, np.cumsum(counts) - counts, counts, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
     def logits(self, state) -> np.ndarray:
         """Of all windows, through one number per word."""
-        weight = state[0] @ (state[1][:, 1] - state[1][:, 0])
-        of_word = np.bincount(np.repeat(np.arange(len(self.counts)), self.counts), weight[self.grams], len(self.counts))
+        weight = (state[0] @ (state[1][:, 1] - state[1][:, 0])).astype(np.float32)
+        of_word = _summed(weight[self.grams], self.first[:-1], self.counts, np.float64)
         row = np.repeat(np.arange(len(self.n)), self.n)
         size = np.maximum(np.bincount(row, self.all_counts[self.flat], len(self.n)), WINDOW * 16)
         return np.bincount(row, of_word[self.flat], len(self.n)) * WINDOW / size + (state[2][1] - state[2][0])
