@@ -221,13 +221,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, w
         return _cut_repeats(docs, length, min(passage, length), words, scratch)
 
 
-def _units(texts: DataFrame, length: int, kind: str, scratch: Scratch) -> DataFrame:
-    """rid, low, high, core of the groups whose core occurs twice or more."""
+def _units(texts: DataFrame, length: int, kind: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """rid, low, high, core, freq of the groups whose core occurs twice or more, and how many they are."""
     cores = scratch.settle(texts.select("rid", "text").mapInArrow(_cores(length), f"rid {kind}, low long, high long, core long"), "cores")
     found, total = _repeated(cores, ["core"], scratch)
-    units = scratch.settle(lookup_join(cores, found, "core", total).drop("freq"), "units")
+    units = scratch.settle(lookup_join(cores, found, "core", total), "units")
     scratch.drop(cores, found)
-    return units
+    return units, total
 
 
 def _gathered(units: DataFrame) -> DataFrame:
@@ -242,12 +242,12 @@ def _cut_repeats(docs: DataFrame, length: int, passage: int, words: int, scratch
     own = own.withColumn("rid", F.col("doc_id") if unique else F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string")))
     kind = own.schema["rid"].dataType.simpleString()
     keyed = f"rid {kind}, low long, high long, core long, key long, other long"
-    wide = _units(own, passage, kind, scratch)
+    wide, wide_total = _units(own, passage, kind, scratch)
     ids = scratch.settle(wide.select("rid").distinct(), "ids", keep=True)
     few = ids.count() <= BROADCAST_ROWS
     hot = scratch.settle(own.join(F.broadcast(ids) if few else ids, "rid", "left_semi"), "hot")
 
-    units = _units(hot, length, kind, scratch)
+    units, _ = _units(hot, length, kind, scratch)
     covers = hot.join(_gathered(units), "rid").select("rid", "text", "units").mapInArrow(_again(length, False), keyed)
     covers = scratch.settle(covers, "covers")
     per_cover = covers.groupBy("key", "other").agg(F.count("*").alias("freq"), F.min(F.struct("rid", *UNIT)).alias("unit"))
@@ -269,7 +269,7 @@ def _cut_repeats(docs: DataFrame, length: int, passage: int, words: int, scratch
 
     # Shorter passages: documents with nothing to remove, and all that share a core with them.
     left = wide.join(gone.select("rid"), "rid", "left_anti")
-    shared = wide.join(left.select("core").distinct(), "core", "left_semi").select("rid", *UNIT)
+    shared = lookup_join(wide.drop("freq"), left.groupBy("core").agg(F.first("freq").alias("freq")), "core", wide_total).select("rid", *UNIT)
     strings = hot.select("rid", "text").join(_gathered(shared), "rid").mapInArrow(_passages(passage, words), keyed).select("rid", "key", "other")
     strings = scratch.settle(strings.distinct(), "strings")
     found, total = _repeated(strings, ["key", "other"], scratch)
