@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import Scratch, own_names, quoted, steps
+from .common import Scratch, lookup_join, own_names, quoted, steps
 
 #: Template tokens in a window; the literal words it needs at least; tokens of an item that must match (or all).
 WINDOW, LITERALS, MATCHED = 8, 4, 13
@@ -261,8 +261,12 @@ def _leaks(docs: DataFrame, items: DataFrame, matched: int, scratch: Scratch) ->
         found = hits if found is None else found.unionByName(hits)
     d = found.select(F.col("id").alias("doc_id"), "th", "kind", F.col("pos").alias("dp"), "size", "h", F.col("slots").alias("ds"))
     i = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), "kind", F.col("pos").alias("ip"), "size", "h", F.col("n_windows").alias("n_item"), F.col("slots").alias("vs"))
-    i = F.broadcast(i) if items.count() <= BROADCAST_ROWS else i  # a row is under 150 bytes
-    met = d.join(i, ["h", "size", "kind"])
+    if items.count() <= BROADCAST_ROWS:
+        met = d.join(F.broadcast(i), ["h", "size", "kind"])  # a row is under 150 bytes
+    else:  # a window that very many documents hold is no hot key
+        d = scratch.settle(d, "hits")
+        often = d.groupBy("h").agg(F.count("*").alias("freq"))
+        met = lookup_join(d, i.join(often, "h"), ["h", "size", "kind"], d.count())
     pair = ["doc_id", "th", "item_id", "ith", "kind", "size", "n_item"]
     pairs = F.filter(F.arrays_zip(F.col("vs"), F.col("ds")), lambda x: x["vs"] != 0)
     # One alignment of one document and one item: at most the item's windows.

@@ -390,6 +390,7 @@ def test_decontaminate_follows_slots_of_other_lengths(spark):
 def test_decontaminate_in_several_scans(spark, monkeypatch):
     whole = got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows")
     monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 1000)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert whole and got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows") == whole
 
 
@@ -459,8 +460,10 @@ def test_html_wrapper_merges_in_a_tree(spark, monkeypatch):
     assert have[31] == "h2 31\nul 31\np 31\ndl 31\npre 31" and have[4] == "p 4" and len(have) == 31
 
 
-def test_html_wrapper_finds_a_region_on_every_page(spark):
+@pytest.mark.parametrize("chars", [html_wrapper.BROADCAST_CHARS, 900])
+def test_html_wrapper_finds_a_region_on_every_page(spark, monkeypatch, chars):
     """Hosts without article or main: classes of one page, two layouts, parts side by side, no url, marked bodies."""
+    monkeypatch.setattr(html_wrapper, "BROADCAST_CHARS", chars)
     rng = random.Random(13)
     rows, want = [], []
 
