@@ -31,6 +31,8 @@ BLOCK_TOKENS = 65_536
 REMEMBERED = 400_000
 #: New words are encoded so many at once, with a control character between them.
 WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
+#: A letter and the ASCII punctuation after it.
+PUNCTUATED = r"(\pL)([!-/:-@\[-`{-~])"
 
 #: Ids packed or unpacked in one step, a multiple of eight.
 AT_ONCE = 1 << 16
@@ -89,12 +91,29 @@ def _drops_white_space(pre_tokenizer: dict, normalizer: dict) -> bool:
     return splits and all(n.get("type") in local for n in flat(normalizer, "normalizers"))
 
 
+def _cuts_before_punctuation(pre_tokenizer: dict) -> bool:
+    """Whether its first step also ends a piece wherever ASCII punctuation follows a letter: asked of its own pattern."""
+    first = (pre_tokenizer.get("pretokenizers") or [pre_tokenizer])[0]
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+        return False
+    import regex
+
+    pattern = regex.compile((first.get("pattern") or {}).get("Regex", ""))
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    probes = [f"a{x}{p}{y}" for x in "aZs\u00e9" for p in signs for y in ("b", "s", "ll", p, "1")]
+    return not any(m.start() < 2 < m.end() for probe in probes for m in pattern.finditer(probe))
+
+
 class WordEncoder:
     """Encodes whole texts through a memory of words.
 
     For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words
     in order. Control characters other than white space, and white space beyond ASCII, stay inside a word and are
     left to the tokenizer. Any other tokenizer gets whole texts.
+
+    Where the tokenizer also cuts before punctuation and lower-cases, words are cut and lower-cased before they are
+    looked up, so that one entry serves "word", "Word" and "word,". Texts that hold one of its special strings, in any
+    case, or a capital sigma, whose lower case may depend on what is beside it, are left as they are.
     """
 
     def __init__(self, path: str):
@@ -103,6 +122,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = _drops_white_space(_spec(self.tokenizer.pre_tokenizer), _spec(self.tokenizer.normalizer))
+        pre, normal, special = _spec(self.tokenizer.pre_tokenizer), _spec(self.tokenizer.normalizer), [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kinds = {n.get("type") for n in normal.get("normalizers", [normal])}
+        self.cuts = self.by_words and "Lowercase" in kinds and len(special) <= 8 and _cuts_before_punctuation(pre)
+        self.special = special
         own = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = own[0] if len(own) == 1 else None
         self.memory: dict[str, int] = {}
@@ -166,6 +189,11 @@ class WordEncoder:
         if not self.by_words:
             return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         column = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), "\t", " ")
+        if self.cuts:
+            odd = pc.match_substring(column, "\u03a3")
+            for content in self.special:
+                odd = pc.or_(odd, pc.match_substring(column, content, ignore_case=True))
+            column = pc.if_else(odd, column, pc.ascii_lower(pc.replace_substring_regex(column, PUNCTUATED, r"\1 \2")))
         split = pc.split_pattern(column, " ")
         words = split.flatten().dictionary_encode()
         row = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]

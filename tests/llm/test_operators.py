@@ -217,7 +217,7 @@ def test_tokens_of_texts_with_special_strings():
     from tokenizers import Tokenizer
 
     path = token_pack.tokenizer_path()
-    texts = ["a<|endoftext|>b it's\r\x0bDON'T\u00a0x\u2003y  \u0301z 12ab Σίσυφος ΟΔΟΣ", "\x1cq\x85r", "日本語 text, ends."]
+    texts = ["WORD, word. (Word) it's IT'S 'stop o'clock... a=\u0338b x,\u0327y e\u0301! \u01c5; don't've", "A<|ENDOFTEXT|>B, c<|startoftext|>.", "\u03a3'A ab.\u03a3 \u039f\u03a3, x", "a<|endoftext|>b it's\r\x0bDON'T\u00a0x\u2003y  \u0301z 12ab Σίσυφος ΟΔΟΣ", "\x1cq\x85r", "日本語 text, ends."]
     want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in token_pack.WordEncoder(path).encode(texts)] == want
 
@@ -575,7 +575,7 @@ def test_tokenizers_that_keep_white_space_get_whole_texts(rows):
     path = token_pack.tokenizer_path("byte_bpe_50k.json")
     own = token_pack.WordEncoder(path)
     texts = [t for _, t, _ in rows if t][:20]
-    assert not own.by_words and token_pack.WordEncoder(token_pack.tokenizer_path()).by_words
+    assert not own.by_words and token_pack.WordEncoder(token_pack.tokenizer_path()).cuts
     assert [x.tolist() for x in own.encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
