@@ -387,6 +387,54 @@ def test_decontaminate_follows_slots_of_other_lengths(spark):
     assert got(have, "doc_id", "item_id") == [(1, 1), (2, 1), (3, 2), (5, 3), (6, 1)]
 
 
+def test_decontaminate_of_very_long_texts(spark):
+    """Words, sentences and windows that lie across the pieces in which a text is read."""
+    rng = random.Random(17)
+    item = "When the baker Anna sold a box of rolls to the shop in Paris for 25 euros, what did the shop pay her for one of them?"
+    filler = " ".join(f"{'W' if rng.random() < 0.1 else 'w'}{rng.randrange(999)}{rng.choice(['', '.', ','])}" for _ in range(150_000))
+    docs = [(1, filler[:k] + " " + item + " " + filler[k:]) for k in (decontaminate.PIECE - 60,)] + [(2, filler), (3, filler + item), (4, "x" * 700_000 + " " + item)]
+    have = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert got(have, "doc_id", "item_id") == [(1, 9), (3, 9), (4, 9)]
+    whole = decontaminate.template([filler.encode()])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "PIECE", 1000)
+        assert all(np.array_equal(a, b) for a, b in zip(vars(whole).values(), vars(decontaminate.template([filler.encode()])).values(), strict=True))
+
+
+def test_toxicity_scores_as_defined():
+    """Every n-gram hashed by itself, windows of three words, the highest window."""
+    rng = random.Random(19)
+    model = toxicity.Model(np.random.default_rng(4).normal(size=toxicity.BUCKETS), -0.3)
+
+    def plain(text):
+        best, found = None, text.split()
+        for i in range(0, len(found), 3):
+            total, n = 0.0, 0
+            for w in found[i : i + 3]:
+                marked = b"<" + w.lower() + b">"
+                for g in toxicity.GRAMS:
+                    for at in range(len(marked) - g + 1):
+                        h = text_hash.ranges(text_hash.prefix(np.frombuffer(marked[at : at + g], np.uint8)), np.array([0]), np.array([g]))[0]
+                        total, n = total + model.weight[int(h) >> (64 - toxicity.BUCKETS.bit_length() + 1)], n + 1
+            logit = total / max(n, 48) + model.bias
+            best = logit if best is None else max(best, logit)
+        return 1 / (1 + np.exp(-(min(model.bias, -1.0) if best is None else best)))
+
+    texts = [words_of(rng, n).encode() for n in (1, 2, 3, 7, 20)] + [b"", b" \t", "Ünïcode ÀB c\u0301 a".encode(), b"A bb CCC dddd"]
+    assert model.scores(texts) == pytest.approx([plain(t) for t in texts])
+
+
+def test_toxicity_of_very_long_texts():
+    model = toxicity.Model(np.random.default_rng(3).normal(size=toxicity.BUCKETS), 0.2)
+    rng = random.Random(18)
+    text = words_of(rng, 90_000, 5000).encode()
+    w = text.split()
+    thirds = [b" ".join(w[at : at + 30_000]) for at in range(0, 90_000, 30_000)]
+    assert model.scores([text])[0] == pytest.approx(max(model.scores(thirds)))
+    alone = np.concatenate([model.scores([t]) for t in (*thirds, b"", b" a  b ")])
+    assert model.scores([*thirds, b"", b" a  b "]) == pytest.approx(alone)
+
+
 def test_decontaminate_in_several_scans(spark, monkeypatch):
     whole = got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows")
     monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 1000)
