@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import Scratch, lookup_join, own_names, quoted, steps
+from .common import Scratch, lookup_join, own_names, quoted, steps, tidy
 
 #: Template tokens in a window; the literal words it needs at least; tokens of an item that must match (or all).
 WINDOW, LITERALS, MATCHED = 8, 4, 13
@@ -174,6 +174,7 @@ def _texts(piece: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in piece.column("text").cast(pa.large_binary()).to_pylist()]
 
 
+@tidy
 def _item_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in steps(batch, "text"):
@@ -196,6 +197,7 @@ def _doc_rows(sizes: list[int], verbatim: list[int], known):
     """The corpus windows of these sizes (``verbatim``: of its words) whose hash is among ``known``, sorted."""
     bits: list[np.ndarray] = []
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = known.value
         if not bits:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import Scratch, lookup_join, own_names, steps
+from .common import Scratch, lookup_join, own_names, steps, tidy
 
 #: Coordinates of a signature, and the chance that a pair at the threshold agrees in too few of them.
 K, MISS = 64, 1e-8
@@ -70,6 +70,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+@tidy
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in steps(batch, "text"):
@@ -82,6 +83,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cid", "sig"])
 
 
+@tidy
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in steps(batch, "text"):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import Scratch, lookup_join, steps
+from .common import Scratch, lookup_join, steps, tidy
 
 LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
 #: Bytes, and words, from which a string that other documents hold too is told as a passage.
@@ -121,6 +121,7 @@ def _data(piece: pa.RecordBatch) -> list[bytes]:
 def _cores(length: int):
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, "text"):
@@ -133,6 +134,7 @@ def _cores(length: int):
 def _again(length: int, single: bool):
     """Keys of the groups in the column ``units``: of what each covers, or of each of its windows."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, "text"):
@@ -160,6 +162,7 @@ UNIT = ("low", "high", "core")
 def _passages(length: int, words: int):
     """Keys of the strings of ``words`` + 1 words around the middle of each group in the column ``units``."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, "text"):
@@ -188,6 +191,7 @@ def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataF
 def _cut(length: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, "text"):

@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, shared_dir, steps
+from .common import ragged, shared_dir, steps, tidy
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A block is closed once it holds this many tokens; one longer document is a block of its own.
 BLOCK_TOKENS = 65_536
-#: Words whose ids a Python worker remembers (about 90 MB); once it is full, words met in one group only are forgotten.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers (about 60 MB); once it is full, words met in one group only are forgotten.
+REMEMBERED = 250_000
 #: New words are encoded so many at once, with a control character between them.
 WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
 #: A letter and the ASCII punctuation after it.
@@ -243,6 +243,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     schema = f"part int, block int, bits int, n_tokens long, first_id {kind}, last_id {kind}, doc_ids array<{kind}>, offsets array<bigint>, payload binary"
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -287,6 +288,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     index = blocks.select("part", "block", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("in_part"))
     index = index.join(manifest, "part").select(F.col("part").alias("p"), F.col("block").alias("b"), (F.col("part_start") + F.col("in_part")).alias("block_start"))
 
+    @tidy
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, "payload", 1):

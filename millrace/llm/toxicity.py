@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import own_names, ragged, steps
+from .common import own_names, ragged, steps, tidy
 
 BUCKETS, DIMENSIONS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 3
 #: Documents, and about the bytes of them, scored in one step.
@@ -271,6 +271,7 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame
     return got.groupBy("doc_id", "toxic", "draw").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "draw", "doc_id", "text")
 
 
+@tidy
 def _train_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts, ys, held = [], [], [0, 0]
     for batch in batches:
@@ -312,6 +313,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; null texts score as empty ones. doc_id keeps its type."""
     get = _sent(docs, model)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, "text", GROUP, GROUP_BYTES):
@@ -338,6 +340,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     get, columns = _sent(docs, fit(docs, labels)), own_names(len(docs.columns))
     text = columns[[c.lower() for c in docs.columns].index("text")]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch, text, GROUP, GROUP_BYTES):
