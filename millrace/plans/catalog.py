@@ -425,10 +425,17 @@ def _sizes(fmt: str):
     return run
 
 
-for _f in ("pdf", "zip", "png"):
+for _f in ("pdf", "png"):
     QUERIES[f"render_{_f}"] = _sizes(_f)
 
 
+@query(f"SELECT conv_id, name, CASE WHEN name = 'conversation.md' THEN text END AS text FROM ({_md_sql('default')}), unnest(['manifest.json', 'conversation.html', 'conversation.json', 'conversation.md']) n(name)")
+def render_zip(spark, sf_dir):
+    """The files inside each conversation's archive, and the text of the Markdown one."""
+    inside = unzipped(_files(spark, sf_dir, "zip"), "conv_id")
+    return inside.select("conv_id", "name", F.when(F.col("name") == "conversation.md", F.col("text")).alias("text"))
+
+
 _FACTS = (("Platform", "platform_label"), ("Source", "source_url"), ("Exported", "exported_at"), ("Messages", "message_count::VARCHAR"), ("Completeness", "status"))
 
 
