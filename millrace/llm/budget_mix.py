@@ -147,22 +147,31 @@ def cutoffs(sizes: DataFrame, goal: DataFrame, seed: int = SEED) -> DataFrame:
     return lengths.alias("l").join(cut.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")) & (F.col("l.size") == F.col("c.size")), "left").select("l.source", "l.size", "passes", "full", "open", "cutoff", "take", "tied")
 
 
+def _once_more(cut: dict[str, Column], draw: Column, bucket: Column, rank: Column) -> Column:
+    """Whether a document is taken once more; ``rank`` counts from 1 where only some of the tied rows are, else it is 0."""
+    tied = draw == cut["cutoff"]
+    inside = (bucket == cut["open"]) & ((draw < cut["cutoff"]) | tied & (rank <= cut["take"]))
+    return (bucket <= cut["full"]) | F.coalesce(inside, F.lit(False))
+
+
 def _copies(rows: DataFrame, cut: DataFrame, source: Column, size: Column, doc_id: Column, seed: int, order: Column) -> tuple[DataFrame, Column]:
     """``rows`` of documents with words, and how often each is taken; ``order`` settles tied rows."""
     draw, bucket = _draw(seed, doc_id)
     names = own_names(len(cut.columns))
     theirs = dict(zip(cut.columns, map(F.col, names), strict=True))
+    whole = cut.filter("take < tied").isEmpty()
     cut = cut.toDF(*names)
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
     met = rows.join(cut, source.eqNullSafe(theirs["source"]) & (size == theirs["size"]))
+    if whole:  # as a rule
+        return met, theirs["passes"] + _once_more(theirs, draw, bucket, F.lit(0)).cast("long")
+    # Rows of one doc_id of which only some are taken: very few, and ranked by themselves in another reading.
     at = (bucket == theirs["open"]) & (draw == theirs["cutoff"])
     torn = F.coalesce(at & (theirs["take"] < theirs["tied"]), F.lit(False))
     (rank,) = own_names(1)
-    # Rows of one doc_id of which only some are taken: very few, and ranked by themselves.
     ranked = met.filter(torn).withColumn(rank, F.row_number().over(Window.partitionBy(theirs["source"], theirs["size"]).orderBy(order)))
     met = met.filter(~torn).withColumn(rank, F.lit(0)).unionByName(ranked)
-    more = (bucket <= theirs["full"]) | F.coalesce((bucket == theirs["open"]) & (draw <= theirs["cutoff"]) & (F.col(rank) <= F.when(at, theirs["take"]).otherwise(F.lit(0))), F.lit(False))
-    return met, theirs["passes"] + more.cast("long")
+    return met, theirs["passes"] + _once_more(theirs, draw, bucket, F.col(rank)).cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
