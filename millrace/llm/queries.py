@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import budget_mix, decontaminate, html_wrapper, line_quality, near_dedup, repeated_spans, sharding, token_pack, toxicity, url_filter
+from . import ball_tree, budget_mix, decontaminate, disclosure, html_wrapper, line_quality, near_dedup, repeated_spans, sharding, token_pack, toxicity, url_filter
 from .common import small_batches, table
 
 
@@ -55,7 +55,16 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_line_quality, op5_decontaminate, op6_repeated_spans, op7_token_pack, op8_html_wrapper, op9_near_dedup, op10_budget_mix)}
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return disclosure.detect(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_line_quality, op5_decontaminate, op6_repeated_spans, op7_token_pack, op8_html_wrapper, op9_near_dedup, op10_budget_mix, op12_disclosure, op13_ball_tree)}
 
 
 def _sharding_sql() -> str:
@@ -158,4 +167,30 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base"""
 
 
-SQL = {"op1_sharding": _sharding_sql(), "op2_url_filter": _url_filter_sql(), "op4_line_quality": _line_quality_sql()}
+def _ball_tree_sql() -> str:
+    """The rounds written out: every vector against every centroid."""
+    n, scale = ball_tree.COMPONENTS, ball_tree.SCALE
+    apart = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = lambda r: f"near{r} AS MATERIALIZED (SELECT row, arg_min(struct_pack(c := c, d := d), struct_pack(d := d, c := c)) AS best FROM (SELECT row, c, {apart} AS d FROM kept k, at{r} c) GROUP BY row)"
+    steps = [nearest(0)]
+    for r in range(ball_tree.ROUNDS):
+        steps += [
+            f"sums{r} AS (SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM near{r} JOIN kept USING (row), range(1, {n + 1}) t(i) GROUP BY best.c, i)",
+            f"mean{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM sums{r} GROUP BY c)",
+            f"at{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, a.v) AS v FROM at{r} a LEFT JOIN mean{r} m USING (c))",
+            nearest(r + 1),
+        ]
+    last = ball_tree.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n}
+),
+at0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{ball_tree.SEED}:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {ball_tree.CENTROIDS}),
+{", ".join(steps)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(a.v, ',')) AS centroid_sha256
+FROM near{last} JOIN kept USING (row) JOIN at{last} a ON a.c = best.c"""
+
+
+SQL = {"op13_ball_tree": _ball_tree_sql(), "op1_sharding": _sharding_sql(), "op2_url_filter": _url_filter_sql(), "op4_line_quality": _line_quality_sql()}
