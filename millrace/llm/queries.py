@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, budget_mix, decontaminate, disclosure, html_wrapper, line_quality, near_dedup, repeated_spans, sharding, token_pack, toxicity, url_filter
+from . import ball_tree, budget_mix, decontaminate, disclosure, html_wrapper, line_quality, near_dedup, repeated_spans, sharding, token_align, token_pack, toxicity, url_filter
 from .common import small_batches, table
 
 
@@ -55,6 +55,11 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_align.alignment(table(spark, sf_dir, "documents"))
+
+
 def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return disclosure.detect(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_line_quality, op5_decontaminate, op6_repeated_spans, op7_token_pack, op8_html_wrapper, op9_near_dedup, op10_budget_mix, op12_disclosure, op13_ball_tree)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_line_quality, op5_decontaminate, op6_repeated_spans, op7_token_pack, op8_html_wrapper, op9_near_dedup, op10_budget_mix, op11_token_align, op12_disclosure, op13_ball_tree)}
 
 
 def _sharding_sql() -> str:
