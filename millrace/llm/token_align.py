@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, lookup_join, own_names, ragged, steps, tidy
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Distinct parts that a worker remembers, about 400 bytes each; once it is full, those met once are forgotten first.
-REMEMBERED = 150_000
+#: Distinct parts that a worker remembers, about 350 bytes each; once it is full, those met once are forgotten first.
+REMEMBERED = 250_000
 #: Pairs up to which their counts are broadcast (24 bytes each), and salts of the first stage of counting.
 BROADCAST_ROWS, SALTS = 1_000_000, 16
 #: Pairs that a task holds before it counts them.
@@ -156,8 +156,9 @@ class Aligner:
             per = np.bincount(part_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(kept))
             facts[kept, 0], facts[kept, 1], facts[kept, 2] = n_a, n_b, per
             links[kept] = np.bincount(part_a[left], minlength=len(kept))
-            say = lambda ids, group: [",".join(map(str, x)) for x in np.split(ids, np.flatnonzero(np.diff(group)) + 1)]
-            groups = [f"{x}|{y}" for x, y in zip(say(ids_a, group_a), say(ids_b, group_b), strict=True)]
+            bounds = lambda group: np.searchsorted(group, np.arange(len(cuts) + 1)).tolist()
+            say_a, say_b, at_a, at_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), bounds(group_a), bounds(group_b)
+            groups = [f"{','.join(say_a[a:c])}|{','.join(say_b[b:d])}" for a, c, b, d in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
             at = 0
             for i, n in zip(kept, per.tolist(), strict=True):
                 text[i] = ";".join(groups[at : at + n]).encode()

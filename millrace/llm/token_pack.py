@@ -31,8 +31,10 @@ BLOCK_TOKENS = 65_536
 REMEMBERED = 250_000
 #: New words are encoded so many at once, with a control character between them.
 WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
-#: A letter and the ASCII punctuation after it.
-PUNCTUATED = r"(\pL)([!-/:-@\[-`{-~])"
+#: An ASCII letter and the ASCII punctuation after it.
+PUNCTUATED = r"([A-Za-z])([!-/:-@\[-`{-~])"
+#: Fixed value: the pattern of word_bpe_49k.json, of which the shortcuts of ``WordEncoder`` are known to be exact.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Ids packed or unpacked in one step, a multiple of eight.
 AT_ONCE = 1 << 16
@@ -71,37 +73,21 @@ def _spec(part) -> dict:
     return json.loads(part.__getstate__()) if part is not None else {}
 
 
-def _drops_white_space(pre_tokenizer: dict, normalizer: dict) -> bool:
+def _by_words(pre_tokenizer: dict, normalizer: dict) -> bool:
     """Whether a tokenizer's own description says that it treats the words of a text one by one.
 
-    That holds where its first pre-tokenizer splits at white space, or keeps only matches of a pattern that white
-    space cannot be part of, and its normalizer works on characters.
+    That holds where its first pre-tokenizer splits at white space or keeps only the matches of WORDS, in which no match
+    holds white space, and its normalizer works within words.
     """
     flat = lambda x, many: x.get(many, [x]) if x else []
     first = (flat(pre_tokenizer, "pretokenizers") or [{}])[0]
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    if removes:
-        import regex
+    inside = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "BertNormalizer", "StripAccents"}
+    local = all(n.get("type") in inside or (n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " ") for n in flat(normalizer, "normalizers"))
+    return local and (first.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or _keeps_words(first))
 
-        probe = " \t\r\n".join(["a", "\u00e9", "1", ".", "'s", "_", "\u0301", "\u4e00"])
-        removes = not any(any(c.isspace() for c in m[0]) for m in regex.finditer(pattern, probe))
-    splits = first.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or bool(removes)
-    local = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "BertNormalizer", "StripAccents"}
-    return splits and all(n.get("type") in local for n in flat(normalizer, "normalizers"))
 
-
-def _cuts_before_punctuation(pre_tokenizer: dict) -> bool:
-    """Whether its first step also ends a piece wherever ASCII punctuation follows a letter: asked of its own pattern."""
-    first = (pre_tokenizer.get("pretokenizers") or [pre_tokenizer])[0]
-    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
-        return False
-    import regex
-
-    pattern = regex.compile((first.get("pattern") or {}).get("Regex", ""))
-    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
-    probes = [f"a{x}{p}{y}" for x in "aZs\u00e9" for p in signs for y in ("b", "s", "ll", p, "1")]
-    return not any(m.start() < 2 < m.end() for probe in probes for m in pattern.finditer(probe))
+def _keeps_words(first: dict) -> bool:
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and first.get("pattern") == {"Regex": WORDS}
 
 
 class WordEncoder:
@@ -111,9 +97,13 @@ class WordEncoder:
     in order. Control characters other than white space, and white space beyond ASCII, stay inside a word and are
     left to the tokenizer. Any other tokenizer gets whole texts.
 
-    Where the tokenizer also cuts before punctuation and lower-cases, words are cut and lower-cased before they are
-    looked up, so that one entry serves "word", "Word" and "word,". Texts that hold one of its special strings, in any
-    case, or a capital sigma, whose lower case may depend on what is beside it, are left as they are.
+    Where it keeps the matches of WORDS of lower-cased NFC text, one entry serves "word", "Word" and "word,":
+
+    - Words are cut between an ASCII letter and ASCII punctuation. NFC never composes across an ASCII character, the
+      lower case of an ASCII letter is one, and no match of WORDS goes on from a letter into punctuation. Texts that hold
+      a special string, in any case, or a capital sigma, whose lower case may depend on what is beside it, are not cut.
+    - Words that are ASCII throughout and hold no special string are lower-cased. In others a small letter could
+      compose with a mark that the capital does not compose with.
     """
 
     def __init__(self, path: str):
@@ -121,11 +111,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_words = _drops_white_space(_spec(self.tokenizer.pre_tokenizer), _spec(self.tokenizer.normalizer))
-        pre, normal, special = _spec(self.tokenizer.pre_tokenizer), _spec(self.tokenizer.normalizer), [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        kinds = {n.get("type") for n in normal.get("normalizers", [normal])}
-        self.cuts = self.by_words and "Lowercase" in kinds and len(special) <= 8 and _cuts_before_punctuation(pre)
-        self.special = special
+        pre, normal = _spec(self.tokenizer.pre_tokenizer), _spec(self.tokenizer.normalizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_words = _by_words(pre, normal) and not any(c.isspace() for t in self.special for c in t)
+        kinds = [n.get("type") for n in normal.get("normalizers", [normal])]
+        self.cuts = self.by_words and kinds == ["NFC", "Replace", "Lowercase"] and len(self.special) <= 8 and _keeps_words((pre.get("pretokenizers") or [pre])[0])
         own = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = own[0] if len(own) == 1 else None
         self.memory: dict[str, int] = {}
@@ -183,6 +173,13 @@ class WordEncoder:
         self.met[rows] += 1
         return rows
 
+    def _special(self, strings: pa.Array) -> pa.Array:
+        """Whether each holds a special string, in any case."""
+        held = pa.array(np.zeros(len(strings), bool))
+        for content in self.special:
+            held = pc.or_(held, pc.match_substring(strings, content, ignore_case=True))
+        return held
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
@@ -190,13 +187,16 @@ class WordEncoder:
             return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         column = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), "\t", " ")
         if self.cuts:
-            odd = pc.match_substring(column, "\u03a3")
-            for content in self.special:
-                odd = pc.or_(odd, pc.match_substring(column, content, ignore_case=True))
-            column = pc.if_else(odd, column, pc.ascii_lower(pc.replace_substring_regex(column, PUNCTUATED, r"\1 \2")))
+            odd = pc.or_(pc.match_substring(column, "\u03a3"), self._special(column))
+            column = pc.if_else(odd, column, pc.replace_substring_regex(column, PUNCTUATED, r"\1 \2"))
         split = pc.split_pattern(column, " ")
         words = split.flatten().dictionary_encode()
-        row = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        distinct = words.dictionary
+        if self.cuts:
+            lowers = pc.and_not(pc.string_is_ascii(distinct), self._special(distinct))
+            distinct = pc.if_else(lowers, pc.ascii_lower(distinct), distinct)
+        forms = distinct.dictionary_encode()
+        row = self._numbers(forms.dictionary.to_pylist())[forms.indices.to_numpy()][words.indices.to_numpy()]
         count = self.count[row]
         ids = self.flat[ragged(self.begin[row], count)]
         ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(pc.list_value_length(split).to_numpy())]
