@@ -495,14 +495,39 @@ def test_html_wrapper_tells_slots_of_equal_paths_apart(spark):
     """Two slots at one path, the first of the template: only a match against the wrapper tells them apart."""
     rng = random.Random(12)
     texts = [words_of(rng, 30) for _ in range(8)]
-    rows = [(i, f"http://h.com/{i}", f"<body><article><p>Read this first</p><hr><p>{t}</p></article></body>") for i, t in enumerate(texts)]
+    rows = [(i, f"http://h.com/{i}", f"<body><div><p>Read this first</p><hr><p>{t}</p></div></body>") for i, t in enumerate(texts)]
     have = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert got(have, "page_id", "text") == list(enumerate(texts))
+    assert html_wrapper.extract(rows[0][2], set(), None) == f"Read this first\n{texts[0]}"  # what the wrapper changes
+
+
+@pytest.mark.parametrize("n", [3, 8, 40])
+def test_html_article_is_whole_however_many_pages_are_alike(spark, n):
+    rows = [(i, f"http://h.com/{i}", f"<body><nav>Menu</nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>rice {i}</p><h2>Method</h2><p>boil {i}</p></article><b>Site</b></body>") for i in range(n)]
+    have = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got(have, "page_id", "text") == [(i, f"Dish {i}\nIngredients\nrice {i}\nMethod\nboil {i}") for i in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body aria-hidden='true'><article><p>Text</p></article>", "Text"),
+        ("<article aria-hidden=true><p>Text</p></article>", "Text"),
+        ("<article><div class=cookie-recipe>Cookies</div><p class=commentary>View</p><ul class=related-work><li>Paper</ul></article>", "Cookies\nView\nPaper"),
+        ("<article><table class=search-results><tr><td>1<td>2</table><p class=advertising-history>Old</p><div class=reply>So</div><figure><figcaption class=banner>Fig</figcaption></figure><object>Fall</object></article>", "1\n2\nOld\nSo\nFig\nFall"),
+        ("<article><p>Text</p><article class=comment><p>Nice!</p></article><article id=comment-7><p>Me too</p></article><article><p>Part</p></article></article>", "Text\nPart"),
+        ("<article>teaser</article><main><p>long text</p></main>", "teaser\nlong text"),
+        ("<main><h1>All</h1><article><p>Text</p></article></main>", "Text"),
+        ("<article><p>Text</p><div class='related-links'>More</div><div class=share>Share</div><section class=comment-list>Nice!</section></article>", "Text"),
+    ],
+)
+def test_html_region_is_whole(page, text):
+    assert html_wrapper.extract(page, set(), None) == text
 
 
 def test_html_wrapper_merges_in_a_tree(spark, monkeypatch):
     """Many shapes of one host, aligned a few at a time, with the same texts."""
-    rows = [(i, "http://h.com/x", "<body><article>" + "".join(f"<{n}>{n} {i}</{n}>" for j, n in enumerate(("h2", "ul", "p", "dl", "pre")) if i >> j & 1) + "<b>Template</b></article></body>") for i in range(1, 32)]
+    rows = [(i, "http://h.com/x", "<body><div>" + "".join(f"<{n}>{n} {i}</{n}>" for j, n in enumerate(("h2", "ul", "p", "dl", "pre")) if i >> j & 1) + "<b>Template</b></div></body>") for i in range(1, 32)]
     monkeypatch.setattr(html_wrapper, "FAN_IN", 3)
     have = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert have[31] == "h2 31\nul 31\np 31\ndl 31\npre 31" and have[4] == "p 4" and len(have) == 31
