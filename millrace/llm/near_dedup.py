@@ -11,7 +11,8 @@
 4. Candidates are probed on all K coordinates (collision count >= T) and confirmed on their full shingle sets.
    Components of the confirmed links give the answer.
 
-A set holds 64-bit hashes of its shingles. Two shingles of one pair of documents of n shingles each meet by chance with
+A set holds 64-bit hashes of its shingles, made of cryptographic hashes of their words, so that texts cannot be made to
+collide as with a polynomial hash. Two shingles of one pair of documents of n shingles each meet by chance with
 n * n / 2**64, and a link changes only if that pair stands right at the threshold.
 """
 

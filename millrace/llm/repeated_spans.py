@@ -13,8 +13,9 @@ A first pass of step 1 alone, over strings of PASSAGE bytes, finds the few docum
 also leads to passages of over PASSAGE_WORDS words that other documents hold too, which may be shorter than LENGTH bytes
 and are told, not removed.
 
-Step 1 only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two
-independent 64-bit hashes, which 10**12 strings share by chance with less than 10**-14.
+Step 1 only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two hashes, the
+second modulo the prime 2**61 - 1, where two strings of n bytes collide for n of the 2**61 bases at most, whatever they
+are; strings not made to defeat the first share both by chance in 2**-125 of all pairs.
 
 Counts are pre-aggregated and hot keys are taken out of the shuffles, so neither a passage that a third of the
 corpus shares nor a group of copies lands in one task. The texts of documents without a repeated core are never

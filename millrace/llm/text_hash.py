@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
-#: A random 64-bit value for each byte, for either of two independent hashes; fixed seeds, so all tasks agree.
-BYTES = tuple(np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64) for seed in (7, 19))
-_grown_powers: dict[int, np.ndarray] = {}
+#: The first hash works modulo 2**64, which is fast, but texts made for it collide whatever its base (the Thue-Morse
+#: sequence and its complement). The second works modulo a prime, where two strings of n bytes collide for n of its
+#: 2**61 bases at most; what is removed or linked rests on it.
+PRIME = (1 << 61) - 1
+_BASES = (0x9E3779B97F4A7C15 | 1, 0x1342543DE82EF95D % PRIME)
+_MODULI = (1 << 64, PRIME)
+#: A random value for each byte, for either of two independent hashes; fixed seeds, so all tasks agree.
+BYTES = tuple(np.random.default_rng(seed).integers(0, m, 256, np.uint64) for seed, m in zip((7, 19), ((1 << 64) - 1, PRIME), strict=True))
+_grown_powers: dict[tuple[int, int], np.ndarray] = {}
+_U = np.uint64
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it, by halves of 31 and 30 bits."""
+    a1, a0, b1, b0 = a >> _U(31), a & _U((1 << 31) - 1), b >> _U(31), b & _U((1 << 31) - 1)
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + a0 * b0)
+
 
+def _times(a: np.ndarray, b: np.ndarray | np.uint64, which: int) -> np.ndarray:
+    return _product(a, b) if which else a * b
 
-def _powers_of(step: int, n: int) -> np.ndarray:
-    values = _grown_powers.get(step, np.ones(1, np.uint64))
+
+def _powers_of(step: int, n: int, which: int) -> np.ndarray:
+    values = _grown_powers.get((step, which), np.ones(1, np.uint64))
     while len(values) < n:
-        values = np.concatenate([values, values * np.uint64(pow(step, len(values), 1 << 64))])
-    _grown_powers[step] = values
+        values = np.concatenate([values, _times(values, _U(pow(step, len(values), _MODULI[which])), which)])
+    _grown_powers[step, which] = values
     return values
 
 
 def powers(n: int, which: int = 0) -> np.ndarray:
-    return _powers_of(_BASES[which], n)
+    return _powers_of(_BASES[which], n, which)
 
 
 def inverses(n: int, which: int = 0) -> np.ndarray:
-    return _powers_of(pow(_BASES[which], -1, 1 << 64), n)
+    return _powers_of(pow(_BASES[which], -1, _MODULI[which]), n, which)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,16 +59,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums of the polynomial hash of a uint8 array, modulo 2**64."""
+    """Prefix sums of the polynomial hash of a uint8 array."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[which][data] * powers(len(data), which)[: len(data)], out=out[1:])
+    terms = _times(BYTES[which][data], powers(len(data), which)[: len(data)], which)
+    if not which:
+        np.cumsum(terms, out=out[1:])
+        return out
+    high, low = _reduced(np.cumsum(terms >> _U(30))), _reduced(np.cumsum(terms & _U((1 << 30) - 1)))
+    out[1:] = _reduced((high >> _U(31)) + ((high & _U((1 << 31) - 1)) << _U(30)) + low)  # high * 2**30 + low
     return out
 
 
 def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of each byte range [start, end): equal bytes give equal hashes, wherever they stand."""
-    h = (sums[end] - sums[start]) * inverses(len(sums), which)[start]
-    return mix(h ^ (end - start).astype(np.uint64))
+    apart = _reduced(sums[end] + _U(PRIME) - sums[start]) if which else sums[end] - sums[start]
+    return mix(_times(apart, inverses(len(sums), which)[start], which) ^ (end - start).astype(np.uint64))
 
 
 def byte_set(of: bytes) -> np.ndarray:
@@ -68,21 +98,37 @@ def owners(texts: list[bytes], start: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), start, "right")
 
 
+#: Words whose hashes a Python worker remembers.
+REMEMBERED = 300_000
+_word_hashes: dict[bytes, int] = {}
+_PLACES = np.random.default_rng(23).integers(0, 1 << 63, 64, np.uint64) * _U(2) + _U(1)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, cut from a cryptographic one, so that no text is known to make two words collide."""
+    known = _word_hashes
+    new = set(words).difference(known)
+    if new:
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(words)
+        known.update((w, int.from_bytes(blake2b(w, digest_size=8).digest(), "little")) for w in new)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def shingles(text: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word windows of a text, A-Z lower-cased.
 
     With fewer words, the whole sequence is one shingle; without words there is none. ``bytes.split`` separates at
-    space and 0x09-0x0D, and ``bytes.lower`` changes A-Z only.
+    space and 0x09-0x0D, and ``bytes.lower`` changes A-Z only. A window's hash sums its words' hashes, each times
+    a number of its place.
     """
-    found = text.lower().split()
-    if not found:
+    words = text.lower().split()
+    if not words:
         return np.empty(0, np.uint64)
-    data = np.frombuffer(b" ".join(found), np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    start = np.concatenate([[0], gaps + 1])
-    end = np.concatenate([gaps, [len(data)]])
-    if len(found) < size:
-        start, end = start[:1], end[-1:]
-    else:
-        start, end = start[: len(found) - size + 1], end[size - 1 :]
-    return np.unique(ranges(prefix(data), start, end))
+    hashes = word_hashes(words)
+    n = min(size, len(words))
+    folded = np.full(len(words) - n + 1, n, np.uint64)
+    for at in range(n):
+        folded += hashes[at : at + len(folded)] * _PLACES[at]
+    return np.unique(mix(folded))
