@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup_join, own_names, ragged, steps, tidy
+from .common import Scratch, lookup_join, own_names, quoted, ragged, steps, tidy
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct parts that a worker remembers, about 350 bytes each; once it is full, those met once are forgotten first.
@@ -269,8 +269,8 @@ def documents(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str
                 cols = [*(piece.column(c) for c in rest), *(pa.array(facts[:, k]) for k in range(4)), pa.array(digests), pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
                 yield pa.record_batch(cols, [*rest, *_FIELDS, "groups_sha256", "pairs", "times"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(scan, f"{kinds}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<int>")
+    kinds = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(scan, ", ".join([*kinds, *(f"{c} long" for c in _FIELDS), "groups_sha256 string", "pairs array<bigint>", "times array<int>"]))
 
 
 @tidy
