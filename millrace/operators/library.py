@@ -1,12 +1,17 @@
-"""The library: saved conversations as a Parquet table with hashes, tags and a search."""
+"""The library: saved conversations as a table of Parquet files with versions, hashes, tags and a search."""
 
 from __future__ import annotations
 
+import json
+import os
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import blank_to_null, stable_hash, trim
 from .schema import MESSAGE, complete
@@ -67,49 +72,218 @@ def search(df: DataFrame, query: str | None = None, label: str | None = None, pl
 
 
 class Library:
-    """A folder of immutable Parquet versions; the newest whole one is the table."""
+    """A folder of immutable files, and numbered versions that say which of them are the table.
+
+    Records lie in buckets of their id's hash. A ``put`` adds files with the new records and a list of their ids; the list
+    hides what earlier versions hold under these ids. A ``delete`` adds a list only. No file is ever rewritten but by
+    ``compact``, which merges young files, so reading joins with few lists.
+
+    A version file is complete before it takes its name, and takes it only if no other has it: where two write at once,
+    the one that comes second builds its version again on top of the first. Nothing of either is lost; of two records put
+    under one id, the one of the later version stays. The file system must rename without overwriting (HDFS, local).
+    """
+
+    BUCKETS, COMPACT_AT, TRIES = 32, 16, 100
+    #: An entry is merged with younger ones until it holds so many times their records.
+    TIER = 4
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark._jvm
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def state(self) -> dict:
+        """The newest version: its number, data and id lists, oldest first, each with the version it came with."""
+        names = [n for n in self._names("versions") if n.endswith(".json")]
+        if not names:
+            return {"version": 0, "buckets": self.BUCKETS, "data": [], "lists": []}
+        stream = self.fs.open(self._path(f"versions/{names[-1]}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _claim(self, state: dict) -> bool:
+        """Write a version if nobody has taken its number."""
+        name, own = f"{state['version']:020d}.json", self._path(f"versions/.{uuid.uuid4().hex}")
+        out = self.fs.create(own, False)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+        try:
+            to = self._path(f"versions/{name}")
+            if self.fs.getScheme() == "file":  # a local rename overwrites, a link does not
+                os.link(own.toUri().getPath(), to.toUri().getPath())
+            else:
+                none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                kinds = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                kinds[0] = none
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration()).rename(own, to, kinds)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        finally:
+            self.fs.delete(own, False)
+
+    def _commit(self, change: Callable[[dict], dict | None]) -> dict | None:
+        """The version that ``change`` makes of the newest one, tried again on top of whatever came between."""
+        for _ in range(self.TRIES):
+            state = self.state()
+            new = change(dict(state, version=state["version"] + 1))
+            if new is None or self._claim(new):
+                return new
+        raise RuntimeError(f"{self.path}: other writers took the version {self.TRIES} times")
+
+    def _write(self, df: DataFrame, buckets: int) -> tuple[str, int]:
+        """(the folder of new files, how many rows they hold)."""
+        name = f"batch={uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        counted = Observation()
+        df.withColumn("bucket", bucket).repartition("bucket").observe(counted, F.count("*").alias("rows")).write.partitionBy("bucket").parquet(f"{self.path}/files/{name}")
+        return name, counted.get["rows"]
+
+    def _open(self, entries: list[dict]) -> DataFrame:
+        """The rows of all files of these entries, with ``_came``, the version they came with."""
+        whole = self.spark.read.option("basePath", f"{self.path}/files").schema(self._schema(entries)).parquet(*(f"{self.path}/files/{e['files']}" for e in entries))
+        came = F.create_map(*(F.lit(x) for e in entries for x in (e["files"].removeprefix("batch="), e["came"])))
+        return whole.withColumn("_came", F.element_at(came, F.col("batch"))).drop("batch")
 
-    def _versions(self) -> list[str]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(n for n in names if n.startswith("v") and done(n))
+    def _schema(self, entries: list[dict]):
+        """Of the newest files; columns that older ones lack are null in their rows."""
+        return StructType.fromJson(entries[-1]["schema"]).add("batch", "string").add("bucket", "integer")
 
-    def _write(self, df: DataFrame) -> None:
-        n = int(v[-1].split("-")[0][1:]) + 1 if (v := self._versions()) else 0
-        df.write.parquet(f"{self.path}/v{n:09d}-{uuid.uuid4().hex}")
+    def _entry(self, name: str, rows: int, came: int, df: DataFrame) -> dict:
+        return {"files": name, "rows": rows, "came": came, "schema": df.schema.jsonValue()}
+
+    def _hidden(self, state: dict) -> DataFrame:
+        """bucket, id and the last version that hides it."""
+        lists = self._open(state["lists"])
+        return lists.groupBy("bucket", "id").agg(F.max(F.coalesce("until", "_came")).alias("_until"))
+
+    def _live(self, state: dict, data: list[dict]) -> DataFrame | None:
+        if not data:
+            return None
+        rows = self._open(data)
+        if not any(e["came"] >= data[0]["came"] for e in state["lists"]):
+            return rows.drop("_came")
+        hidden = self._hidden(state)
+        mine = (rows["bucket"] == hidden["bucket"]) & (rows["id"] == hidden["id"]) & (hidden["_until"] > rows["_came"])
+        return rows.join(hidden, mine, "left_anti").drop("_came")
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{v[-1]}") if (v := self._versions()) else None
+        state = self.state()
+        df = self._live(state, state["data"])
+        return None if df is None else df.drop("bucket")
 
     def list(self) -> DataFrame | None:
         """Newest first."""
         df = self.read()
-        return None if df is None else df.orderBy(F.desc("saved_at"))
+        return None if df is None else df.orderBy(F.desc("saved_at"), "id")
+
+    def get(self, ids: Iterable[str]) -> DataFrame | None:
+        """The records of these ids; only files of their buckets are read."""
+        state, ids = self.state(), list(ids)
+        df = self._live(state, state["data"])
+        if df is None or not ids:
+            return None if df is None else df.drop("bucket").limit(0)
+        asked = self.spark.createDataFrame([(i,) for i in ids], "id string").select(F.pmod(F.xxhash64("id"), F.lit(state["buckets"])).cast("int").alias("b"))
+        return df.filter(F.col("bucket").isin([r["b"] for r in asked.distinct().collect()]) & F.col("id").isin(ids)).drop("bucket")
 
     def put(self, new: DataFrame) -> None:
-        """Records replace those of the same id; of several new ones with one id the last saved stays.
+        """Records replace those of the same id; of several new ones with one id the last saved stays."""
+        best = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), F.struct("saved_at", "content_hash")).alias("r")).select("r.*")
+        name, rows = self._write(best, self.state()["buckets"])
+        lists: list[tuple[str, int]] = []
 
-        Writers take turns: of two at once, the version that is written last holds only its own records.
-        """
-        best = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), F.struct("saved_at", "content_hash")).alias("r"))
-        new, old = best.select("r.*"), self.read()
-        self._write(new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new))
+        def change(state: dict) -> dict:
+            came = state["version"]
+            out = dict(state, data=[*state["data"], self._entry(name, rows, came, best)])
+            if state["data"]:  # there is something that the new ids may hide
+                if not lists:
+                    lists.append(self._write(_ids(self.spark.read.parquet(f"{self.path}/files/{name}")), state["buckets"]))
+                out["lists"] = [*state["lists"], self._entry(*lists[0], came, _ids(best))]
+            return out
+
+        if len(self._commit(change)["data"]) > self.COMPACT_AT:
+            self.compact()
 
     def delete(self, ids: DataFrame) -> None:
-        if (old := self.read()) is not None:
-            self._write(old.join(ids.select("id"), "id", "left_anti"))
+        state = self.state()
+        if not state["data"]:
+            return
+        own = _ids(ids.select("id").distinct())
+        name, rows = self._write(own, state["buckets"])
+        self._commit(lambda s: dict(s, lists=[*s["lists"], self._entry(name, rows, s["version"], own)]))
 
     def clear(self) -> None:
-        if (old := self.read()) is not None:
-            self._write(old.limit(0))
+        self._commit(lambda s: dict(s, data=[], lists=[]) if s["data"] else None)
+
+    def compact(self, whole: bool = False) -> None:
+        """Merge the youngest files, or all; a compaction that another one overtook is left out."""
+        state = self.state()
+        held, young = 0, len(state["data"])
+        while young and (whole or len(state["data"]) - young < 2 or state["data"][young - 1]["rows"] < self.TIER * held):
+            young -= 1
+            held += state["data"][young]["rows"]
+        old, merged = state["data"][:young], state["data"][young:]
+        if len(merged) < 2 and not (whole and state["lists"]):
+            return
+        rows = self._live(state, merged).drop("bucket")
+        name, n = self._write(rows, state["buckets"])
+        entry = self._entry(name, n, state["version"], rows)
+        lists: list[dict] = []
+        if old and state["lists"]:  # older files still need their ids hidden
+            ids = self._hidden(state).select("id", F.col("_until").alias("until"))
+            lists.append(self._entry(*self._write(ids, state["buckets"]), state["version"], ids))
+        gone = {e["files"] for e in merged}
+        listed = {e["files"] for e in state["lists"]}
+
+        def change(now: dict) -> dict | None:
+            if not gone <= {e["files"] for e in now["data"]} or not listed <= {e["files"] for e in now["lists"]}:
+                return None
+            since = [e for e in now["data"] if e["came"] > state["version"]]
+            return dict(now, data=[*old, entry, *since], lists=[*lists, *(e for e in now["lists"] if e["files"] not in listed)])
+
+        self._commit(change)
+
+    def vacuum(self, versions: int = 10, older_than_s: float = 86_400) -> None:
+        """Delete files that none of the last ``versions`` names, unless they are so young that a writer may still need them."""
+        names = [n for n in self._names("versions") if n.endswith(".json")]
+        used: set[str] = set()
+        for n in names[-versions:]:
+            stream = self.fs.open(self._path(f"versions/{n}"))
+            state = json.loads(bytes(stream.readAllBytes()))
+            stream.close()
+            used |= {e["files"] for e in (*state["data"], *state["lists"])}
+        limit = (time.time() - older_than_s) * 1000
+        for n in self._names("files"):
+            if n not in used and self.fs.getFileStatus(self._path(f"files/{n}")).getModificationTime() < limit:
+                self.fs.delete(self._path(f"files/{n}"), True)
+        for n in names[:-versions]:
+            self.fs.delete(self._path(f"versions/{n}"), False)
 
     def backup(self, path: str) -> None:
         """One JSON line per record, spread over files."""
         if (df := self.read()) is not None:
             df.write.json(path)
+
+    def restore(self, path: str, schema: StructType | str) -> None:
+        """Put the records of a backup; the schema is that of the records (``read().schema`` before, or ``records``)."""
+        self.put(self.spark.read.schema(schema).json(path))
+
+
+def _ids(df: DataFrame) -> DataFrame:
+    """A list of ids as it is written: ``until`` is null where the version that the list came with hides them."""
+    return df.select("id", F.lit(None).cast("long").alias("until"))

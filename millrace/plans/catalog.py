@@ -577,8 +577,11 @@ def library_stored(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share; on one machine, where none is named, below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
 
 
@@ -594,6 +597,23 @@ def library_store(spark, sf_dir):
     return store.list().select("id", "conv_id", "title", "saved_at")
 
 
+@query(f"""{_RECORDS} SELECT id, conv_id, title, tags, project_label, message_count, content_hash, (SELECT count(*) FROM m WHERE m.conv_id = l.conv_id)::BIGINT AS n_messages, (SELECT list(text ORDER BY idx)[1] FROM m WHERE m.conv_id = l.conv_id) AS first_text FROM l""")
+def library_backup(spark, sf_dir):
+    """Records put in three steps, backed up, cleared, put again from the backup and merged into one set of files."""
+    records = settled(_records(spark, sf_dir))
+    store = library.Library(spark, _folder(spark, "library"))
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    for k in range(3):
+        store.put(records.filter(part >= k))
+    schema, copy = store.read().schema, _folder(spark, "backup")
+    store.backup(copy)
+    store.clear()
+    store.restore(copy, schema)
+    store.put(records.filter(part == 0))
+    store.compact(whole=True)
+    return _shown(store.read()).drop("saved_at").join(store.read().select("id", F.size("messages").cast("long").alias("n_messages"), F.col("messages")[0]["text"].alias("first_text")), "id")
+
+
 @query("""SELECT conv_id, turn + k AS step, turn::BIGINT AS idx, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn + k, turn) > 1 AS duplicate
 FROM (SELECT conv_id, turn, """ + _ROLE + """ AS role, """ + _clean("coalesce(text, '')") + """ AS text FROM conversations), range(3) r(k) WHERE text <> ''""")
 def capture_stream(spark, sf_dir):
