@@ -39,13 +39,18 @@ from .common import Scratch, lookup_join, own_names, quoted, ragged, steps, tidy
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct parts that a worker remembers, about 350 bytes each; once it is full, those met once are forgotten first.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Pairs up to which their counts are broadcast (24 bytes each), and salts of the first stage of counting.
 BROADCAST_ROWS, SALTS = 1_000_000, 16
 #: Pairs that a task holds before it counts them.
 COUNTED = 4_000_000
 #: Where a text may be cut: a single space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space in the sense of ``str.isspace``, and parts that are empty or have some at an end.
+_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = f"^$|^{_SPACE}|{_SPACE}$"
+#: Parts that are encoded in one call, as a text of their own.
+PARTS_AT_ONCE = 1000
 
 
 def align(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,15 +123,6 @@ class PieceTokenizer:
         return self.model.encode(texts, num_threads=1)
 
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    count = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter(chain.from_iterable(ids), np.int64, count.sum()), count
-
-
-def _given_back(texts: list[str], ids: list[list[int]], pieces: list[bytes]) -> np.ndarray:
-    return np.fromiter((b"".join([pieces[i] for i in own]) == b" " + t.encode() for t, own in zip(texts, ids, strict=True)), bool, len(texts))
-
-
 class Aligner:
     """Remembers the alignment of parts: what both tokenizers make of each, its groups and its links."""
 
@@ -140,30 +136,62 @@ class Aligner:
         self.begin, self.links, self.met = (np.empty(0, np.int64) for _ in range(3))
         self.pairs = np.empty(0, np.int64)
 
+    def _encoded(self, parts: list[str], numbers: list[int], out: list[tuple]) -> None:
+        """Appends (numbers, ids and counts of A, ids and counts of B) of those of ``parts`` that both give back.
+
+        Several parts are encoded as one text, in which each must end with a token of both; where that does not give the
+        bytes back, its halves are tried.
+        """
+        text = " ".join(parts)
+        raw, found = f" {text}".encode(), []
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts)))
+        for side in (self.a, self.b):
+            (ids,) = side.encode([text])
+            if b"".join([side.pieces[i] for i in ids]) != raw:
+                break
+            ids = np.array(ids, np.int64)
+            token_ends = np.cumsum(side.sizes[ids])
+            upto = np.searchsorted(token_ends, ends, "right")
+            if (token_ends[upto - 1] != ends).any():
+                break
+            found += [ids, np.diff(upto, prepend=0)]
+        else:
+            out.append((numbers, *found))
+            return
+        if len(parts) > 1:
+            half = len(parts) // 2
+            self._encoded(parts[:half], numbers[:half], out)
+            self._encoded(parts[half:], numbers[half:], out)
+
     def _aligned(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """(facts, number of links, id pairs of the links, groups as text) of parts."""
-        of_a, of_b = self.a.encode(parts), self.b.encode(parts)
-        good = _given_back(parts, of_a, self.a.pieces) & _given_back(parts, of_b, self.b.pieces)
-        kept = np.flatnonzero(good).tolist()
-        ids_a, n_a = _flat([of_a[i] for i in kept])
-        ids_b, n_b = _flat([of_b[i] for i in kept])
+        """(facts, number of links, id pairs of the links, groups as text) of parts; the links in the order of the parts."""
+        odd = pc.match_substring_regex(pa.array(parts, pa.large_string()), _ODD).to_pylist() if self.by_parts else [True] * len(parts)
+        plain, out = [i for i, o in enumerate(odd) if not o], []
+        for at in range(0, len(plain), PARTS_AT_ONCE):
+            some = plain[at : at + PARTS_AT_ONCE]
+            self._encoded([parts[i] for i in some], some, out)
+        for i in (i for i, o in enumerate(odd) if o):
+            self._encoded([parts[i]], [i], out)
+        facts, links, text = np.zeros((len(parts), 4), np.int64), np.zeros(len(parts), np.int64), [b""] * len(parts)
+        if not out:
+            return facts, links, np.empty(0, np.int64), text
+        kept, ids_a, n_a, ids_b, n_b = (np.concatenate(x) for x in zip(*out, strict=True))
         cuts, group_a, group_b, left, right = align(self.a.sizes[ids_a], self.b.sizes[ids_b])
-        facts, links = np.zeros((len(parts), 4), np.int64), np.zeros(len(parts), np.int64)
-        facts[:, 3] = good
-        text = [b""] * len(parts)
-        if kept:
-            part_a = np.repeat(np.arange(len(kept)), n_a)
-            per = np.bincount(part_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(kept))
-            facts[kept, 0], facts[kept, 1], facts[kept, 2] = n_a, n_b, per
-            links[kept] = np.bincount(part_a[left], minlength=len(kept))
-            bounds = lambda group: np.searchsorted(group, np.arange(len(cuts) + 1)).tolist()
-            say_a, say_b, at_a, at_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), bounds(group_a), bounds(group_b)
-            groups = [f"{','.join(say_a[a:c])}|{','.join(say_b[b:d])}" for a, c, b, d in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
-            at = 0
-            for i, n in zip(kept, per.tolist(), strict=True):
-                text[i] = ";".join(groups[at : at + n]).encode()
-                at += n
-        return facts, links, ids_a[left] << 32 | ids_b[right], text
+        part_a = np.repeat(np.arange(len(kept)), n_a)
+        per = np.bincount(part_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(kept))
+        facts[kept] = np.stack([n_a, n_b, per, np.ones(len(kept), np.int64)], axis=1)
+        count = np.bincount(part_a[left], minlength=len(kept))
+        links[kept] = count
+        bounds = lambda group: np.searchsorted(group, np.arange(len(cuts) + 1)).tolist()
+        say_a, say_b, at_a, at_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), bounds(group_a), bounds(group_b)
+        groups = [f"{','.join(say_a[a:c])}|{','.join(say_b[b:d])}" for a, c, b, d in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
+        at = 0
+        for i, n in zip(kept.tolist(), per.tolist(), strict=True):
+            text[i] = ";".join(groups[at : at + n]).encode()
+            at += n
+        order = np.argsort(kept)
+        pairs = (ids_a[left] << 32 | ids_b[right])[ragged((np.cumsum(count) - count)[order], count[order])]
+        return facts, links, pairs, text
 
     def _forget(self, coming: int) -> None:
         keep = self.met > 1
@@ -201,24 +229,18 @@ class Aligner:
             return [np.array([of[t]]) for t in texts]
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         words = split.flatten().dictionary_encode()
-        uncut = [t for t, n in zip(texts, self._odd(split, words), strict=True) if n]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        odd = np.array(pc.match_substring_regex(words.dictionary, _ODD).to_numpy(zero_copy_only=False), bool)
+        held = np.concatenate([[0], np.cumsum(odd[words.indices.to_numpy()])])
+        # Texts with such a part are cut where that is exact; of the others every part is one.
+        again = {k: _CUT.split(texts[k]) for k in np.flatnonzero(np.diff(held[ends], prepend=0)).tolist()}
         parts = words.dictionary.to_pylist()
-        again = {t: _CUT.split(t) for t in uncut}
-        known = dict.fromkeys(parts)
+        known = set(parts)
         extra = [p for p in dict.fromkeys(chain.from_iterable(again.values())) if p not in known]
-        numbers = self.rows(parts + extra)
-        of = dict(zip(extra, numbers[len(parts) :].tolist(), strict=True))
-        of |= {p: k for p, k in zip(parts, numbers.tolist(), strict=False) if again}
-        rows = np.split(numbers[words.indices.to_numpy()], np.cumsum(pc.list_value_length(split).to_numpy())[:-1])
-        return [np.array([of[p] for p in again[t]]) if t in again else r for t, r in zip(texts, rows, strict=True)]
-
-    @staticmethod
-    def _odd(split: pa.Array, words: pa.DictionaryArray) -> list[bool]:
-        """Which texts hold a part that is empty or has white space at an end."""
-        bad = np.array([not p or p[0].isspace() or p[-1].isspace() for p in words.dictionary.to_pylist()], bool)
-        held = np.concatenate([[0], np.cumsum(bad[words.indices.to_numpy()])])
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        return (np.diff(held[ends], prepend=0) > 0).tolist()
+        rows = np.split(self.rows(parts + extra)[: len(parts)][words.indices.to_numpy()], ends[:-1])
+        for k, own in again.items():
+            rows[k] = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+        return rows
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
