@@ -31,8 +31,9 @@ BLOCK_TOKENS = 65_536
 REMEMBERED = 250_000
 #: New words are encoded so many at once, with a control character between them.
 WORDS_AT_ONCE, SEPARATOR = 512, "\x01"
-#: An ASCII letter and the ASCII punctuation after it.
-PUNCTUATED = r"([A-Za-z])([!-/:-@\[-`{-~])"
+#: A letter of Latin-1 and the ASCII punctuation after it; words of ASCII and letters of Latin-1, without marks to compose.
+PUNCTUATED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
+PLAIN = r"^[\x{0}-\x{7f}À-ÖØ-öø-ÿ]*$"
 #: Fixed value: the pattern of word_bpe_49k.json, of which the shortcuts of ``WordEncoder`` are known to be exact.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -99,11 +100,12 @@ class WordEncoder:
 
     Where it keeps the matches of WORDS of lower-cased NFC text, one entry serves "word", "Word" and "word,":
 
-    - Words are cut between an ASCII letter and ASCII punctuation. NFC never composes across an ASCII character, the
-      lower case of an ASCII letter is one, and no match of WORDS goes on from a letter into punctuation. Texts that hold
-      a special string, in any case, or a capital sigma, whose lower case may depend on what is beside it, are not cut.
-    - Words that are ASCII throughout and hold no special string are lower-cased. In others a small letter could
-      compose with a mark that the capital does not compose with.
+    - Words are cut between a letter of Latin-1 and ASCII punctuation. NFC never composes across an ASCII character and
+      leaves these letters as they are, the lower case of each is one of them, and no match of WORDS goes on from a
+      letter into punctuation. Texts that hold a special string, in any case, or a capital sigma, whose lower case may
+      depend on what is beside it, are not cut.
+    - Words that hold only ASCII and letters of Latin-1, and no special string, are lower-cased: NFC changes nothing
+      in them, before or after. In others a small letter could compose with a mark that the capital does not compose with.
     """
 
     def __init__(self, path: str):
@@ -193,8 +195,8 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary
         if self.cuts:
-            lowers = pc.and_not(pc.string_is_ascii(distinct), self._special(distinct))
-            distinct = pc.if_else(lowers, pc.ascii_lower(distinct), distinct)
+            lowers = pc.and_not(pc.match_substring_regex(distinct, PLAIN), self._special(distinct))
+            distinct = pc.if_else(lowers, pc.utf8_lower(distinct), distinct)
         forms = distinct.dictionary_encode()
         row = self._numbers(forms.dictionary.to_pylist())[forms.indices.to_numpy()][words.indices.to_numpy()]
         count = self.count[row]
