@@ -45,6 +45,11 @@ def report(messages: DataFrame, scans: DataFrame | None = None) -> DataFrame:
                 **{c: F.coalesce(c, none) for c in ("scan_warnings", "platform_warnings")},
             }
         )
+    return judged(facts)
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """Reports of captures: ``facts`` holds per conversation what ``report`` gathers, with first_text and last_text."""
     found = F.array_compact(
         F.array(F.when(~F.col("reached_top"), TOP), F.when(~F.col("reached_bottom"), BOTTOM), F.when(F.col("virtualized"), VIRTUAL))
     )

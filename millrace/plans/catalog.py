@@ -618,15 +618,54 @@ def library_backup(spark, sf_dir):
 FROM (SELECT conv_id, turn, """ + _ROLE + """ AS role, """ + _clean("coalesce(text, '')") + """ AS text FROM conversations), range(3) r(k) WHERE text <> ''""")
 def capture_stream(spark, sf_dir):
     """Every turn is seen in three windows of a growing page; the stream lets each message through once."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = _folder(spark, "capture")
     turns = from_turns(spark, sf_dir).withColumn("id", F.lit(None).cast("string"))
     windows = turns.withColumn("step", F.explode(F.array(F.col("idx"), F.col("idx") + 1, F.col("idx") + 2))).select("conv_id", "step", "idx", "id", "role", "text")
-    windows.write.parquet(f"{folder}/windows")
-    stream = spark.readStream.schema(windows.schema).parquet(f"{folder}/windows")
-    sink = capture.first_sight(stream).writeStream.format("parquet").option("path", f"{folder}/seen").option("checkpointLocation", f"{folder}/state")
-    sink.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/seen").select("conv_id", "step", "idx", "duplicate")
+    return _streamed(spark, folder, windows, capture.first_sight).select("conv_id", "step", "idx", "duplicate")
+
+
+def _streamed(spark, folder, rows, through):
+    """``rows`` written, read again as a stream, and what came out of it."""
+    rows.write.parquet(f"{folder}/windows")
+    stores = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(stores)
+    spark.conf.set(stores, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = through(spark.readStream.schema(rows.schema).parquet(f"{folder}/windows"))
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/seen").option("checkpointLocation", f"{folder}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(stores, before)
+    return spark.read.parquet(f"{folder}/seen")
+
+
+_CAPTURE = f"""WITH t AS (SELECT conv_id, turn AS idx, {_ROLE} AS role, {_clean("coalesce(text, '')")} AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, idx AS step, (conv_id + idx) % 3 = 0 AS moved, idx >= 5 AND conv_id % 2 = 0 AS bottom FROM t),
+i AS (SELECT *, sum(moved::INT) OVER (PARTITION BY conv_id ORDER BY step) AS island FROM s),
+r AS (SELECT *, sum((NOT moved)::INT) OVER (PARTITION BY conv_id, island ORDER BY step) AS run FROM i),
+e AS (SELECT conv_id, step, CASE WHEN bottom THEN 'bottom' WHEN run >= 2 THEN 'stalled' WHEN step >= 6 THEN 'limit' WHEN step = max(step) OVER (PARTITION BY conv_id) THEN 'closed' END AS e FROM r),
+z AS (SELECT conv_id, min(step) AS scroll_steps, arg_min(e, step) AS ended_by FROM e WHERE e IS NOT NULL GROUP BY conv_id),
+v AS (SELECT t.conv_id, step, idx, role, text FROM t JOIN e ON e.conv_id = t.conv_id AND step BETWEEN idx AND idx + 1 JOIN z ON z.conv_id = t.conv_id AND step <= scroll_steps WHERE text <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY step, idx) > 1 AS again FROM v),
+c AS (SELECT conv_id, count(*) FILTER (NOT again) AS message_count, count(*) FILTER (again) AS duplicate_count, arg_min(text, (step, idx)) FILTER (NOT again) AS a, arg_max(text, (step, idx)) FILTER (NOT again) AS b FROM d GROUP BY conv_id),
+w AS (SELECT z.*, coalesce(message_count, 0) AS message_count, coalesce(duplicate_count, 0) AS duplicate_count, a, b, ended_by = 'bottom' AS reached_bottom, z.conv_id % 5 <> 1 AS reached_top FROM z LEFT JOIN c USING (conv_id))"""
+
+
+@query(f"""{_CAPTURE} SELECT conv_id, CASE WHEN message_count = 0 THEN 'unknown' WHEN reached_top AND reached_bottom THEN 'complete' ELSE 'partial' END AS status,
+ array_to_string(list_filter([CASE ended_by WHEN 'stalled' THEN 'Scan stalled before reaching the bottom.' WHEN 'limit' THEN 'Scan reached the maximum scroll step limit.' END, CASE WHEN NOT reached_top THEN '{completeness.TOP}' END,
+ CASE WHEN NOT reached_bottom THEN '{completeness.BOTTOM}' END], lambda x: x IS NOT NULL), ' ') AS warnings, message_count, {_preview('a')} AS first_message_preview, {_preview('b')} AS last_message_preview, reached_top, reached_bottom, scroll_steps::BIGINT AS scroll_steps, duplicate_count FROM w""")
+def capture_report(spark, sf_dir):
+    """Captures as a stream: each ends at the bottom, after two stalls, at step 6 or with its last turn, and is reported once."""
+    turns = from_turns(spark, sf_dir)
+    c, step = F.col("conv_id"), F.col("step")
+    steps = turns.select("conv_id", F.col("idx").alias("step")).distinct()
+    last = steps.groupBy("conv_id").agg(F.max("step").alias("last"))
+    facts = steps.join(last, "conv_id").select("conv_id", "step", F.timestamp_seconds(step + 1_780_000_000).alias("at"), ((c + step) % 3 == 0).alias("moved"), (c % 5 != 1).alias("at_top"), ((step >= 5) & (c % 2 == 0)).alias("at_bottom"), (step == F.col("last")).alias("closed"))
+    shown = turns.withColumn("step", F.explode(F.array(F.col("idx"), F.col("idx") + 1))).select("conv_id", "step", "idx", F.lit(None).cast("string").alias("id"), "role", "text")
+    windows = facts.join(shown, ["conv_id", "step"], "left")
+    out = _streamed(spark, _folder(spark, "capture"), windows, lambda w: capture.captured(w, max_steps=6, max_stalls=2))
+    found = capture.reports_of(out)
+    return found.withColumn("warnings", F.array_join("warnings", " ")).drop("platform_warnings")
 
 
 # --- pages and batches ------------------------------------------------------------------------------------------

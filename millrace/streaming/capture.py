@@ -1,4 +1,7 @@
-"""Incremental capture: windows of a growing page arrive as a stream, each message is let through once."""
+"""Incremental capture: windows of a growing page arrive as a stream, each message is let through once.
+
+The windows of one conversation in one micro-batch are sorted in memory; the source's limits per trigger bound them.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import clean_text, fingerprint
+from ..operators.completeness import judged
 from ..operators.normalize import role_of
+from ..operators.scan import MAX_STALLS, MAX_STEPS, STALLED, STEP_LIMIT
 
 OUTPUT = "conv_id long, step long, idx long, id string, role string, text string, duplicate boolean"
 
@@ -19,21 +24,27 @@ class FirstSight(StatefulProcessor):
     """Per conversation, the ids and the fingerprints of messages let through; both live in the state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getMapState("ids", "key string", "seen boolean")
-        self.marks = handle.getMapState("marks", "key string", "seen boolean")
+        self.ids, self.marks = (handle.getMapState(name, "key string", "seen boolean") for name in ("ids", "marks"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values(["step", "idx"], kind="stable")
-        again = []
+    def again(self, part: pd.DataFrame) -> list[bool]:
+        """Which rows, in order, repeat one let through; each key is looked up once."""
+        ids = {i: self.ids.containsKey((i,)) for i in part["id"].unique() if isinstance(i, str)}
+        marks = {m: self.marks.containsKey((m,)) for m in part["fp"].unique()}
+        out = []
         for ident, mark in zip(part["id"], part["fp"], strict=True):
-            known = isinstance(ident, str) and self.ids.containsKey((ident,))
-            seen = known or self.marks.containsKey((mark,))
-            again.append(seen)
+            seen = ids.get(ident, False) or marks[mark]
+            out.append(seen)
             if not seen:
                 if isinstance(ident, str):
+                    ids[ident] = True
                     self.ids.updateValue((ident,), (True,))
+                marks[mark] = True
                 self.marks.updateValue((mark,), (True,))
-        yield part.assign(duplicate=again)[["conv_id", "step", "idx", "id", "role", "text", "duplicate"]]
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows)).sort_values(["step", "idx"], kind="stable")
+        yield part.assign(duplicate=self.again(part))[["conv_id", "step", "idx", "id", "role", "text", "duplicate"]]
 
     def close(self) -> None:
         pass
@@ -42,9 +53,125 @@ class FirstSight(StatefulProcessor):
 def first_sight(windows: DataFrame) -> DataFrame:
     """A stream of (conv_id, step, idx, id, role, text) with repeats marked; needs the RocksDB state store.
 
-    Null or blank texts are dropped; a null id counts as none.
+    Null or blank texts are dropped; a null id counts as none. What was seen is kept for good; ``captured`` drops it.
     """
-    rows = windows.select("conv_id", F.col("step").cast("long").alias("step"), F.col("idx").cast("long").alias("idx"), "id", role_of(F.col("role")).alias("role"), clean_text(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = rows.filter(F.length("text") > 0).withColumn("fp", fingerprint(F.col("role"), F.col("text")))
+    rows = _cleaned(windows).filter(F.length("text") > 0)
     return rows.groupBy("conv_id").transformWithStateInPandas(FirstSight(), OUTPUT, "append", "none")
 
+
+def _cleaned(windows: DataFrame, *more: str) -> DataFrame:
+    rows = windows.select("conv_id", F.col("step").cast("long").alias("step"), F.col("idx").cast("long").alias("idx"), "id", role_of(F.col("role")).alias("role"), clean_text(F.coalesce("text", F.lit(""))).alias("text"), *more)
+    return rows.withColumn("fp", fingerprint(F.col("role"), F.col("text")))
+
+
+REPORT = "ended_by string, scroll_steps long, stalls long, reached_top boolean, reached_bottom boolean, message_count long, duplicate_count long, first_text string, last_text string"
+
+
+class Capture(FirstSight):
+    """A capture until it ends: at the bottom, after so many steps without progress or in all, or when it falls silent.
+
+    Then one report is given and what was seen is dropped. That the capture is over is remembered ``keep_s`` seconds
+    longer, so that windows which come late do not begin another one. Time is that of the windows: timers follow the
+    stream's watermark, so a replay ends captures where the first run did.
+    """
+
+    FACTS = "step long, run long, stalls long, messages long, duplicates long, top boolean, first string, last string, over boolean"
+
+    def __init__(self, max_steps: int, max_stalls: int, quiet_s: float, keep_s: float):
+        self.max_steps, self.max_stalls, self.quiet_ms, self.keep_ms = max_steps, max_stalls, int(quiet_s * 1000), int(keep_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.facts = handle.getValueState("facts", self.FACTS)
+
+    def _wake(self, at: int) -> None:
+        for other in list(self.handle.listTimers()):
+            self.handle.deleteTimer(other)
+        self.handle.registerTimer(at)
+
+    def _ended(self, conv_id, facts: dict, ended_by: str) -> pd.DataFrame:
+        bottom = ended_by == "bottom"
+        self.ids.clear()
+        self.marks.clear()
+        self.facts.update((facts["step"], 0, 0, 0, 0, facts["top"], None, None, True))
+        report = [ended_by, facts["step"], facts["stalls"], facts["top"], bottom, facts["messages"], facts["duplicates"], facts["first"], facts["last"]]
+        return _frame([[conv_id, facts["step"], None, None, None, None, None, *report]])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in self.FACTS.split(", ")]
+        before = self.facts.get()
+        facts = dict(zip(names, before, strict=True)) if before else dict(zip(names, (-1, 0, 0, 0, 0, False, None, None, False), strict=True))
+        if facts["over"]:
+            return
+        part, out = pd.concat(list(rows)).sort_values(["step", "idx"], kind="stable"), []
+        now = int(part["at"].max().timestamp() * 1000)
+        for step, of_step in part.groupby("step", sort=True):
+            shown = of_step[of_step["text"] != ""]
+            again = self.again(shown)
+            new = shown[[not a for a in again]]
+            out += [[key[0], int(step), int(r.idx), r.id, r.role, r.text, a, *[None] * 9] for r, a in zip(shown.itertuples(), again, strict=True)]
+            facts["messages"] += len(new)
+            facts["duplicates"] += len(shown) - len(new)
+            if len(new):
+                facts["first"] = facts["first"] if facts["first"] is not None else new["text"].iloc[0]
+                facts["last"] = new["text"].iloc[-1]
+            facts["top"] = bool(facts["top"] or (of_step["at_top"] == True).any())  # noqa: E712
+            if step <= facts["step"]:
+                continue  # a window of a step that was seen: it adds its messages only
+            told = of_step["moved"].dropna()
+            moved = bool(told.any()) if len(told) else len(new) > 0
+            facts["step"] = int(step)
+            facts["run"] = 0 if moved else facts["run"] + 1
+            facts["stalls"] += not moved
+            bottom, closed = (of_step["at_bottom"] == True).any(), (of_step["closed"] == True).any()  # noqa: E712
+            end = "bottom" if bottom else "stalled" if facts["run"] >= self.max_stalls else "limit" if step >= self.max_steps else "closed" if closed else None
+            if end:
+                yield _frame(out)
+                yield self._ended(key[0], facts, end)
+                self._wake(now + self.keep_ms)
+                return
+        self.facts.update(tuple(facts[n] for n in names))
+        self._wake(max(now, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Silence: an open capture is reported as it stands; one that is over is forgotten."""
+        names = [f.split()[0] for f in self.FACTS.split(", ")]
+        held = self.facts.get()
+        if held and not held[-1]:
+            yield self._ended(key[0], dict(zip(names, held, strict=True)), "silent")
+            self._wake(timerValues.getCurrentWatermarkInMs() + self.keep_ms)
+        else:
+            self.facts.clear()
+
+
+_CAPTURED = f"{OUTPUT}, {REPORT}"
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in _CAPTURED.split(", ")]).astype(object)
+
+
+def captured(windows: DataFrame, max_steps: int = MAX_STEPS, max_stalls: int = MAX_STALLS, quiet_s: int = 600, keep_s: int = 3600, late_s: int = 60) -> DataFrame:
+    """The stream of a capture: messages as ``first_sight`` marks them, and one row with ``ended_by`` when it ends.
+
+    ``windows`` has conv_id, step, at (when it was taken), moved, at_top, at_bottom, closed, idx, id, role and text: what is
+    visible at a step, or one row with a null text where nothing is. A null ``moved`` means: where a new message is seen.
+    ``closed`` says that no step follows. A capture of which nothing comes for ``quiet_s`` seconds while others go on has
+    ended. Windows may come ``late_s`` seconds after later ones of the stream. Needs the RocksDB state store.
+    """
+    rows = _cleaned(windows.withWatermark("at", f"{late_s} seconds"), "at", "moved", "at_top", "at_bottom", "closed")
+    return rows.groupBy("conv_id").transformWithStateInPandas(Capture(max_steps, max_stalls, quiet_s, keep_s), _CAPTURED, "append", "eventTime")
+
+
+def messages_of(captured: DataFrame) -> DataFrame:
+    return captured.filter("ended_by IS NULL").select(*(f.split()[0] for f in OUTPUT.split(", ")))
+
+
+def reports_of(captured: DataFrame) -> DataFrame:
+    """Completeness reports, one per capture that has ended."""
+    none = F.expr("cast(array() as array<string>)")
+    warned = F.when(F.col("ended_by") == "stalled", F.array(F.lit(STALLED))).when(F.col("ended_by") == "limit", F.array(F.lit(STEP_LIMIT))).otherwise(none)
+    facts = captured.filter("ended_by IS NOT NULL").withColumns({"scan_warnings": warned, "platform_warnings": none, "virtualized": F.lit(False)})
+    return judged(facts)
