@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,8 +89,18 @@ def redact_secrets(c: Column) -> Column:
     return _where(c, _like("[A-Za-z0-9+/=_-]{32}"), lambda x: F.regexp_replace(x, LONG_SECRET_SHAPE, SECRET))
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the pattern is one of Java's dialect: asked once on the driver."""
+    java = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
+    try:
+        java.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def redact(c: Column, rules: Redaction) -> Column:
-    """Null stays null. Custom patterns that do not compile are left out."""
+    """Null stays null. Custom patterns that Java, which runs them, cannot compile are left out."""
     if rules.emails:
         c = redact_emails(c)
     if rules.phones:
@@ -96,9 +108,7 @@ def redact(c: Column, rules: Redaction) -> Column:
     if rules.secrets:
         c = redact_secrets(c)
     for pattern in rules.custom:
-        try:
-            re.compile(pattern)
-        except re.error:
+        if not compiles(pattern):
             continue
         c = F.regexp_replace(c, pattern, SECRET)
     return c

@@ -2,12 +2,16 @@
 
 A message repeats an earlier *kept* one if it has its id or its fingerprint. Where one of both keys decides, that is
 a running window over the conversation; only rows whose id occurs with several fingerprints, or the reverse, depend
-on each other's fate and are folded in order. Rows equal in both keys collapse before, in a partial aggregate.
+on each other's fate. These are folded in order, row by row, by a task that remembers the keys of one conversation at a
+time; or, for conversations beyond a task (``rounds``), settled in rounds over all rows at once: a row that is the first
+of its id and of its fingerprint among those not yet decided is kept, and those that share a key with it go. Rows equal
+in both keys collapse before, in a partial aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clean_code, clean_text, fingerprint, stable_hash, trim
 from .schema import complete
+from .shared import rank_in, settled
 
 #: Names that stand for a role.
 USER_NAMES = ("user", "human", "me", "you", "prompt")
@@ -59,59 +64,86 @@ def clean_messages(raw: DataFrame) -> DataFrame:
     )
 
 
-def _kept(rows: list[dict]) -> list[int]:
-    """Positions kept of ordered rows of (idx, id, fp): none shares a key with a row kept before it."""
-    ids, marks, kept = set(), set(), []
-    for row in rows:
-        if row["id"] not in ids and row["fp"] not in marks:
-            if row["id"] is not None:
-                ids.add(row["id"])
-            marks.add(row["fp"])
-            kept.append(row["idx"])
-    return kept
-
-
 def _folded(tangled: DataFrame) -> DataFrame:
-    """conv_id, idx kept of ``tangled`` (conv_id, rows): one pass with two sets over each conversation's rows."""
+    """conv_id, idx kept of ``tangled`` (conv_id, idx, id, fp): none shares a key with a row kept before it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, marks = object(), set(), set()
         for batch in batches:
-            kept = [_kept(rows) for rows in batch.column("rows").to_pylist()]
-            owner = pa.array([k for k, found in enumerate(kept) for _ in found], pa.int64())
-            yield pa.record_batch([batch.column("conv_id").take(owner), pa.array([i for found in kept for i in found], pa.int64())], ["conv_id", "idx"])
+            stays = []
+            for conv, ident, mark in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "id", "fp")), strict=True):
+                if conv != of:
+                    of, ids, marks = conv, set(), set()
+                stays.append(ident not in ids and mark not in marks)
+                if stays[-1]:
+                    marks.add(mark)
+                    if ident is not None:
+                        ids.add(ident)
+            yield batch.select(["conv_id", "idx"]).filter(pa.array(stays, pa.bool_()))
+
+    ordered = tangled.select("conv_id", F.col("idx").cast("long").alias("idx"), "id", "fp").repartition("conv_id").sortWithinPartitions("conv_id", "idx")
+    return ordered.mapInArrow(run, f"conv_id {tangled.schema['conv_id'].dataType.simpleString()}, idx long")
 
-    return tangled.mapInArrow(run, f"conv_id {tangled.schema['conv_id'].dataType.simpleString()}, idx long")
 
+#: Rows that one task folds in the end; the rounds before leave no more.
+FOLD_ROWS = 1_000_000
 
-def first_rows(keyed: DataFrame) -> DataFrame:
+
+def _in_rounds(tangled: DataFrame) -> DataFrame:
+    """As ``_folded``, in rounds of joins and aggregates; no conversation has to fit a task.
+
+    Every round decides the first row of each conversation at least, and of rows in no particular order a large part.
+    What is left once FOLD_ROWS or fewer rows are open is folded.
+    """
+    todo, found = settled(tangled.select("conv_id", F.col("idx").cast("long").alias("idx"), "id", "fp")), []
+    while todo.count() > FOLD_ROWS:
+        of_fp = todo.groupBy("conv_id", "fp").agg(F.min(F.struct("idx", "id")).alias("first")).select("conv_id", "fp", "first.*")
+        of_id = todo.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("idx").alias("idx")).select("conv_id", "idx", F.lit(True).alias("leads"))
+        kept = settled(of_fp.join(of_id, ["conv_id", "idx"], "left").filter("id IS NULL OR leads").select("conv_id", "idx", "id", "fp"))
+        found.append(kept.select("conv_id", "idx"))
+        left = todo.join(kept.select("conv_id", "fp"), ["conv_id", "fp"], "left_anti").select(*todo.columns)
+        todo = settled(left.join(kept.filter("id IS NOT NULL").select("conv_id", "id"), ["conv_id", "id"], "left_anti").select(*todo.columns))
+    return reduce(DataFrame.unionByName, found, _folded(todo))
+
+
+def first_rows(keyed: DataFrame, rounds: bool = False) -> DataFrame:
     """conv_id, idx of the kept rows of ``keyed`` (conv_id, idx, id, fp), where id may be null and idx is unique.
 
-    A derived id counts as absent here: it is a hash of the fingerprint and so never decides alone.
+    A derived id counts as absent here: it is a hash of the fingerprint and so never decides alone. With ``rounds`` the
+    rows are settled while this is called, without a task that takes a conversation whole.
     """
-    # The leading (conv_id) hash partitioning serves every window and aggregate below: one shuffle.
-    pairs = keyed.groupBy("conv_id", "id", "fp").agg(F.min("idx").cast("long").alias("idx")).repartition("conv_id")
+    pairs = keyed.groupBy("conv_id", "id", "fp").agg(F.min("idx").cast("long").alias("idx"))
+    if rounds:
+        return _in_rounds(pairs)
+    # The leading (conv_id) hash partitioning serves every window below and the fold: one shuffle.
+    pairs = pairs.repartition("conv_id")
     by_id, by_fp = Window.partitionBy("conv_id", "id"), Window.partitionBy("conv_id", "fp")
     marked = pairs.withColumns({"of_id": F.when(F.col("id").isNull(), 1).otherwise(F.count("*").over(by_id)), "of_fp": F.count("*").over(by_fp)})
     # Rows whose keys nobody else has are kept; the others are folded, conversation by conversation.
     lone = (F.col("of_id") == 1) & (F.col("of_fp") == 1)
-    tangled = marked.filter(~lone).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "fp"))).alias("rows"))
-    return marked.filter(lone).select("conv_id", "idx").unionByName(_folded(tangled))
+    return marked.filter(lone).select("conv_id", "idx").unionByName(_folded(marked.filter(~lone)))
 
 
-def dedupe(messages: DataFrame, order: str = "idx") -> DataFrame:
+def dedupe(messages: DataFrame, order: str = "idx", rounds: bool = False) -> DataFrame:
     """Cleaned messages without repeats, renumbered from 0 by ``order``; rows without an id get one.
 
-    Adds ``duplicate_count``, the rows its conversation lost. ``order`` must be unique within a conversation.
+    Adds ``duplicate_count``, the rows its conversation lost. ``order`` must be unique within a conversation. ``rounds``:
+    for conversations beyond a task, which are then numbered by ranges of ``order`` too.
     """
     keyed = messages.withColumn("_fp", fingerprint(F.col("role"), F.col("text")))
-    kept = first_rows(keyed.select("conv_id", F.col(order).alias("idx"), "id", F.col("_fp").alias("fp"))).select("conv_id", F.col("idx").alias(order), F.lit(True).alias("_kept"))
+    kept = first_rows(keyed.select("conv_id", F.col(order).alias("idx"), "id", F.col("_fp").alias("fp")), rounds).select("conv_id", F.col("idx").alias(order), F.lit(True).alias("_kept"))
     of_conv = Window.partitionBy("conv_id")
-    rows = keyed.join(kept, ["conv_id", order], "left").withColumn("duplicate_count", F.count_if(F.col("_kept").isNull()).over(of_conv)).filter("_kept")
-    numbered = rows.withColumn("_n", F.row_number().over(of_conv.orderBy(order)) - 1)
+    rows = keyed.join(kept, ["conv_id", order], "left")
+    if rounds:
+        lost = rows.groupBy("conv_id").agg(F.count_if(F.col("_kept").isNull()).alias("duplicate_count"))
+        numbered = rank_in(rows.filter("_kept"), "conv_id", order, "_n").join(lost, "conv_id")
+    else:
+        rows = rows.withColumn("duplicate_count", F.count_if(F.col("_kept").isNull()).over(of_conv)).filter("_kept")
+        numbered = rows.withColumn("_n", F.row_number().over(of_conv.orderBy(order)) - 1)
     derived = F.concat(F.lit("msg-"), stable_hash(F.concat("_fp", F.lit(":"), F.col("_n").cast("string"))))
     return numbered.withColumns({"id": F.coalesce("id", derived), "idx": F.col("_n").cast("int")}).drop("_fp", "_kept", "_n")
 
 
-def normalize(raw: DataFrame, order: str = "idx") -> DataFrame:
-    """Raw messages to the messages of clean conversations."""
-    return dedupe(clean_messages(raw), order)
+def normalize(raw: DataFrame, order: str = "idx", rounds: bool = False) -> DataFrame:
+    """Raw messages to the messages of clean conversations; ``rounds`` as in ``dedupe``."""
+    return dedupe(clean_messages(raw), order, rounds)

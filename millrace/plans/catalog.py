@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from ..functions import filenames, images, text, urls
 from ..functions.redaction import Redaction, redact
 from ..operators import batch, completeness, library, normalize, quality, render, scan, selection
 from ..operators.schema import complete, from_turns
+from ..operators.shared import new_folder, settled
 from ..sinks import files
 from ..sources import chat_pages
 from ..streaming import capture
@@ -42,11 +42,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(from_turns(spark, sf_dir))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder in spark.checkpoint.dir, for plans that read it several times; itself where that is unset."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
-
-
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One header per conversation; its title is the start of the first turn."""
     turns = from_turns(spark, sf_dir).groupBy("conv_id").agg(F.min_by("text", "idx").alias("first"))
@@ -233,9 +228,18 @@ k AS (SELECT r.*, (row_number() OVER (PARTITION BY r.conv_id ORDER BY r.n) - 1):
 SELECT conv_id, idx, role, text, coalesce(id, 'msg-' || {_hash("(fp || ':' || idx)")}) AS id, duplicate_count FROM k""")
 def dedupe_two_keys(spark, sf_dir):
     """Ids that clash and texts that clash: whether a row stays depends on the rows before it."""
+    return normalize.normalize(_clashing(spark, sf_dir)).select("conv_id", "idx", "role", "text", "id", "duplicate_count")
+
+
+@query(SQL["dedupe_two_keys"])
+def dedupe_in_rounds(spark, sf_dir):
+    """The same without a task that takes a conversation whole."""
+    return normalize.normalize(_clashing(spark, sf_dir), rounds=True).select("conv_id", "idx", "role", "text", "id", "duplicate_count")
+
+
+def _clashing(spark, sf_dir):
     turns = from_turns(spark, sf_dir).withColumn("id", F.when(F.col("idx") % 3 > 0, F.concat(F.lit("m"), (F.col("idx") % 4).cast("string"))))
-    again = turns.withColumns({"idx": F.col("idx") + 1000, "id": F.concat(F.lit("m"), (F.col("idx") % 5).cast("string"))})
-    return normalize.normalize(turns.unionByName(again)).select("conv_id", "idx", "role", "text", "id", "duplicate_count")
+    return turns.unionByName(turns.withColumns({"idx": F.col("idx") + 1000, "id": F.concat(F.lit("m"), (F.col("idx") % 5).cast("string"))}))
 
 
 _SCANS = "s AS (SELECT DISTINCT conv_id, conv_id % 3 <> 1 AS reached_top, conv_id % 5 <> 1 AS reached_bottom, conv_id % 7 = 0 AS virtualized FROM conversations)"
@@ -576,20 +580,11 @@ def library_stored(spark, sf_dir):
     return held.join(head.select("conv_id", "title"), "conv_id").join(records.select(F.col("id").alias("conv_id"), F.col("conv_id").alias("of")), "conv_id").select(F.col("of").alias("conv_id"), "idx", "role", "author_label", "text", "title")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; on one machine, where none is named, below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""{_RECORDS} SELECT id, conv_id, CASE WHEN project_label = 'Third' THEN title ELSE 'Again: ' || title END AS title, saved_at FROM l WHERE NOT contains(tags, 'Even') OR project_label = 'Third'""")
 def library_store(spark, sf_dir):
     """Records put, put again with new titles, and deleted; listed newest first."""
     records = settled(_records(spark, sf_dir))
-    store = library.Library(spark, _folder(spark, "library"))
+    store = library.Library(spark, new_folder(spark, "library"))
     third = F.coalesce(F.col("project_label") == "Third", F.lit(False))
     store.put(records)
     store.put(records.filter(~third).withColumn("title", F.concat(F.lit("Again: "), "title")))
@@ -601,11 +596,11 @@ def library_store(spark, sf_dir):
 def library_backup(spark, sf_dir):
     """Records put in three steps, backed up, cleared, put again from the backup and merged into one set of files."""
     records = settled(_records(spark, sf_dir))
-    store = library.Library(spark, _folder(spark, "library"))
+    store = library.Library(spark, new_folder(spark, "library"))
     part = F.pmod(F.xxhash64("id"), F.lit(3))
     for k in range(3):
         store.put(records.filter(part >= k))
-    schema, copy = store.read().schema, _folder(spark, "backup")
+    schema, copy = store.read().schema, new_folder(spark, "backup")
     store.backup(copy)
     store.clear()
     store.restore(copy, schema)
@@ -618,7 +613,7 @@ def library_backup(spark, sf_dir):
 FROM (SELECT conv_id, turn, """ + _ROLE + """ AS role, """ + _clean("coalesce(text, '')") + """ AS text FROM conversations), range(3) r(k) WHERE text <> ''""")
 def capture_stream(spark, sf_dir):
     """Every turn is seen in three windows of a growing page; the stream lets each message through once."""
-    folder = _folder(spark, "capture")
+    folder = new_folder(spark, "capture")
     turns = from_turns(spark, sf_dir).withColumn("id", F.lit(None).cast("string"))
     windows = turns.withColumn("step", F.explode(F.array(F.col("idx"), F.col("idx") + 1, F.col("idx") + 2))).select("conv_id", "step", "idx", "id", "role", "text")
     return _streamed(spark, folder, windows, capture.first_sight).select("conv_id", "step", "idx", "duplicate")
@@ -663,7 +658,7 @@ def capture_report(spark, sf_dir):
     facts = steps.join(last, "conv_id").select("conv_id", "step", F.timestamp_seconds(step + 1_780_000_000).alias("at"), ((c + step) % 3 == 0).alias("moved"), (c % 5 != 1).alias("at_top"), ((step >= 5) & (c % 2 == 0)).alias("at_bottom"), (step == F.col("last")).alias("closed"))
     shown = turns.withColumn("step", F.explode(F.array(F.col("idx"), F.col("idx") + 1))).select("conv_id", "step", "idx", F.lit(None).cast("string").alias("id"), "role", "text")
     windows = facts.join(shown, ["conv_id", "step"], "left")
-    out = _streamed(spark, _folder(spark, "capture"), windows, lambda w: capture.captured(w, max_steps=6, max_stalls=2))
+    out = _streamed(spark, new_folder(spark, "capture"), windows, lambda w: capture.captured(w, max_steps=6, max_stalls=2))
     found = capture.reports_of(out)
     return found.withColumn("warnings", F.array_join("warnings", " ")).drop("platform_warnings")
 

@@ -57,17 +57,27 @@ def code_blocks(node: Node) -> list[dict]:
     return out
 
 
+# Elements whose images belong to the interface, that hold avatars, and that show content, and words of an alt text that do.
+CONTROLS = "button, form, input, textarea, select, [role='button'], [role='checkbox'], [role='menuitem'], [contenteditable='true'], [data-testid*='copy' i], [data-testid*='feedback' i], [data-testid*='regenerate' i], [data-testid*='rating' i], [aria-label*='copy' i], [aria-label*='copied' i], [aria-label*='feedback' i], [aria-label*='regenerate' i]"
+AVATARS = "[data-testid*='avatar' i], [class*='avatar' i]"
+SHOWN = "figure, [data-testid*='image' i], [data-testid*='attachment' i]"
+SHOWN_WORDS = re.compile(r"\b(?:diagram|chart|photo|image|screenshot|attachment|uploaded)\b", re.A)
+ICON_SIZE = 64
+
+
 def content_images(node: Node) -> list[dict]:
     """Images that are content: visible, no part of a control, no avatar, not tiny unless something speaks for them."""
     out = []
     for img in (n for n in node.walk() if n.tag == "img"):
         size = [int(v) if (v := img.attrs.get(k, "").strip()).isdigit() and int(v) > 0 else None for k in ("width", "height")]
-        alt, src = img.attrs.get("alt"), img.attrs.get("src", "")
-        around = " ".join(f"{n.tag} {n.attrs.get('class', '')} {n.attrs.get('data-testid', '')}" for n in img.up()).lower()
-        small = None not in size and max(size) <= 64
-        if not visible(img) or any(matches(n, "button, [role='button']") for n in img.up()) or "avatar" in f"{alt} {src} {around}".lower():
+        alt, src, around = img.attrs.get("alt"), img.attrs.get("src", ""), list(img.up())
+        said = (alt or "").lower()
+        inside = lambda selector: any(matches(n, selector) for n in around)  # noqa: E731, B023
+        if not src or not visible(img) or inside(CONTROLS):
+            continue
+        if "avatar" in said or said in ("user", "chatgpt") or not src[:5].lower() == "data:" and "avatar" in src.lower() or inside(AVATARS):
             continue
-        if small and not re.search(r"figure|image|attachment", f"{around} {alt or ''}".lower().replace("img", "")):
+        if None not in size and max(size) <= ICON_SIZE and not inside(SHOWN) and not SHOWN_WORDS.search(said.strip()):
             continue
         data = src if src[:11].lower() == "data:image/" else None
         out.append({"alt": alt, "src": None if data else src or None, "dataUri": data, "width": size[0], "height": size[1]})

@@ -92,8 +92,8 @@ def test_phones_against_model(spark):
 def test_redaction_presets(spark):
     assert Redaction.of("nonsense").off and Redaction.of(None).off
     assert Redaction.legacy(True, emails=False).phones and Redaction.legacy(True, api_keys=False, bearer_tokens=False).secrets is False
-    custom = Redaction.of("custom", ["  secret-\\d+ ", "(", ""])
-    assert column(spark, ["secret-12 a@b.cc"], lambda c: redact(c, custom)) == ["[REDACTED_SECRET] [REDACTED_EMAIL]"]
+    custom = Redaction.of("custom", ["  secret-\\d+ ", "(", "", "(?P<x>a)", "(?<y>[a-z&&[^b]]{3}0)\\k<y>"])
+    assert column(spark, ["secret-12 a@b.cc cde0cde0"], lambda c: redact(c, custom)) == ["[REDACTED_SECRET] [REDACTED_EMAIL] [REDACTED_SECRET]"]
 
 
 def test_images(spark):

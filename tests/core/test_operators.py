@@ -240,3 +240,26 @@ def test_query_equals_sql(spark, name):
     want = con.execute(f"select {', '.join(cols)} from ({entry.oracle_sql()[name]})").fetchall()
     key = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted(want, key=key) == sorted((tuple(r) for r in have.select(*cols).collect()), key=key)
+
+
+@pytest.mark.parametrize(
+    ("markup", "kept"),
+    [
+        *((f"<img alt='{w}' src=https://x.org/a.png width=16 height=16>", True) for w in ("a chart", "Diagram", "photo", "screenshot", "uploaded file", "image")),
+        *((f"<img alt='{w}' src=https://x.org/a.png width=300 height=200>", False) for w in ("user", "ChatGPT", "my avatar")),
+        ("<img alt=charts src=https://x.org/a.png width=16 height=16>", False),
+        ("<img src=https://x.org/a.png width=16>", True),
+        ("<img alt=x>", False),
+        ("<figure><img src=https://x.org/a.png width=16 height=16></figure>", True),
+        ("<div data-testid=Attachment-1><img src=https://x.org/a.png width=16 height=16></div>", True),
+        ("<img src=https://x.org/avatars/a.png>", False),
+        ("<span class=userAvatar><img src=https://x.org/a.png></span>", False),
+        *((f"<{c}><img src=https://x.org/a.png></{c.split()[0]}>", False) for c in ("form", "div role=checkbox", "div role=menuitem", "div contenteditable=true", "div data-testid=copy-turn", "span aria-label='Give feedback'", "span data-testid=rating")),
+        ("<div hidden><img src=https://x.org/a.png></div>", False),
+        ("<img src='data:image/png;base64,avatar'>", True),
+    ],
+)
+def test_which_images_are_content(markup, kept):
+    from millrace.sources import chat_pages, dom
+
+    assert bool(chat_pages.content_images(dom.parse(f"<div>{markup}</div>"))) == kept
