@@ -13,7 +13,7 @@ PRIME = (1 << 61) - 1
 _BASES = (0x9E3779B97F4A7C15 | 1, 0x1342543DE82EF95D % PRIME)
 _MODULI = (1 << 64, PRIME)
 #: A random value for each byte, for either of two independent hashes; fixed seeds, so all tasks agree.
-BYTES = tuple(np.random.default_rng(seed).integers(0, m, 256, np.uint64) for seed, m in zip((7, 19), ((1 << 64) - 1, PRIME), strict=True))
+BYTES = tuple(np.random.default_rng(seed).integers(0, m, 256, np.uint64) for seed, m in zip((7, 19), _MODULI, strict=True))
 _grown_powers: dict[tuple[int, int], np.ndarray] = {}
 _U = np.uint64
 
