@@ -79,7 +79,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: doc_id, th, source, pos, h (hash of the normalised line), n (its words).
+    """One row per line with a word: doc_id, th, source, pos, h (two 64-bit hashes of the normalised line with different seeds, as equal ones remove it), n (its words).
 
     A line counts lower-cased, with any digit as 0, white space runs as one space, and trimmed.
     """
@@ -89,7 +89,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     d = d.withColumn("t", F.when(F.col("t").rlike("[1-9]"), F.regexp_replace("t", "[1-9]", "0")).otherwise(F.col("t")))
     d = d.withColumn("t", F.when(F.col("t").rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace("t", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("t")))
     d = d.select("doc_id", "th", "source", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line != ''")
-    return d.select("doc_id", "th", "source", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"))
+    return d.select("doc_id", "th", "source", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"))
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
