@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import budget_mix, decontaminate, near_dedup, token_pack, toxicity
-from millrace.llm.common import delete, shared_dir, small_batches, table
+from millrace.llm.common import delete, owned, shared_dir, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             delete(spark, before)  # what a stage took in is not needed once its result is written

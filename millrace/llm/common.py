@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from functools import wraps
 
 import numpy as np
@@ -121,12 +122,39 @@ def small_batches(spark: SparkSession) -> dict[str, str]:
     return before
 
 
+#: The paths that the innermost ``owned`` block of this thread is to delete.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """On leaving, deletes the tables that operators called inside left for their results (``Scratch.settle`` with ``keep``).
+
+    Whoever calls operators and is done with their results once these are written calls them in such a block.
+    """
+    paths: list[str] = []
+    before = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(before)
+        for path in paths:
+            delete(spark, path)
+
+
+def left_behind(path: str) -> None:
+    """Tells the ``owned`` block around the caller, if there is one, of a folder that a result is read from."""
+    if (paths := _OWNED.get()) is not None:
+        paths.append(path)
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder on its way.
 
     ``settle`` writes a table and reads it back, which cuts its lineage: a lost executor then costs a re-read, not a
     recomputation, and the files are whole or absent. ``drop`` deletes tables that nothing reads any more; leaving the
-    ``with`` block deletes all but those settled with ``keep``, which the operator's result still reads.
+    ``with`` block deletes all but those settled with ``keep``, which the operator's result still reads and an ``owned``
+    block around it deletes.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -151,7 +179,9 @@ class Scratch:
         path = f"{self.folder}/{self.count}-{name}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        if not keep:
+        if keep:
+            left_behind(path)
+        else:
             self.paths[id(back)] = back, path
         return back
 

@@ -5,7 +5,8 @@ benchmark and corpus, and a match stands only if its slots are filled consistent
 replaced by one value throughout. A question whose names and numbers were changed is caught as well as a copy.
 
 Each text is read twice: word by word, and with every run of like slots as one slot, so that "Anna" may become "Mary
-Ann". Items without a window of enough literal words are found as verbatim copies, by windows of their words.
+Ann". Items without a window of enough literal words are found as verbatim copies, by windows of their words; items of
+fewer than SHORT words only where a document holds nothing else, as such words are in many texts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import Scratch, lookup_join, own_names, quoted, steps, tidy
 
 #: Template tokens in a window; the literal words it needs at least; tokens of an item that must match (or all).
 WINDOW, LITERALS, MATCHED = 8, 4, 13
+#: Tokens of an item from which its words are looked for inside texts.
+SHORT = 3
 #: Benchmark windows that one scan of the corpus looks for (8 bytes each in every worker); more take more scans.
 WINDOWS_AT_ONCE, BROADCAST_ROWS = 2_000_000, 200_000
 #: Bytes whose words are found in one step.
@@ -149,17 +152,17 @@ def sizes_of(n_tokens: int) -> int:
     return min(WINDOW, n_tokens)
 
 
-#: Readings of a text: word by word, runs of like slots as one, and its words as they are.
-PLAIN, RUNS, VERBATIM = 0, 1, 2
+#: Readings of a text: word by word, runs of like slots as one, its words as they are, and these as the whole text.
+PLAIN, RUNS, VERBATIM, WHOLE = 0, 1, 2, 3
 #: Alignments of one document and item whose shifts follow each other within this many tokens count together.
 NEAR_SHIFTS = 3
 _COLUMNS = "th long, kind int, pos int, size int, h long, n_windows int, slots array<bigint>"
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
 
-def _verbatim(r: Reading, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _verbatim(r: Reading, size: int, kind: int = VERBATIM) -> tuple[np.ndarray, np.ndarray]:
     at, h = windows(r.values, np.zeros(len(r.values), bool), r.owner, size, 0)
-    return at, text_hash.mix(h ^ np.uint64(VERBATIM << 32))
+    return at, text_hash.mix(h ^ np.uint64(kind << 32))
 
 
 def _batch(piece: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -182,6 +185,9 @@ def _item_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, text in enumerate(_texts(piece)):
                 plain = template([text])
                 if len(plain.tokens) < LITERALS:
+                    size = len(plain.tokens)
+                    kind = VERBATIM if size >= SHORT else WHOLE
+                    rows += [(k, kind, 0, size, x, 1, []) for x in _verbatim(plain, size, kind)[1].view(np.int64)] if size else []
                     continue
                 for kind, r in ((PLAIN, plain), (RUNS, collapsed(plain))):
                     size = sizes_of(len(r.tokens))
@@ -193,8 +199,8 @@ def _item_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(piece, rows)
 
 
-def _doc_rows(sizes: list[int], verbatim: list[int], known):
-    """The corpus windows of these sizes (``verbatim``: of its words) whose hash is among ``known``, sorted."""
+def _doc_rows(sizes: list[int], verbatim: list[int], whole: list[int], known):
+    """The corpus windows of these sizes (``verbatim``: of its words, ``whole``: of all its words) whose hash is among ``known``, sorted."""
     bits: list[np.ndarray] = []
 
     @tidy
@@ -222,6 +228,10 @@ def _doc_rows(sizes: list[int], verbatim: list[int], known):
                     for size in verbatim if kind == PLAIN else ():
                         at, h = shared(*_verbatim(r, size))
                         rows += [(o, VERBATIM, p - first[o], size, x, 0, []) for o, p, x in zip(r.owner[at], at, h.view(np.int64), strict=True)]
+                first, count = np.searchsorted(plain.owner, np.arange(piece.num_rows)), np.bincount(plain.owner, minlength=piece.num_rows)
+                for size in whole if (count <= max(whole, default=0)).any() else ():
+                    at, h = shared(*_verbatim(plain, size, WHOLE))
+                    rows += [(o, WHOLE, 0, size, x, 0, []) for o, p, x in zip(plain.owner[at], at, h.view(np.int64), strict=True) if count[o] == size]
                 yield _batch(piece, rows)
 
     return run
@@ -237,29 +247,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED) -> Da
 
     A pair leaks if one alignment, or several whose shifts are near, matches windows over ``matched`` tokens of the
     item (over all of a shorter one, or of one without a window of enough literals) and its slots are consistent;
-    ``exact`` tells whether all slots keep the item's values. Null and empty texts match nothing, items of fewer than
-    LITERALS tokens neither. Ids keep their type; null ids are ids. Repeated rows give a pair once; empty tables give
+    ``exact`` tells whether all slots keep the item's values. Items of fewer than LITERALS tokens match as they are; null
+    and empty texts match nothing. Ids keep their type; null ids are ids. Repeated rows give a pair once; empty tables give
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     with Scratch(spark, "decontaminate") as scratch:
         own, schema = _keyed(benchmark, "item_id")
         items = scratch.settle(own.mapInArrow(_item_rows, schema), "items")
-        leaks = scratch.settle(_leaks(docs, items, matched, scratch), "leaks", keep=True)
+        sent: list = []
+        leaks = scratch.settle(_leaks(docs, items, matched, scratch, sent), "leaks", keep=True)
+        for known in sent:
+            known.destroy()
     return leaks
 
 
-def _leaks(docs: DataFrame, items: DataFrame, matched: int, scratch: Scratch) -> DataFrame:
+def _leaks(docs: DataFrame, items: DataFrame, matched: int, scratch: Scratch, sent: list) -> DataFrame:
+    """``sent`` gets the broadcast that the returned plan still needs, one at most; others are destroyed here."""
     spark = docs.sparkSession
-    held = sorted(tuple(r) for r in items.select("size", F.col("kind") == VERBATIM).distinct().collect())  # at most WINDOW numbers, twice
-    sizes, verbatim = [x for x, as_is in held if not as_is], [x for x, as_is in held if as_is]
+    held = sorted(tuple(r) for r in items.select("size", F.greatest("kind", F.lit(RUNS)).alias("kind")).distinct().collect())  # at most WINDOW numbers, thrice
+    sizes, verbatim, whole = ([x for x, kind in held if kind == of] for of in (RUNS, VERBATIM, WHOLE))
     hashes = scratch.settle(items.select("h").distinct(), "hashes")
     scans = max(1, -(-hashes.count() // WINDOWS_AT_ONCE))
     own, schema = _keyed(docs, "doc_id")
     found = None
     for k in range(scans):
         some = hashes.filter(F.pmod(F.col("h"), F.lit(scans)) == k).toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)  # about WINDOWS_AT_ONCE
-        hits = own.mapInArrow(_doc_rows(sizes, verbatim, spark.sparkContext.broadcast(np.sort(some))), schema)
+        known = spark.sparkContext.broadcast(np.sort(some))
+        hits = own.mapInArrow(_doc_rows(sizes, verbatim, whole, known), schema)
+        if scans > 1:
+            hits = scratch.settle(hits, "hits")
+            known.destroy()
+        else:
+            sent.append(known)
         found = hits if found is None else found.unionByName(hits)
     d = found.select(F.col("id").alias("doc_id"), "th", "kind", F.col("pos").alias("dp"), "size", "h", F.col("slots").alias("ds"))
     i = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), "kind", F.col("pos").alias("ip"), "size", "h", F.col("n_windows").alias("n_item"), F.col("slots").alias("vs"))
@@ -277,13 +297,13 @@ def _leaks(docs: DataFrame, items: DataFrame, matched: int, scratch: Scratch) ->
     met = scratch.settle(met, "alignments")  # read twice below
     order = Window.partitionBy(*pair).orderBy("shift")
     fresh = F.coalesce(F.col("shift") - F.lag("shift").over(order) > NEAR_SHIFTS, F.lit(True)).cast("int")
-    grouped = met.filter(F.col("kind") != VERBATIM).withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order)).groupBy(*pair, "group").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("ips"))).alias("ips"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    grouped = met.filter(F.col("kind") < VERBATIM).withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order)).groupBy(*pair, "group").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("ips"))).alias("ips"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     met = met.select(*pair, "ips", "pairs").unionByName(grouped.filter("n > 1").select(*pair, "ips", "pairs")).withColumn("n_windows", F.size("ips"))
     one_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["vs"])))
     exact = F.forall("pairs", lambda x: x["vs"] == x["ds"])
     # A passage that opens in mid-sentence may turn its first word into a name: one window less is enough.
     needed = F.greatest(F.lit(1), F.least(F.lit(matched + 1) - F.col("size"), F.col("n_item") - 1))
-    needed = F.when(F.col("kind") == VERBATIM, F.col("n_item")).otherwise(needed)
+    needed = F.when(F.col("kind") >= VERBATIM, F.col("n_item")).otherwise(needed)
     leaks = met.filter(one_way & (F.col("n_windows") >= needed)).withColumn("exact", exact)
     best = F.max(F.struct("n_windows", F.col("n_item").alias("n_item_windows"), "exact"))
     return leaks.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, shared_dir, steps, tidy
+from .common import left_behind, ragged, shared_dir, steps, tidy
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A block is closed once it holds this many tokens; one longer document is a block of its own.
@@ -322,8 +322,9 @@ def tokens_of(spark: SparkSession, path: str, doc_id) -> list[np.ndarray]:
 
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:
-    """Write to a new folder that all executors share, then read the files back; the files stay, as the result is read from them."""
+    """Write to a new folder that all executors share, then read the files back; the files stay, as the result is read from them, but in an ``owned`` block."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/millrace/tokens-{uuid.uuid4().hex}"
+    left_behind(path)
     write(docs, path, **how)
     return read(spark, path)

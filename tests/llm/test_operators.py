@@ -442,6 +442,28 @@ def test_decontaminate_in_several_scans(spark, monkeypatch):
     assert whole and got(Q.op5_decontaminate(spark, SF), "doc_id", "item_id", "n_windows") == whole
 
 
+def test_decontaminate_finds_items_of_few_words(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "Define photosynthesis briefly."), (2, "Yes"), (3, "so what"), (4, ""), (5, " ... ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Task: define photosynthesis briefly, please"), (2, "define photosynthesis"), (3, "yes"), (4, "yes and so what else"), (5, " So what? "), (6, "yes yes"), (7, ""), (8, None)], "doc_id long, text string")
+    want = [(1, 1), (3, 2), (5, 3)]
+    assert got(decontaminate.matches(docs, items), "doc_id", "item_id") == want
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 1)
+    assert got(decontaminate.matches(docs, items), "doc_id", "item_id") == want
+
+
+def test_the_pipeline_leaves_its_result_only(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    left = lambda: set(os.listdir(f"{shared}/millrace")) if os.path.isdir(f"{shared}/millrace") else set()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = left()
+    rows = corpus_pipeline.run(spark, SF).count()
+    made = {x for x in left() - before if any(os.scandir(f"{shared}/millrace/{x}"))}
+    assert rows and len(made) == 1 and made.pop().startswith("pipeline-")
+
+
 def test_decontaminate_against_substrings(spark):
     items = {r["item_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = [(r["doc_id"], " ".join((r["text"] or "").split())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
