@@ -15,7 +15,7 @@ from .schema import complete
 NL = "\n"
 SEPARATOR = "=" * 80
 #: Names of the kinds of sources.
-SOURCE_LABELS = {"citation": "Citation", "web_search": "Web search", "deep_research": "Deep research"}
+SOURCE_LABELS = {"citation": "Citation", "deep_research": "Deep Research source", "web_search": "Web Search source"}
 CSV_COLUMNS = ("index", "role", "authorLabel", "text", "model", "createdAt", "messageId")
 
 

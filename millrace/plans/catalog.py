@@ -853,6 +853,34 @@ def scan_rich_content(spark, sf_dir):
     )
 
 
+def _advanced(spark, sf_dir):
+    """Messages with two sources, a canvas and a reasoning block each, made of their texts; every third has none."""
+    head, n = F.substring("text", 1, 24), F.col("idx").cast("string")
+    none = F.lit(None).cast("string")
+    kind = F.element_at(F.array(*map(F.lit, render.SOURCE_LABELS)), (F.col("idx") % 3 + 1).cast("int"))
+    source = lambda snippet: F.struct(none.alias("id"), kind.alias("kind"), F.concat(F.lit("[a]\\ "), head).alias("title"), F.concat(F.lit("https://e.org/"), n).alias("url"), snippet.alias("snippet"))
+    canvas = F.struct(F.when(F.col("idx") % 2 == 0, F.concat(F.lit("C\\"), head)).alias("title"), F.when(F.col("idx") % 4 < 2, head).alias("text"), F.when(F.col("idx") % 5 > 0, "https://e.org/c").alias("url"), F.lit("W").alias("warning"))
+    thinking = F.struct(F.when(F.col("idx") % 2 == 0, "Why\\").alias("title"), head.alias("text"))
+    has = F.col("conv_id") % 3 > 0
+    return messages(spark, sf_dir).withColumns({
+        "id": F.concat(F.lit("#a b/"), n, F.lit("_!")), "sources": F.when(has, F.array(source(F.lit("")), source(head))), "canvas": F.when(has, F.array(canvas)), "thinking_blocks": F.when(has, F.array(thinking)),
+    })
+
+
+_ADVANCED = f"""{_M}, a AS (SELECT conv_id, idx, CASE idx % 3 WHEN 0 THEN 'Citation' WHEN 1 THEN 'Deep Research source' ELSE 'Web Search source' END AS kind, substr(text, 1, 24) AS t,
+ CASE WHEN idx % 2 = 0 THEN 'C\\' || substr(text, 1, 24) ELSE 'Canvas' END AS c, CASE WHEN idx % 4 < 2 THEN substr(text, 1, 24) ELSE '' END AS ct, CASE WHEN idx % 5 > 0 THEN 'https://e.org/c' ELSE '' END AS cu, CASE WHEN idx % 2 = 0 THEN 'Why\\: ' ELSE '' END AS w, conv_id % 3 > 0 AS has FROM m)"""
+
+
+@query(f"""{_ADVANCED} SELECT conv_id, idx, CASE WHEN has THEN chr(10) || 'Sources:' || chr(10) || '- 1. ' || kind || ': [a]\\ ' || t || ' - https://e.org/' || idx || chr(10) || '- 2. ' || kind || ': [a]\\ ' || t || ' - https://e.org/' || idx || ' - ' || t
+ || chr(10) || chr(10) || 'Canvas:' || chr(10) || '- ' || c || CASE WHEN cu <> '' THEN ' - ' || cu ELSE '' END || CASE WHEN ct <> '' THEN ' - ' || ct ELSE '' END || ' - W' || chr(10) || chr(10) || 'Visible thinking / reasoning:' || chr(10) || '- ' || w || t ELSE '' END AS plain,
+ CASE WHEN has THEN '[^a-b-' || idx || '_-source-1]: ' || kind || ' - [\\[a\\]\\\\ ' || lt || '](https://e.org/' || idx || ')' || chr(10) || '[^a-b-' || idx || '_-source-2]: ' || kind || ' - [\\[a\\]\\\\ ' || lt || '](https://e.org/' || idx || ') - ' || t
+ || chr(10) || chr(10) || 'Canvas:' || chr(10) || '- ' || replace(c, '\\', '\\\\') || CASE WHEN cu <> '' THEN ' [Open canvas](' || cu || ')' ELSE '' END || ' - ' || CASE WHEN ct <> '' THEN ct || ' ' ELSE '' END || 'W'
+ || chr(10) || chr(10) || 'Visible thinking / reasoning:' || chr(10) || '- ' || replace(w || t, '\\', '\\\\') ELSE '' END AS markdown FROM (SELECT *, replace(replace(replace(t, '\\', '\\\\'), '[', '\\['), ']', '\\]') AS lt FROM a)""")
+def render_advanced(spark, sf_dir):
+    """The sections of sources, canvases and reasoning under a message, as text and as Markdown."""
+    return _advanced(spark, sf_dir).select("conv_id", "idx", F.concat_ws("\n", *render.advanced_text()).alias("plain"), render.advanced_markdown().alias("markdown"))
+
+
 @query("SELECT conv_id AS page_id, 'section' AS tag, count(*)::INT AS n_messages FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - conv_id, 'html', 0 FROM (SELECT DISTINCT conv_id FROM conversations)")
 def scroll_containers(spark, sf_dir):
     rich = _rich_pages(spark, sf_dir).select("page_id", "html")
