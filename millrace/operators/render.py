@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.images import dimensions, image_text, is_safe_url
+from ..functions.urls import is_safe_link
 from .schema import complete
 
 NL = "\n"
@@ -85,6 +86,35 @@ def advanced_markdown() -> Column:
     return F.concat_ws("\n\n", notes, _section("Canvas:", F.transform("canvas", canvas)), thinking)
 
 
+def advanced_html() -> Column:
+    """The same sections for a page."""
+    escaped = T.html_escape
+
+    def section(title: str, items: Column, label: str | None = None) -> Column:
+        listed = F.array_join(F.transform(items, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
+        whole = F.concat(F.lit(f'<section class="advanced-section" aria-label="{label or title}"><h3>{title}</h3><ul>'), listed, F.lit("</ul></section>"))
+        return F.when(F.size(items) > 0, whole)
+
+    def link(url: Column, text: Column) -> Column:
+        return F.concat(F.lit('<a href="'), F.when(is_safe_link(url), escaped(url)).otherwise("#"), F.lit('" rel="noreferrer">'), text, F.lit("</a>"))
+
+    def source(x: Column) -> Column:
+        return F.concat(_kind(x), F.lit(": "), link(x["url"], escaped(x["title"])), F.coalesce(F.concat(F.lit(" - "), escaped(_some(x["snippet"]))), F.lit("")))
+
+    def canvas(x: Column) -> Column:
+        body = F.concat_ws(" ", escaped(_some(x["text"])), escaped(_some(x["warning"])))
+        opened = F.when(x["url"].isNotNull(), F.concat(F.lit(" "), link(x["url"], F.lit("Open canvas")))).otherwise("")
+        return F.concat(escaped(F.coalesce(x["title"], F.lit("Canvas"))), opened, F.when(body != "", F.concat(F.lit(" - "), body)).otherwise(""))
+
+    def thinking(x: Column) -> Column:
+        return escaped(F.concat(F.coalesce(F.concat(x["title"], F.lit(": ")), F.lit("")), x["text"]))
+
+    return F.concat_ws(
+        "", section("Sources", F.transform("sources", source)), section("Canvas", F.transform("canvas", canvas)),
+        section("Visible thinking / reasoning", F.transform("thinking_blocks", thinking), "Visible thinking or reasoning"),
+    )
+
+
 def code_text(x: Column) -> Column:
     return F.regexp_replace(T.line_feeds(x["code"]), r"\n*\z", "")
 
@@ -94,8 +124,8 @@ def code_markdown(x: Column) -> Column:
     return F.concat(mark, F.coalesce(F.regexp_replace(x["language"], "[^A-Za-z0-9_-]", ""), F.lit("")), F.lit(NL), code_text(x), F.lit(NL), mark)
 
 
-def message_markdown(escape: bool) -> Column:
-    """Body, images it does not show, extra sections, and code blocks unless the body has a fence."""
+def message_markdown(escape: bool, advanced: bool = True) -> Column:
+    """Body, images it does not show, extra sections if asked for, and code blocks unless the body has a fence."""
     blocks = _some(F.array_join(F.transform("code_blocks", code_markdown), "\n\n"))
 
     def image(x: Column) -> Column:
@@ -106,7 +136,7 @@ def message_markdown(escape: bool) -> Column:
 
     def with_images(body: Column) -> Column:
         unseen = F.filter("images", lambda x: ~F.coalesce(F.contains(body, F.coalesce(x["src"], x["localFilename"], x["dataUri"])), F.lit(False)))
-        return F.concat_ws("\n\n", _some(body), _section("Images:", F.transform(unseen, _item(image))), _some(advanced_markdown()))
+        return F.concat_ws("\n\n", _some(body), _section("Images:", F.transform(unseen, _item(image))), _some(advanced_markdown()) if advanced else F.lit(None))
 
     def with_code(text: Column) -> Column:
         return F.when(text.rlike("(?m)^```"), text).otherwise(F.concat_ws("\n\n", _some(text), blocks))
@@ -282,8 +312,8 @@ def html_body(markdown_text: Column) -> Column:
 def html(conversations: DataFrame, messages: DataFrame, reports: DataFrame) -> DataFrame:
     """conv_id, text: a page that needs nothing else."""
     head = F.concat(F.lit("<h2>"), (F.col("idx") + 1).cast("string"), F.lit(". "), T.html_escape(T.single_line(F.col("author_label"))), F.lit("</h2>"))
-    piece = F.concat(F.lit('<article class="message '), F.col("role"), F.lit('">\n'), head, F.lit(NL), html_body(F.col("body")), F.lit("\n</article>"))
-    pieces = _gather(complete(messages).withColumn("body", message_markdown(False)), piece)
+    piece = F.concat(F.lit('<article class="message '), F.col("role"), F.lit('">\n'), head, F.lit(NL), html_body(F.col("body")), F.coalesce(F.concat(F.lit(NL), _some(advanced_html())), F.lit("")), F.lit("\n</article>"))
+    pieces = _gather(complete(messages).withColumn("body", message_markdown(False, advanced=False)), piece)
     title = T.html_escape(T.single_line(F.coalesce("title", F.lit("Untitled conversation"))))
     facts = (("Platform", "platform_label"), ("Source", "source_url"), ("Exported", "exported_at"), ("Messages", "message_count"), ("Completeness", "status"))
     rows = [F.concat(F.lit(f"<dt>{n}</dt><dd>"), T.html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</dd>")) for n, c in facts]

@@ -875,10 +875,13 @@ _ADVANCED = f"""{_M}, a AS (SELECT conv_id, idx, CASE idx % 3 WHEN 0 THEN 'Citat
  || chr(10) || chr(10) || 'Canvas:' || chr(10) || '- ' || c || CASE WHEN cu <> '' THEN ' - ' || cu ELSE '' END || CASE WHEN ct <> '' THEN ' - ' || ct ELSE '' END || ' - W' || chr(10) || chr(10) || 'Visible thinking / reasoning:' || chr(10) || '- ' || w || t ELSE '' END AS plain,
  CASE WHEN has THEN '[^a-b-' || idx || '_-source-1]: ' || kind || ' - [\\[a\\]\\\\ ' || lt || '](https://e.org/' || idx || ')' || chr(10) || '[^a-b-' || idx || '_-source-2]: ' || kind || ' - [\\[a\\]\\\\ ' || lt || '](https://e.org/' || idx || ') - ' || t
  || chr(10) || chr(10) || 'Canvas:' || chr(10) || '- ' || replace(c, '\\', '\\\\') || CASE WHEN cu <> '' THEN ' [Open canvas](' || cu || ')' ELSE '' END || ' - ' || CASE WHEN ct <> '' THEN ct || ' ' ELSE '' END || 'W'
- || chr(10) || chr(10) || 'Visible thinking / reasoning:' || chr(10) || '- ' || replace(w || t, '\\', '\\\\') ELSE '' END AS markdown FROM (SELECT *, replace(replace(replace(t, '\\', '\\\\'), '[', '\\['), ']', '\\]') AS lt FROM a)""")
+ || chr(10) || chr(10) || 'Visible thinking / reasoning:' || chr(10) || '- ' || replace(w || t, '\\', '\\\\') ELSE '' END AS markdown,
+ CASE WHEN has THEN '<section class="advanced-section" aria-label="Sources"><h3>Sources</h3><ul><li>' || kind || ': <a href="https://e.org/' || idx || '" rel="noreferrer">[a]\\ ' || {_html('t')} || '</a></li><li>' || kind || ': <a href="https://e.org/' || idx || '" rel="noreferrer">[a]\\ ' || {_html('t')} || '</a> - ' || {_html('t')} || '</li></ul></section>'
+ || '<section class="advanced-section" aria-label="Canvas"><h3>Canvas</h3><ul><li>' || {_html('c')} || CASE WHEN cu <> '' THEN ' <a href="' || cu || '" rel="noreferrer">Open canvas</a>' ELSE '' END || ' - ' || CASE WHEN ct <> '' THEN {_html('ct')} || ' ' ELSE '' END || 'W</li></ul></section>'
+ || '<section class="advanced-section" aria-label="Visible thinking or reasoning"><h3>Visible thinking / reasoning</h3><ul><li>' || {_html('(w || t)')} || '</li></ul></section>' ELSE '' END AS html FROM (SELECT *, replace(replace(replace(t, '\\', '\\\\'), '[', '\\['), ']', '\\]') AS lt FROM a)""")
 def render_advanced(spark, sf_dir):
-    """The sections of sources, canvases and reasoning under a message, as text and as Markdown."""
-    return _advanced(spark, sf_dir).select("conv_id", "idx", F.concat_ws("\n", *render.advanced_text()).alias("plain"), render.advanced_markdown().alias("markdown"))
+    """The sections of sources, canvases and reasoning under a message, as text, Markdown and HTML."""
+    return _advanced(spark, sf_dir).select("conv_id", "idx", F.concat_ws("\n", *render.advanced_text()).alias("plain"), render.advanced_markdown().alias("markdown"), render.advanced_html().alias("html"))
 
 
 @query("SELECT conv_id AS page_id, 'section' AS tag, count(*)::INT AS n_messages FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - conv_id, 'html', 0 FROM (SELECT DISTINCT conv_id FROM conversations)")
