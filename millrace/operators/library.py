@@ -66,11 +66,25 @@ def search(df: DataFrame, query: str | None = None, label: str | None = None, pl
         have = F.transform("tags", F.lower)
         df = df.filter(F.size(F.array_except(F.array(*[F.lit(t) for t in wanted]), have)) == 0)
     if word := asked(query):
-        fields = ("title", F.coalesce("project_label", F.lit("")), "source_platform", "source_url", "completeness_status", "content_hash", F.array_join("tags", " "))
-        df = df.filter(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(word)))
+        df = df.filter(F.contains(_searched(), F.lit(word)))
     return df
 
 
+def _searched() -> Column:
+    """The text of a record that a query is looked for in."""
+    fields = ("title", F.coalesce("project_label", F.lit("")), "source_platform", "source_url", "completeness_status", "content_hash", F.array_join("tags", " "))
+    return F.lower(F.concat_ws(" ", *fields))
+
+
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct strings of GRAM characters in a text."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
+    return F.array_distinct(F.filter(every, lambda g: F.length(g) == GRAM))
+
+
 class Library:
     """A folder of immutable files, and numbered versions that say which of them are the table.
 
@@ -87,8 +101,12 @@ class Library:
     #: An entry is merged with younger ones until it holds so many times their records.
     TIER = 4
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    #: Slots of the index, and how many of a query's strings, the rarest, are looked up; what they find is verified.
+    SLOTS, LOOKED_UP = 64, 3
+
+    def __init__(self, spark: SparkSession, path: str, indexed: bool = False):
+        """``indexed``: keep lists of the records that hold each string of GRAM characters, which ``search`` reads."""
+        self.spark, self.path, self.indexed = spark, path.rstrip("/"), indexed
         self.jvm = spark._jvm
         self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -154,6 +172,35 @@ class Library:
         df.withColumn("bucket", bucket).repartition("bucket").observe(counted, F.count("*").alias("rows")).write.partitionBy("bucket").parquet(f"{self.path}/files/{name}")
         return name, counted.get["rows"]
 
+    def _index(self, name: str) -> bool:
+        """Write the lists of the records in these files, beside them; sorted, so that readers skip most of a slot."""
+        if not self.indexed:
+            return False
+        rows = self.spark.read.parquet(f"{self.path}/files/{name}").select("bucket", "id", F.explode(_grams(_searched())).alias("gram"))
+        rows = rows.withColumn("slot", self._slot("gram")).repartition("slot").sortWithinPartitions("slot", "gram", "bucket")
+        rows.write.partitionBy("slot").parquet(f"{self.path}/lists/{name}")
+        return True
+
+    def _slot(self, gram: str) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(self.SLOTS)).cast("int")
+
+    def search(self, query: str | None = None, label: str | None = None, platform: str | None = None, tags: Iterable[str] = ()) -> DataFrame | None:
+        """As the function ``search``; where all files are indexed and the query is long enough, only records that hold its rarest strings are read."""
+        state, word = self.state(), (query or "").strip()
+        df = self._live(state, state["data"])
+        if df is None:
+            return None
+        asked = self.spark.createDataFrame([(word,)], "q string").select(F.explode(_grams(F.lower("q"))).alias("gram")).select("gram", self._slot("gram").alias("slot")).collect()
+        if asked and all(e.get("indexed") for e in state["data"]):
+            base = self.spark.read.option("basePath", f"{self.path}/lists").schema("bucket int, id string, gram string, batch string, slot int")
+            lists = base.parquet(*(f"{self.path}/lists/{e['files']}" for e in state["data"]))
+            lists = lists.filter(F.col("slot").isin(sorted({r["slot"] for r in asked})) & F.col("gram").isin([r["gram"] for r in asked]))
+            sizes = {r["gram"]: 0 for r in asked} | {r["gram"]: r["count"] for r in lists.groupBy("gram").count().collect()}  # a row per string of the query
+            rare = sorted(sizes, key=lambda g: (sizes[g], g))[: self.LOOKED_UP]
+            found = lists.filter(F.col("gram").isin(rare)).groupBy("bucket", "id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(rare)).select("bucket", "id")
+            df = df.join(found, ["bucket", "id"], "left_semi")
+        return search(df, query, label, platform, tags).drop("bucket")
+
     def _open(self, entries: list[dict]) -> DataFrame:
         """The rows of all files of these entries, with ``_came``, the version they came with."""
         whole = self.spark.read.option("basePath", f"{self.path}/files").schema(self._schema(entries)).parquet(*(f"{self.path}/files/{e['files']}" for e in entries))
@@ -205,11 +252,12 @@ class Library:
         """Records replace those of the same id; of several new ones with one id the last saved stays."""
         best = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), F.struct("saved_at", "content_hash")).alias("r")).select("r.*")
         name, rows = self._write(best, self.state()["buckets"])
+        indexed = self._index(name)
         lists: list[tuple[str, int]] = []
 
         def change(state: dict) -> dict:
             came = state["version"]
-            out = dict(state, data=[*state["data"], self._entry(name, rows, came, best)])
+            out = dict(state, data=[*state["data"], dict(self._entry(name, rows, came, best), indexed=indexed)])
             if state["data"]:  # there is something that the new ids may hide
                 if not lists:
                     lists.append(self._write(_ids(self.spark.read.parquet(f"{self.path}/files/{name}")), state["buckets"]))
@@ -242,7 +290,7 @@ class Library:
             return
         rows = self._live(state, merged).drop("bucket")
         name, n = self._write(rows, state["buckets"])
-        entry = self._entry(name, n, state["version"], rows)
+        entry = dict(self._entry(name, n, state["version"], rows), indexed=self._index(name))
         lists: list[dict] = []
         if old and state["lists"]:  # older files still need their ids hidden
             ids = self._hidden(state).select("id", F.col("_until").alias("until"))
@@ -268,9 +316,9 @@ class Library:
             stream.close()
             used |= {e["files"] for e in (*state["data"], *state["lists"])}
         limit = (time.time() - older_than_s) * 1000
-        for n in self._names("files"):
-            if n not in used and self.fs.getFileStatus(self._path(f"files/{n}")).getModificationTime() < limit:
-                self.fs.delete(self._path(f"files/{n}"), True)
+        for at in (f"{folder}/{n}" for folder in ("files", "lists") for n in self._names(folder) if n not in used):
+            if self.fs.getFileStatus(self._path(at)).getModificationTime() < limit:
+                self.fs.delete(self._path(at), True)
         for n in names[:-versions]:
             self.fs.delete(self._path(f"versions/{n}"), False)
 

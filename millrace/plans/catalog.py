@@ -609,6 +609,16 @@ def library_backup(spark, sf_dir):
     return _shown(store.read()).drop("saved_at").join(store.read().select("id", F.size("messages").cast("long").alias("n_messages"), F.col("messages")[0]["text"].alias("first_text")), "id")
 
 
+@query(f"{_RECORDS} SELECT * FROM l WHERE project_label = 'Third' AND contains(lower(title || ' ' || project_label || ' ChatGPT https://chatgpt.com/c/' || conv_id || ' complete ' || content_hash || ' ' || replace(tags, ',', ' ')), 'm/c/1')")
+def library_indexed_search(spark, sf_dir):
+    """A search through the library's lists of three-letter strings: records without the query's rarest ones are not read."""
+    store = library.Library(spark, new_folder(spark, "library"), indexed=True)
+    records = settled(_records(spark, sf_dir))
+    store.put(records.filter(F.col("conv_id") % 2 == 0))
+    store.put(records.filter((F.col("conv_id") % 2 == 1) | (F.col("conv_id") % 5 == 0)))
+    return _shown(store.search(query=" M/C/1", label="third"))
+
+
 @query("""SELECT conv_id, turn + k AS step, turn::BIGINT AS idx, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn + k, turn) > 1 AS duplicate
 FROM (SELECT conv_id, turn, """ + _ROLE + """ AS role, """ + _clean("coalesce(text, '')") + """ AS text FROM conversations), range(3) r(k) WHERE text <> ''""")
 def capture_stream(spark, sf_dir):

@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.library import Library
+from millrace.operators.library import Library, search
 
 RECORD = "id string, saved_at string, content_hash string, title string, tags array<string>"
 
@@ -135,3 +135,26 @@ def test_backup_is_put_again(spark, library, tmp_path):
     library.clear()
     library.restore(f"file://{tmp_path}/backup", schema)
     assert sorted(library.read().select(*schema.fieldNames()).collect()) == rows and library.read().filter(F.col("id") == "r2").count() == 1
+
+
+WHOLE = f"{RECORD}, project_label string, source_platform string, source_url string, completeness_status string"
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
+    make = lambda ids, word: spark.createDataFrame([(*record(i, f"{word} Été {i}"), "lab" if i % 2 else None, "ChatGPT", f"https://chatgpt.com/c/{i}", "complete") for i in ids], WHOLE)
+    store = Library(spark, f"file://{tmp_path}/indexed", indexed=True)
+    assert store.search("abc") is None
+    store.put(make(range(60), "Alpha"))
+    store.put(make(range(50, 70), "Beta"))
+    store.delete(make([5], "x").select("id"))
+    for whole in (False, True):
+        for how in ({"query": "ALPHA été 1"}, {"query": "beta"}, {"query": "/c/5"}, {"query": "no such"}, {"query": "ab"}, {"query": " "}, {"query": "a été", "label": "LAB"}, {"query": "aaaaaa"}, {"platform": "chatgpt"}):
+            want = sorted(r["id"] for r in search(store.read(), **how).collect())
+            assert sorted(r["id"] for r in store.search(**how).collect()) == want, how
+        store.compact(whole=True)
+    assert [r["title"] for r in store.search("beta été 55").collect()] == ["Beta Été 55"]
+    plan = store.search("beta été 55")._jdf.queryExecution().executedPlan().toString()
+    assert "slot" in plan and "dynamicpruning" in plan.lower()
+    plain = Library(spark, store.path)  # a writer without the index: searches read all again
+    plain.put(make([99], "Gamma"))
+    assert [r["id"] for r in store.search("gamma").collect()] == ["r99"] and len(store.search("alpha").collect()) == 49
