@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import filenames, images, text, urls
+from ..functions import filenames, images, pattern_filter, text, urls
 from ..functions.redaction import Redaction, redact
 from ..operators import batch, completeness, library, normalize, quality, render, scan, selection
 from ..operators.schema import complete, from_turns
@@ -189,6 +189,21 @@ def _pictured():
 _URI = "('data:image/png;base64,AAAA' || conv_id || '==')"
 
 
+#: Names of many hosts, local parts and numbers, as a user's own list of patterns would hold them.
+MANY = [rf"[a-z]+\.{n:02d}@mail{h}\.example\.com" for h in range(1, 10) for n in range(100)] + [rf"\+1 \({n}\) 555-\d+" for n in range(200, 1000)]
+
+
+def _many_sql() -> str:
+    """The same as two patterns: every host and number of the list is one of these."""
+    return r"regexp_replace(regexp_replace(text, '[a-z]+[.][0-9][0-9]@mail[1-9][.]example[.]com', '[REDACTED_SECRET]', 'g'), '[+]1 [(][2-9][0-9][0-9][)] 555-[0-9]+', '[REDACTED_SECRET]', 'g')"
+
+
+@query(f"SELECT doc_id, {_many_sql()} AS text FROM documents")
+def redact_many(spark, sf_dir):
+    """1,700 patterns; a text meets those whose literal it holds."""
+    return pattern_filter.redact_many(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", MANY)
+
+
 @query(f"SELECT conv_id, turn, text || ' Image omitted: embedded PNG; alt \"a chart\"; hash ' || {_hash(_URI)} || chr(10) || '[Image omitted: embedded PNG; hash ' || {_hash(_URI)} || ']' AS text FROM conversations")
 def omit_images(spark, sf_dir):
     _, shown = _pictured()
