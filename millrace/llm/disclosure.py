@@ -185,12 +185,12 @@ def _disclosing(facts: DataFrame, total: int, support: int, least: float, scratc
     return pairs.filter(F.col("n_entity") < total).select("entity", "word", F.col("both").alias("freq"), share.alias("share")).filter(F.col("share") >= least)
 
 
-def _terms(docs: DataFrame, key: str, scratch: Scratch, window: int, support: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(a row per document with its base, the places of revealing words per document: key, start, end, share)."""
+def _terms(docs: DataFrame, key: str, scratch: Scratch, window: int, support: int, least: float, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a row per document with its base, the places of revealing words per document: key, start, end, share); ``keep`` where they are read later."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    facts = scratch.settle(docs.select(key, "doc_id", "text").mapInArrow(*_scan(key, kind, window)), "facts", keep=True)
+    facts = scratch.settle(docs.select(key, "doc_id", "text").mapInArrow(*_scan(key, kind, window)), "facts", keep)
     sizes = facts.agg(F.count_if(F.col("what") == _DOC).alias("docs"), F.count_if(F.col("what") == _BESIDE).alias("beside")).first()
-    found = scratch.settle(_disclosing(facts, sizes["docs"], support, least, scratch), "disclosing", keep=True)
+    found = scratch.settle(_disclosing(facts, sizes["docs"], support, least, scratch), "disclosing", keep)
     beside = facts.filter(F.col("what") == _BESIDE).select("entity", "word", key, "places")
     met = lookup_join(beside, found, ["entity", "word"], max(1, sizes["beside"]))
     pairs = F.transform(F.sequence(F.lit(0), F.expr("int(size(places) div 2 - 1)")), lambda i: F.struct(F.col("places")[2 * i].alias("start"), F.col("places")[2 * i + 1].alias("end")))
@@ -249,7 +249,7 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, gene
     spark = docs.sparkSession
     with Scratch(spark, "sanitise") as scratch:
         keyed = scratch.settle(docs.withColumn(key, F.monotonically_increasing_id()), "docs", keep=True)  # a row's number is that of the file from here on
-        rows, places = _terms(keyed.select(key, F.lit(None).cast("long").alias("doc_id"), "text"), key, scratch, window, support, generalise)
+        rows, places = _terms(keyed.select(key, F.lit(None).cast("long").alias("doc_id"), "text"), key, scratch, window, support, generalise, keep=True)
         gone = places.groupBy(key).agg(F.collect_list(F.struct("start", F.lit(len(KINDS) + 1).alias("kind"), "end", (F.col("share") >= remove).alias("remove"))).alias("terms"))
         base = F.transform(_parsed(F.col("base")), lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(False).alias("remove")))
         found = rows.filter("base != ''").join(gone, key, "left").select(key, F.array_sort(F.concat(base, F.coalesce("terms", F.filter(base, lambda _: F.lit(False))))).alias(edits))

@@ -346,9 +346,9 @@ def alignment(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str
     (key,) = own_names(1)
     with Scratch(docs.sparkSession, "token_align") as scratch:
         keyed = docs.select("doc_id", "text").withColumn(key, F.monotonically_increasing_id())
-        rows = scratch.settle(documents(keyed, tokenizer_a, tokenizer_b), "rows", keep=True)
+        rows = scratch.settle(documents(keyed, tokenizer_a, tokenizer_b), "rows")
         counts = scratch.settle(pair_counts(rows), "counts")
-        counts = scratch.settle(_with_best(counts), "counts", keep=True)
+        counts = scratch.settle(_with_best(counts), "counts")
         held = rows.select(key, F.arrays_zip("pairs", "times").alias("x")).select(key, F.inline("x")).withColumnRenamed("pairs", "pair")
         if counts.count() <= BROADCAST_ROWS:
             met = held.join(F.broadcast(counts), "pair")
