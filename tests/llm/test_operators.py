@@ -595,7 +595,7 @@ def clashing(df):
     return df.withColumns({n: F.lit(f"own {n}") for n in CLASHES})
 
 
-@pytest.mark.parametrize("name", [n for n, f in Q.QUERIES.items() if n not in ("op1_sharding", "op8_html_wrapper", "op2_url_filter")])
+@pytest.mark.parametrize("name", [n for n, f in Q.QUERIES.items() if n not in ("op1_sharding", "op8_html_wrapper", "op2_url_filter", "op13_ball_tree")])
 def test_extra_columns_change_nothing(spark, name, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         df = spark.read.parquet(f"{SF}/{t}.parquet")
