@@ -14,8 +14,8 @@ also leads to passages of over PASSAGE_WORDS words that other documents hold too
 and are told, not removed.
 
 Step 1 only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two hashes, the
-second modulo the prime 2**61 - 1, where two strings of n bytes collide for n of the 2**61 bases at most, whatever they
-are; strings not made to defeat the first share both by chance in 2**-125 of all pairs.
+second a pair modulo a prime, in which two strings of 400 bytes, whatever they are, collide for less than 10**-13 of its
+bases; strings not made to defeat the first share both by chance in 2**-125 of all pairs.
 
 Counts are pre-aggregated and hot keys are taken out of the shuffles, so neither a passage that a third of the
 corpus shares nor a group of copies lands in one task. The texts of documents without a repeated core are never
@@ -150,8 +150,8 @@ def _again(length: int, single: bool):
                     highs.append(high)
                     cores.append(core.astype(np.int64).view(np.uint64))
                     data = np.frombuffer(text, np.uint8)
-                    for which in (0, 1):
-                        keys[which].append(text_hash.ranges(text_hash.prefix(data, which), low, high + length, which))
+                    keys[0].append(text_hash.ranges(text_hash.prefix(data), low, high + length))
+                    keys[1].append(text_hash.prime_ranges(text_hash.prime_prefix(data), low, high + length))
                 yield _rows(piece, lows, highs, cores, keys)
 
     return run
@@ -176,8 +176,8 @@ def _passages(length: int, words: int):
                     at = at[(at >= 0) & (at + words < len(start))]
                     lows.append(start[at])
                     cores.append(np.zeros(len(at), np.uint64))
-                    for which in (0, 1):
-                        keys[which].append(text_hash.ranges(text_hash.prefix(data, which), start[at], end[at + words], which))
+                    keys[0].append(text_hash.ranges(text_hash.prefix(data), start[at], end[at + words]))
+                    keys[1].append(text_hash.prime_ranges(text_hash.prime_prefix(data), start[at], end[at + words]))
                 yield _rows(piece, lows, lows, cores, keys)
 
     return run

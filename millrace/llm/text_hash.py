@@ -7,48 +7,38 @@ from hashlib import blake2b
 import numpy as np
 
 #: The first hash works modulo 2**64, which is fast, but texts made for it collide whatever its base (the Thue-Morse
-#: sequence and its complement). The second works modulo a prime, where two strings of n bytes collide for n of its
-#: 2**61 bases at most; what is removed or linked rests on it.
-PRIME = (1 << 61) - 1
-_BASES = (0x9E3779B97F4A7C15 | 1, 0x1342543DE82EF95D % PRIME)
-_MODULI = (1 << 64, PRIME)
-#: A random value for each byte, for either of two independent hashes; fixed seeds, so all tasks agree.
-BYTES = tuple(np.random.default_rng(seed).integers(0, m, 256, np.uint64) for seed, m in zip((7, 19), _MODULI, strict=True))
+#: sequence and its complement). The second is a pair modulo a prime, where two strings of n bytes collide for n of the
+#: 2**31 bases of either at most; what is removed rests on it.
+PRIME = (1 << 31) - 1
+_BASE, _PRIME_BASES = 0x9E3779B97F4A7C15, (0x1F83D9AB, 0x5BE0CD19)
+#: Random values for each byte; fixed seeds, so all tasks agree.
+BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+PRIME_BYTES = np.random.default_rng(19).integers(0, PRIME, (2, 256), np.uint64)
 _grown_powers: dict[tuple[int, int], np.ndarray] = {}
 _U = np.uint64
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME."""
-    x = (x & _U(PRIME)) + (x >> _U(61))
-    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
-
-
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo PRIME, of values below it, by halves of 31 and 30 bits."""
-    a1, a0, b1, b0 = a >> _U(31), a & _U((1 << 31) - 1), b >> _U(31), b & _U((1 << 31) - 1)
-    middle = a1 * b0 + a0 * b1
-    return _reduced((a1 * b1 << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + a0 * b0)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is the same modulo PRIME."""
+    return (x & _U(PRIME)) + (x >> _U(31))
 
 
-def _times(a: np.ndarray, b: np.ndarray | np.uint64, which: int) -> np.ndarray:
-    return _product(a, b) if which else a * b
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(_folded(x)))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
 
 
-def _powers_of(step: int, n: int, which: int) -> np.ndarray:
-    values = _grown_powers.get((step, which), np.ones(1, np.uint64))
+def _powers_of(step: int, n: int, modulus: int) -> np.ndarray:
+    values = _grown_powers.get((step, modulus), np.ones(1, np.uint64))
     while len(values) < n:
-        values = np.concatenate([values, _times(values, _U(pow(step, len(values), _MODULI[which])), which)])
-    _grown_powers[step, which] = values
+        more = values * _U(pow(step, len(values), modulus))
+        values = np.concatenate([values, _reduced(more) if modulus == PRIME else more])
+    _grown_powers[step, modulus] = values
     return values
 
 
-def powers(n: int, which: int = 0) -> np.ndarray:
-    return _powers_of(_BASES[which], n, which)
-
-
-def inverses(n: int, which: int = 0) -> np.ndarray:
-    return _powers_of(pow(_BASES[which], -1, _MODULI[which]), n, which)
+def inverses(n: int) -> np.ndarray:
+    return _powers_of(pow(_BASE, -1, 1 << 64), n, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,22 +48,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums of the polynomial hash of a uint8 array."""
+def prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash of a uint8 array, modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    terms = _times(BYTES[which][data], powers(len(data), which)[: len(data)], which)
-    if not which:
-        np.cumsum(terms, out=out[1:])
-        return out
-    high, low = _reduced(np.cumsum(terms >> _U(30))), _reduced(np.cumsum(terms & _U((1 << 30) - 1)))
-    out[1:] = _reduced((high >> _U(31)) + ((high & _U((1 << 31) - 1)) << _U(30)) + low)  # high * 2**30 + low
+    np.cumsum(BYTES[data] * _powers_of(_BASE, len(data), 1 << 64)[: len(data)], out=out[1:])
     return out
 
 
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each byte range [start, end): equal bytes give equal hashes, wherever they stand."""
-    apart = _reduced(sums[end] + _U(PRIME) - sums[start]) if which else sums[end] - sums[start]
-    return mix(_times(apart, inverses(len(sums), which)[start], which) ^ (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * inverses(len(sums))[start] ^ (end - start).astype(np.uint64))
+
+
+def prime_prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the pair of hashes modulo PRIME; their terms are below 2**32, so no sum of a text overflows."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for k, base in enumerate(_PRIME_BASES):
+        np.cumsum(_folded(PRIME_BYTES[k][data] * _powers_of(base, len(data), PRIME)[: len(data)]), out=out[k, 1:])
+    return out
+
+
+def prime_ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The pair of each byte range, in one number, with its length mixed in."""
+    pair = []
+    for k, base in enumerate(_PRIME_BASES):
+        back = _powers_of(pow(base, -1, PRIME), sums.shape[1], PRIME)[start]
+        pair.append(_reduced(_reduced(sums[k][end] - sums[k][start]) * back))
+    return mix((pair[0] << _U(31) | pair[1]) ^ mix((end - start).astype(np.uint64)))
 
 
 def byte_set(of: bytes) -> np.ndarray:

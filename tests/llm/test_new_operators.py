@@ -286,16 +286,19 @@ def test_texts_made_to_collide_stay_apart(spark):
     while len(bits) < 1024:
         bits += [1 - b for b in bits]
     a, b = ("".join(s[t] for t in bits) for s in ("ab", "ba"))
-    whole = lambda t, which: text_hash.ranges(text_hash.prefix(np.frombuffer(t.encode(), np.uint8), which), np.array([0]), np.array([1024]), which)[0]
-    assert whole(a, 0) == whole(b, 0) and whole(a, 1) != whole(b, 1)
+    ends, data = (np.array([0]), np.array([1024])), [np.frombuffer(t.encode(), np.uint8) for t in (a, b)]
+    assert len({text_hash.ranges(text_hash.prefix(d), *ends)[0] for d in data}) == 1
+    assert len({text_hash.prime_ranges(text_hash.prime_prefix(d), *ends)[0] for d in data}) == 2
     have = near_dedup.cluster(spark.createDataFrame([(1, a), (2, b), (3, a)], DOCS))
     assert got(have, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
 
 
-def test_second_hash_is_the_polynomial_modulo_a_prime():
+def test_second_hash_is_a_polynomial_modulo_a_prime():
     rng = random.Random(2)
     data = np.frombuffer(rng.randbytes(700) * 2, np.uint8)
-    base, values, sums = text_hash._BASES[1], text_hash.BYTES[1], text_hash.prefix(data, 1)
-    assert int(sums[-1]) == sum(int(values[x]) * pow(base, i, text_hash.PRIME) for i, x in enumerate(data)) % text_hash.PRIME
-    h = text_hash.ranges(sums, np.array([0, 700, 1]), np.array([700, 1400, 701]), 1)
-    assert h[0] == h[1] != h[2]
+    sums = text_hash.prime_prefix(data)
+    for k, base in enumerate(text_hash._PRIME_BASES):
+        assert int(sums[k, -1]) % text_hash.PRIME == sum(int(text_hash.PRIME_BYTES[k][x]) * pow(base, i, text_hash.PRIME) for i, x in enumerate(data)) % text_hash.PRIME
+    h = text_hash.prime_ranges(sums, np.array([0, 700, 1, 701]), np.array([700, 1400, 701, 1400]))
+    assert h[0] == h[1] and len(set(h.tolist())) == 3
+    assert (text_hash._reduced(np.array([0, text_hash.PRIME - 1, text_hash.PRIME, 2**62, 2**64 - 1], np.uint64)) == [x % text_hash.PRIME for x in (0, text_hash.PRIME - 1, text_hash.PRIME, 2**62, 2**64 - 1)]).all()
