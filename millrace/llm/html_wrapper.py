@@ -26,8 +26,9 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +55,8 @@ OF_PAGE = {"no", "not", "has", "with", "without", "layout", "page", "body", "sit
 OF_TEXT = {"post", "entry", "article", "content", "story", "main", "text"}
 #: Elements that words never set apart, and those of them that hold a page's main text.
 WHOLE, LANDMARKS = {"html", "body", "main", "article"}, ("article", "main")
-#: Deeper elements lie beside one another in the wrapper; longer products of two sibling lists are aligned in one pass.
-MAX_DEPTH, LONG_LISTS = 60, 250_000
+#: Deeper elements lie beside one another in the wrapper.
+MAX_DEPTH = 60
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -223,35 +224,74 @@ def fold(nodes: list) -> list:
 
 
 def _opcodes(left: list[str], right: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
-    """How to turn one list into the other; long lists in one pass, each element meeting the next of its label."""
-    if len(left) * len(right) <= LONG_LISTS:
-        yield from SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
-        return
-    i = k = 0
-    for m, j in enumerate(_next_of(left, right)):
-        if j >= 0:
-            if i < j or k < m:
-                yield "replace", i, j, k, m
-            yield "equal", j, j + 1, m, m + 1
-            i, k = j + 1, m + 1
-    if i < len(left) or k < len(right):
-        yield "replace", i, len(left), k, len(right)
-
-
-def _next_of(labels: list[str], wanted: list[str]) -> list[int]:
-    """For each wanted label, in order, the next place in ``labels`` that holds it; -1 where none is left."""
-    places: dict[str, list[int]] = {}
+    """How to turn one list into the other: a longest common subsequence, of equals the one that comes first.
+
+    Bit i of a row tells whether the common length of ``left[i:]`` and the right list's rest is that of ``left[i + 1:]``;
+    a row is one number, so lists of any length go the same way in a 64th of their product. Every ``step``-th row is kept
+    and those between are made again on the way back.
+    """
+    n, m = len(left), len(right)
+    full = (1 << n) - 1
+    places: dict[str, int] = {}
+    for i, label in enumerate(left):
+        places[label] = places.get(label, 0) | 1 << (n - 1 - i)
+
+    def rows(row: int, wanted: Iterable[str]) -> Iterator[int]:
+        for label in wanted:
+            met = row & places.get(label, 0)
+            row = (row + met | row - met) & full
+            yield row
+
+    step = isqrt(m) + 1
+    kept = {m: full}
+    for k, row in zip(range(m - 1, -1, -1), rows(full, reversed(right))):
+        if k % step == 0:
+            kept[k] = row
+    i = k = start = since = 0  # the difference at hand began at (start, since)
+    block: list[int] = []
+    first = -1
+    while i < n and k < m:
+        if left[i] == right[k]:
+            if start < i or since < k:
+                yield "replace", start, i, since, k
+            j = i
+            while i < n and k < m and left[i] == right[k]:
+                i, k = i + 1, k + 1
+            yield "equal", j, i, k - (i - j), k
+            start, since = i, k
+            continue
+        if k // step != first:
+            first = k // step
+            upto = min(m, (first + 1) * step)
+            block = list(rows(kept[upto], reversed(right[first * step : upto])))[::-1]
+        if block[k - first * step] >> (n - 1 - i) & 1:
+            i += 1
+        else:
+            k += 1
+    if start < n or since < m:
+        yield "replace", start, n, since, m
+
+
+def _meeting(labels: list[str], wanted: list[str]) -> list[int]:
+    """For each wanted label, in order, the next place in ``labels`` that shares it (see ``_common``); -1 where none is left."""
+    places: dict[tuple[str, ...], list[int]] = {}
     for i, label in enumerate(labels):
-        places.setdefault(label, []).append(i)
+        for key in _keys(label):
+            places.setdefault(key, []).append(i)
     out, at = [], 0
     for label in wanted:
-        own = places.get(label, [])
-        n = bisect_left(own, at)
-        out.append(own[n] if n < len(own) else -1)
-        at = own[n] + 1 if n < len(own) else at
+        found = (own[n] for key in _keys(label) if (own := places.get(key)) and (n := bisect_left(own, at)) < len(own))
+        out.append(min(found, default=-1))
+        at = max(at, out[-1] + 1)
     return out
 
 
+def _keys(label: str) -> set[tuple[str, ...]]:
+    """Labels have something in common where they share one of these: the whole, or the name with a class."""
+    name, *classes = label.split(".")
+    return {(label,), *((name, c) for c in classes)}
+
+
 def align(a: list, b: list) -> list:
     """Align two sequences; what only one side has is optional, in the order of the sides."""
     if not a and not b:
@@ -265,15 +305,13 @@ def align(a: list, b: list) -> list:
             out += [merge(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
             at = i
-            near = (j - i) * (m - k) <= LONG_LISTS
-            for y in b[k:m]:  # elements that share a class meet, in order
-                x = next((x for x in range(at, j) if _common(a[x][0], y[0])), None) if near else None
-                if x is None:
+            for y, x in zip(b[k:m], _meeting(left[i:j], right[k:m]), strict=True):  # elements that share a class meet, in order
+                if x < 0:
                     out.append([y[0], _mark(y[1], "?"), y[2]])
                     continue
-                out += [[n[0], _mark(n[1], "?"), n[2]] for n in a[at:x]]
-                out.append(merge(a[x], y))
-                at = x + 1
+                out += [[n[0], _mark(n[1], "?"), n[2]] for n in a[at : i + x]]
+                out.append(merge(a[i + x], y))
+                at = i + x + 1
             out += [[n[0], _mark(n[1], "?"), n[2]] for n in a[at:j]]
     return fold(out)
 
@@ -332,34 +370,8 @@ class Wrapper:
         runs = [x for i, x in enumerate(labels) if not i or labels[i - 1] != x]
         if runs == [label for _, label, _ in kids]:
             to = list(range(len(runs)))
-        elif len(runs) * len(kids) > LONG_LISTS:
-            to = _next_of([label for _, label, _ in kids], runs)
         else:
-            # Most siblings met, then most of what the wrapper needs, by the lengths of what is left of both.
-            n, m = len(runs), len(kids)
-            parts = [label.split(".") for label in runs]
-            wanted = [(label.split(".")[0], set(label.split(".")[1:])) for _, label, _ in kids]
-            best = [[0] * (m + 1) for _ in range(n + 1)]
-            step = [[0] * m for _ in range(n)]
-            for i in range(n - 1, -1, -1):
-                for j in range(m - 1, -1, -1):
-                    score, how = max((best[i][j + 1], 1), (best[i + 1][j], 0))
-                    _, label, mark = kids[j]
-                    same = label == runs[i]
-                    if same or parts[i][0] == wanted[j][0] and wanted[j][1] and wanted[j][1].issubset(parts[i][1:]):
-                        meets = 10 + same + (mark not in ("?", "*")) + best[i + 1][j if mark in ("+", "*") and not same else j + 1]
-                        if meets >= score:
-                            score, how = meets, 2
-                    best[i][j], step[i][j] = score, how
-            to, i, j = [-1] * n, 0, 0
-            while i < n and j < m:
-                how = step[i][j]
-                if how == 2:
-                    to[i] = j
-                    again = kids[j][2] in ("+", "*") and kids[j][1] != runs[i]
-                    i, j = i + 1, j if again else j + 1
-                else:
-                    i, j = (i, j + 1) if how else (i + 1, j)
+            to = _met(runs, kids)
         out, at = [], -1
         for i, x in enumerate(labels):
             at += not i or labels[i - 1] != x
@@ -367,6 +379,70 @@ class Wrapper:
         return out
 
 
+def _met(runs: list[str], kids: list) -> list[int]:
+    """The child that each run of siblings meets, or -1: most siblings, then most of what the wrapper needs.
+
+    ``best[j]`` of row i is the most that runs from i on and children from j on can give; a row follows from the next one.
+    Every ``step``-th row is kept and those between are made again on the way back, so that lists of any length go the
+    same way with memory for few rows.
+    """
+    n, m = len(runs), len(kids)
+    own, which = np.unique(np.array([label for _, label, _ in kids], object), return_inverse=True)
+    wanted = [(label.split(".")[0], set(label.split(".")[1:])) for label in own]
+    many = np.array([mark in ("+", "*") for _, _, mark in kids], bool)
+    needed = np.array([mark not in ("?", "*") for _, _, mark in kids], np.int32) + 10
+    known: dict[str, tuple] = {}
+
+    def facts(label: str) -> tuple:
+        """What meeting each child adds for this label, -1 where they do not meet; and where a child may be met again."""
+        if label not in known:
+            name, *classes = label.split(".")
+            same = np.array([x == label for x in own], bool)[which]
+            fits = same | np.array([name == other and bool(some) and some.issubset(classes) for other, some in wanted], bool)[which]
+            known[label] = np.where(fits, needed + same, -1).astype(np.int32), many & ~same
+        return known[label]
+
+    def meets(i: int, after: np.ndarray) -> np.ndarray:
+        adds, again = facts(runs[i])
+        return np.where(adds >= 0, adds + np.where(again, after[:-1], after[1:]), -1)
+
+    def row(i: int, after: np.ndarray) -> np.ndarray:
+        out = np.zeros(m + 1, np.int32)
+        out[:-1] = np.maximum.accumulate(np.maximum(after[:-1], meets(i, after))[::-1])[::-1]
+        return out
+
+    step = max(64, isqrt(n))
+    kept = {n: np.zeros(m + 1, np.int32)}
+    best = kept[n]
+    for i in range(n - 1, step - 1, -1):
+        best = row(i, best)
+        if i % step == 0:
+            kept[i] = best
+    to, j = [-1] * n, 0
+    for first in range(0, n, step):
+        upto = min(n, first + step)
+        block = [kept[upto]]
+        for i in range(upto - 1, first - 1, -1):
+            block.append(row(i, block[-1]))
+        block.reverse()
+        for i in range(first, upto):
+            now, after = block[i - first], block[i - first + 1]
+            gain = meets(i, after)
+            # On to the first child that is met here, or from which on this run gives nothing.
+            take = (gain >= now[1:]) & (gain >= after[:-1])
+            stay = take | (after[:-1] > now[1:])
+            at = j + int(np.argmax(stay[j:])) if stay[j:].any() else m
+            if at < m and take[at]:
+                to[i] = at
+                again = many[at] and kids[at][1] != runs[i]
+                j = at if again else at + 1
+            else:
+                j = at
+            if j >= m:
+                return to
+    return to
+
+
 def matched(page: str, wrapper: Wrapper | None) -> tuple[list, list[int], list[int]]:
     """The page's events and, for each, the wrapper's node that it meets (-1: none) and the event that opened its parent."""
     seen = events(page)
