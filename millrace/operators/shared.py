@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch on its way to Python, and bytes of rows that Python gathers before it hands them on.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+HELD_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCHES, for queries whose rows are whole pages or files."""
+    for key, most in BATCHES.items():
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], size: Callable[[dict], int], make: Callable[[dict], Iterable], pack: Callable[[list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``pack`` of what ``make`` gives for the rows of a task, a row at a time and about HELD_BYTES of rows together.
+
+    ``size`` tells the bytes that a made row holds. A worker outlives its task, so it hands back unused memory.
+    """
+    held, bytes_held = [], 0
+    for batch in batches:
+        for at in range(batch.num_rows):
+            for made in make(batch.slice(at, 1).to_pylist()[0]):
+                held.append(made)
+                bytes_held += size(made)
+                if bytes_held >= HELD_BYTES:
+                    yield pack(held)
+                    held, bytes_held = [], 0
+    if held:
+        yield pack(held)
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # of the C library on Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; on one machine, where none is named, one below the warehouse."""

@@ -19,6 +19,7 @@ from ..functions.text import stable_hash, strip_inline_markdown, xml_escape
 from ..operators import batch, render
 from ..operators.completeness import report
 from ..operators.export import prepare_conversations, prepare_messages, prepare_reports
+from ..operators.shared import pieces
 from ..plans.options import THEMES, ExportOptions, PdfSettings
 
 MIME = {
@@ -134,12 +135,14 @@ def png_height(text: Column) -> Column:
 
 def _packed(df: DataFrame, column: str, how) -> DataFrame:
     """conv_id, bytes: ``how(value)`` of every row of ``df`` (conv_id, column), in Arrow batches."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind = dict(df.dtypes)["conv_id"]
 
+    schema = pa.schema([("conv_id", to_arrow_type(df.schema["conv_id"].dataType)), ("bytes", pa.binary())])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [how(v) for v in b.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(values, pa.binary())], ["conv_id", "bytes"])
+        return pieces(batches, lambda row: len(row["bytes"]), lambda row: [{"conv_id": row["conv_id"], "bytes": how(row[column])}], lambda rows: pa.RecordBatch.from_pylist(rows, schema=schema))
 
     return df.select("conv_id", column).mapInArrow(run, f"conv_id {kind}, bytes binary")
 
