@@ -6,6 +6,7 @@ The windows of one conversation in one micro-batch are sorted in memory; the sou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,31 +21,60 @@ from ..operators.scan import MAX_STALLS, MAX_STEPS, STALLED, STEP_LIMIT
 OUTPUT = "conv_id long, step long, idx long, id string, role string, text string, duplicate boolean"
 
 
+class _Seen:
+    """Keys let through: those of the state store, each looked up once, and those of the windows at hand until ``save``."""
+
+    def __init__(self, store, stored: bool = True):
+        self.store, self.stored, self.known, self.new = store, stored, {}, []
+
+    def __contains__(self, key: str) -> bool:
+        if key not in self.known:
+            self.known[key] = self.stored and self.store.containsKey((key,))
+        return self.known[key]
+
+    def add(self, key: str) -> None:
+        self.known[key] = True
+        self.new.append(key)
+
+    def save(self) -> None:
+        for key in self.new:
+            self.store.updateValue((key,), (True,))
+
+
+def _again(ident: str | None, mark: str, ids: _Seen, marks: _Seen) -> bool:
+    """Whether a row repeats one let through; one that does not is let through."""
+    if ident is not None and ident in ids or mark in marks:
+        return True
+    if ident is not None:
+        ids.add(ident)
+    marks.add(mark)
+    return False
+
+
+def _given(value) -> bool:
+    """Neither None nor what pandas has in its place."""
+    return value is not None and value == value
+
+
+def _in_order(frames: list[pd.DataFrame], names: tuple[str, ...]) -> list[tuple]:
+    """The rows of one key (step, idx and ``names``) by step and idx, rows without an idx last; plain values."""
+    rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ("step", "idx", *names)), strict=True)]
+    return sorted(rows, key=lambda r: (r[0], not _given(r[1]), r[1] if _given(r[1]) else 0))
+
+
 class FirstSight(StatefulProcessor):
     """Per conversation, the ids and the fingerprints of messages let through; both live in the state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ids, self.marks = (handle.getMapState(name, "key string", "seen boolean") for name in ("ids", "marks"))
 
-    def again(self, part: pd.DataFrame) -> list[bool]:
-        """Which rows, in order, repeat one let through; each key is looked up once."""
-        ids = {i: self.ids.containsKey((i,)) for i in part["id"].unique() if isinstance(i, str)}
-        marks = {m: self.marks.containsKey((m,)) for m in part["fp"].unique()}
-        out = []
-        for ident, mark in zip(part["id"], part["fp"], strict=True):
-            seen = ids.get(ident, False) or marks[mark]
-            out.append(seen)
-            if not seen:
-                if isinstance(ident, str):
-                    ids[ident] = True
-                    self.ids.updateValue((ident,), (True,))
-                marks[mark] = True
-                self.marks.updateValue((mark,), (True,))
-        return out
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values(["step", "idx"], kind="stable")
-        yield part.assign(duplicate=self.again(part))[["conv_id", "step", "idx", "id", "role", "text", "duplicate"]]
+        ids, marks = _Seen(self.ids), _Seen(self.marks)
+        again = [_again(i if isinstance(i, str) else None, m, ids, marks) for i, m in zip(part["id"].tolist(), part["fp"].tolist(), strict=True)]
+        ids.save()
+        marks.save()
+        yield part.assign(duplicate=again)[["conv_id", "step", "idx", "id", "role", "text", "duplicate"]]
 
     def close(self) -> None:
         pass
@@ -85,54 +115,64 @@ class Capture(FirstSight):
         self.handle = handle
         self.facts = handle.getValueState("facts", self.FACTS)
 
-    def _wake(self, at: int) -> None:
-        for other in list(self.handle.listTimers()):
+    def _wake(self, at: int, known: bool = True) -> None:
+        for other in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(other)
         self.handle.registerTimer(at)
 
-    def _ended(self, conv_id, facts: dict, ended_by: str) -> pd.DataFrame:
-        bottom = ended_by == "bottom"
-        self.ids.clear()
-        self.marks.clear()
+    def _ended(self, conv_id, facts: dict, ended_by: str, known: bool = True) -> list:
+        """The report; what was seen of a capture that the store knew is dropped."""
+        if known:
+            self.ids.clear()
+            self.marks.clear()
         self.facts.update((facts["step"], 0, 0, 0, 0, facts["top"], None, None, True))
-        report = [ended_by, facts["step"], facts["stalls"], facts["top"], bottom, facts["messages"], facts["duplicates"], facts["first"], facts["last"]]
-        return _frame([[conv_id, facts["step"], None, None, None, None, None, *report]])
+        report = [ended_by, facts["step"], facts["stalls"], facts["top"], ended_by == "bottom", facts["messages"], facts["duplicates"], facts["first"], facts["last"]]
+        return [conv_id, facts["step"], None, None, None, None, None, *report]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Keys go to the store once the windows at hand are done, and only if the capture goes on: most end where they began."""
         names = [f.split()[0] for f in self.FACTS.split(", ")]
         before = self.facts.get()
-        facts = dict(zip(names, before, strict=True)) if before else dict(zip(names, (-1, 0, 0, 0, 0, False, None, None, False), strict=True))
+        known = before is not None
+        facts = dict(zip(names, before if known else (-1, 0, 0, 0, 0, False, None, None, False), strict=True))
         if facts["over"]:
             return
-        part, out = pd.concat(list(rows)).sort_values(["step", "idx"], kind="stable"), []
-        now = int(part["at"].max().timestamp() * 1000)
-        for step, of_step in part.groupby("step", sort=True):
-            shown = of_step[of_step["text"] != ""]
-            again = self.again(shown)
-            new = shown[[not a for a in again]]
-            out += [[key[0], int(step), int(r.idx), r.id, r.role, r.text, a, *[None] * 9] for r, a in zip(shown.itertuples(), again, strict=True)]
-            facts["messages"] += len(new)
-            facts["duplicates"] += len(shown) - len(new)
-            if len(new):
-                facts["first"] = facts["first"] if facts["first"] is not None else new["text"].iloc[0]
-                facts["last"] = new["text"].iloc[-1]
-            facts["top"] = bool(facts["top"] or (of_step["at_top"] == True).any())  # noqa: E712
+        frames, out = list(rows), []
+        now = int(max(f["at"].max() for f in frames).timestamp() * 1000)
+        ids, marks = _Seen(self.ids, known), _Seen(self.marks, known)
+        part = _in_order(frames, ("id", "role", "text", "fp", "moved", "at_top", "at_bottom", "closed"))
+        for step, of_step in groupby(part, lambda r: r[0]):
+            new, told, top, bottom, closed = 0, [], False, False, False
+            for _, idx, ident, role, text, mark, moved, at_top, at_bottom, last in of_step:
+                told += [moved] if _given(moved) else []
+                top, bottom, closed = (a or _given(b) and bool(b) for a, b in ((top, at_top), (bottom, at_bottom), (closed, last)))
+                if text == "":
+                    continue
+                ident = ident if isinstance(ident, str) else None
+                again = _again(ident, mark, ids, marks)
+                out.append([key[0], int(step), int(idx), ident, role, text, again, *[None] * 9])
+                facts["duplicates"] += again
+                if not again:
+                    new += 1
+                    facts["first"] = facts["first"] if facts["first"] is not None else text
+                    facts["last"] = text
+            facts["messages"] += new
+            facts["top"] = bool(facts["top"] or top)
             if step <= facts["step"]:
                 continue  # a window of a step that was seen: it adds its messages only
-            told = of_step["moved"].dropna()
-            moved = bool(told.any()) if len(told) else len(new) > 0
+            moved = any(told) if told else new > 0
             facts["step"] = int(step)
             facts["run"] = 0 if moved else facts["run"] + 1
             facts["stalls"] += not moved
-            bottom, closed = (of_step["at_bottom"] == True).any(), (of_step["closed"] == True).any()  # noqa: E712
             end = "bottom" if bottom else "stalled" if facts["run"] >= self.max_stalls else "limit" if step >= self.max_steps else "closed" if closed else None
             if end:
-                yield _frame(out)
-                yield self._ended(key[0], facts, end)
-                self._wake(now + self.keep_ms)
+                yield _frame([*out, self._ended(key[0], facts, end, known)])
+                self._wake(now + self.keep_ms, known)
                 return
+        ids.save()
+        marks.save()
         self.facts.update(tuple(facts[n] for n in names))
-        self._wake(max(now, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
+        self._wake(max(now, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms, known)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -140,7 +180,7 @@ class Capture(FirstSight):
         names = [f.split()[0] for f in self.FACTS.split(", ")]
         held = self.facts.get()
         if held and not held[-1]:
-            yield self._ended(key[0], dict(zip(names, held, strict=True)), "silent")
+            yield _frame([self._ended(key[0], dict(zip(names, held, strict=True)), "silent")])
             self._wake(timerValues.getCurrentWatermarkInMs() + self.keep_ms)
         else:
             self.facts.clear()

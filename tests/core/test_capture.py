@@ -66,3 +66,52 @@ def test_silence_and_windows_after_the_end(run):
     assert [m for m in messages if m[0] == 1] == [(1, 0, "a", False), (1, 0, "again", False)]
     assert [m for m in messages if m[0] == 2] == [(2, 0, "x", False), (2, 1, "y", False), (2, 2, "x", True), (2, 2, "z", False)]
     assert sorted((r["conv_id"], r["status"], r["message_count"], r["first_message_preview"]) for r in reports) == [(1, "partial", 1, "a"), (1, "partial", 1, "again"), (2, "complete", 3, "x"), (3, "partial", 1, "q")]
+
+
+def test_a_capture_that_comes_whole_asks_the_store_for_no_key():
+    """Each question to the state store is a round trip; what a new capture shows cannot be there."""
+    import pandas as pd
+
+    class Store(dict):
+        asked = 0
+
+        def containsKey(self, key):
+            Store.asked += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            Store.asked += 1
+            self[key] = value
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = None, []
+
+        def getMapState(self, *_):
+            return Store()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def listTimers(self):
+            Store.asked += 1
+            return iter(())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    of = capture.Capture(6, 2, 600, 3600)
+    handle = Handle()
+    of.init(handle)
+    rows = [(1, s, i, None, "user", f"t{i}", f"f{i}", pd.Timestamp(1_780_000_000 + s, unit="s"), True, True, s == 3, False) for s in range(4) for i in (s, s + 1)]
+    part = pd.DataFrame(rows, columns=["conv_id", "step", "idx", "id", "role", "text", "fp", "at", "moved", "at_top", "at_bottom", "closed"])
+    out = pd.concat(list(of.handleInputRows((1,), iter([part]), None)))
+    report = out[out["ended_by"].notna()].iloc[0]
+    assert (report["ended_by"], report["message_count"], report["duplicate_count"]) == ("bottom", 5, 3)
+    assert Store.asked == 0 and handle.value[-1] is True and len(handle.timers) == 1
