@@ -131,6 +131,8 @@ def dedupe(messages: DataFrame, order: str = "idx", rounds: bool = False) -> Dat
     for conversations beyond a task, which are then numbered by ranges of ``order`` too.
     """
     keyed = messages.withColumn("_fp", fingerprint(F.col("role"), F.col("text")))
+    if rounds:  # read several times from here on
+        keyed = settled(keyed)
     kept = first_rows(keyed.select("conv_id", F.col(order).alias("idx"), "id", F.col("_fp").alias("fp")), rounds).select("conv_id", F.col("idx").alias(order), F.lit(True).alias("_kept"))
     of_conv = Window.partitionBy("conv_id")
     rows = keyed.join(kept, ["conv_id", order], "left")
