@@ -191,17 +191,22 @@ class Scratch:
                 delete(self.spark, self.paths.pop(id(df))[1])
 
 
+def hot_freq(total: int, bound: int = 20_000) -> int:
+    """The frequency from which ``lookup_join`` takes a key out of the shuffle."""
+    return max(2, -(-total // bound))
+
+
 def lookup_join(rows: DataFrame, counted: DataFrame, key: str | list[str], total: int, bound: int = 20_000) -> DataFrame:
     """Inner join of ``rows`` with per-key facts that hold each key's frequency in ``freq``.
 
     The frequencies sum to ``total`` at most, so at most ``bound`` keys can have ``total / bound`` rows or
     more: that many are broadcast, and their rows are spread by a hash in the shuffle join that all other rows need.
-    All other keys are too rare to fill a partition. ``rows`` is read once.
+    All other keys are too rare to fill a partition, if ``counted`` holds all keys from ``hot_freq`` on. ``rows`` is read once.
     """
     keys = [key] if isinstance(key, str) else key
     facts = [c for c in counted.columns if c not in keys]
     at, hot_facts, cold_facts, *theirs = own_names(3 + len(keys))
-    limit = max(2, -(-total // bound))
+    limit = hot_freq(total, bound)
     hot = counted.filter(F.col("freq") >= limit).select(*keys, F.struct(*facts).alias(hot_facts))
     cold = counted.filter(F.col("freq") < limit).select(*(F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)), F.struct(*facts).alias(cold_facts))
     is_hot = F.col(hot_facts).isNotNull()

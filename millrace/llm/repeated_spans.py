@@ -1,17 +1,18 @@
 """Removal of long byte strings that occur more than once, by a trigger-based (prefix-free) parse of the corpus.
 
-A rolling hash over TRIGGER bytes sets phrase ends wherever its top bits are zero, so equal strings are parsed
-alike wherever they stand. Every window of LENGTH bytes is numbered from the first phrase end it holds, and the
-windows of one phrase end fall into groups of WIDTH neighbours. In place of a suffix array's order, which serves
-here only to bring equal strings together, equal strings meet by hash, so the work is plain counting:
+A rolling hash over the bytes before every place sets phrase ends: a phrase ends wherever this trigger's hash is the least
+of some window of LENGTH bytes, so equal strings are parsed alike wherever they stand. Every window belongs to the
+phrase end that is its least, and the windows of one phrase end are neighbours. In place of a suffix array's order, which
+serves here only to bring equal strings together, equal strings meet by hash, so the work is plain counting:
 
-1. the bytes common to all windows of a group (its core) - groups whose core is unique hold no repeat;
-2. the bytes that a group's windows cover together - where these repeat, all its windows do;
-3. the single windows of the few groups that are left, at the ends of repeated passages.
+1. the trigger strings (the core of all windows of a phrase end) - a document without a repeated one holds no repeat;
+2. the bytes that a phrase end's windows cover together - where these repeat, all its windows do;
+3. the same for pieces of PIECE windows, and then for single windows, of the few phrase ends whose covers differ though
+   their cores are equal, at the ends of repeated passages.
 
-A first pass of step 1 alone, over strings of PASSAGE bytes, finds the few documents that go through the steps at all; it
-also leads to passages of over PASSAGE_WORDS words that other documents hold too, which may be shorter than LENGTH bytes
-and are told, not removed.
+Step 1 runs over strings of PASSAGE bytes and finds the few documents that go through the other steps at all; it also leads
+to passages of over PASSAGE_WORDS words that other documents hold too, which may be shorter than LENGTH bytes and are
+told, not removed.
 
 Step 1 only leaves text out, so a 64-bit hash does. What steps 2 and 3 call equal is removed: they compare two hashes, the
 second a pair modulo a prime, in which two strings of 400 bytes, whatever they are, collide for less than 10**-13 of its
@@ -24,7 +25,7 @@ shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,161 +33,176 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import Scratch, lookup_join, steps, tidy
+from .common import Scratch, hot_freq, lookup_join, ragged, steps, tidy
 
-LENGTH, TRIGGER, TRIGGER_BITS, WIDTH = 400, 16, (7, 5, 3), 64
+LENGTH, PIECE = 400, 16
 #: Bytes, and words, from which a string that other documents hold too is told as a passage.
 PASSAGE, PASSAGE_WORDS = 300, 50
 #: Ids of documents with a repeated core are broadcast to the scan up to this many; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that are hashed together, so that the arrays stay in a processor's cache.
+CHUNK = 1 << 18
 
+_PLACE = np.uint64((1 << 32) - 1)
 
-_ROLL = np.uint64(0xD6E8FEB86659FD93)
 
+def trigger(length: int) -> int:
+    """Bytes of the trigger strings that parse windows of this length: longer ones leave fewer documents, but more rows."""
+    return max(length // 3, 1)
 
-def groups(sums: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low, high, core) of a text with these prefix sums: the first and last window start of each group, and the
-    hash of its core. Every window belongs to one group.
 
-    Windows without a phrase end are numbered from the ends of a finer parse (fewer bits), which keeps all ends of
-    the coarse one; a window without any end, as in a run of one character, is a group of its own.
-    """
-    n = len(sums) - 1
-    if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    w, last = min(TRIGGER, length), n - length
-    rolled = (sums[w:] - sums[: n + 1 - w]) * text_hash.inverses(n + 1)[: n + 1 - w]
-    rolled = (rolled ^ (rolled >> np.uint64(32))) * _ROLL
-    open_ = np.arange(last + 1)
-    found = []
-    for bits in TRIGGER_BITS:
-        ends = np.flatnonzero(rolled >> np.uint64(64 - bits) == 0) + w
-        if not len(ends):
-            continue
-        # The windows whose first end is ``end`` start after the one before allows, and hold the whole trigger.
-        low = np.maximum(np.concatenate([[0], ends[:-1] - w + 1]), np.maximum(ends - length, 0))
-        high = np.minimum(ends - w, last)
-        # Those of them that no coarser parse has numbered are neighbours.
-        first, final = np.searchsorted(open_, low), np.searchsorted(open_, high, "right") - 1
-        some = (low <= high) & (first <= final)
-        ends, first, final = ends[some], first[some], final[some]
-        found.append(_classes(sums, ends, open_[first], open_[final], length))
-        held = np.zeros(len(open_) + 1, np.int64)
-        np.add.at(held, first, 1)
-        np.add.at(held, final + 1, -1)
-        open_ = open_[np.cumsum(held[:-1]) == 0]
-        if not len(open_):
-            break
-    found.append((open_, open_, text_hash.ranges(sums, open_, open_ + length)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _classes(sums: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows low..high of each phrase end in groups of WIDTH, counted from the end: (low, high, core)."""
-    w = min(TRIGGER, length)
-    first, final = (ends - w - high) // WIDTH, (ends - w - low) // WIDTH
-    k = final - first + 1
-    row = np.repeat(np.arange(len(ends)), k)
-    step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + first[row]
-    top = ends[row] - w - step * WIDTH
-    bottom = np.maximum(top - WIDTH + 1, ends[row] - length)
-    return np.maximum(bottom, low[row]), np.minimum(top, high[row]), text_hash.ranges(sums, top, bottom + length)
-
-
-def _sums(text: bytes) -> np.ndarray:
-    return text_hash.prefix(np.frombuffer(text, np.uint8))
-
-
-def _rows(piece: pa.RecordBatch, lows: list, highs: list, cores: list, keys: tuple[list, ...] = ()) -> pa.RecordBatch:
-    whole = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    rid = piece.column("rid").take(pa.array(np.repeat(np.arange(piece.num_rows), [len(x) for x in lows])))
-    numbers = [whole(lows, np.int64), whole(highs, np.int64), *(whole(x, np.uint64).view(np.int64) for x in (cores, *keys))]
-    return pa.record_batch([rid, *(pa.array(x) for x in numbers)], ["rid", "low", "high", "core", "key", "other"][: 4 + len(keys)])
+class Texts:
+    """The texts of a batch, joined: ``data``, and where each starts and ends in it."""
 
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        held = column.buffers()[2]
+        self.data = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held else np.empty(0, np.uint8)
+        self.start, self.end = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+        self.sums = text_hash.prefix(self.data)
 
-def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of a column of arrays of structs, each as one numpy array per field; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten()
-    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
-    end = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-    for a, b in zip(np.concatenate([[0], end[:-1]]), end, strict=True):
-        yield {k: v[a:b] for k, v in fields.items()}
+    def keys(self, low: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the byte ranges [low, end)."""
+        return text_hash.ranges(self.sums, low, end), text_hash.prime_ranges(text_hash.prime_prefix(self.data), low, end)
 
 
-def _data(piece: pa.RecordBatch) -> list[bytes]:
-    return piece.column("text").cast(pa.large_binary()).to_pylist()
+def phrases(texts: Texts, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high, at): of each phrase end its text, its first and last window, and where its trigger string starts.
 
+    Every window of a text belongs to one phrase end: the leftmost of those whose trigger hash is the least in the window.
+    """
+    k, n = trigger(length), len(texts.data)
+    if n < length:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    rolled = text_hash.mix((texts.sums[k:] - texts.sums[: n + 1 - k]) * text_hash.inverses(n + 1)[: n + 1 - k])
+    # The place in the low bits makes the order strict, and alike in equal windows.
+    least = (rolled & ~_PLACE) | np.arange(len(rolled), dtype=np.uint64)
+    wide, whole = 1, length - k + 1
+    while wide < whole:
+        step = min(wide, whole - wide)
+        least = np.minimum(least[:-step], least[step:])
+        wide += step
+    inside = np.flatnonzero(np.arange(len(least)) <= np.repeat(texts.end - length, texts.end - texts.start)[: len(least)])
+    if not len(inside):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    least = least[inside]
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    low, high = inside[first], inside[np.append(first[1:], len(inside)) - 1]
+    return np.searchsorted(texts.end, low, "right"), low, high, (least[first] & _PLACE).astype(np.int64)
+
+
+def _pieces(low: np.ndarray, high: np.ndarray, at: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
+    """(unit, low, high, core's start, core's end) of the units' windows by ``size`` neighbours, counted from the trigger."""
+    first = (at - high) // size
+    count = (at - low) // size - first + 1
+    unit = np.repeat(np.arange(len(low)), count)
+    top = at[unit] - ragged(first, count) * size
+    bottom = np.maximum(top - size + 1, at[unit] + trigger(length) - length)
+    return unit, np.maximum(bottom, low[unit]), np.minimum(top, high[unit]), top, bottom + length
+
+
+def _rows(piece: pa.RecordBatch, row: np.ndarray, **numbers: np.ndarray) -> pa.RecordBatch:
+    """A row per number, with the id of its text."""
+    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in numbers.values()]
+    return pa.record_batch([piece.column("rid").take(pa.array(row)), *arrays], ["rid", *numbers])
+
+
+def _units(piece: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The column ``units``: the text of each, and its fields, as places in the joined texts."""
+    column = piece.column("units")
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    return row, {f.name: flat.field(i).to_numpy(zero_copy_only=False) + texts.start[row] for i, f in enumerate(flat.type)}
 
-def _cores(length: int):
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
 
+def _per_chunk(rows_of: Callable[[pa.RecordBatch, Texts], pa.RecordBatch]):
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in steps(batch, "text"):
-                found = [groups(_sums(t), length) if len(t) >= length else none for t in _data(piece)]
-                yield _rows(piece, *map(list, zip(*found, strict=True)))
+            for piece in steps(batch, "text", most=CHUNK):
+                yield rows_of(piece, Texts(piece.column("text")))
 
     return run
 
 
-def _again(length: int, single: bool):
-    """Keys of the groups in the column ``units``: of what each covers, or of each of its windows."""
+def _cores(length: int):
+    """Trigger strings of all windows."""
 
-    @tidy
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in steps(batch, "text"):
-                lows, highs, cores, keys = [], [], [], ([], [])
-                for text, units in zip(_data(piece), _lists(piece.column("units")), strict=True):
-                    low, high, core = units["low"], units["high"], units["core"]
-                    if single:
-                        n = high - low + 1
-                        core = np.repeat(core, n)
-                        low = high = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    lows.append(low)
-                    highs.append(high)
-                    cores.append(core.astype(np.int64).view(np.uint64))
-                    data = np.frombuffer(text, np.uint8)
-                    keys[0].append(text_hash.ranges(text_hash.prefix(data), low, high + length))
-                    keys[1].append(text_hash.prime_ranges(text_hash.prime_prefix(data), low, high + length))
-                yield _rows(piece, lows, highs, cores, keys)
+    def rows_of(piece: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+        row, _, _, at = phrases(texts, length)
+        return _rows(piece, row, at=at - texts.start[row], core=text_hash.ranges(texts.sums, at, at + trigger(length)))
+
+    return _per_chunk(rows_of)
 
-    return run
 
+def _covers(length: int, size: int = 0):
+    """Keys of what the windows of each phrase end cover, or of each of its pieces in the column ``units``."""
 
-UNIT = ("low", "high", "core")
+    def rows_of(piece: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+        if size:
+            row, units = _units(piece, texts)
+            unit, low, high, core, core_end = _pieces(units["low"], units["high"], units["at"], size, length)
+            row, at = row[unit], units["at"][unit]
+        else:
+            row, low, high, at = phrases(texts, length)
+            core, core_end = at, at + trigger(length)
+        start = texts.start[row]
+        key, other = texts.keys(low, high + length)
+        return _rows(piece, row, low=low - start, high=high - start, at=at - start, core=text_hash.ranges(texts.sums, core, core_end), key=key, other=other)
+
+    return _per_chunk(rows_of)
 
 
 def _passages(length: int, words: int):
-    """Keys of the strings of ``words`` + 1 words around the middle of each group in the column ``units``."""
+    """Keys of the strings of ``words`` + 1 words around the middle of each trigger string in the column ``units``."""
 
-    @tidy
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in steps(batch, "text"):
-                lows, cores, keys = [], [], ([], [])
-                for text, units in zip(_data(piece), _lists(piece.column("units")), strict=True):
-                    data = np.frombuffer(text, np.uint8)
-                    start, end = text_hash.word_bounds(data)
-                    middle = np.searchsorted(start, (units["low"] + units["high"] + length) // 2, "right") - 1
-                    at = np.unique(middle[:, None] - np.arange(words + 1))
-                    at = at[(at >= 0) & (at + words < len(start))]
-                    lows.append(start[at])
-                    cores.append(np.zeros(len(at), np.uint64))
-                    keys[0].append(text_hash.ranges(text_hash.prefix(data), start[at], end[at + words]))
-                    keys[1].append(text_hash.prime_ranges(text_hash.prime_prefix(data), start[at], end[at + words]))
-                yield _rows(piece, lows, lows, cores, keys)
+    def rows_of(piece: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+        row, units = _units(piece, texts)
+        # A word ends where its text does: words are cut in a copy with a space after each text.
+        gaps = np.arange(len(texts.start))
+        apart = np.full(len(texts.data) + len(gaps), 32, np.uint8)
+        apart[np.arange(len(texts.data)) + np.repeat(gaps, texts.end - texts.start)] = texts.data
+        start, end = text_hash.word_bounds(apart)
+        own = np.searchsorted(texts.end + gaps, start, "right")
+        start, end = start - own, end - own
+        middle = np.searchsorted(start, units["at"] + trigger(length) // 2, "right") - 1
+        inside = np.flatnonzero(middle >= 0)
+        inside = inside[own[middle[inside]] == row[inside]]
+        first = np.unique(middle[inside, None] - np.arange(words + 1))
+        first = first[(first >= 0) & (first + words < len(start))]
+        first = first[own[first] == own[first + words]]
+        key, other = texts.keys(start[first], end[first + words])
+        return _rows(piece, own[first], key=key, other=other)
 
-    return run
+    return _per_chunk(rows_of)
+
+
+UNIT = ("low", "high", "at")
+
+
+def _gathered(units: DataFrame, *fields: str) -> DataFrame:
+    """rid, units: the units of a document in one row."""
+    return units.groupBy("rid").agg(F.collect_set(F.struct(*fields)).alias("units"))
+
+
+def _total(counted: DataFrame) -> int:
+    return counted.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+
+
+def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of a column of arrays of structs, each as one numpy array per field; null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    end = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    for a, b in zip(np.concatenate([[0], end[:-1]]), end, strict=True):
+        yield {k: v[a:b] for k, v in fields.items()}
 
 
-def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
-    """The keys that occur twice or more with their freq, and the number of rows that hold them."""
-    counted = scratch.settle(rows.groupBy(*keys).agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
-    return counted, counted.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+def _data(piece: pa.RecordBatch) -> list[bytes]:
+    return piece.column("text").cast(pa.large_binary()).to_pylist()
 
 
 def _cut(length: int):
@@ -226,18 +242,26 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, w
         return _cut_repeats(docs, length, min(passage, length), words, scratch)
 
 
-def _units(texts: DataFrame, length: int, kind: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """rid, low, high, core, freq of the groups whose core occurs twice or more, and how many they are."""
-    cores = scratch.settle(texts.select("rid", "text").mapInArrow(_cores(length), f"rid {kind}, low long, high long, core long"), "cores")
-    found, total = _repeated(cores, ["core"], scratch)
-    units = scratch.settle(lookup_join(cores, found, "core", total), "units")
-    scratch.drop(cores, found)
-    return units, total
-
+def _told_apart(rows: DataFrame, scratch: Scratch, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Of covers: (rid, low, high) of those that occur twice or more, and the units (rid and UNIT) that finer pieces settle.
 
-def _gathered(units: DataFrame) -> DataFrame:
-    """rid, units: the groups of a document in one row."""
-    return units.groupBy("rid").agg(F.collect_set(F.struct(*UNIT)).alias("units"))
+    A cover that occurs once is settled unless another cover has its core too. All covers of such a core go on, one unit
+    of each: the windows of one that repeats may be those that another holds.
+    """
+    rows = scratch.settle(rows, "covers")
+    # Numbers of one row each: ``first`` takes them from the same row, and they need no sorting as a struct would.
+    per = rows.groupBy("key", "other").agg(F.count("*").alias("freq"), *(F.first(c).alias(c) for c in ("rid", *UNIT, "core")))
+    per = scratch.settle(per, "per_cover")
+    twice = per.filter("freq >= 2").select("key", "other", "freq")
+    whole = lookup_join(rows.select("rid", "low", "high", "key", "other"), twice, ["key", "other"], _total(twice)).select("rid", "low", "high")
+    if last:
+        return whole, None
+    total = per.count()
+    classes = per.groupBy("core").agg(F.count("*").alias("n"), (F.min("freq") == 1).alias("wanted"))
+    classes = classes.filter((F.col("wanted") & (F.col("n") >= 2)) | (F.col("n") >= hot_freq(total)))
+    classes = scratch.settle(classes.withColumnRenamed("n", "freq"), "classes")
+    rest = lookup_join(per.select("rid", *UNIT, "core"), classes, "core", total).filter("wanted").select("rid", *UNIT)
+    return whole, scratch.settle(rest, "rest")
 
 
 def _cut_repeats(docs: DataFrame, length: int, passage: int, words: int, scratch: Scratch) -> DataFrame:
@@ -246,39 +270,37 @@ def _cut_repeats(docs: DataFrame, length: int, passage: int, words: int, scratch
     # doc_id names a row where it is unique; else doc_id and text do, and rows equal in both share their fate.
     own = own.withColumn("rid", F.col("doc_id") if unique else F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string")))
     kind = own.schema["rid"].dataType.simpleString()
-    keyed = f"rid {kind}, low long, high long, core long, key long, other long"
-    wide, wide_total = _units(own, passage, kind, scratch)
+    keyed = f"rid {kind}, low long, high long, at long, core long, key long, other long"
+
+    cores = scratch.settle(own.select("rid", "text").mapInArrow(_cores(passage), f"rid {kind}, at long, core long"), "cores")
+    found = scratch.settle(cores.groupBy("core").agg(F.count("*").alias("freq")).filter("freq >= 2"), "repeated")
+    wide_total = _total(found)
+    wide = scratch.settle(lookup_join(cores, found, "core", wide_total), "units")
+    scratch.drop(cores, found)
     ids = scratch.settle(wide.select("rid").distinct(), "ids", keep=True)
     few = ids.count() <= BROADCAST_ROWS
     hot = scratch.settle(own.join(F.broadcast(ids) if few else ids, "rid", "left_semi"), "hot")
+    texts = hot.select("rid", "text")
 
-    units, _ = _units(hot, length, kind, scratch)
-    covers = hot.join(_gathered(units), "rid").select("rid", "text", "units").mapInArrow(_again(length, False), keyed)
-    covers = scratch.settle(covers, "covers")
-    per_cover = covers.groupBy("key", "other").agg(F.count("*").alias("freq"), F.min(F.struct("rid", *UNIT)).alias("unit"))
-    per_cover = scratch.settle(per_cover, "per_cover")
-    twice = per_cover.filter("freq >= 2")
-    total = twice.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
-    whole = scratch.settle(lookup_join(covers.drop("core"), twice.select("key", "other", "freq"), ["key", "other"], total).select("rid", "low", "high").distinct(), "whole")
-    # Groups whose cover is unique go on window by window, and with them one of each repeated cover that has the
-    # same core: its windows may be those that a unique group repeats.
-    alone = per_cover.filter("freq = 1").select("unit.*")
-    beside = twice.select("unit.*").join(alone.select("core").distinct(), "core", "left_semi").select("rid", *UNIT)
-    rest = _gathered(alone.unionByName(beside))
-    windows = scratch.settle(hot.select("rid", "text").join(rest, "rid").mapInArrow(_again(length, True), keyed).drop("core", "high"), "windows")
-    scratch.drop(units, covers, per_cover)
-    found, total = _repeated(windows, ["key", "other"], scratch)
-    ends = lookup_join(windows, found, ["key", "other"], total).select("rid", "low", F.col("low").alias("high")).distinct()
-    gone = scratch.settle(whole.unionByName(ends).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("units")), "gone")
-    scratch.drop(whole, windows)
+    finer = lambda rest, size: texts.join(_gathered(rest, *UNIT), "rid").mapInArrow(_covers(length, size), keyed)
+    by_phrase, rest = _told_apart(texts.mapInArrow(_covers(length), keyed), scratch)
+    by_piece, rest = _told_apart(finer(rest, PIECE), scratch)
+    by_window, _ = _told_apart(finer(rest, 1), scratch, last=True)
+    gone = by_phrase.unionByName(by_piece).unionByName(by_window)
+    gone = gone if unique else gone.distinct()
+    gone = scratch.settle(gone.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("units")), "gone")
 
     # Shorter passages: documents with nothing to remove, and all that share a core with them.
-    left = wide.join(gone.select("rid"), "rid", "left_anti")
-    shared = lookup_join(wide.drop("freq"), left.groupBy("core").agg(F.first("freq").alias("freq")), "core", wide_total).select("rid", *UNIT)
-    strings = hot.select("rid", "text").join(_gathered(shared), "rid").mapInArrow(_passages(passage, words), keyed).select("rid", "key", "other")
-    strings = scratch.settle(strings.distinct(), "strings")
-    found, total = _repeated(strings, ["key", "other"], scratch)
-    told = lookup_join(strings, found, ["key", "other"], total).select("rid").distinct().withColumn("told", F.lit(True))
+    left = wide.join(gone.select("rid", F.lit(True).alias("goes")), "rid", "left")
+    left = left.groupBy("core").agg(F.first("freq").alias("freq"), F.bool_or(F.col("goes").isNull()).alias("wanted"))
+    # Cores that nobody wants are looked up too where they are hot: their rows would meet in one task.
+    left = left.filter(F.col("wanted") | (F.col("freq") >= hot_freq(wide_total)))
+    shared = lookup_join(wide.drop("freq"), left, "core", wide_total).filter("wanted").select("rid", "at")
+    strings = texts.join(_gathered(shared, "at"), "rid").mapInArrow(_passages(passage, words), f"rid {kind}, key long, other long")
+    strings = scratch.settle(strings, "strings")
+    found = strings.groupBy("key", "other").agg(F.count("*").alias("freq"), F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a < b")
+    found = scratch.settle(found.drop("a", "b"), "repeated")
+    told = lookup_join(strings, found, ["key", "other"], _total(found)).select("rid").distinct().withColumn("told", F.lit(True))
 
     schema = f"rid {kind}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {SPANS}, kept binary"
     changed = hot.join(gone, "rid", "left").select("rid", "doc_id", "text", "units").mapInArrow(_cut(length), schema).join(told, "rid", "left")

@@ -132,6 +132,44 @@ def test_passages_of_over_fifty_words_are_told(spark):
     assert {d for d, r in have.items() if r["n_removed"]} == {40, 41, 42}
 
 
+def test_repeated_spans_count_few_rows(spark, monkeypatch):
+    """Rows that are written on the way, per byte of text: most of the work is counting and joining them."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(5000)) for _ in range(40)]
+    settle, rows = repeated_spans.Scratch.settle, []
+
+    def counted(self, df, name, keep=False):
+        back = settle(self, df, name, keep)
+        rows.append(back.count())
+        return back
+
+    monkeypatch.setattr(repeated_spans.Scratch, "settle", counted)
+    for docs, bytes_per_row in ((texts, 60), ([t for t in texts[:10] for _ in range(4)], 20)):
+        rows.clear()
+        have = repeated_spans.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+        assert {r["n_removed"] for r in have.collect()} == {0 if docs is texts else 5000}
+        assert sum(rows) < sum(map(len, docs)) / bytes_per_row
+
+
+def test_windows_are_parsed_alike_wherever_they_stand():
+    """Each window belongs to one phrase end, at the same place in equal windows, also in texts that repeat themselves."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    some = "".join(rng.choice("ab") for _ in range(90))
+    texts = ["", some, "zz" + some[20:] + "y", "a" * 80, "ab" * 30 + "c" + "ab" * 30, "x" * 9, some[:40] * 2, "", "aab" * 25]
+    for length in (1, 2, 10, 40):
+        found = repeated_spans.Texts(pa.array(["left out", *texts])[1:])
+        row, low, high, at = repeated_spans.phrases(found, length)
+        place, seen = {}, 0
+        for r, a, b, c in zip(*(x.tolist() for x in (row, low, high, at)), strict=True):
+            for w in range(a, b + 1):
+                window = found.data[w : w + length].tobytes()
+                seen += 1
+                assert found.start[r] <= w and w + length <= found.end[r] and place.setdefault(window, c - w) == c - w
+        assert seen == sum(max(len(t) - length + 1, 0) for t in texts)
+
+
 def test_repeated_spans_on_the_given_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert got(Q.op6_repeated_spans(spark, SF), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(docs))
