@@ -26,7 +26,11 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
+from json.encoder import encode_basestring as quoted
 from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -55,10 +59,12 @@ OF_PAGE = {"no", "not", "has", "with", "without", "layout", "page", "body", "sit
 OF_TEXT = {"post", "entry", "article", "content", "story", "main", "text"}
 #: Elements that words never set apart, and those of them that hold a page's main text.
 WHOLE, LANDMARKS = {"html", "body", "main", "article"}, ("article", "main")
+#: What an end tag of another element than a block does not close.
+REGIONS = {"article", "main", "td", "body"}
 #: Deeper elements lie beside one another in the wrapper.
 MAX_DEPTH = 60
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 #: Classes are compared up to their first digit: post-123 is a class of one page.
@@ -90,22 +96,171 @@ def _marked_inside(tokens: list[str]) -> bool:
     return False
 
 
-def events(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, value, apart): "open" and "close" with the element's label (name and classes), "text" with raw text.
+#: Why an element stands apart: its name (or that it is hidden), or a word of its class, id or role.
+NAME, WORDS = 1, 2
+
+
+class Element(NamedTuple):
+    """What a start tag says by itself."""
+
+    name: str
+    label: str  # name and classes
+    kind: str  # the label's name
+    apart: int  # why the element stands apart, outside a region
+    apart_inside: int  # and inside of one
+    leaf: bool  # it has no end tag
+    opens: tuple  # its events, the first for each reason to stand apart
+    closes: tuple
+
+
+def _element(name: str, attributes: str) -> Element:
+    name = name.lower()
+    found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
+    names = [t for k in ("class", "id", "role") for t in found.get(k, "").split()]
+    if name in APART or name not in WHOLE and ("hidden" in found or found.get("aria-hidden") == "true"):
+        apart = inside = NAME
+    elif name == "article":  # inside a region another text, or a reader's comment
+        apart, inside = 0, WORDS if any(_COMMENT.match(t) for t in names) else 0
+    elif name in WHOLE:
+        apart = inside = 0
+    else:
+        apart, inside = (WORDS if marked(names) else 0 for marked in (_marked, _marked_inside))
+    label = ".".join([name, *sorted({_DIGITS.sub("#", c) for c in entities.unescape(found.get("class", "")).split()})])
+    kind, leaf = label.split(".")[0], name in VOID or attributes.endswith("/") and name not in BLOCK
+    return Element(name, label, kind, apart, inside, leaf, tuple(("open", label, why, kind) for why in (0, NAME, WORDS)), ("close", label, 0, kind))
+
+
+#: Tags of up to so many characters are remembered, so many of them.
+TAG_CHARS, TAGS = 200, 8192
+_remembered = lru_cache(TAGS)(_element)
+
+
+class Parsed(NamedTuple):
+    """A page's elements and texts in order."""
+
+    events: list[tuple[str, str, int, str]]  # (kind, value, apart, name): see ``parsed``
+    families: list[tuple[int, list[int], list[str]]]  # parents before children: opening event (-1: none), its children's events and labels
+    landmarks: bool  # whether there is an article or main element
+
+
+def parsed(page: str) -> Parsed:
+    """Events are "open" and "close" with the element's label (name and classes) and name, and "text" with raw text.
 
     Every open has its close; elements whose end is implied are closed where HTML closes them. ``apart`` tells that
     an element holds no main text. Where all articles (or main elements) of a page lie in elements that words set
-    apart, those elements are not.
+    apart, those elements are not. Elements nested more than MAX_DEPTH deep are children of the last above, and white
+    space between elements is no child.
     """
-    found = list(_parsed(page))
+    seen: list[tuple[str, str, int, str]] = []
+    family: tuple[int, list[int], list[str]] = (-1, [], [])
+    families = [family]
+    stack: list[tuple[Element, int, tuple]] = []  # open elements, why they stand apart, and the family that they stand in
+    names: list[str] = []
+    named = held = False
+
+    def close_to(depth: int) -> tuple:
+        del names[depth:]
+        while len(stack) > depth:
+            own, _, outer = stack.pop()
+            seen.append(own.closes)
+        return outer
+
+    at, more = 0, True
+    while more:
+        more = False
+        for m in _TOKEN.finditer(page, at):
+            start, after = m.span()
+            if start > at:
+                text = page[at:start]
+                if not text.isspace():
+                    family[1].append(len(seen))
+                    family[2].append("#")
+                seen.append(("text", text, 0, ""))
+            at = after
+            end, name, attributes, other_end, other_name, other = m.groups()
+            if name is None:
+                if other_name is None:
+                    continue
+                end, name, attributes = other_end, other_name, other
+            if end:
+                name = name.lower()
+                if names and names[-1] == name:
+                    names.pop()
+                    own, _, family = stack.pop()
+                    seen.append(own.closes)
+                    continue
+                for depth in range(len(names) - 1, -1, -1):
+                    opened = names[depth]
+                    if opened == name:
+                        family = close_to(depth)
+                        break
+                    if opened in REGIONS and name not in BLOCK:
+                        break
+                continue
+            if attributes and not _ATTRIBUTE.search(attributes):
+                attributes = attributes[-1]
+            own = (_remembered if len(name) + len(attributes) <= TAG_CHARS else _element)(name, attributes)
+            name, label, kind, apart, inside, leaf, opens, closes = own
+            if name in BLOCK and "p" in names:
+                for depth in range(len(names) - 1, -1, -1):
+                    opened = names[depth]
+                    if opened == "p":
+                        family = close_to(depth)
+                        break
+                    if opened in BLOCK:
+                        break
+            if name in ITEM:
+                for depth in range(len(names) - 1, -1, -1):
+                    opened = names[depth]
+                    if opened in ITEM_SCOPE[name]:
+                        break
+                    if opened in ITEM[name]:
+                        family = close_to(depth)
+                        break
+            if apart != inside and ("article" in names or "main" in names):
+                apart = inside
+            if kind in LANDMARKS:
+                named = True
+                held = held or any(why == WORDS for _, why, _ in stack)
+            k = len(seen)
+            family[1].append(k)
+            family[2].append(label)
+            seen.append(opens[apart])
+            if name in RAW:
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = close.end() if close else len(page)
+                seen.append(closes)
+                more = True
+                break
+            if leaf:
+                seen.append(closes)
+                continue
+            stack.append((own, apart, family))
+            names.append(name)
+            if len(stack) <= MAX_DEPTH:
+                family = (k, [], [])
+                families.append(family)
+    if at < len(page):
+        text = page[at:]
+        if not text.isspace():
+            family[1].append(len(seen))
+            family[2].append("#")
+        seen.append(("text", text, 0, ""))
+    if stack:
+        close_to(0)
+    return Parsed(_freed(seen) if held else seen, families, named)
+
+
+def _freed(found: list) -> list:
+    """The events where no landmark of a kind stands free of words: what words set apart around those is not apart."""
     for landmark in LANDMARKS:
         around: set[int] = set()
         stack: list[int] = []
         by_name = by_word = 0
         free = held = False
-        for k, (kind, value, apart) in enumerate(found):
+        for k, (kind, _, apart, name) in enumerate(found):
             if kind == "open":
-                if value.split(".")[0] == landmark and not by_name:
+                if name == landmark and not by_name:
                     held, free = True, free or not by_word
                     around.update(i for i in stack if found[i][2] == WORDS)
                 stack.append(k)
@@ -114,78 +269,10 @@ def events(page: str) -> list[tuple[str, str, bool]]:
                 apart = found[stack.pop()][2]
                 by_name, by_word = by_name - (apart == NAME), by_word - (apart == WORDS)
         if held and not free:
-            found = [(kind, value, 0 if k in around else apart) for k, (kind, value, apart) in enumerate(found)]
+            found = [(kind, value, 0 if k in around else apart, name) for k, (kind, value, apart, name) in enumerate(found)]
         if held:
             break
-    return [(kind, value, apart > 0) for kind, value, apart in found]
-
-
-#: Why an element stands apart: its name (or that it is hidden), or a word of its class, id or role.
-NAME, WORDS = 1, 2
-
-
-def _parsed(page: str) -> Iterator[tuple[str, str, int]]:
-    stack: list[tuple[str, str]] = []
-    at = 0
-
-    def close_to(depth: int):
-        while len(stack) > depth:
-            yield "close", stack.pop()[1], 0
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if text := page[at : m.start() if m else len(page)]:
-            yield "text", text, 0
-        if not m:
-            break
-        at = m.end()
-        end, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
-        if end:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    yield from close_to(depth)
-                    break
-                if stack[depth][0] in ("article", "main", "td", "body") and name not in BLOCK:
-                    break
-            continue
-        if name in BLOCK:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    yield from close_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
-        if name in ITEM:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ITEM_SCOPE[name]:
-                    break
-                if stack[depth][0] in ITEM[name]:
-                    yield from close_to(depth)
-                    break
-        found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        apart = 0
-        names = [t for k in ("class", "id", "role") for t in found.get(k, "").split()]
-        inside = any(n in LANDMARKS for n, _ in stack)
-        if name in APART or name not in WHOLE and ("hidden" in found or found.get("aria-hidden") == "true"):
-            apart = NAME
-        elif inside and name == "article":  # another text in the region, or a reader's comment
-            apart = WORDS if any(_COMMENT.match(t) for t in names) else 0
-        elif name not in WHOLE and (_marked_inside if inside else _marked)(names):
-            apart = WORDS
-        label = ".".join([name, *sorted({_DIGITS.sub("#", c) for c in entities.unescape(found.get("class", "")).split()})])
-        yield "open", label, apart
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            yield "close", label, 0
-        elif name in VOID or attributes.endswith("/") and name not in BLOCK:
-            yield "close", label, 0
-        else:
-            stack.append((name, label))
-    yield from close_to(0)
+    return found
 
 
 # A wrapper node is [label, mark, children]; mark is "" once, "?" optional, "+" repeated, "*" both. "#" is a text slot.
@@ -318,24 +405,39 @@ def align(a: list, b: list) -> list:
 
 def shape(page: str) -> list:
     """A page's own wrapper: its nested elements with like siblings folded."""
-    root: list = ["", "", []]
-    stack, deeper = [root], 0
-    for kind, value, _ in events(page):
-        if kind == "open":
-            node = [value, "", []]
-            stack[-1][2].append(node)
-            if len(stack) > MAX_DEPTH:
-                deeper += 1
-            else:
-                stack.append(node)
-        elif kind == "close" and deeper:
-            deeper -= 1
-        elif kind == "close":
-            node = stack.pop()
-            node[2] = fold(node[2])
-        elif not value.isspace() and not (stack[-1][2] and stack[-1][2][-1][0] == "#"):
-            stack[-1][2].append(["#", "", []])
-    return fold(root[2])
+    return json.loads(shape_text(page))
+
+
+def shape_text(page: str) -> str:
+    """``shape`` as JSON. Parts are JSON on the way, too, so that small ones which pages have in common are aligned once."""
+    folded: dict[int, str] = {}
+    for parent, children, labels in reversed(parsed(page).families):
+        out: list[str] = []
+        last = whole = mark = ""
+        for k, label in zip(children, labels, strict=True):
+            own = folded.pop(k, "[]")
+            if label != last:
+                if last:
+                    out.append(f"[{quoted(last)},{mark},{whole}]")
+                last, whole, mark = label, own, '""'
+            elif label != "#":
+                mark = '"+"'
+                if own != whole:
+                    whole = (_met_before if len(whole) + len(own) <= PART_CHARS else _aligned_text)(whole, own)
+        if last:
+            out.append(f"[{quoted(last)},{mark},{whole}]")
+        folded[parent] = f"[{','.join(out)}]"
+    return folded[-1]
+
+
+def _aligned_text(a: str, b: str) -> str:
+    return _written(align(json.loads(a), json.loads(b)))
+
+
+_written = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+#: Parts of up to so many characters together are remembered, so many pairs of them.
+PART_CHARS, PARTS = 1000, 4096
+_met_before = lru_cache(PARTS)(_aligned_text)
 
 
 def expression(nodes: list) -> str:
@@ -443,48 +545,31 @@ def _met(runs: list[str], kids: list) -> list[int]:
     return to
 
 
-def matched(page: str, wrapper: Wrapper | None) -> tuple[list, list[int], list[int]]:
-    """The page's events and, for each, the wrapper's node that it meets (-1: none) and the event that opened its parent."""
-    seen = events(page)
-    above, inside = [-1] * len(seen), {-1: []}
-    stack, deeper = [-1], 0
-    for k, (kind, value, _) in enumerate(seen):
-        if kind == "close":
-            if deeper:
-                above[k], deeper = stack[-1], deeper - 1
-            else:
-                above[k] = stack.pop()
-            continue
-        above[k] = stack[-1]
-        if kind == "open":
-            inside[stack[-1]].append(k)
-            if len(stack) > MAX_DEPTH:
-                deeper += 1
-            else:
-                inside[k] = []
-                stack.append(k)
-        elif not value.isspace():
-            inside[stack[-1]].append(k)
-    node = [-1] * len(seen)
+def matched(page: str, wrapper: Wrapper | None) -> tuple[Parsed, list[int]]:
+    """The page's parts and, for each event, the wrapper's node that it meets (-1: none)."""
+    parts = parsed(page)
+    node = [-1] * len(parts.events)
     if wrapper:
-        for parent, children in inside.items():  # parents come before their children
+        for parent, children, labels in parts.families:
             own = 0 if parent < 0 else node[parent]
             if own >= 0 and children:
-                for k, x in zip(children, wrapper.place(own, tuple("#" if seen[k][0] == "text" else seen[k][1] for k in children)), strict=True):
+                for k, x in zip(children, wrapper.place(own, tuple(labels)), strict=True):
                     node[k] = x
-    return seen, node, above
+    return parts, node
 
 
-def _landmarks(seen: list) -> set[int]:
+def _landmarks(parts: Parsed) -> set[int]:
     """The events that open the page's regions, if it names any: articles, and main elements without one."""
     found: set[int] = set()
+    if not parts.landmarks:
+        return found
     stack: list[tuple[int, str]] = []
     apart = 0
     holds: set[int] = set()  # main elements with an article inside
-    for k, (kind, value, off) in enumerate(seen):
+    for k, (kind, _, off, name) in enumerate(parts.events):
         if kind == "open":
-            apart += 1 if apart or off else 0
-            name = value.split(".")[0]
+            if apart or off:
+                apart += 1
             stack.append((k, name))
             if not apart and name in LANDMARKS:
                 found.add(k)
@@ -492,7 +577,8 @@ def _landmarks(seen: list) -> set[int]:
                     holds.update(i for i, n in stack if n == "main")
         elif kind == "close":
             stack.pop()
-            apart -= 1 if apart else 0
+            if apart:
+                apart -= 1
     return found - holds
 
 
@@ -501,35 +587,43 @@ def slots(page: str, wrapper: Wrapper) -> dict[int, tuple[str, bool]]:
 
     Elements that stand apart are left out, and so is what a page with an article or main element has outside it.
     """
-    seen, node, _ = matched(page, wrapper)
-    regions = _landmarks(seen)
-    found: dict[int, tuple[str, bool]] = {}
+    parts, node = matched(page, wrapper)
+    regions = _landmarks(parts)
+    found: dict[int, list[str]] = {}
+    bare: set[int] = set()  # slots that are not in headers only
     off = inside = head = 0
-    for k, (kind, value, apart) in enumerate(seen):
+    for k, (kind, value, apart, name) in enumerate(parts.events):
         if kind == "open":
-            name = value.split(".")[0]
-            off += 1 if off or apart else 0
-            inside += 1 if inside or k in regions else 0
-            head += 1 if head or name == "header" and not inside else 0
+            if off or apart:
+                off += 1
+            if inside or k in regions:
+                inside += 1
+            if head or name == "header" and not inside:
+                head += 1
         elif kind == "close":
-            off -= 1 if off else 0
-            inside -= 1 if inside else 0
-            head -= 1 if head else 0
+            if off:
+                off -= 1
+            if inside:
+                inside -= 1
+            if head:
+                head -= 1
         elif not off and (inside or not regions) and node[k] >= 0 and not value.isspace():
-            text, was = found.get(node[k], ("", True))
-            found[node[k]] = (text + value, was and head > 0)
-    return found
+            found.setdefault(node[k], []).append(value)
+            if not head:
+                bare.add(node[k])
+    return {slot: ("".join(texts), slot not in bare) for slot, texts in found.items()}
 
 
-def _region(seen: list, node: list[int], above: list[int], content: set[int]) -> int | None:
+def _region(parts: Parsed, node: list[int], content: set[int]) -> int | None:
     """The event that opens the lowest element around the parents of the page's content slots; None for the whole page."""
+    above = {k: parent for parent, children, _ in parts.families for k in children}
     off = head = 0
     common: list[int] | None = None
     paths: dict[int, list[int]] = {}
-    for k, (kind, value, apart) in enumerate(seen):
+    for k, (kind, value, apart, name) in enumerate(parts.events):
         if kind == "open":
             off += 1 if off or apart else 0
-            head += 1 if head or value.split(".")[0] == "header" else 0
+            head += 1 if head or name == "header" else 0
         elif kind == "close":
             off -= 1 if off else 0
             head -= 1 if head else 0
@@ -552,6 +646,14 @@ def _region(seen: list, node: list[int], above: list[int], content: set[int]) ->
     return common[-1] if common else None
 
 
+def _single_spaced(text: str) -> str:
+    """The text with one space for all white space between its words, and none around."""
+    # Of white space only the space itself is printable: most texts are found to be as they should without being split.
+    if text.isprintable() and "  " not in text and text[:1] != " " and text[-1:] != " ":
+        return text
+    return " ".join(text.split())
+
+
 def extract(page: str, template: set[int], content: set[int] | None, wrapper: Wrapper | None = None) -> str:
     """The main text: blocks joined by newlines.
 
@@ -559,36 +661,38 @@ def extract(page: str, template: set[int], content: set[int] | None, wrapper: Wr
     its slots of ``content``, else everything, without the slots of the ``template``. Never inside elements that stand
     apart.
     """
-    seen, node, above = matched(page, wrapper)
-    regions = _landmarks(seen)
-    start = _region(seen, node, above, content) if not regions and content is not None and wrapper else None
+    page_parts, node = matched(page, wrapper)
+    seen = page_parts.events
+    regions = _landmarks(page_parts)
+    start = _region(page_parts, node, content) if not regions and content is not None and wrapper else None
     template = set() if regions else template
     blocks: list[str] = []
     parts: list[str] = []
     off = inside = 0  # depth since the element that stands apart, or that opens the region
 
     def end_block():
-        if text := " ".join(entities.unescape("".join(parts)).split()):
+        if text := _single_spaced(entities.unescape("".join(parts))):
             blocks.append(text)
         parts.clear()
 
-    for k, (kind, value, apart) in enumerate(seen):
+    for k, (kind, value, apart, name) in enumerate(seen):
         if kind == "open":
-            name = value.split(".")[0]
             # A header that belongs to an article carries its title.
-            off += 1 if off or apart or name == "header" and not inside else 0
-            starts = k in regions if regions else k == start
-            inside += 1 if inside or starts else 0
-            if name in BLOCK or off == 1:
+            if off or apart or name == "header" and not inside:
+                off += 1
+            if inside or (k in regions if regions else k == start):
+                inside += 1
+            if parts and (name in BLOCK or off == 1):
                 end_block()
             elif name == "br" and not off:
                 parts.append(" ")
         elif kind == "close":
-            name = value.split(".")[0]
-            if name in BLOCK:
+            if parts and name in BLOCK:
                 end_block()
-            off -= 1 if off else 0
-            inside -= 1 if inside else 0
+            if off:
+                off -= 1
+            if inside:
+                inside -= 1
         elif not off and (inside or not regions and start is None) and node[k] not in template:
             parts.append(value)
     end_block()
@@ -608,14 +712,12 @@ BROADCAST_CHARS = 16_000_000
 def _shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in steps(batch, "html"):
-            shaped = [json.dumps(shape(page or ""), separators=(",", ":"), ensure_ascii=False) for page in piece.column("html").to_pylist()]
+            shaped = [shape_text(page or "") for page in piece.column("html").to_pylist()]
             yield pa.record_batch([piece.column("host"), pa.array(shaped, pa.string())], ["host", "shape"])
 
 
 def hash_text(text: str) -> int:
-    from hashlib import blake2b
-
-    return int.from_bytes(blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(blake2b(_single_spaced(text).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _aligned(pdf: pd.DataFrame) -> list:
@@ -627,7 +729,7 @@ def _aligned(pdf: pd.DataFrame) -> list:
 
 
 def _align_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shape": [json.dumps(_aligned(pdf), separators=(",", ":"), ensure_ascii=False)], "pages": [int(pdf["pages"].sum())]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shape": [_written(_aligned(pdf))], "pages": [int(pdf["pages"].sum())]})
 
 
 def _known():
@@ -649,15 +751,18 @@ def _known():
 @tidy
 def _slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _known()
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64()), ("head", pa.bool_())]))
     for batch in batches:
         for piece in steps(batch, "html"):
-            found, whole = [], []
+            ends, slot, hashes, heads, whole = [0], [], [], [], []
             for page, text in zip(piece.column("html").to_pylist(), piece.column("wrapper").to_pylist(), strict=True):
-                own = slots(page or "", known(text)) if text is not None else {}
-                found.append([{"slot": k, "h": hash_text(v), "head": head} for k, (v, head) in own.items()])
+                for k, (v, head) in slots(page or "", known(text)).items() if text is not None else ():
+                    slot.append(k)
+                    hashes.append(hash_text(v))
+                    heads.append(head)
+                ends.append(len(slot))
                 whole.append(hash_text(page or ""))
-            yield pa.record_batch([piece.column("host"), pa.array(whole, pa.int64()), pa.array(found, kind)], ["host", "page", "slots"])
+            found = pa.StructArray.from_arrays([pa.array(slot, pa.int32()), pa.array(hashes, pa.int64()), pa.array(heads, pa.bool_())], ["slot", "h", "head"])
+            yield pa.record_batch([piece.column("host"), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["host", "page", "slots"])
 
 
 def _beside(pages: DataFrame, rules: DataFrame) -> DataFrame:
